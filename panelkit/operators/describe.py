@@ -51,13 +51,13 @@ def group_positions(df: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mono", F.monotonically_increasing_id())
                 .checkpoint())
-    counts = ranked.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"))
+    counts = ranked.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"), F.min("_mono").alias("_m0"))
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     counts = (counts.withColumn("_off", F.sum("_c").over(wg.orderBy("_pid")) - F.col("_c"))
                     .withColumn("n", F.sum("_c").over(wg))
                     .drop("_c"))
     joined = _bounded_join(ranked, counts, ["_pid", *groups])
-    pos = F.col("_off") + (F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)) + 1
+    pos = F.col("_off") + (F.col("_mono") - F.col("_m0")) + 1
     return joined.select(*groups, x, pos.alias("_pos"), "n")
 
 

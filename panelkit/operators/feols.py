@@ -21,6 +21,7 @@ Only coefficient-sized results ever reach the driver.
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -34,7 +35,34 @@ from pyspark.sql.types import IntegerType
 from panelkit.functions.dist import p_normal, p_t
 from panelkit.operators.linalg import gram, pivoted_solve, rowmatrix_gram
 
-MAX_PERIODS = 5000  # periods are broadcast and form a T x T system on the driver
+import os
+import time
+
+MAX_PERIODS = 5000
+AGG_CHUNK = 6  # value columns per aggregate (keeps generated code small)
+_TIMING = bool(os.environ.get("PANELKIT_TIMING"))
+
+
+@contextlib.contextmanager
+def wide_plan_conf(spark: SparkSession):
+    """Regression plans carry dozens of derived columns (event dummies, residualised
+    copies); Catalyst's constraint propagation is combinatorial in such aliased
+    projections (minutes of planning for ~20 columns), while none of these plans
+    benefits from inferred filters.  Switch it off for the fit's own actions only."""
+    key = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _tick(label: str, t0: list) -> None:
+    if _TIMING:
+        now = time.time()
+        print(f"[panelkit] {label}: {now - t0[0]:.2f}s", flush=True)
+        t0[0] = now  # periods are broadcast and form a T x T system on the driver
 
 COEF_SCHEMA = "term string, estimate double, se double, t_stat double, p_value double"
 
@@ -130,7 +158,9 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
                      *[F.col(c).cast("double").alias(v) for c, v in zip(cols, vn)])
     base = base.na.drop(how="any", subset=["_u", "_t", "_w", *vn, *extra]).filter(F.col("_w") > 0)
 
+    t0 = [time.time()]
     periods = [r[0] for r in base.select("_t").distinct().orderBy("_t").collect()]
+    _tick("periods", t0)
     T = len(periods)
     if T > MAX_PERIODS:
         raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}; absorb the period effect in stages")
@@ -144,23 +174,32 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
         {f"_d{i}": F.col(v) - F.sum(F.col("_w") * F.col(v)).over(wu) / F.col("_wsum") for i, v in enumerate(vn)})
     unit_df = unit_df.persist(StorageLevel.MEMORY_AND_DISK)
 
-    per_t = unit_df.groupBy("_ti").agg(
-        F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("_w") * F.col("_v0")).alias("wy"), F.sum(F.col("_w") * F.col("_v0") ** 2).alias("wyy"),
-        *[F.sum(F.col("_w") * F.col(f"_d{i}")).alias(f"b{i}") for i in range(len(vn))]).collect()
+    # per-period sums, a few columns per aggregate so generated code stays small
+    nv = len(vn)
     d = np.zeros(T)
-    B = np.zeros((T, len(vn)))
+    B = np.zeros((T, nv))
     n = 0
     sw = swy = swyy = 0.0
-    for r in per_t:
-        i = r["_ti"]
-        d[i] = r["d"]
-        n += r["n"]
-        sw += r["d"]
-        swy += r["wy"]
-        swyy += r["wyy"]
-        for j in range(len(vn)):
-            B[i, j] = r[f"b{j}"]
+    for lo in range(0, nv, AGG_CHUNK):
+        idx = list(range(lo, min(nv, lo + AGG_CHUNK)))
+        extra_aggs = []
+        if lo == 0:
+            extra_aggs = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
+                          F.sum(F.col("_w") * F.col("_v0")).alias("wy"),
+                          F.sum(F.col("_w") * F.col("_v0") * F.col("_v0")).alias("wyy")]
+        rows = unit_df.groupBy("_ti").agg(*extra_aggs, *[F.sum(F.col("_w") * F.col(f"_d{i}")).alias(f"b{i}")
+                                                          for i in idx]).collect()
+        for r in rows:
+            i = r["_ti"]
+            if lo == 0:
+                d[i] = r["d"]
+                n += r["n"]
+                sw += r["d"]
+                swy += r["wy"]
+                swyy += r["wyy"]
+            for j in idx:
+                B[i, j] = r[f"b{j}"]
+    _tick("per-period sums", t0)
 
     # a_i[t] = w_it / sqrt(W_i): one dense T-vector per unit (cells of a unit are
     # first summed, so repeated (unit, period) rows are also handled)
@@ -171,6 +210,7 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
                                       lambda j: F.coalesce(F.element_at(F.col("m"), j), F.lit(0.0))
                                       / F.sqrt(F.col("W"))).alias("a"))
     A = rowmatrix_gram(vec, "a") if T > 1 else np.array([[d[0]]])
+    _tick("period matrix", t0)
     M = np.diag(d) - A
     gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
     deficit = max(0, (T - 1) - int(rank))
@@ -181,6 +221,7 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
     dm = dm.select("_u", "_w", *extra, *[
         (F.col(f"_d{j}") - F.col(f"_g{j}") + F.sum(F.col("_w") * F.col(f"_g{j}")).over(wu) / F.col("_wsum"))
         .alias(f"_x{j}") for j in range(len(vn))])
+    _tick("gamma table", t0)
     info = {"T": T, "n": n, "sum_w": sw, "tss": swyy - swy * swy / sw if sw > 0 else 0.0,
             "fe_rank_deficit": deficit, "_persisted": unit_df}
     return dm, info
@@ -196,73 +237,112 @@ def feols(df: DataFrame, y: str, xs: Sequence[str], unit: str, period: str,
     counted); ssc='full' (Stata ``reg`` with dummies): K = k + N + T - 1.
     df_t: 'default' uses G - 1 for cluster and n - K for iid; 'ref' uses n - k
     (the reference's quirk in its 5-year p-value)."""
-    xs = list(xs)
+    return feols_multi(df, [(y, list(xs))], unit, period, weight, cluster, vcov, ssc, df_t)[0]
+
+
+def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
+                weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
+                ssc: str = "nested", df_t: str = "default") -> list[Fit]:
+    with wide_plan_conf(df.sparkSession):
+        return _feols_multi(df, specs, unit, period, weight, cluster, vcov, ssc, df_t)
+
+
+def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
+                 weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
+                 ssc: str = "nested", df_t: str = "default") -> list[Fit]:
+    """Several models (outcomes x regressor sets) on one sample from ONE absorption.
+
+    Two-way residualisation is column by column (Frisch-Waugh), so the union of
+    all columns is absorbed once, one Gram aggregate serves every model, and
+    one scores pass computes every model's residual scores.  The sample is the
+    complete cases of the union (as when the models share one prepared table)."""
+    cols: list[str] = []
+    for y, xs in specs:
+        for c in [y, *xs]:
+            if c not in cols:
+                cols.append(c)
+    idx = {c: i for i, c in enumerate(cols)}
     cl = None if vcov == "iid" else (unit if cluster in (None, "unit") else cluster)
     extra = [] if cl in (None, unit) else [cl]
-    dm, info = absorb_two_way(df, [y, *xs], unit, period, weight, extra=extra)
+    dm, info = absorb_two_way(df, cols, unit, period, weight, extra=extra)
     dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
-    k = len(xs)
-    xcols = [f"_x{j}" for j in range(k + 1)]
-    G = gram(dm, xcols, F.col("_w"))
-    beta, keep, inv = pivoted_solve(G[1:, 1:], G[1:, 0])
-    kept = [j for j in range(k) if keep[j]]
-    kk = len(kept)
-    b_kept = beta[kept]
-
-    resid = F.col("_x0")
-    for j, bj in zip(kept, b_kept):
-        resid = resid - F.lit(float(bj)) * F.col(f"_x{j + 1}")
-    sc = dm.withColumn("_e", resid)
-    unit_level = sc.groupBy("_u", *extra).agg(
-        F.sum(F.col("_w") * F.col("_e") ** 2).alias("_ssr"),
-        *[F.sum(F.col("_w") * F.col(f"_x{j + 1}") * F.col("_e")).alias(f"_s{i}") for i, j in enumerate(kept)])
-    score_cols = [f"_s{i}" for i in range(kk)]
-    if cl is None or cl == unit:
-        agg = unit_level.agg(F.count(F.lit(1)).alias("N"), F.sum("_ssr").alias("ssr")).first()
-        n_units, ssr = agg["N"], agg["ssr"]
-        n_clusters = n_units if cl is not None else None
-        meat = gram(unit_level, score_cols) if (cl is not None and kk) else None
+    G = gram(dm, [f"_x{i}" for i in range(len(cols))], F.col("_w"))
+
+    solved = []
+    for y, xs in specs:
+        yi, xi = idx[y], [idx[x] for x in xs]
+        beta, keep, inv = pivoted_solve(G[np.ix_(xi, xi)], G[xi, yi])
+        kept = [j for j in range(len(xs)) if keep[j]]
+        solved.append((yi, xi, beta, keep, inv, kept))
+
+    # one pass: per unit, every model's SSR and scores
+    aggs = []
+    for m, (yi, xi, beta, keep, inv, kept) in enumerate(solved):
+        e = F.col(f"_x{yi}")
+        for j in kept:
+            e = e - F.lit(float(beta[j])) * F.col(f"_x{xi[j]}")
+        aggs.append(F.sum(F.col("_w") * e * e).alias(f"_ssr{m}"))
+        aggs += [F.sum(F.col("_w") * F.col(f"_x{xi[j]}") * e).alias(f"_s{m}_{i}") for i, j in enumerate(kept)]
+    unit_level = dm.groupBy("_u", *extra).agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
+    tot = unit_level.agg(F.count(F.lit(1)).alias("N"),
+                         *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))]).first()
+    n_units = tot["N"]
+    if cl is None:
+        by_cl, n_clusters = None, None
+    elif cl == unit:
+        by_cl, n_clusters = unit_level, n_units
     else:
-        unit_level = unit_level.persist(StorageLevel.MEMORY_AND_DISK)
-        agg = unit_level.agg(F.count(F.lit(1)).alias("N"), F.sum("_ssr").alias("ssr")).first()
-        n_units, ssr = agg["N"], agg["ssr"]
-        by_cl = unit_level.groupBy(*extra).agg(*[F.sum(c).alias(c) for c in score_cols])
-        by_cl = by_cl.persist(StorageLevel.MEMORY_AND_DISK)
+        score_cols = [c for c in unit_level.columns if c.startswith("_s")]
+        by_cl = unit_level.groupBy(*extra).agg(*[F.sum(c).alias(c) for c in score_cols]) \
+                          .persist(StorageLevel.MEMORY_AND_DISK)
         n_clusters = by_cl.count()
-        meat = gram(by_cl, score_cols) if kk else None
 
     n, T = info["n"], info["T"]
-    if vcov == "iid" or ssc == "full":
-        K = kk + n_units + T - 1 - info["fe_rank_deficit"]
-    else:
-        K = kk + T - 1 - info["fe_rank_deficit"]
-    V = np.full((k, k), np.nan)
-    if kk:
-        if vcov == "iid":
-            Vk = ssr / (n - K) * inv
+    fits = []
+    for m, ((y, xs), (yi, xi, beta, keep, inv, kept)) in enumerate(zip(specs, solved)):
+        k, kk = len(xs), len(kept)
+        ssr = tot[f"ssr{m}"]
+        if vcov == "iid" or ssc == "full":
+            K = kk + n_units + T - 1 - info["fe_rank_deficit"]
         else:
-            Gc = n_clusters
-            c = (Gc / (Gc - 1)) * ((n - 1) / (n - K))
-            Vk = c * inv @ meat @ inv
-        V[np.ix_(kept, kept)] = Vk
-    if df_t == "ref":
-        dft = n - kk
-    elif vcov == "iid":
-        dft = n - K
-    else:
-        dft = n_clusters - 1
-    omitted = [xs[j] for j in range(k) if not keep[j]]
+            K = kk + T - 1 - info["fe_rank_deficit"]
+        V = np.full((k, k), np.nan)
+        if kk:
+            if vcov == "iid":
+                Vk = ssr / (n - K) * inv
+            else:
+                meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
+                Gc = n_clusters
+                c = (Gc / (Gc - 1)) * ((n - 1) / (n - K))
+                Vk = c * inv @ meat @ inv
+            V[np.ix_(kept, kept)] = Vk
+        if df_t == "ref":
+            dft = n - kk
+        elif vcov == "iid":
+            dft = n - K
+        else:
+            dft = n_clusters - 1
+        fits.append(Fit(terms=list(xs), beta=beta, vcov=V, n=n, n_units=n_units, n_periods=T,
+                        n_clusters=n_clusters, K=K, df_t=dft, ssr=ssr, tss=info["tss"] if yi == 0 else float("nan"),
+                        tss_within=float(G[yi, yi]), sum_w=info["sum_w"], vcov_type=vcov,
+                        omitted=[xs[j] for j in range(k) if not keep[j]],
+                        fe_rank_deficit=info["fe_rank_deficit"]))
     info["_persisted"].unpersist()
+    unit_level.unpersist()
     dm.unpersist()
-    return Fit(terms=xs, beta=beta, vcov=V, n=n, n_units=n_units, n_periods=T, n_clusters=n_clusters,
-               K=K, df_t=dft, ssr=ssr, tss=info["tss"], tss_within=float(G[0, 0]), sum_w=info["sum_w"],
-               vcov_type=vcov, omitted=omitted, fe_rank_deficit=info["fe_rank_deficit"])
+    return fits
 
 
 def wls(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None,
         intercept: bool = True) -> Fit:
     """Weighted least squares without absorbed effects, iid vcov with
     analytic weights (scale-free).  Used by the stage-2 regression."""
+    with wide_plan_conf(df.sparkSession):
+        return _wls(df, y, xs, weight, intercept)
+
+
+def _wls(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None,
+         intercept: bool = True) -> Fit:
     xs = list(xs)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     cols = [y, *xs]

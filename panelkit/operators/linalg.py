@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Above this many columns a Gram matrix is accumulated by MLlib's tree
 # aggregation instead of one SQL sum expression per cell.
-SQL_GRAM_MAX = 16
+SQL_GRAM_MAX = 5
 
 
 def gram(df: DataFrame, cols: Sequence[str], weight: Column | None = None) -> np.ndarray:

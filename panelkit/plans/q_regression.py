@@ -1 +1,180 @@
-"""Queries for R1-R14."""
+"""Queries for R1-R14 (fixed-effects regressions) and S10 (regression table).
+
+SQL-checkable ones use the balanced P1 panel with the unit-constant weight w,
+where exact two-way absorption reduces to double demeaning (the oracle's form);
+the Spark side always runs the general absorption."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from panelkit.functions.scalar import reg_table
+from panelkit.operators import panel as P
+from panelkit.operators.feols import coef_series, feols, feols_multi, wls
+from panelkit.operators.regression import event_study, stage1, stage2
+from panelkit.plans.registry import register, rnd, with_ctes
+from panelkit.plans.sqlgen import fe_ols_sql
+from panelkit.sources.fixtures import SQL_P1, supplier_quarter
+
+# P1 with R-form trend-break terms (offset 0)
+SQL_P1R = """
+p1r AS (
+  SELECT unit, t, y_qty, y_cnt, w,
+         CAST(g IS NOT NULL AND t >= g AS INTEGER) AS post,
+         CAST(coalesce(t - g, 0) AS INTEGER) AS trend,
+         CAST(g IS NOT NULL AND t >= g AS INTEGER) * coalesce(t - g, 0) AS post_trend
+  FROM p1)"""
+
+
+def _dm_cte(y: str, xs: list[str]) -> str:
+    cols = [y, *xs]
+    names = ["yy"] + [f"x{i}" for i in range(1, len(xs) + 1)]
+    parts = []
+    for c, nm in zip(cols, names):
+        parts.append(f"{c} - avg({c}) OVER (PARTITION BY unit) - sum(w * {c}) OVER (PARTITION BY t) / sum(w) OVER (PARTITION BY t)"
+                     f" + sum(w * {c}) OVER () / sum(w) OVER () AS {nm}")
+    return f"dm AS (SELECT unit, t, w, {', '.join(parts)} FROM p1r)"
+
+
+def _p1r(spark, sf_dir):
+    p = supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
+        .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
+    return P.trend_break_terms(p, "tau", "never")
+
+
+def _coef_rows(spark, fit):
+    rows = [(term, b, s, tt) for term, b, s, tt, _p in fit.rows()]
+    return spark.createDataFrame(rows, "term string, estimate double, se double, t_stat double") \
+                .select("term", *[rnd(c).alias(c) for c in ("estimate", "se", "t_stat")])
+
+
+def _twfe_sql(xs):
+    return "WITH " + ",\n".join([SQL_P1.strip(), SQL_P1R.strip()]) + ",\n" + fe_ols_sql(
+        _dm_cte("y_qty", xs), xs, "SELECT count(DISTINCT t) FROM p1r")
+
+
+@register("twfe_2a", _twfe_sql(["post"]))
+def q_twfe_2a(spark, sf_dir):
+    """Mean shift, unit + period effects, weights, cluster-robust se."""
+    return _coef_rows(spark, feols(_p1r(spark, sf_dir), "y_qty", ["post"], "unit", "t", weight="w"))
+
+
+@register("twfe_2b", _twfe_sql(["post", "trend"]))
+def q_twfe_2b(spark, sf_dir):
+    """Mean shift + trend."""
+    return _coef_rows(spark, feols(_p1r(spark, sf_dir), "y_qty", ["post", "trend"], "unit", "t", weight="w"))
+
+
+@register("twfe_2c", _twfe_sql(["post", "trend", "post_trend"]))
+def q_twfe_2c(spark, sf_dir):
+    """Trend break."""
+    return _coef_rows(spark, feols(_p1r(spark, sf_dir), "y_qty", ["post", "trend", "post_trend"], "unit", "t", weight="w"))
+
+
+@register("lincom_5yr", "WITH " + ",\n".join([SQL_P1.strip(), SQL_P1R.strip()]) + ",\n" + fe_ols_sql(
+    _dm_cte("y_qty", ["post", "trend", "post_trend"]), ["post", "trend", "post_trend"],
+    "SELECT count(DISTINCT t) FROM p1r", lincom={"post": 1.0, "post_trend": 5.0}))
+def q_lincom(spark, sf_dir):
+    """5-period effect post + 5 * post_trend of model 2C with its delta-method se."""
+    fit = feols(_p1r(spark, sf_dir), "y_qty", ["post", "trend", "post_trend"], "unit", "t", weight="w")
+    lc = fit.lincom({"post": 1.0, "post_trend": 5.0})
+    return spark.createDataFrame([(lc["estimate"], lc["se"], lc["t"])], "estimate double, se double, t_stat double") \
+                .select(*[rnd(c).alias(c) for c in ("estimate", "se", "t_stat")])
+
+
+@register("fit_stats", "WITH " + ",\n".join([SQL_P1.strip(), SQL_P1R.strip()]) + ",\n" + fe_ols_sql(
+    _dm_cte("y_qty", ["post", "trend", "post_trend"]), ["post", "trend", "post_trend"],
+    "SELECT count(DISTINCT t) FROM p1r", stats=True))
+def q_fit_stats(spark, sf_dir):
+    """N, units, K, weighted SSR and within R2 of model 2C."""
+    fit = feols(_p1r(spark, sf_dir), "y_qty", ["post", "trend", "post_trend"], "unit", "t", weight="w")
+    return spark.createDataFrame([(fit.n, fit.n_units, fit.K, fit.ssr, fit.r2_within)],
+                                 "n long, n_units long, K long, ssr_w double, r2_within double") \
+                .select("n", "n_units", "K", (F.round("ssr_w", 4) + 0.0).alias("ssr_w"), rnd("r2_within").alias("r2_within"))
+
+
+@register("twfe_models")
+def q_twfe_models(spark, sf_dir):
+    """R3-R5 for two outcomes from ONE absorption (the outcome loop costs one shuffle)."""
+    specs = [(y, xs) for y in ("y_qty", "y_cnt")
+             for xs in (["post"], ["post", "trend"], ["post", "trend", "post_trend"])]
+    fits = feols_multi(_p1r(spark, sf_dir), specs, "unit", "t", weight="w_cell")
+    rows = []
+    for (y, xs), fit in zip(specs, fits):
+        model = {1: "2A", 2: "2B", 3: "2C"}[len(xs)]
+        for term, b, s, tt, p in fit.rows():
+            rows.append((y, model, term, b, s, tt, p, fit.n))
+    return spark.createDataFrame(rows, "outcome string, model string, term string, estimate double, se double, "
+                                       "t_stat double, p_value double, n long")
+
+
+@register("event_study")
+def q_event_study(spark, sf_dir):
+    """Binned event study (ref -1) with the reference row added."""
+    p = supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
+        .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
+    return event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1)
+
+
+@register("coef_series")
+def q_coef_series(spark, sf_dir):
+    """R10 + F13: event-study series with 95% intervals, never-adopters dropped (R behaviour)."""
+    p = supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
+        .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
+    return event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1,
+                       drop_never=True, add_reference=False)
+
+
+@register("onestep_two_policy")
+def q_onestep(spark, sf_dir):
+    """One-step trend-break regression with two policies, range flags and a control, clustered."""
+    p = supplier_quarter(spark, sf_dir).withColumns({
+        "never1": F.col("g").isNull(), "never2": F.col("g2").isNull(),
+        "tau1": F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.col("t") - F.col("g")).cast("int"),
+        "tau2": F.when(F.col("g2").isNull(), F.lit(0)).otherwise(F.col("t") - F.col("g2")).cast("int"),
+        "ctrl": F.log1p(F.col("w_cell"))})
+    p = p.withColumns({"post1": P.post("never1", "t", "g"), "post2": P.post("never2", "t", "g2")})
+    p = P.onestep_terms(p, "tau1", "never1", "post1", -7, 9, "c")
+    p = P.onestep_terms(p, "tau2", "never2", "post2", -7, 3, "s")
+    models = {"3a": ["c_policy", "s_policy", "ctrl"],
+              "3b": ["c_policy", "c_tau_range", "s_policy", "s_tau_range", "ctrl"],
+              "3c": ["c_policy", "c_tau_range", "c_trend_break", "s_policy", "s_tau_range", "s_trend_break", "ctrl"]}
+    p = p.filter(F.col("c_in_range") & F.col("s_in_range"))
+    fits = feols_multi(p, [("y_qty", xs) for xs in models.values()], "unit", "t", weight="w")
+    rows = []
+    for name, fit in zip(models, fits):
+        rows += [(name, *r, fit.n) for r in fit.rows()]
+    return spark.createDataFrame(rows, "model string, " + "term string, estimate double, se double, t_stat double, "
+                                       "p_value double, n long")
+
+
+def _stage1(spark, sf_dir):
+    p = supplier_quarter(spark, sf_dir).withColumn("tau", (F.col("t") - F.col("g")).cast("int")) \
+        .withColumn("ctrl", F.log1p(F.col("w_cell")))
+    return stage1(p, "y_qty", "tau", "unit", "t", weight="w_cell", lo=-10, hi=5, controls=["ctrl"])
+
+
+@register("stage1_event_study")
+def q_stage1(spark, sf_dir):
+    """Stage-1 event study (all leads/lags + tails + control), iid se,
+    coefficients poured back onto the tau grid."""
+    return _stage1(spark, sf_dir)
+
+
+@register("stage2_regression")
+def q_stage2(spark, sf_dir):
+    """Stage-2 regressions 2a/2b/2c of the stage-1 series, weight 1/se, with the
+    5-period effect of 2c; the series is handed over through the stage folder."""
+    return stage2(_stage1(spark, sf_dir), persist_name="sigmas")
+
+
+@register("reg_table")
+def q_reg_table(spark, sf_dir):
+    """S10 + F8/F9: models side by side with stars, selected terms and extra rows."""
+    fits = feols_multi(_p1r(spark, sf_dir), [("y_qty", xs) for xs in
+                       (["post"], ["post", "trend"], ["post", "trend", "post_trend"])], "unit", "t", weight="w")
+    lc = fits[2].lincom({"post": 1.0, "post_trend": 5.0})
+    return reg_table(spark, dict(zip(["2A", "2B", "2C"], fits)), ["post", "trend", "post_trend"],
+                     extra={"5-Year Effect": {"2C": lc}})

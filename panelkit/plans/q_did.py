@@ -1 +1,117 @@
-"""Queries for D1-D5, E1-E14."""
+"""Queries for D1-D5 (decomposition), E1-E14 (group-time ATT, Sun-Abraham, comparison)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelkit.operators import bacon as B
+from panelkit.plans.registry import register, rnd, with_ctes
+from panelkit.sources.fixtures import SQL_P1, SQL_P2, SQL_P3, customer_year, supplier_quarter, user_day
+
+
+def _bacon_sql(src: str) -> str:
+    """Oracle for the decomposition over a CTE ``base(unit, t, y, g)`` (g = first treated period)."""
+    return src + """,
+span AS (SELECT min(t) AS lo, max(t) AS hi, max(t) - min(t) + 1 AS tt, count(DISTINCT unit) AS n FROM base),
+cm AS (SELECT g, t, avg(y) AS ybar FROM base GROUP BY g, t),
+cs AS (SELECT g, count(DISTINCT unit) * 1.0 / (SELECT n FROM span) AS sh,
+              CASE WHEN g IS NULL THEN 0.0 ELSE ((SELECT hi FROM span) - g + 1) * 1.0 / (SELECT tt FROM span) END AS dd
+       FROM base GROUP BY g),
+tim AS (SELECT * FROM cs WHERE g IS NOT NULL AND g <> (SELECT lo FROM span)),
+alw AS (SELECT * FROM cs WHERE g = (SELECT lo FROM span)),
+unt AS (SELECT * FROM cs WHERE g IS NULL),
+pairs AS (
+  SELECT e.g AS treated, CAST(NULL AS INTEGER) AS control, 'Treated vs Untreated' AS type,
+         (SELECT lo FROM span) AS w_lo, (SELECT hi FROM span) AS w_hi, e.g AS post_from,
+         pow(e.sh + u.sh, 2) * (e.sh / (e.sh + u.sh)) * (1 - e.sh / (e.sh + u.sh)) * e.dd * (1 - e.dd) AS rw
+  FROM tim e JOIN unt u ON true
+  UNION ALL
+  SELECT e.g, a.g, 'Later vs Always Treated', (SELECT lo FROM span), (SELECT hi FROM span), e.g,
+         pow(a.sh + e.sh, 2) * (a.sh / (a.sh + e.sh)) * (1 - a.sh / (a.sh + e.sh)) * e.dd * (1 - e.dd)
+  FROM tim e JOIN alw a ON true
+  UNION ALL
+  SELECT e.g, l.g, 'Earlier vs Later Treated', (SELECT lo FROM span), l.g - 1, e.g,
+         pow((e.sh + l.sh) * (1 - l.dd), 2) * (e.sh / (e.sh + l.sh)) * (1 - e.sh / (e.sh + l.sh))
+           * ((e.dd - l.dd) / (1 - l.dd)) * ((1 - e.dd) / (1 - l.dd))
+  FROM tim e JOIN tim l ON e.g < l.g
+  UNION ALL
+  SELECT l.g, e.g, 'Later vs Earlier Treated', e.g, (SELECT hi FROM span), l.g,
+         pow((e.sh + l.sh) * e.dd, 2) * (e.sh / (e.sh + l.sh)) * (1 - e.sh / (e.sh + l.sh))
+           * (l.dd / e.dd) * ((e.dd - l.dd) / e.dd)
+  FROM tim e JOIN tim l ON e.g < l.g),
+pw AS (SELECT *, rw / sum(rw) OVER () AS weight FROM pairs),
+est AS (
+  SELECT p.treated, p.control, p.type, p.weight,
+         avg(CASE WHEN a.t >= p.post_from THEN a.ybar - b.ybar END)
+           - avg(CASE WHEN a.t < p.post_from THEN a.ybar - b.ybar END) AS estimate
+  FROM pw p JOIN cm a ON a.g = p.treated
+            JOIN cm b ON b.g IS NOT DISTINCT FROM p.control AND b.t = a.t
+  WHERE a.t BETWEEN p.w_lo AND p.w_hi
+  GROUP BY p.treated, p.control, p.type, p.weight)"""
+
+
+_P1_BASE = with_ctes(SQL_P1) + """,
+base AS (SELECT unit, t, y_qty AS y, min(CASE WHEN policy = 1 THEN t END) OVER (PARTITION BY unit) AS g FROM p1)"""
+_P3_BASE = with_ctes(SQL_P3) + """,
+base AS (SELECT unit, t, y_cnt AS y, min(CASE WHEN flag = 1 THEN t END) OVER (PARTITION BY unit) AS g FROM p3g)"""
+
+
+def _pairs_out(pairs):
+    return pairs.select("treated", "control", "type", rnd("estimate").alias("estimate"), rnd("weight").alias("weight"))
+
+
+def _p1_pairs(spark, sf_dir):
+    return B.bacon(supplier_quarter(spark, sf_dir), "y_qty", "policy", "unit", "t")
+
+
+@register("bacon_pairs", _bacon_sql(_P1_BASE) + """
+SELECT treated, control, type, round(estimate, 6) + 0.0 AS estimate, round(weight, 6) + 0.0 AS weight FROM est""")
+def q_bacon_pairs(spark, sf_dir):
+    """All 2x2 comparisons on P1 (three timing cohorts + never treated)."""
+    return _pairs_out(_p1_pairs(spark, sf_dir))
+
+
+@register("bacon_pairs_always", _bacon_sql(_P3_BASE) + """
+SELECT treated, control, type, round(estimate, 6) + 0.0 AS estimate, round(weight, 6) + 0.0 AS weight FROM est""")
+def q_bacon_pairs_always(spark, sf_dir):
+    """D1 with always-treated units and no never-treated (P3 grid, first-purchase adoption)."""
+    p = user_day(spark, sf_dir, grid=True)
+    return _pairs_out(B.bacon(p, "y_cnt", "flag", "unit", "t"))
+
+
+@register("bacon_total", _bacon_sql(_P1_BASE) + """
+SELECT round(sum(estimate * weight), 6) + 0.0 AS total, count(*) AS n_pairs, round(sum(weight), 6) + 0.0 AS weight_sum FROM est""")
+def q_bacon_total(spark, sf_dir):
+    """D3: decomposition total (equals the static TWFE coefficient) and pair count."""
+    t = B.bacon_total(_p1_pairs(spark, sf_dir))
+    return t.select(rnd("total").alias("total"), "n_pairs", rnd("weight_sum").alias("weight_sum"))
+
+
+@register("bacon_by_type", _bacon_sql(_P3_BASE) + """
+SELECT type, count(*) AS n, round(sum(weight), 6) + 0.0 AS weight_sum,
+       round(sum(weight * estimate) / sum(weight), 6) + 0.0 AS avg_estimate FROM est GROUP BY type""")
+def q_bacon_by_type(spark, sf_dir):
+    """Summary by comparison type."""
+    p = user_day(spark, sf_dir, grid=True)
+    s = B.bacon_by_type(B.bacon(p, "y_cnt", "flag", "unit", "t"))
+    return s.select("type", "n", rnd("weight_sum").alias("weight_sum"), rnd("avg_estimate").alias("avg_estimate"))
+
+
+@register("bacon_timing_weight", _bacon_sql(_P3_BASE) + """
+SELECT round(coalesce(sum(CASE WHEN regexp_matches(type, '(?i)later|earlier') THEN weight END), 0), 6) + 0.0 AS timing_weight,
+       round(coalesce(sum(CASE WHEN type IN ('Later vs Earlier Treated', 'Later vs Always Treated') THEN weight END), 0), 6) + 0.0
+         AS forbidden_weight FROM est""")
+def q_bacon_timing_weight(spark, sf_dir):
+    """Weight on Later/Earlier comparisons (reference definition) and on forbidden ones."""
+    p = user_day(spark, sf_dir, grid=True)
+    w = B.timing_weight(B.bacon(p, "y_cnt", "flag", "unit", "t"))
+    return w.select(rnd("timing_weight").alias("timing_weight"), rnd("forbidden_weight").alias("forbidden_weight"))
+
+
+@register("balanced_subset", with_ctes(SQL_P2) + """
+SELECT unit, t, y_cnt FROM p2
+WHERE unit IN (SELECT unit FROM p2 GROUP BY unit
+               HAVING count(*) = (SELECT max(t) - min(t) + 1 FROM p2))""")
+def q_balanced_subset(spark, sf_dir):
+    """Units observed in every period (fallback sample of the decomposition)."""
+    return B.balanced_subset(customer_year(spark, sf_dir), "unit", "t", "y_cnt").select("unit", "t", "y_cnt")

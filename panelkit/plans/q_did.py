@@ -115,3 +115,130 @@ WHERE unit IN (SELECT unit FROM p2 GROUP BY unit
 def q_balanced_subset(spark, sf_dir):
     """Units observed in every period (fallback sample of the decomposition)."""
     return B.balanced_subset(customer_year(spark, sf_dir), "unit", "t", "y_cnt").select("unit", "t", "y_cnt")
+
+
+# ---------------------------------------------------------------- E1-E8 group-time ATT
+
+from pyspark.sql import Window  # noqa: E402
+
+from panelkit.operators.attgt import aggte, att_gt  # noqa: E402
+
+
+def _att_sql(src: str, control: str) -> str:
+    """Oracle CTEs for ATT(g,t) over ``base(unit, t, y, G, w)``; defines ``roles``, ``cell``, ``nu``."""
+    ctrl = ("G IS NULL" if control == "never" else
+            "G IS NULL OR (G > greatest(t, CASE WHEN t >= k THEN k - 1 ELSE t - 1 END) AND G <> k)")
+    return src + f""",
+per AS (SELECT count(DISTINCT t) AS tt, min(t) AS lo, max(t) AS hi FROM base),
+bal AS (SELECT b.*, max(CASE WHEN t = (SELECT lo FROM per) THEN w END) OVER (PARTITION BY unit) AS w1,
+               count(*) OVER (PARTITION BY unit) AS nn FROM base b WHERE y IS NOT NULL),
+pan AS (SELECT unit, t, y, CASE WHEN G > (SELECT hi FROM per) THEN NULL ELSE G END AS G, w1 AS w
+        FROM bal WHERE nn = (SELECT tt FROM per) AND w1 > 0),
+pan2 AS (SELECT * FROM pan WHERE G IS NULL OR G > (SELECT lo FROM per)),
+nu AS (SELECT count(*) AS n, avg(w) AS mw FROM pan2 WHERE t = (SELECT lo FROM per)),
+coh AS (SELECT DISTINCT G AS k FROM pan2 WHERE G IS NOT NULL),
+lagged AS (SELECT *, lag(y) OVER (PARTITION BY unit ORDER BY t) AS y_prev FROM pan2),
+cellrows AS (
+  SELECT l.unit, l.t, c.k, l.G, l.w / (SELECT mw FROM nu) AS w,
+         l.y - CASE WHEN l.t >= c.k THEN b.y ELSE l.y_prev END AS dy
+  FROM lagged l JOIN coh c ON true LEFT JOIN pan2 b ON b.unit = l.unit AND b.t = c.k - 1
+  WHERE l.t > (SELECT lo FROM per)),
+roles AS (
+  SELECT *, CASE WHEN G = k THEN 'tr' WHEN {ctrl} THEN 'co' END AS role FROM cellrows),
+agg AS (
+  SELECT k, t, role, count(*) AS c, sum(w) AS s0, sum(w * dy) AS s1, sum(w * w) AS a0,
+         sum(w * w * dy) AS a1, sum(w * w * dy * dy) AS a2
+  FROM roles WHERE role IS NOT NULL AND dy IS NOT NULL GROUP BY k, t, role),
+cell AS (
+  SELECT tr.k AS g, tr.t, tr.s1 / tr.s0 - co.s1 / co.s0 AS att,
+         sqrt(greatest(tr.a2 - 2 * (tr.s1 / tr.s0) * tr.a1 + pow(tr.s1 / tr.s0, 2) * tr.a0, 0) / pow(tr.s0, 2)
+            + greatest(co.a2 - 2 * (co.s1 / co.s0) * co.a1 + pow(co.s1 / co.s0, 2) * co.a0, 0) / pow(co.s0, 2)) AS se,
+         tr.c AS n_treated, co.c AS n_control, tr.s1 / tr.s0 AS m_tr, tr.s0 AS s0_tr, co.s1 / co.s0 AS m_co, co.s0 AS s0_co
+  FROM agg tr JOIN agg co ON tr.k = co.k AND tr.t = co.t AND tr.role = 'tr' AND co.role = 'co')"""
+
+
+_CELL_OUT = """
+SELECT g, t, round(att, 6) + 0.0 AS att, round(se, 6) + 0.0 AS se, n_treated, n_control FROM cell"""
+
+_P1_ATT = with_ctes(SQL_P1) + """,
+base AS (SELECT unit, t, y_qty AS y, g AS G, w FROM p1)"""
+_P1_ATT_WQ = with_ctes(SQL_P1) + """,
+base AS (SELECT unit, t, y_qty AS y, g AS G, sum(y_qty) OVER (PARTITION BY unit) AS w FROM p1)"""
+_P3_ATT = with_ctes(SQL_P3) + """,
+base AS (SELECT unit, t, y_cnt AS y, g AS G, 1.0 AS w FROM p3g)"""
+
+
+def _cells_out(res):
+    c = res.cell_frame().filter(F.col("att").isNotNull())
+    return c.select("g", "t", rnd("att").alias("att"), rnd("se").alias("se"), "n_treated", "n_control")
+
+
+def _p1_wq(spark, sf_dir):
+    p = supplier_quarter(spark, sf_dir)
+    return p.withColumn("wq", F.sum("y_qty").over(Window.partitionBy("unit")))
+
+
+@register("att_gt_never", _att_sql(_P1_ATT, "never") + _CELL_OUT)
+def q_att_gt_never(spark, sf_dir):
+    """ATT(g,t), never-treated controls, unit weights, analytic se."""
+    return _cells_out(att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w"))
+
+
+@register("att_gt_notyet", _att_sql(_P1_ATT, "notyet") + _CELL_OUT)
+def q_att_gt_notyet(spark, sf_dir):
+    """Not-yet-treated controls (the cohort itself never controls its own pre-periods)."""
+    return _cells_out(att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w", control="notyet"))
+
+
+@register("att_gt_fallback", _att_sql(_P3_ATT, "notyet") + _CELL_OUT)
+def q_att_gt_fallback(spark, sf_dir):
+    """Never-treated requested on P3 (no never-treated user): falls back to not-yet."""
+    res = att_gt(user_day(spark, sf_dir, grid=True), "y_cnt", "unit", "t", "g", control="never", fallback=True)
+    return _cells_out(res)
+
+
+@register("att_gt_se", _att_sql(_P1_ATT_WQ, "never") + _CELL_OUT)
+def q_att_gt_se(spark, sf_dir):
+    """Cell se with unit weights that vary across units (unit total quantity)."""
+    return _cells_out(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"))
+
+
+_SIMPLE_SQL = """,
+pgt AS (SELECT G, sum(w / (SELECT mw FROM nu)) / (SELECT n FROM nu) AS pg FROM pan2
+        WHERE t = (SELECT lo FROM per) AND G IS NOT NULL GROUP BY G),
+keep AS (SELECT cell.*, pgt.pg FROM cell JOIN pgt ON pgt.G = cell.g WHERE cell.t >= cell.g AND cell.att IS NOT NULL),
+tot AS (SELECT sum(pg) AS pp, sum(att * pg) AS aw FROM keep),
+om AS (SELECT keep.*, pg / (SELECT pp FROM tot) AS om FROM keep),
+ps AS (
+  SELECT r.unit, sum(o.om * (SELECT n FROM nu) * CASE WHEN r.role = 'tr' THEN r.w * (r.dy - o.m_tr) / o.s0_tr
+                                                   ELSE -r.w * (r.dy - o.m_co) / o.s0_co END) AS psi
+  FROM roles r JOIN om o ON o.g = r.k AND o.t = r.t WHERE r.role IS NOT NULL AND r.dy IS NOT NULL GROUP BY r.unit),
+wg AS (SELECT g AS G, sum(att) / (SELECT pp FROM tot) AS a,
+              count(*) * (SELECT aw FROM tot) / pow((SELECT pp FROM tot), 2) AS b FROM keep GROUP BY g),
+un AS (SELECT unit, G, w / (SELECT mw FROM nu) AS w FROM pan2 WHERE t = (SELECT lo FROM per)),
+ifs AS (SELECT un.unit, coalesce(ps.psi, 0) + un.w * (coalesce(wg.a, 0) - coalesce(wg.b, 0)) AS inf
+        FROM un LEFT JOIN ps ON ps.unit = un.unit LEFT JOIN wg ON wg.G = un.G)
+SELECT 'simple' AS target, round((SELECT aw / pp FROM tot), 6) + 0.0 AS att,
+       round(sqrt(sum(inf * inf)) / (SELECT n FROM nu), 6) + 0.0 AS se FROM ifs"""
+
+
+@register("aggte_simple", _att_sql(_P1_ATT_WQ, "never") + _SIMPLE_SQL)
+def q_aggte_simple(spark, sf_dir):
+    """Simple aggregation (cohort-share weights over post cells) with the
+    influence-function se including the weight-estimation term."""
+    a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "simple")
+    return a.select("target", rnd("att").alias("att"), rnd("se").alias("se"))
+
+
+@register("aggte_dynamic")
+def q_aggte_dynamic(spark, sf_dir):
+    """Event-time aggregation for e in [-7, 9] and the overall mean over e >= 0."""
+    a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
+    return a
+
+
+@register("att_boot_se")
+def q_att_boot(spark, sf_dir):
+    """Multiplier-bootstrap se (seeded hashed Rademacher draws) next to the analytic se."""
+    res = att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq")
+    return aggte(res, "simple", boot_draws=999, seed=20240101)

@@ -242,3 +242,123 @@ def q_att_boot(spark, sf_dir):
     """Multiplier-bootstrap se (seeded hashed Rademacher draws) next to the analytic se."""
     res = att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq")
     return aggte(res, "simple", boot_draws=999, seed=20240101)
+
+
+# ---------------------------------------------------------------- E9-E14, F3, F7-F14
+
+from panelkit.functions import scalar as S  # noqa: E402
+from panelkit.operators.compare import comparison_table, compare_series, pretrend_stat, pretrend_test  # noqa: E402
+from panelkit.operators.feols import feols, feols_multi  # noqa: E402
+from panelkit.operators.regression import event_study  # noqa: E402
+from panelkit.operators.sunab import sunab  # noqa: E402
+
+
+@register("sunab_coefs", with_ctes(SQL_P1) + """,
+ref AS (SELECT unit, y_qty AS yb, g FROM p1),
+d AS (SELECT p.unit, p.t, c.g AS k, p.g AS G, p.y_qty - r.y_qty AS dy
+      FROM p1 p JOIN (SELECT DISTINCT g FROM p1 WHERE g IS NOT NULL) c ON true
+      JOIN p1 r ON r.unit = p.unit AND r.t = c.g - 1
+      WHERE p.t <> c.g - 1)
+SELECT k AS g, CAST(t - k AS INTEGER) AS e,
+       round(avg(CASE WHEN G = k THEN dy END) - avg(CASE WHEN G IS NULL THEN dy END), 6) + 0.0 AS estimate
+FROM d GROUP BY k, t""")
+def q_sunab_coefs(spark, sf_dir):
+    """Saturated cohort x relative-period coefficients (ref -1).  On a balanced,
+    unweighted panel they equal never-treated long differences to base g-1 (oracle form)."""
+    sa = sunab(supplier_quarter(spark, sf_dir), "y_qty", "g", "unit", "t")
+    rows = [(g, e, b) for g, e, b, s in sa.coefs()]
+    return spark.createDataFrame(rows, "g int, e int, estimate double").select("g", "e", rnd("estimate").alias("estimate"))
+
+
+@register("sunab_att")
+def q_sunab_att(spark, sf_dir):
+    """Sun-Abraham ATT (weighted by cell observation shares) with its se."""
+    sa = sunab(supplier_quarter(spark, sf_dir), "y_qty", "g", "unit", "t", w="w")
+    est, se = sa.att()
+    from panelkit.functions.dist import p_normal
+    return spark.createDataFrame([(est, se, p_normal(est / se))], "att double, se double, p_value double")
+
+
+@register("sunab_es")
+def q_sunab_es(spark, sf_dir):
+    """Sun-Abraham event-study aggregation by relative period."""
+    sa = sunab(supplier_quarter(spark, sf_dir), "y_qty", "g", "unit", "t", w="w")
+    return spark.createDataFrame(sa.event_study(), "e int, estimate double, se double")
+
+
+@register("pretrend_test", _att_sql(_P1_ATT, "never") + """
+SELECT round(sum(pow(att / se, 2)), 6) + 0.0 AS chi2, count(*) AS df FROM cell WHERE t < g""")
+def q_pretrend_test(spark, sf_dir):
+    """Joint pre-period statistic over the pre-treatment ATT(g,t) cells."""
+    cells = att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w").cell_frame() \
+        .filter(F.col("att").isNotNull()).withColumn("tau", F.col("t") - F.col("g"))
+    s = pretrend_stat(cells, "tau", "att", "se")
+    return s.select(rnd("chi2").alias("chi2"), "df")
+
+
+@register("pretrend_dynamic")
+def q_pretrend_dynamic(spark, sf_dir):
+    """E12 on the event-time series, with chi-square p-value and verdict."""
+    a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
+    return pretrend_test(a.filter(F.col("e").isNotNull()), "e", "att", "se")
+
+
+def _tau(spark, sf_dir):
+    return supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
+        .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
+
+
+@register("compare_series")
+def q_compare_series(spark, sf_dir):
+    """TWFE event study and group-time ATT event-time series stacked, tau in [-7, 9]."""
+    tw = event_study(_tau(spark, sf_dir), "y_qty", "tau", "never", "unit", "t", weight="w", lo=-7, hi=9)
+    cs = aggte(att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w"), "dynamic", -7, 9)
+    return compare_series(tw, cs)
+
+
+@register("compare_table")
+def q_compare_table(spark, sf_dir):
+    """Per outcome, the TWFE 5-period trend-break effect (p with the reference's
+    df = n - k) next to the simple group-time ATT (normal p), formatted."""
+    from panelkit.plans.q_regression import _p1r
+    p = _p1r(spark, sf_dir)
+    rows = []
+    fits = feols_multi(p, [(y, ["post", "trend", "post_trend"]) for y in ("y_qty", "y_cnt")], "unit", "t",
+                       weight="w", df_t="ref")
+    for y, fit in zip(("y_qty", "y_cnt"), fits):
+        lc = fit.lincom({"post": 1.0, "post_trend": 5.0})
+        a = aggte(att_gt(p, y, "unit", "t", "g", "w"), "simple").first()
+        rows.append((y, lc["estimate"], lc["se"], lc["p"], a["att"], a["se"]))
+    return comparison_table(spark, rows)
+
+
+@register("stars_format", _att_sql(_P1_ATT, "never") + r""",
+f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(printf('%.2f', round(att / 0.01) * 0.01), '0+$', ''),
+                 '\.$', ''), '^(-?)0\.', '\1.') AS sn FROM cell)
+SELECT g, t, printf('%.2f (%.2f)', att, se) AS est_se, printf('%.3f', se) AS se_3dp,
+       substr(CASE WHEN length(CASE WHEN sn = '-0' THEN '0' ELSE sn END) < 3
+                   THEN (CASE WHEN sn = '-0' THEN '0' ELSE sn END) || '0' ELSE (CASE WHEN sn = '-0' THEN '0' ELSE sn END) END, 1, 6) AS coef,
+       CAST(regexp_extract('tau::' || CAST(t - g AS VARCHAR), '(-?\d+)$', 1) AS INTEGER) AS tau,
+       regexp_matches(CASE WHEN t >= g THEN 'Later vs Earlier' ELSE 'Treated vs Untreated' END, '(?i)later|earlier') AS timing,
+       round(att - 1.96 * se, 6) + 0.0 AS ci_low, round(att + 1.96 * se, 6) + 0.0 AS ci_high,
+       round(abs(att), 6) + 0.0 AS abs_att, round(sqrt(n_treated), 6) + 0.0 AS sqrt_n,
+       round(round(att / 0.5) * 0.5, 6) + 0.0 AS att_half, att IS NULL AS missing
+FROM f""")
+def q_stars_format(spark, sf_dir):
+    """Formatting and scalar helpers on the ATT(g,t) table."""
+    c = att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w").cell_frame().filter(F.col("att").isNotNull())
+    lo, hi = S.ci95("att", "se")
+    typ = F.when(F.col("t") >= F.col("g"), "Later vs Earlier").otherwise("Treated vs Untreated")
+    return c.select("g", "t", S.fmt_est_se("att", "se").alias("est_se"), S.fmt_num("se").alias("se_3dp"),
+                    S.pad_coef("att").alias("coef"),
+                    S.tau_of(F.concat(F.lit("tau::"), (F.col("t") - F.col("g")).cast("string"))).alias("tau"),
+                    S.is_timing_type(typ).alias("timing"), rnd(lo).alias("ci_low"), rnd(hi).alias("ci_high"),
+                    rnd(F.abs("att")).alias("abs_att"), rnd(F.sqrt("n_treated")).alias("sqrt_n"),
+                    rnd(S.round_to("att", 0.5)).alias("att_half"), S.is_missing("att").alias("missing"))
+
+
+@register("period_range", with_ctes(SQL_P2) + """
+SELECT CAST(unnest(range((SELECT min(t) FROM p2), (SELECT max(t) FROM p2) + 1)) AS INTEGER) AS t""")
+def q_period_range(spark, sf_dir):
+    """every period from the panel's first to last."""
+    return S.period_range(customer_year(spark, sf_dir), "t").select(F.col("t").cast("int").alias("t"))

@@ -39,7 +39,7 @@ import os
 import time
 
 MAX_PERIODS = 5000
-AGG_CHUNK = 6  # value columns per aggregate (keeps generated code small)
+AGG_CHUNK = 48  # value columns per aggregate (bounds generated code size)
 _TIMING = bool(os.environ.get("PANELKIT_TIMING"))
 
 
@@ -266,7 +266,9 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
     extra = [] if cl in (None, unit) else [cl]
     dm, info = absorb_two_way(df, cols, unit, period, weight, extra=extra)
     dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
+    t0 = [time.time()]
     G = gram(dm, [f"_x{i}" for i in range(len(cols))], F.col("_w"))
+    _tick("gram", t0)
 
     solved = []
     for y, xs in specs:
@@ -275,17 +277,23 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
         kept = [j for j in range(len(xs)) if keep[j]]
         solved.append((yi, xi, beta, keep, inv, kept))
 
-    # one pass: per unit, every model's SSR and scores
-    aggs = []
+    # one pass: per unit, every model's SSR and scores (residuals projected once per row)
+    res_cols = {}
     for m, (yi, xi, beta, keep, inv, kept) in enumerate(solved):
         e = F.col(f"_x{yi}")
         for j in kept:
             e = e - F.lit(float(beta[j])) * F.col(f"_x{xi[j]}")
+        res_cols[f"_e{m}"] = e
+    dme = dm.withColumns(res_cols)
+    aggs = []
+    for m, (yi, xi, beta, keep, inv, kept) in enumerate(solved):
+        e = F.col(f"_e{m}")
         aggs.append(F.sum(F.col("_w") * e * e).alias(f"_ssr{m}"))
         aggs += [F.sum(F.col("_w") * F.col(f"_x{xi[j]}") * e).alias(f"_s{m}_{i}") for i, j in enumerate(kept)]
-    unit_level = dm.groupBy("_u", *extra).agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
+    unit_level = dme.groupBy("_u", *extra).agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
     tot = unit_level.agg(F.count(F.lit(1)).alias("N"),
                          *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))]).first()
+    _tick("scores", t0)
     n_units = tot["N"]
     if cl is None:
         by_cl, n_clusters = None, None
@@ -322,6 +330,7 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
             dft = n - K
         else:
             dft = n_clusters - 1
+        _tick("vcov", t0)
         fits.append(Fit(terms=list(xs), beta=beta, vcov=V, n=n, n_units=n_units, n_periods=T,
                         n_clusters=n_clusters, K=K, df_t=dft, ssr=ssr, tss=info["tss"] if yi == 0 else float("nan"),
                         tss_within=float(G[yi, yi]), sum_w=info["sum_w"], vcov_type=vcov,

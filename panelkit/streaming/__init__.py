@@ -1,0 +1,4 @@
+"""Streaming surface: intentionally empty.
+
+The reference reads whole files and has no streaming, watermark, window or
+state concept, so nothing here is built (see README, "Not built")."""

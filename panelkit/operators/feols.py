@@ -30,7 +30,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType
 
 from panelkit.functions.dist import p_normal, p_t
 from panelkit.operators.linalg import gram, pivoted_solve, rowmatrix_gram
@@ -159,68 +159,61 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
     base = base.na.drop(how="any", subset=["_u", "_t", "_w", *vn, *extra]).filter(F.col("_w") > 0)
 
     t0 = [time.time()]
-    periods = [r[0] for r in base.select("_t").distinct().orderBy("_t").collect()]
-    _tick("periods", t0)
-    T = len(periods)
-    if T > MAX_PERIODS:
-        raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}; absorb the period effect in stages")
-    ptab = spark.createDataFrame([(p, i) for i, p in enumerate(periods)],
-                                 base.select("_t").schema.add("_ti", IntegerType()))
-    # the period table has one row per distinct period (checked above): broadcast is bounded
-    base = base.join(F.broadcast(ptab), "_t")
-
+    # unit-demeaned columns: whole-partition windows over the unit key (one exchange)
+    nv = len(vn)
     wu = Window.partitionBy("_u")
     unit_df = base.withColumn("_wsum", F.sum("_w").over(wu)).withColumns(
         {f"_d{i}": F.col(v) - F.sum(F.col("_w") * F.col(v)).over(wu) / F.col("_wsum") for i, v in enumerate(vn)})
     unit_df = unit_df.persist(StorageLevel.MEMORY_AND_DISK)
 
-    # per-period sums, a few columns per aggregate so generated code stays small
-    nv = len(vn)
-    d = np.zeros(T)
-    B = np.zeros((T, nv))
-    n = 0
-    sw = swy = swyy = 0.0
+    # per-period sums grouped by the period itself (this also yields the period list);
+    # a bounded number of value columns per aggregate keeps generated code small
+    per: dict = {}
     for lo in range(0, nv, AGG_CHUNK):
         idx = list(range(lo, min(nv, lo + AGG_CHUNK)))
-        extra_aggs = []
-        if lo == 0:
-            extra_aggs = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
-                          F.sum(F.col("_w") * F.col("_v0")).alias("wy"),
-                          F.sum(F.col("_w") * F.col("_v0") * F.col("_v0")).alias("wyy")]
-        rows = unit_df.groupBy("_ti").agg(*extra_aggs, *[F.sum(F.col("_w") * F.col(f"_d{i}")).alias(f"b{i}")
-                                                          for i in idx]).collect()
-        for r in rows:
-            i = r["_ti"]
-            if lo == 0:
-                d[i] = r["d"]
-                n += r["n"]
-                sw += r["d"]
-                swy += r["wy"]
-                swyy += r["wyy"]
-            for j in idx:
-                B[i, j] = r[f"b{j}"]
+        head = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
+                F.sum(F.col("_w") * F.col("_v0")).alias("wy"),
+                F.sum(F.col("_w") * F.col("_v0") * F.col("_v0")).alias("wyy")] if lo == 0 else []
+        for r in unit_df.groupBy("_t").agg(*head, *[F.sum(F.col("_w") * F.col(f"_d{i}")).alias(f"b{i}")
+                                                    for i in idx]).collect():
+            per.setdefault(r["_t"], {}).update(r.asDict())
     _tick("per-period sums", t0)
-
-    # a_i[t] = w_it / sqrt(W_i): one dense T-vector per unit (cells of a unit are
-    # first summed, so repeated (unit, period) rows are also handled)
-    cells = unit_df.groupBy("_u", "_ti").agg(F.sum("_w").alias("_wc"), F.first("_wsum").alias("_wsum"))
+    periods = sorted(per)
+    T = len(periods)
+    if T > MAX_PERIODS:
+        raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}; absorb the period effect in stages")
+    d = np.array([per[p]["d"] for p in periods], dtype=float)
+    B = np.array([[per[p][f"b{j}"] for j in range(nv)] for p in periods], dtype=float).reshape(T, nv)
+    n = int(sum(per[p]["n"] for p in periods))
+    sw = float(d.sum())
+    swy = float(sum(per[p]["wy"] for p in periods))
+    swyy = float(sum(per[p]["wyy"] for p in periods))
+
+    # a_i[t] = w_it / sqrt(W_i): one dense T-vector per unit; the period index comes
+    # from a literal array of the (checked, bounded) period list, so no join is needed
+    tidx = (F.array_position(F.array(*[F.lit(p) for p in periods]), F.col("_t")) - 1).cast("int")
+    cells = unit_df.groupBy("_u", "_t").agg(F.sum("_w").alias("_wc"), F.first("_wsum").alias("_wsum")) \
+                   .withColumn("_ti", tidx)
     per_unit = cells.groupBy("_u").agg(F.map_from_entries(F.collect_list(F.struct("_ti", "_wc"))).alias("m"),
                                        F.first("_wsum").alias("W"))
     vec = per_unit.select(F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
                                       lambda j: F.coalesce(F.element_at(F.col("m"), j), F.lit(0.0))
                                       / F.sqrt(F.col("W"))).alias("a"))
-    A = rowmatrix_gram(vec, "a") if T > 1 else np.array([[d[0]]])
+    A = rowmatrix_gram(vec, "a", ncols=T) if T > 1 else np.array([[d[0]]])
     _tick("period matrix", t0)
     M = np.diag(d) - A
     gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
     deficit = max(0, (T - 1) - int(rank))
 
-    gtab = spark.createDataFrame([(i, *[float(x) for x in gamma[i]]) for i in range(T)],
-                                 "_ti int, " + ", ".join(f"_g{j} double" for j in range(len(vn))))
-    dm = unit_df.join(F.broadcast(gtab), "_ti")
-    dm = dm.select("_u", "_w", *extra, *[
+    # the gamma table has one row per period (bounded, checked): broadcast
+    gschema = base.select("_t").schema
+    for j in range(nv):
+        gschema = gschema.add(f"_g{j}", DoubleType())
+    gtab = spark.createDataFrame([(p, *[float(x) for x in gamma[i]]) for i, p in enumerate(periods)], gschema)
+    # the broadcast join keeps the unit partitioning, so this window needs no exchange
+    dm = unit_df.join(F.broadcast(gtab), "_t").select("_u", "_w", *extra, *[
         (F.col(f"_d{j}") - F.col(f"_g{j}") + F.sum(F.col("_w") * F.col(f"_g{j}")).over(wu) / F.col("_wsum"))
-        .alias(f"_x{j}") for j in range(len(vn))])
+        .alias(f"_x{j}") for j in range(nv)])
     _tick("gamma table", t0)
     info = {"T": T, "n": n, "sum_w": sw, "tss": swyy - swy * swy / sw if sw > 0 else 0.0,
             "fe_rank_deficit": deficit, "_persisted": unit_df}

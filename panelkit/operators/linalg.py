@@ -28,10 +28,10 @@ def gram(df: DataFrame, cols: Sequence[str], weight: Column | None = None) -> np
                 v = row[f"g{a}_{b}"]
                 G[a, b] = G[b, a] = 0.0 if v is None else v
         return G
-    return rowmatrix_gram(df.select(F.array(*[F.sqrt(w) * F.col(c) for c in cols]).alias("v")), "v")
+    return rowmatrix_gram(df.select(F.array(*[F.sqrt(w) * F.col(c) for c in cols]).alias("v")), "v", ncols=k)
 
 
-def rowmatrix_gram(df: DataFrame, array_col: str) -> np.ndarray:
+def rowmatrix_gram(df: DataFrame, array_col: str, ncols: int | None = None) -> np.ndarray:
     """Gram of an array<double> column via MLlib RowMatrix (tree aggregation of
     per-partition dense accumulators; rows are never paired or shuffled)."""
     from pyspark.ml.functions import array_to_vector
@@ -40,7 +40,8 @@ def rowmatrix_gram(df: DataFrame, array_col: str) -> np.ndarray:
 
     vec = df.select(array_to_vector(F.col(array_col)).alias("v"))
     vec = MLUtils.convertVectorColumnsFromML(vec, "v")
-    return RowMatrix(vec).computeGramianMatrix().toArray()
+    # passing the width avoids an extra job that would compute it from the first row
+    return RowMatrix(vec, 0, ncols or 0).computeGramianMatrix().toArray()
 
 
 def pivoted_solve(G: np.ndarray, rhs: np.ndarray, tol: float = 1e-10):

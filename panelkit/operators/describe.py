@@ -106,10 +106,14 @@ def summary_stats(long: DataFrame, groups: Sequence[str], x: str = "value",
     """A1/A2: mean, sd, N, P10, P90 ignoring missing values, per group of a long table."""
     groups = list(groups)
     base = long.filter(F.col(x).isNotNull())
-    moments = base.groupBy(*groups).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-                                        F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(base, groups, x, {"p10": p_lo, "p90": p_hi}, method)
-    return moments.join(q, groups, "left") if groups else moments.crossJoin(q)
+    keys = groups or ["_all"]          # a constant key keeps the global case an equi-join
+    if not groups:
+        base = base.withColumn("_all", F.lit(1))
+    moments = base.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
+                                      F.count(F.lit(1)).alias("n"))
+    q = exact_quantiles(base, keys, x, {"p10": p_lo, "p90": p_hi}, method)
+    out = moments.join(q, keys, "left")
+    return out if groups else out.drop("_all")
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "variable",
@@ -191,11 +195,11 @@ def weighted_mean_by(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
 def balance_report(df: DataFrame, u: str, t: str) -> DataFrame:
     """Rows, units, min / max / median periods per unit (two-level aggregate;
     the median over units uses the exact sort-based quantile)."""
-    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods"))
-    top = per_unit.agg(F.sum("n_periods").alias("n_rows"), F.count(F.lit(1)).alias("n_units"),
-                       F.min("n_periods").alias("min_periods"), F.max("n_periods").alias("max_periods"))
-    med = exact_quantiles(per_unit, [], "n_periods", {"median_periods": 0.5})
-    return top.crossJoin(med)
+    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods")).withColumn("_all", F.lit(1))
+    top = per_unit.groupBy("_all").agg(F.sum("n_periods").alias("n_rows"), F.count(F.lit(1)).alias("n_units"),
+                                       F.min("n_periods").alias("min_periods"), F.max("n_periods").alias("max_periods"))
+    med = exact_quantiles(per_unit, ["_all"], "n_periods", {"median_periods": 0.5})
+    return top.join(med, "_all").drop("_all")
 
 
 def any_flag(cond: Column) -> Column:

@@ -362,3 +362,16 @@ SELECT CAST(unnest(range((SELECT min(t) FROM p2), (SELECT max(t) FROM p2) + 1))
 def q_period_range(spark, sf_dir):
     """every period from the panel's first to last."""
     return S.period_range(customer_year(spark, sf_dir), "t").select(F.col("t").cast("int").alias("t"))
+
+
+@register("cell_stars")
+def q_cell_stars(spark, sf_dir):
+    """Two-sided normal p-values of the ATT(g,t) cells (a bounded, driver-side
+    table) and their significance stars as a Spark expression."""
+    from panelkit.functions.dist import p_normal
+    res = att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w")
+    rows = [(c["g"], c["t"], c["att"], c["se"], p_normal(c["att"] / c["se"]) if c["se"] else None)
+            for c in res.cells if c["att"] is not None]
+    df = spark.createDataFrame(rows, "g int, t int, att double, se double, p_value double")
+    return df.withColumn("stars", S.stars("p_value")) \
+             .withColumn("label", F.concat(S.fmt_num("att", "%.2f"), F.col("stars")))

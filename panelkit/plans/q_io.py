@@ -88,3 +88,23 @@ def report_tsv_roundtrip(spark, sf_dir):
     path = _scratch(spark, "prevalence_tsv")
     write_tsv(_prev(spark, sf_dir), path)
     return read_csv(spark, path, "year int, n_units long, n_treated long, n_busy long", sep="\t")
+
+
+@register("panel_load_schema", """
+SELECT o_custkey AS unit, CAST(year(o_orderdate) AS INTEGER) AS t, count(*) AS n_orders
+FROM orders GROUP BY 1, 2""")
+def panel_load_schema(spark, sf_dir):
+    """Load a table with a fixed schema (no inference; only the declared
+    columns are read) and key it by (unit, period)."""
+    from pyspark.sql.types import LongType, StructField, StructType
+    from panelkit.sources.io import load_panel
+    ts_type = read_orders_ts_type(spark, sf_dir)
+    schema = StructType([StructField("o_custkey", LongType()), StructField("o_orderdate", ts_type)])
+    df = load_panel(spark, os.path.join(sf_dir, "orders.parquet"), schema)
+    return df.groupBy(F.col("o_custkey").alias("unit"), F.year("o_orderdate").cast("int").alias("t")) \
+             .agg(F.count(F.lit(1)).alias("n_orders"))
+
+
+def read_orders_ts_type(spark, sf_dir):
+    """The timestamp flavour stored in the file (with or without time zone)."""
+    return spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).schema["o_orderdate"].dataType

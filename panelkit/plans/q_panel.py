@@ -417,3 +417,14 @@ SELECT p1.unit, p1.t, round(p1.y_qty - b.y_base, 6) + 0.0 AS dy FROM p1 JOIN b O
 def q_long_diff(spark, sf_dir):
     p = supplier_quarter(spark, sf_dir)
     return long_diff(p, "unit", "t", "y_qty", F.col("g") - 1).select("unit", "t", rnd("dy").alias("dy"))
+
+
+@register("check_no_post", with_ctes(SQL_P2) + """,
+h AS (SELECT unit, max(CASE WHEN t >= g AND (y_cnt IS NOT NULL OR y_val IS NOT NULL) THEN 1 END) AS has_post
+      FROM p2g WHERE g IS NOT NULL GROUP BY unit)
+SELECT CAST(has_post AS VARCHAR) AS value, count(*) AS freq FROM h GROUP BY has_post""")
+def q_check_no_post(spark, sf_dir):
+    """Report (tabulate, missing included) whether each adopter has any observed
+    outcome from adoption on, without applying the rule."""
+    h = P.check_no_post(customer_year(spark, sf_dir, grid=True), "unit", "t", "g", ["y_cnt", "y_val"])
+    return h.groupBy(F.col("has_post").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("freq"))

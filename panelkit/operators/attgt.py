@@ -31,7 +31,7 @@ from panelkit.operators.joins import MAX_COHORTS
 from panelkit.operators.panel import over_unit
 
 CELL_SCHEMA = "g int, t int, att double, se double, n_treated long, n_control long"
-MAX_TARGET_ROWS = 2_000_000  # cells x targets; bounded by periods^3
+MAX_TARGET_ROWS = 200_000  # (cell, target) rows, broadcast; each cell is in <= 2 targets
 
 
 @dataclass

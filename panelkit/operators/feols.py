@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from panelkit.functions.dist import p_normal, p_t
-from panelkit.operators.linalg import gram, pivoted_solve, rowmatrix_gram
+from panelkit.operators.linalg import SQL_GRAM_MAX, gram, pivoted_solve, rowmatrix_gram
 
 import os
 import time
@@ -284,8 +284,16 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
         aggs.append(F.sum(F.col("_w") * e * e).alias(f"_ssr{m}"))
         aggs += [F.sum(F.col("_w") * F.col(f"_x{xi[j]}") * e).alias(f"_s{m}_{i}") for i, j in enumerate(kept)]
     unit_level = dme.groupBy("_u", *extra).agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
+    # narrow models: the cluster meat (sum of score outer products) rides in the same aggregate
+    inline_meat = cl == unit and all(len(sv[5]) <= SQL_GRAM_MAX for sv in solved)
+    meat_aggs = []
+    if inline_meat:
+        for m, sv in enumerate(solved):
+            kk_m = len(sv[5])
+            meat_aggs += [F.sum(F.col(f"_s{m}_{a}") * F.col(f"_s{m}_{b}")).alias(f"_mt{m}_{a}_{b}")
+                          for a in range(kk_m) for b in range(a, kk_m)]
     tot = unit_level.agg(F.count(F.lit(1)).alias("N"),
-                         *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))]).first()
+                         *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))], *meat_aggs).first()
     _tick("scores", t0)
     n_units = tot["N"]
     if cl is None:
@@ -312,7 +320,13 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
             if vcov == "iid":
                 Vk = ssr / (n - K) * inv
             else:
-                meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
+                if inline_meat:
+                    meat = np.zeros((kk, kk))
+                    for a in range(kk):
+                        for b in range(a, kk):
+                            meat[a, b] = meat[b, a] = tot[f"_mt{m}_{a}_{b}"] or 0.0
+                else:
+                    meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
                 Gc = n_clusters
                 c = (Gc / (Gc - 1)) * ((n - 1) / (n - K))
                 Vk = c * inv @ meat @ inv

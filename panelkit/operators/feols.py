@@ -120,7 +120,7 @@ class Fit:
 
     @property
     def r2(self) -> float:
-        return 1.0 - self.ssr / self.tss if self.tss > 0 else float("nan")
+        return float(1.0 - self.ssr / self.tss) if self.tss > 0 else float("nan")
 
     @property
     def r2_within(self) -> float:
@@ -353,38 +353,50 @@ def wls(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None,
         intercept: bool = True) -> Fit:
     """Weighted least squares without absorbed effects, iid vcov with
     analytic weights (scale-free).  Used by the stage-2 regression."""
+    return wls_multi(df, [(y, list(xs))], weight, intercept)[0]
+
+
+def wls_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], weight: str | None = None,
+              intercept: bool = True) -> list[Fit]:
+    """Several weighted least-squares models on one table from ONE Gram aggregate."""
     with wide_plan_conf(df.sparkSession):
-        return _wls(df, y, xs, weight, intercept)
+        return _wls_multi(df, specs, weight, intercept)
 
 
-def _wls(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None,
-         intercept: bool = True) -> Fit:
-    xs = list(xs)
+def _wls_multi(df: DataFrame, specs, weight, intercept) -> list[Fit]:
+    cols: list[str] = []
+    for y, xs in specs:
+        for c in [y, *xs]:
+            if c not in cols:
+                cols.append(c)
+    idx = {c: i for i, c in enumerate(cols)}
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cols = [y, *xs]
     base = df.select(w.alias("_w"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
     base = base.na.drop(how="any").filter(F.col("_w") > 0)
-    if intercept:
-        base = base.withColumn(f"_x{len(cols)}", F.lit(1.0))
-        xs = xs + ["const"]
-    k = len(xs)
-    xcols = [f"_x{i}" for i in range(k + 1)]
-    tot = base.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("sw"),
-                   F.sum(F.col("_w") * F.col("_x0")).alias("swy"),
-                   F.sum(F.col("_w") * F.col("_x0") ** 2).alias("swyy")).first()
-    G = gram(base, xcols, F.col("_w"))
-    beta, keep, inv = pivoted_solve(G[1:, 1:], G[1:, 0])
-    kept = [j for j in range(k) if keep[j]]
-    bk = beta[kept]
-    ssr = float(G[0, 0] - 2 * bk @ G[1:, 0][kept] + bk @ G[1:, 1:][np.ix_(kept, kept)] @ bk)
-    n = tot["n"]
-    K = len(kept)
-    V = np.full((k, k), np.nan)
-    V[np.ix_(kept, kept)] = ssr / (n - K) * inv
-    tss = tot["swyy"] - tot["swy"] ** 2 / tot["sw"]
-    return Fit(terms=xs, beta=beta, vcov=V, n=n, n_units=n, n_periods=1, n_clusters=None, K=K,
-               df_t=n - K, ssr=ssr, tss=tss, tss_within=tss, sum_w=tot["sw"], vcov_type="iid",
-               omitted=[xs[j] for j in range(k) if not keep[j]])
+    ci = len(cols)
+    base = base.withColumn(f"_x{ci}", F.lit(1.0))
+    G = gram(base, [f"_x{i}" for i in range(ci + 1)], F.col("_w"))
+    tot = base.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("sw")).first()
+    n, sw = tot["n"], tot["sw"]
+    fits = []
+    for y, xs in specs:
+        xs = list(xs) + (["const"] if intercept else [])
+        xi = [idx[x] for x in xs if x != "const"] + ([ci] if intercept else [])
+        yi = idx[y]
+        beta, keep, inv = pivoted_solve(G[np.ix_(xi, xi)], G[xi, yi])
+        kept = [j for j in range(len(xs)) if keep[j]]
+        bk = beta[kept]
+        Gk = G[np.ix_(xi, xi)][np.ix_(kept, kept)]
+        ssr = float(G[yi, yi] - 2 * bk @ G[xi, yi][kept] + bk @ Gk @ bk)
+        K = len(kept)
+        V = np.full((len(xs), len(xs)), np.nan)
+        V[np.ix_(kept, kept)] = ssr / (n - K) * inv
+        wy, wyy = float(G[yi, ci]), float(G[yi, yi])   # sum w y, sum w y^2 (constant column is 1)
+        tss = wyy - wy * wy / sw
+        fits.append(Fit(terms=xs, beta=beta, vcov=V, n=n, n_units=n, n_periods=1, n_clusters=None, K=K,
+                        df_t=n - K, ssr=ssr, tss=tss, tss_within=tss, sum_w=sw, vcov_type="iid",
+                        omitted=[xs[j] for j in range(len(xs)) if not keep[j]]))
+    return fits
 
 
 def coef_series(fit: Fit, taus: Sequence[int], terms: Sequence[str], z: float = 1.96) -> list[tuple]:

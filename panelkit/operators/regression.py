@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators import panel as P
-from panelkit.operators.feols import coef_series, feols, wls
+from panelkit.operators.feols import coef_series, feols, wls_multi
 from panelkit.sources.io import load_stage, save_stage
 
 SERIES_SCHEMA = "tau int, estimate double, se double, ci_low double, ci_high double"
@@ -80,11 +80,10 @@ def stage2(sigmas: DataFrame, persist_name: str | None = None) -> DataFrame:
     s = s.withColumn("post_trend", (F.col("post") * F.col("tau") + F.col("post")).cast("int"))
     models = {"2a": ["post"], "2b": ["post", "tau"], "2c": ["post", "tau", "post_trend"]}
     rows = []
-    fit2c = None
-    for name, xs in models.items():
-        fit = wls(s, "taub", xs, weight="wt")
+    fits = wls_multi(s, [("taub", xs) for xs in models.values()], weight="wt")
+    for name, fit in zip(models, fits):
         rows += [(name, *r, fit.n, fit.r2) for r in fit.rows()]
-        fit2c = fit
+    fit2c = fits[-1]
     lc = fit2c.lincom({"post": 1.0, "post_trend": 5.0})
     rows.append(("2c", "post + 5*post_trend", lc["estimate"], lc["se"], lc["t"], lc["p"], fit2c.n, fit2c.r2))
     return spark.createDataFrame(rows, STAGE2_SCHEMA)

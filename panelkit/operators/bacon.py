@@ -98,6 +98,25 @@ def bacon(df: DataFrame, y: str, d: str, u: str, t: str) -> DataFrame:
     return est.select("treated", "control", "type", "estimate", "weight")
 
 
+def bacon_balanced(df: DataFrame, y: str, d: str, u: str, t: str, min_units: int = 3) -> DataFrame:
+    """D1 + D2: the decomposition needs a strongly balanced panel; when the panel is
+    not balanced, fall back to the units observed in every period (at least
+    ``min_units`` of them), else return an empty, typed result."""
+    spark = df.sparkSession
+    p = df.filter(F.col(y).isNotNull())
+    chk = p.groupBy(u).agg(F.count(F.lit(1)).alias("n")) \
+           .agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    span = p.agg(F.min(t).alias("a"), F.max(t).alias("b")).first()
+    if chk["lo"] is None:
+        return spark.createDataFrame([], BACON_SCHEMA)
+    full = span["b"] - span["a"] + 1
+    if not (chk["lo"] == chk["hi"] == full):
+        p = balanced_subset(p, u, t, y, min_units=min_units)
+        if p.limit(1).count() == 0:
+            return spark.createDataFrame([], BACON_SCHEMA)
+    return bacon(p, y, d, u, t)
+
+
 def bacon_total(pairs: DataFrame) -> DataFrame:
     """D3: decomposition total (= the static TWFE coefficient) and pair count."""
     return pairs.agg(F.sum(F.col("estimate") * F.col("weight")).alias("total"),

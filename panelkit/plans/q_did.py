@@ -375,3 +375,15 @@ def q_cell_stars(spark, sf_dir):
     df = spark.createDataFrame(rows, "g int, t int, att double, se double, p_value double")
     return df.withColumn("stars", S.stars("p_value")) \
              .withColumn("label", F.concat(S.fmt_num("att", "%.2f"), F.col("stars")))
+
+
+@register("bacon_fallback", with_ctes(SQL_P2) + """,
+bal AS (SELECT * FROM p2 WHERE unit IN (SELECT unit FROM p2 GROUP BY unit
+                                        HAVING count(*) = (SELECT max(t) - min(t) + 1 FROM p2))),
+""" + _bacon_sql("base AS (SELECT unit, t, y_cnt AS y, min(CASE WHEN t >= g THEN t END) OVER (PARTITION BY unit) AS g FROM bal)") + """
+SELECT treated, control, type, round(estimate, 6) + 0.0 AS estimate, round(weight, 6) + 0.0 AS weight FROM est""")
+def q_bacon_fallback(spark, sf_dir):
+    """Decomposition on the unbalanced customer-year panel: falls back to the
+    units observed in every year (as the reference's error path does)."""
+    p = customer_year(spark, sf_dir).withColumn("d", F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int"))
+    return _pairs_out(B.bacon_balanced(p, "y_cnt", "d", "unit", "t"))

@@ -108,14 +108,17 @@ def summary_stats(long: DataFrame, groups: Sequence[str], x: str = "value",
     """A1/A2: mean, sd, N, P10, P90 ignoring missing values, per group of a long table."""
     groups = list(groups)
     base = long.filter(F.col(x).isNotNull())
-    keys = groups or ["_all"]          # a constant key keeps the global case an equi-join
-    if not groups:
-        base = base.withColumn("_all", F.lit(1))
-    moments = base.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-                                      F.count(F.lit(1)).alias("n"))
-    q = exact_quantiles(base, keys, x, {"p10": p_lo, "p90": p_hi}, method)
-    out = moments.join(q, keys, "left")
-    return out if groups else out.drop("_all")
+    stats = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count(F.lit(1)).alias("n")]
+    probs = {"p10": p_lo, "p90": p_hi}
+    if groups:
+        moments = base.groupBy(*groups).agg(*stats)
+        return moments.join(exact_quantiles(base, groups, x, probs, method), groups, "left")
+    # global: two one-row results, combined as scalars on the driver (no join needed)
+    m = base.agg(*stats).first()
+    q = exact_quantiles(base, [], x, probs, method).first()
+    return long.sparkSession.createDataFrame(
+        [(m["mean"], m["sd"], m["n"], q["p10"] if q else None, q["p90"] if q else None)],
+        "mean double, sd double, n long, p10 double, p90 double")
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "variable",
@@ -164,19 +167,38 @@ def cohort_sizes(df: DataFrame, u: str, g: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n_units"))
 
 
+def running_total(df: DataFrame, order_col: str, val: str, out: str = "running") -> DataFrame:
+    """Running sum of ``val`` in ``order_col`` order (NULLs last) without a
+    single-partition window: range-partitioned sort, a window per sorted
+    partition, plus the totals of all earlier partitions (one small table)."""
+    spark = df.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(order_col).asc_nulls_last()
+    ranged = (df.repartitionByRange(nparts, key).sortWithinPartitions(key)
+                .withColumn("_pid", F.spark_partition_id()))
+    ranged = ranged.persist()
+    parts = ranged.groupBy("_pid").agg(F.sum(val).alias("_ps"))
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_ps").over(
+        Window.partitionBy(F.lit(1)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.sum(val).over(Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    # one row per partition of the data: bounded by configuration
+    return ranged.withColumn("_w", within).join(F.broadcast(parts.select("_pid", "_off")), "_pid") \
+                 .withColumn(out, F.col("_off") + F.col("_w")).drop("_pid", "_w", "_off")
+
+
 def tabulate(df: DataFrame, col: str, where: Column | None = None, missing: bool = False) -> DataFrame:
     """Stata ``tab``: freq, percent, cumulative percent and a Total row.
-    The frequency table has one row per distinct value, so its running sum
-    is a small single-window step."""
+    The cumulative sum over the frequency table uses ``running_total``, so a
+    high-cardinality column never lands in one task."""
     d = df if where is None else df.filter(where)
     if not missing:
         d = d.filter(F.col(col).isNotNull())
     freq = d.groupBy(col).agg(F.count(F.lit(1)).alias("freq"))
-    tot = F.sum("freq").over(Window.partitionBy(F.lit(1)))
-    run = F.sum("freq").over(Window.partitionBy(F.lit(1)).orderBy(F.col(col).asc_nulls_last())
-                             .rowsBetween(Window.unboundedPreceding, 0))
-    body = freq.select(F.col(col).cast("string").alias("value"), "freq",
-                       (F.col("freq") * 100.0 / tot).alias("percent"), (run * 100.0 / tot).alias("cum_percent"))
+    total_n = freq.agg(F.sum("freq")).first()[0] or 0     # one scalar through the driver
+    withcum = running_total(freq, col, "freq", "_run")
+    body = withcum.select(F.col(col).cast("string").alias("value"), "freq",
+                          (F.col("freq") * 100.0 / F.lit(total_n)).alias("percent"),
+                          (F.col("_run") * 100.0 / F.lit(total_n)).alias("cum_percent"))
     total = freq.agg(F.lit("Total").alias("value"), F.sum("freq").alias("freq"),
                      F.lit(100.0).alias("percent"), F.lit(None).cast("double").alias("cum_percent"))
     return body.unionByName(total)
@@ -197,11 +219,14 @@ def weighted_mean_by(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
 def balance_report(df: DataFrame, u: str, t: str) -> DataFrame:
     """Rows, units, min / max / median periods per unit (two-level aggregate;
     the median over units uses the exact sort-based quantile)."""
-    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods")).withColumn("_all", F.lit(1))
-    top = per_unit.groupBy("_all").agg(F.sum("n_periods").alias("n_rows"), F.count(F.lit(1)).alias("n_units"),
-                                       F.min("n_periods").alias("min_periods"), F.max("n_periods").alias("max_periods"))
-    med = exact_quantiles(per_unit, ["_all"], "n_periods", {"median_periods": 0.5})
-    return top.join(med, "_all").drop("_all")
+    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods")).persist()
+    top = per_unit.agg(F.sum("n_periods").alias("n_rows"), F.count(F.lit(1)).alias("n_units"),
+                       F.min("n_periods").alias("min_periods"), F.max("n_periods").alias("max_periods")).first()
+    med = exact_quantiles(per_unit, [], "n_periods", {"median_periods": 0.5}).first()
+    # two one-row results combined as scalars on the driver
+    return df.sparkSession.createDataFrame(
+        [(top["n_rows"], top["n_units"], top["min_periods"], top["max_periods"], med["median_periods"] if med else None)],
+        "n_rows long, n_units long, min_periods long, max_periods long, median_periods double")
 
 
 def any_flag(cond: Column) -> Column:
@@ -250,10 +275,10 @@ def unit_max(col: str, u) -> Column:
 
 
 def cum_pct(freq: DataFrame, order_col: str, n: str = "freq") -> DataFrame:
-    """Running cumulative percent over a small frequency table."""
-    w = Window.partitionBy(F.lit(1))
-    return freq.withColumn("cum_percent", F.sum(n).over(w.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
-                           * 100.0 / F.sum(n).over(w))
+    """Running cumulative percent (distributed running total, see ``running_total``)."""
+    tot = freq.agg(F.sum(n)).first()[0] or 0              # one scalar through the driver
+    r = running_total(freq, order_col, n, "_run")
+    return r.withColumn("cum_percent", F.col("_run") * 100.0 / F.lit(tot)).drop("_run")
 
 
 def bind_rows(*dfs: DataFrame) -> DataFrame:

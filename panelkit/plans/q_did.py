@@ -230,11 +230,39 @@ def q_aggte_simple(spark, sf_dir):
     return a.select("target", rnd("att").alias("att"), rnd("se").alias("se"))
 
 
-@register("aggte_dynamic")
+_DYN_SQL = """,
+pgt AS (SELECT G, sum(w / (SELECT mw FROM nu)) / (SELECT n FROM nu) AS pg FROM pan2
+        WHERE t = (SELECT lo FROM per) AND G IS NOT NULL GROUP BY G),
+keep AS (SELECT cell.*, pgt.pg, CAST(cell.t - cell.g AS INTEGER) AS e FROM cell JOIN pgt ON pgt.G = cell.g
+         WHERE cell.att IS NOT NULL AND cell.t - cell.g BETWEEN -7 AND 9),
+tot AS (SELECT e, sum(pg) AS pp, sum(att * pg) AS aw FROM keep GROUP BY e),
+om AS (SELECT keep.*, keep.pg / tot.pp AS om, tot.pp, tot.aw FROM keep JOIN tot ON tot.e = keep.e),
+ps AS (
+  SELECT r.unit, o.e, sum(o.om * (SELECT n FROM nu) * CASE WHEN r.role = 'tr' THEN r.w * (r.dy - o.m_tr) / o.s0_tr
+                                                       ELSE -r.w * (r.dy - o.m_co) / o.s0_co END) AS psi
+  FROM roles r JOIN om o ON o.g = r.k AND o.t = r.t WHERE r.role IS NOT NULL AND r.dy IS NOT NULL
+  GROUP BY r.unit, o.e),
+wg AS (SELECT e, g AS G, sum(att) / max(pp) AS a, count(*) * max(aw) / pow(max(pp), 2) AS b FROM om GROUP BY e, g),
+un AS (SELECT unit, G, w / (SELECT mw FROM nu) AS w FROM pan2 WHERE t = (SELECT lo FROM per)),
+ue AS (SELECT un.unit, un.G, un.w, tot.e FROM un JOIN tot ON true),
+ifs AS (SELECT ue.unit, ue.e, coalesce(ps.psi, 0) + ue.w * (coalesce(wg.a, 0) - coalesce(wg.b, 0)) AS inf
+        FROM ue LEFT JOIN ps ON ps.unit = ue.unit AND ps.e = ue.e LEFT JOIN wg ON wg.e = ue.e AND wg.G = ue.G),
+se_e AS (SELECT e, sqrt(sum(inf * inf)) / (SELECT n FROM nu) AS se FROM ifs GROUP BY e),
+ov AS (SELECT unit, sum(inf) / (SELECT count(*) FROM tot WHERE e >= 0) AS x FROM ifs WHERE e >= 0 GROUP BY unit)
+SELECT 'e' || CAST(tot.e AS VARCHAR) AS target, tot.e AS e, round(tot.aw / tot.pp, 6) + 0.0 AS att,
+       round(se_e.se, 6) + 0.0 AS se
+FROM tot JOIN se_e ON se_e.e = tot.e
+UNION ALL
+SELECT 'overall', CAST(NULL AS INTEGER), round((SELECT avg(aw / pp) FROM tot WHERE e >= 0), 6) + 0.0,
+       round(sqrt(sum(x * x)) / (SELECT n FROM nu), 6) + 0.0 FROM ov"""
+
+
+@register("aggte_dynamic", _att_sql(_P1_ATT_WQ, "never") + _DYN_SQL)
 def q_aggte_dynamic(spark, sf_dir):
-    """Event-time aggregation for e in [-7, 9] and the overall mean over e >= 0."""
+    """Event-time aggregation for e in [-7, 9] and the overall mean over e >= 0,
+    each with its influence-function se."""
     a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
-    return a
+    return a.select("target", "e", rnd("att").alias("att"), rnd("se").alias("se"))
 
 
 @register("att_boot_se")

@@ -100,7 +100,7 @@ f AS (SELECT CAST(t AS VARCHAR) AS value, t AS k, count(*) AS freq FROM src GROU
 SELECT value, freq, round(freq * 100.0 / sum(freq) OVER (), 6) + 0.0 AS percent,
        round(sum(freq) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100.0 / sum(freq) OVER (), 6) + 0.0 AS cum_percent
 FROM f
-UNION ALL SELECT 'Total', sum(freq), 100.0, NULL FROM f"""
+UNION ALL SELECT 'Total', CAST(sum(freq) AS BIGINT), 100.0, NULL FROM f"""
 
 
 def _tab(df, col, where=None):
@@ -142,7 +142,7 @@ def q_tau_grid(spark, sf_dir):
 
 @register("balance_report", with_ctes(SQL_P2) + """,
 u AS (SELECT unit, count(*) AS n_periods FROM p2 GROUP BY unit)
-SELECT sum(n_periods) AS n_rows, count(*) AS n_units, min(n_periods) AS min_periods, max(n_periods) AS max_periods,
+SELECT CAST(sum(n_periods) AS BIGINT) AS n_rows, count(*) AS n_units, min(n_periods) AS min_periods, max(n_periods) AS max_periods,
        round(quantile_cont(n_periods, 0.5), 6) + 0.0 AS median_periods FROM u""")
 def q_balance_report(spark, sf_dir):
     b = D.balance_report(customer_year(spark, sf_dir), "unit", "t")

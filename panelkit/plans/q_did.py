@@ -349,7 +349,7 @@ def q_compare_table(spark, sf_dir):
     """Per outcome, the TWFE 5-period trend-break effect (p with the reference's
     df = n - k) next to the simple group-time ATT (normal p), formatted."""
     from panelkit.plans.q_regression import _p1r
-    p = _p1r(spark, sf_dir)
+    p = _p1r(spark, sf_dir).persist()      # three estimations read the same prepared panel
     rows = []
     fits = feols_multi(p, [(y, ["post", "trend", "post_trend"]) for y in ("y_qty", "y_cnt")], "unit", "t",
                        weight="w", df_t="ref")
@@ -357,6 +357,7 @@ def q_compare_table(spark, sf_dir):
         lc = fit.lincom({"post": 1.0, "post_trend": 5.0})
         a = aggte(att_gt(p, y, "unit", "t", "g", "w"), "simple").first()
         rows.append((y, lc["estimate"], lc["se"], lc["p"], a["att"], a["se"]))
+    p.unpersist()
     return comparison_table(spark, rows)
 
 

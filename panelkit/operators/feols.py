@@ -30,7 +30,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from panelkit.functions.dist import p_normal, p_t
 from panelkit.operators.linalg import SQL_GRAM_MAX, gram, pivoted_solve, rowmatrix_gram
@@ -414,3 +414,134 @@ def coef_series(fit: Fit, taus: Sequence[int], terms: Sequence[str], z: float =
 
 def normal_p(est: float, se: float) -> float:
     return p_normal(est / se) if se else float("nan")
+
+
+WIDE_COLS = 24  # above this many columns the array layout is used (narrow plans)
+
+
+def absorb_two_way_wide(df: DataFrame, cols: Sequence[str], unit: str, period: str,
+                        weight: str | None = None, x_array: str | None = None, n_array: int = 0):
+    """Array-layout twin of ``absorb_two_way`` for wide designs (many indicator columns).
+
+    All variables travel in ONE array column, so plan size and generated code do
+    not grow with the number of columns.  Per-unit work (means, corrections) is
+    done on the unit's cells gathered by one groupBy on the unit key (at most
+    one cell per period, so bounded by T); per-period sums explode the arrays
+    and aggregate by (period, column) with partial aggregation.
+    Returns (DataFrame[_u, _w, _x array], info)."""
+    spark = df.sparkSession
+    nv = len(cols) + n_array
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    extra_arr = [F.col(x_array).alias("_xa")] if x_array else []
+    base = df.select(F.col(unit).alias("_u"), F.col(period).alias("_t"), w.alias("_w"),
+                     *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)], *extra_arr)
+    base = base.na.drop(how="any").filter(F.col("_w") > 0)
+    packed = F.array(*[F.col(f"_c{i}") for i in range(len(cols))])
+    if x_array:
+        packed = F.concat(packed, F.col("_xa"))
+    base = base.select("_u", "_t", "_w", packed.alias("_v"))
+    zero = F.array_repeat(F.lit(0.0), nv)
+    # per unit: weight total and weighted means of every column
+    per_unit = base.groupBy("_u").agg(F.collect_list(F.struct("_t", "_w", "_v")).alias("cells"),
+                                      F.sum("_w").alias("W"))
+    mean = F.transform(F.aggregate("cells", zero, lambda acc, c: F.zip_with(acc, c["_v"], lambda a, b: a + c["_w"] * b)),
+                       lambda s: s / F.col("W"))
+    per_unit = per_unit.withColumn("mean", mean).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = per_unit.select("_u", "W", F.explode("cells").alias("c"), "mean") \
+                   .select("_u", "W", F.col("c._t").alias("_t"), F.col("c._w").alias("_w"), F.col("c._v").alias("_v"),
+                           F.zip_with(F.col("c._v"), F.col("mean"), lambda a, m: a - m).alias("_d"))
+    t0 = [time.time()]
+    per_t = rows.groupBy("_t").agg(F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.col("_w") * F.col("_v")[0]).alias("wy"),
+                                   F.sum(F.col("_w") * F.col("_v")[0] * F.col("_v")[0]).alias("wyy")).collect()
+    bt = rows.select("_t", "_w", F.posexplode("_d").alias("j", "dv")) \
+             .groupBy("_t", "j").agg(F.sum(F.col("_w") * F.col("dv")).alias("b")).collect()
+    _tick("per-period sums (wide)", t0)
+    periods = sorted(r["_t"] for r in per_t)
+    T = len(periods)
+    if T > MAX_PERIODS:
+        raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}")
+    pos = {p: i for i, p in enumerate(periods)}
+    d = np.zeros(T)
+    n = 0
+    sw = swy = swyy = 0.0
+    for r in per_t:
+        d[pos[r["_t"]]] = r["d"]
+        n += r["n"]
+        swy += r["wy"]
+        swyy += r["wyy"]
+    sw = float(d.sum())
+    B = np.zeros((T, nv))
+    for r in bt:
+        B[pos[r["_t"]], r["j"]] = r["b"]
+    tidx = (F.array_position(F.array(*[F.lit(p) for p in periods]), F.col("c._t")) - 1).cast("int")
+    vec = per_unit.select(F.map_from_entries(F.transform("cells", lambda c: F.struct(
+        (F.array_position(F.array(*[F.lit(p) for p in periods]), c["_t"]) - 1).cast("int"), c["_w"]))).alias("m"), "W") \
+        .select(F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
+                            lambda j: F.coalesce(F.element_at(F.col("m"), j), F.lit(0.0)) / F.sqrt(F.col("W"))).alias("a"))
+    del tidx
+    A = rowmatrix_gram(vec, "a", ncols=T) if T > 1 else np.array([[d[0]]])
+    _tick("period matrix (wide)", t0)
+    M = np.diag(d) - A
+    gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
+    deficit = max(0, (T - 1) - int(rank))
+    # T rows (bounded, checked): broadcast
+    gschema = base.select("_t").schema.add("_g", ArrayType(DoubleType()))
+    gtab = spark.createDataFrame([(p, [float(x) for x in gamma[i]]) for i, p in enumerate(periods)], gschema)
+    rg = rows.join(F.broadcast(gtab), "_t")
+    corr = rg.groupBy("_u").agg(F.collect_list(F.struct("_w", "_g")).alias("gl"), F.first("W").alias("W")) \
+             .select("_u", F.transform(F.aggregate("gl", zero, lambda acc, c: F.zip_with(
+                 acc, c["_g"], lambda a, b: a + c["_w"] * b)), lambda s: s / F.col("W")).alias("_corr"))
+    dm = rg.join(corr, "_u").select(
+        "_u", "_w", F.zip_with(F.zip_with("_d", "_g", lambda a, b: a - b), "_corr", lambda a, b: a + b).alias("_x"))
+    _tick("gamma table (wide)", t0)
+    info = {"T": T, "n": n, "sum_w": sw, "tss": swyy - swy * swy / sw if sw > 0 else 0.0,
+            "fe_rank_deficit": deficit, "_persisted": per_unit}
+    return dm, info
+
+
+def feols_wide(df: DataFrame, y: str, xs: Sequence[str], unit: str, period: str,
+               weight: str | None = None, x_array: str | None = None,
+               array_terms: Sequence[str] = ()) -> Fit:
+    """R1 for wide designs (cluster by unit, ssc nested) on the array layout.
+    Regressors may also come as one array<double> column ``x_array`` whose
+    elements are named by ``array_terms`` (appended after ``xs``)."""
+    with wide_plan_conf(df.sparkSession):
+        scalar_xs = list(xs)
+        xs = scalar_xs + list(array_terms)
+        k = len(xs)
+        dm, info = absorb_two_way_wide(df, [y, *scalar_xs], unit, period, weight,
+                                       x_array=x_array, n_array=len(array_terms))
+        dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
+        t0 = [time.time()]
+        G = rowmatrix_gram(dm.select(F.transform("_x", lambda v: v * F.sqrt(F.col("_w"))).alias("v")), "v",
+                           ncols=k + 1)
+        _tick("gram (wide)", t0)
+        beta, keep, inv = pivoted_solve(G[1:, 1:], G[1:, 0])
+        kept = [j for j in range(k) if keep[j]]
+        bvec = [0.0] + [0.0 if not keep[j] else float(beta[j]) for j in range(k)]
+        bl = F.array(*[F.lit(b) for b in bvec])
+        e = F.col("_x")[0] - F.aggregate(F.zip_with("_x", bl, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        sc = dm.withColumn("_e", e).select("_u", F.col("_w") * F.col("_e") * F.col("_e").alias("_r"),
+                                           F.transform("_x", lambda v: v * F.col("_w") * F.col("_e")).alias("_s"))
+        sc = sc.toDF("_u", "_r", "_s")
+        zero = F.array_repeat(F.lit(0.0), k + 1)
+        per_u = sc.groupBy("_u").agg(F.sum("_r").alias("ssr"), F.collect_list("_s").alias("sl")) \
+                  .select("ssr", F.aggregate("sl", zero, lambda acc, s: F.zip_with(acc, s, lambda a, b: a + b)).alias("s"))
+        per_u = per_u.persist(StorageLevel.MEMORY_AND_DISK)
+        tot = per_u.agg(F.count(F.lit(1)).alias("N"), F.sum("ssr").alias("ssr")).first()
+        S = rowmatrix_gram(per_u.select("s"), "s", ncols=k + 1)
+        _tick("scores (wide)", t0)
+        meat = S[1:, 1:][np.ix_(kept, kept)]
+        n, T, N = info["n"], info["T"], tot["N"]
+        K = len(kept) + T - 1 - info["fe_rank_deficit"]
+        c = (N / (N - 1)) * ((n - 1) / (n - K))
+        V = np.full((k, k), np.nan)
+        V[np.ix_(kept, kept)] = c * inv @ meat @ inv
+        info["_persisted"].unpersist()
+        per_u.unpersist()
+        dm.unpersist()
+        return Fit(terms=xs, beta=beta, vcov=V, n=n, n_units=N, n_periods=T, n_clusters=N, K=K, df_t=N - 1,
+                   ssr=tot["ssr"], tss=info["tss"], tss_within=float(G[0, 0]), sum_w=info["sum_w"],
+                   vcov_type="cluster", omitted=[xs[j] for j in range(k) if not keep[j]],
+                   fe_rank_deficit=info["fe_rank_deficit"])

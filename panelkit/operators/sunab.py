@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions.dist import p_normal
-from panelkit.operators.feols import Fit, feols
+from panelkit.operators.feols import WIDE_COLS, Fit, feols, feols_wide
 from panelkit.operators.joins import MAX_COHORTS
 
 
@@ -65,10 +65,18 @@ def sunab(df: DataFrame, y: str, g: str, u: str, t: str, w: str | None = None, r
     if len({c[0] for c in cells}) > MAX_COHORTS:
         raise ValueError("too many cohorts")
     terms = [f"_sa{i}" for i in range(len(cells))]
-    d = d.withColumns({term: ((F.col(g) == ge) & (rel == e)).cast("int")
-                       for term, (ge, e, _) in zip(terms, cells)})
-    d = d.fillna(0, subset=terms)
-    fit = feols(d, y, terms, u, t, weight=w, cluster=cluster)
+    if len(terms) > WIDE_COLS and cluster == "unit":
+        # array layout: the indicators are one array built by a higher-order function over
+        # the (bounded) cell list, so the plan does not grow with the number of cells
+        lit_cells = F.array(*[F.struct(F.lit(ge).alias("g"), F.lit(e).alias("e")) for ge, e, _ in cells])
+        gg, rr = F.coalesce(F.col(g), F.lit(-(10 ** 9))), F.coalesce(rel, F.lit(-(10 ** 9)))
+        d = d.withColumn("_sa", F.transform(lit_cells, lambda c: ((c["g"] == gg) & (c["e"] == rr)).cast("double")))
+        fit = feols_wide(d, y, [], u, t, weight=w, x_array="_sa", array_terms=terms)
+    else:
+        d = d.withColumns({term: ((F.col(g) == ge) & (rel == e)).cast("int")
+                           for term, (ge, e, _) in zip(terms, cells)})
+        d = d.fillna(0, subset=terms)
+        fit = feols(d, y, terms, u, t, weight=w, cluster=cluster)
     return SunAb(fit, [(ge, e, term, m) for term, (ge, e, m) in zip(terms, cells)])
 
 

@@ -73,3 +73,14 @@ def test_collinear_column_reported(spark):
     fit = feols(spark.createDataFrame(pdf), "y", ["x1", "x3"], "unit", "t", weight="w")
     assert fit.omitted == ["x3"]
     assert np.isnan(fit.beta[1])
+
+
+def test_array_layout_matches_column_layout(spark):
+    from panelkit.operators.feols import feols_wide
+    pdf = _panel(seed=13)
+    df = spark.createDataFrame(pdf)
+    a = feols(df, "y", ["x1", "x2"], "unit", "t", weight="w")
+    b = feols_wide(df, "y", ["x1", "x2"], "unit", "t", weight="w")
+    assert np.allclose(a.beta, b.beta, atol=1e-10)
+    assert np.allclose(a.vcov, b.vcov, atol=1e-10)
+    assert a.K == b.K and a.n == b.n

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import minhash, quality, substring
+from panelkit.llm import minhash, quality, secrets, substring, urls
 from panelkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (minhash.near_copies(table(spark, sf_dir, "documents"))
             .withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True))))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))

@@ -8,7 +8,7 @@ that kind.  The score is the logistic of the sparse dot product with the weights
 
 Fitting uses a bounded sample of the labelled rows: at most about
 ``sample_rows`` of them, picked by a hash of the id.  ``shards`` tasks run the
-updates on their rows from the same start; after each epoch their states are
+updates on their rows from the same start; after each epoch their changes are
 averaged bucket by bucket, so what reaches the driver is bounded by the number
 of buckets.  Scoring reads every whole text once and shuffles nothing.
 
@@ -86,7 +86,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _learn(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    z, n, rows = z.copy(), n.copy(), 0
+    z0, n0, z, n = z, n, z.copy(), n.copy()
     for batch in batches:
         labels = batch.column("label").to_numpy(zero_copy_only=False)
         for at, words in V.chunks(batch.column("text")):
@@ -96,9 +96,8 @@ def _learn(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray) -> I
                 g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
                 z[j] += g - (np.sqrt(n[j] + g * g) - np.sqrt(n[j])) / ALPHA * w
                 n[j] += g * g
-                rows += 1
-    j = np.flatnonzero(n) if rows else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(z[j]), pa.array(n[j])], ["bucket", "z", "n"])
+    j = np.flatnonzero(n != n0)
+    yield pa.RecordBatch.from_arrays([pa.array(j), pa.array((z - z0)[j]), pa.array((n - n0)[j])], ["bucket", "z", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
@@ -110,14 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     share = int(parts * min(1.0, sample_rows / max(total, 1)))
     labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)  # about sample_rows rows at most
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(labels), "doc_id")
-    rows = cut(rows.repartition(SHARDS, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "text"))
+    rows = cut(rows.repartition(SHARDS).sortWithinPartitions(F.xxhash64("doc_id"), "text"))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(EPOCHS):
         state = (rows.select("text", "label")
                  .mapInArrow(lambda it, z=z, n=n: _learn(it, z, n), "bucket long, z double, n double")
                  .groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas())
-        z, n = np.zeros_like(z), np.zeros_like(n)
-        z[state["bucket"]], n[state["bucket"]] = state["z"], state["n"]
+        z[state["bucket"]] += state["z"]
+        n[state["bucket"]] += state["n"]
     return _weights(z, n)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, minhash, packing, quality, secrets, substring, urls
+from panelkit.llm import bpe, minhash, packing, quality, rpforest, secrets, substring, urls
 from panelkit.llm.common import table
 
 #: names in the folder of public tokenizers: a vocabulary, the same one as ranks, its special token
@@ -60,3 +60,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_copies(table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import ann, bpe, minhash, packing, quality, rpforest, secrets, substring, urls
+from panelkit.llm import ann, bpe, lm, minhash, packing, quality, rpforest, secrets, substring, urls
 from panelkit.llm.common import table
 
 #: names in the folder of public tokenizers: a vocabulary, the same one as ranks, its special token
@@ -71,3 +71,8 @@ def op1_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return ann.search(rows, rows.where("id % 20 = 0"))
+
+
+@query
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import ann, bpe, lm, minhash, packing, quality, rpforest, secrets, substring, urls
 from panelkit.llm.common import table
+from panelkit.llm.oracles import ORACLE  # noqa: F401
 
 #: names in the folder of public tokenizers: a vocabulary, the same one as ranks, its special token
 VOCABULARY, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", (("<|endoftext|>", 50256),)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn):
@@ -75,4 +75,4 @@ def op7_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(table(spark, sf_dir, "documents"))
+    return lm.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4) + F.lit(0.0))

@@ -91,10 +91,10 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _pack(batches: Iterator[pa.RecordBatch], length: int, least: int, final: bool) -> Iterator[pa.RecordBatch]:
     """Pack a partition's items (fill, key, parts) into bins (fill, key, parts, done)."""
-    got = pa.Table.from_batches(batches)
-    if not got.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    got = got.sort_by([("fill", "descending"), ("key", "ascending")]).combine_chunks()
+    got = pa.Table.from_batches(batches).sort_by([("fill", "descending"), ("key", "ascending")]).combine_chunks()
     parts = got.column("parts").combine_chunks()
     sizes = got.column("fill").to_numpy()
     bin_of, offset, fill = best_fit(sizes, length)

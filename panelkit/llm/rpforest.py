@@ -3,10 +3,10 @@
 Vectors of equal label (and length) are compared by cosine; pairs of 0.93 or more
 are linked.  Each of ``TREES`` trees splits a label's vectors at the median of
 their projections on a random direction, again and again, until a node holds
-``LEAF`` or fewer; vectors within ``SPILL`` of a split go to both sides.  A node
-that a split doesn't shrink, as its vectors are much alike, is a leaf of any size.
-A pair at the threshold is lost in a tree with a probability of a few hundredths,
-in all of them with less than 1e-5; closer pairs seldom leave a node at all.
+``LEAF`` or fewer; vectors near a split (``SPILL``) go to both sides.  A node that a
+split doesn't shrink, as its vectors are much alike, is a leaf of any size.  A pair
+at the threshold is lost at a split with a probability of about 0.003, so in all
+trees of 10 levels with less than 1e-6; closer pairs seldom leave a node at all.
 
 Equal vectors are one from the start and counted.  A leaf's members meet in blocks
 (``BLOCK`` each), so that no leaf is gathered in one task; every pair is verified in
@@ -34,7 +34,8 @@ from panelkit.llm.graph import components
 from panelkit.llm.vectors import matrix, usable
 
 LEAST = 0.93
-TREES, LEAF, SPILL = 4, 400, 0.04
+TREES, LEAF = 4, 400
+SPILL = 1.0  # in standard deviations of the projected difference of a pair at the threshold
 SHRINK = 0.9  # a child with a larger share of its node isn't split again
 BLOCK = 400
 
@@ -72,7 +73,8 @@ def leaves(vectors: DataFrame) -> DataFrame:
             _project, f"id long, vec {dict(rows.dtypes)['vec']}, node long, n long, at double")
         rows = cut(rows)
         middle = rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("mid"))
-        sides = F.filter(F.array(F.when(F.col("at") <= F.col("mid") + SPILL, 0), F.when(F.col("at") >= F.col("mid") - SPILL, 1)), lambda s: s.isNotNull())
+        near = SPILL * (2 - 2 * LEAST) ** 0.5 / F.sqrt(F.size("vec"))
+        sides = F.filter(F.array(F.when(F.col("at") <= F.col("mid") + near, 0), F.when(F.col("at") >= F.col("mid") - near, 1)), lambda s: s.isNotNull())
         rows = rows.join(middle, "node").select("id", "vec", "node", "n", F.explode(sides).alias("side"))
         rows = rows.select("id", "vec", F.xxhash64("node", "side").alias("node"), F.col("n").alias("above"))
 

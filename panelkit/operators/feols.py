@@ -30,17 +30,12 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
-from panelkit.functions.dist import p_normal, p_t
-from panelkit.operators.linalg import SQL_GRAM_MAX, gram, pivoted_solve, rowmatrix_gram
+from panelkit.functions.dist import p_t
+from panelkit.operators.linalg import gram, pivoted_solve, rowmatrix_gram
 
-import os
-import time
-
-MAX_PERIODS = 5000
 AGG_CHUNK = 48  # value columns per aggregate (bounds generated code size)
-_TIMING = bool(os.environ.get("PANELKIT_TIMING"))
 
 
 @contextlib.contextmanager
@@ -58,12 +53,6 @@ def wide_plan_conf(spark: SparkSession):
         spark.conf.set(key, old)
 
 
-def _tick(label: str, t0: list) -> None:
-    if _TIMING:
-        now = time.time()
-        print(f"[panelkit] {label}: {now - t0[0]:.2f}s", flush=True)
-        t0[0] = now  # periods are broadcast and form a T x T system on the driver
-
 COEF_SCHEMA = "term string, estimate double, se double, t_stat double, p_value double"
 
 
@@ -85,6 +74,7 @@ class Fit:
     vcov_type: str
     omitted: list[str] = field(default_factory=list)
     fe_rank_deficit: int = 0
+    K_full: int | None = None  # with all unit effects, for the root mean squared error
 
     @property
     def se(self) -> np.ndarray:
@@ -128,7 +118,7 @@ class Fit:
 
     @property
     def rmse(self) -> float:
-        dfr = self.n - self.K
+        dfr = self.n - (self.K if self.K_full is None else self.K_full)
         return math.sqrt(self.ssr / self.sum_w * self.n / dfr) if dfr > 0 else float("nan")
 
     def stats(self) -> dict:
@@ -144,12 +134,15 @@ def _nn(x: float):
 
 
 def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
-                   weight: str | None = None, extra: Sequence[str] = ()):
+                   weight: str | None = None, extra: Sequence[str] = (), max_periods: int = 5000):
     """Exact two-way (unit + period) weighted residualisation of ``cols``.
 
     Returns (demeaned DataFrame with _u, _w, extra columns and _x0.._xk,
     info dict).  Rows with any missing column or non-positive weight are
-    dropped first (complete cases)."""
+    dropped first (complete cases).  Several rows may share a (unit, period).
+
+    The period effects are solved as a T x T system on the driver; more than
+    ``max_periods`` periods are refused before anything is collected."""
     spark = df.sparkSession
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     vn = [f"_v{i}" for i in range(len(cols))]
@@ -158,7 +151,6 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
                      *[F.col(c).cast("double").alias(v) for c, v in zip(cols, vn)])
     base = base.na.drop(how="any", subset=["_u", "_t", "_w", *vn, *extra]).filter(F.col("_w") > 0)
 
-    t0 = [time.time()]
     # unit-demeaned columns: whole-partition windows over the unit key (one exchange)
     nv = len(vn)
     wu = Window.partitionBy("_u")
@@ -166,43 +158,44 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
         {f"_d{i}": F.col(v) - F.sum(F.col("_w") * F.col(v)).over(wu) / F.col("_wsum") for i, v in enumerate(vn)})
     unit_df = unit_df.persist(StorageLevel.MEMORY_AND_DISK)
 
+    if unit_df.select("_t").distinct().limit(max_periods + 1).count() > max_periods:
+        unit_df.unpersist()
+        raise ValueError(f"more than max_periods={max_periods} periods; absorb the period effect in stages")
     # per-period sums grouped by the period itself (this also yields the period list);
     # a bounded number of value columns per aggregate keeps generated code small
     per: dict = {}
     for lo in range(0, nv, AGG_CHUNK):
         idx = list(range(lo, min(nv, lo + AGG_CHUNK)))
-        head = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
-                F.sum(F.col("_w") * F.col("_v0")).alias("wy"),
-                F.sum(F.col("_w") * F.col("_v0") * F.col("_v0")).alias("wyy")] if lo == 0 else []
-        for r in unit_df.groupBy("_t").agg(*head, *[F.sum(F.col("_w") * F.col(f"_d{i}")).alias(f"b{i}")
-                                                    for i in idx]).collect():
+        head = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n")] if lo == 0 else []
+        sums = [F.sum(F.col("_w") * e).alias(f"{name}{i}") for i in idx
+                for name, e in (("b", F.col(f"_d{i}")), ("wv", F.col(f"_v{i}")), ("wvv", F.col(f"_v{i}") * F.col(f"_v{i}")))]
+        for r in unit_df.groupBy("_t").agg(*head, *sums).collect():
             per.setdefault(r["_t"], {}).update(r.asDict())
-    _tick("per-period sums", t0)
     periods = sorted(per)
     T = len(periods)
-    if T > MAX_PERIODS:
-        raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}; absorb the period effect in stages")
     d = np.array([per[p]["d"] for p in periods], dtype=float)
-    B = np.array([[per[p][f"b{j}"] for j in range(nv)] for p in periods], dtype=float).reshape(T, nv)
+    B, wv, wvv = (np.array([[per[p][f"{name}{j}"] for j in range(nv)] for p in periods], dtype=float).reshape(T, nv)
+                  for name in ("b", "wv", "wvv"))
     n = int(sum(per[p]["n"] for p in periods))
     sw = float(d.sum())
-    swy = float(sum(per[p]["wy"] for p in periods))
-    swyy = float(sum(per[p]["wyy"] for p in periods))
-
-    # a_i[t] = w_it / sqrt(W_i): one dense T-vector per unit; the period index comes
-    # from a literal array of the (checked, bounded) period list, so no join is needed
-    tidx = (F.array_position(F.array(*[F.lit(p) for p in periods]), F.col("_t")) - 1).cast("int")
-    cells = unit_df.groupBy("_u", "_t").agg(F.sum("_w").alias("_wc"), F.first("_wsum").alias("_wsum")) \
-                   .withColumn("_ti", tidx)
+    raw = wvv.sum(axis=0) - wv.sum(axis=0) ** 2 / sw if sw > 0 else np.zeros(nv)  # weighted variance before absorption
+    # a constant column's is rounding: far below its second moment
+    raw = np.where(raw > 1e-14 * wvv.sum(axis=0), raw, np.inf)
+
+    # a_i[t] = w_it / sqrt(W_i): one dense T-vector per unit; the period index is a
+    # table of one row a period, so it may be broadcast
+    index = spark.createDataFrame([(p, i) for i, p in enumerate(periods)], base.select("_t").schema.add("_ti", IntegerType()))
+    cells = unit_df.groupBy("_u", "_t").agg(F.sum("_w").alias("_wc"), F.first("_wsum").alias("_wsum")).join(F.broadcast(index), "_t")
     per_unit = cells.groupBy("_u").agg(F.map_from_entries(F.collect_list(F.struct("_ti", "_wc"))).alias("m"),
                                        F.first("_wsum").alias("W"))
     vec = per_unit.select(F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
                                       lambda j: F.coalesce(F.element_at(F.col("m"), j), F.lit(0.0))
                                       / F.sqrt(F.col("W"))).alias("a"))
-    A = rowmatrix_gram(vec, "a", ncols=T) if T > 1 else np.array([[d[0]]])
-    _tick("period matrix", t0)
-    M = np.diag(d) - A
-    gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
+    if T > 1:
+        M = np.diag(d) - rowmatrix_gram(vec, "a", ncols=T)
+        gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
+    else:  # one period: the unit effects leave nothing to it
+        gamma, rank = np.zeros((T, nv)), 0
     deficit = max(0, (T - 1) - int(rank))
 
     # the gamma table has one row per period (bounded, checked): broadcast
@@ -214,9 +207,7 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
     dm = unit_df.join(F.broadcast(gtab), "_t").select("_u", "_w", *extra, *[
         (F.col(f"_d{j}") - F.col(f"_g{j}") + F.sum(F.col("_w") * F.col(f"_g{j}")).over(wu) / F.col("_wsum"))
         .alias(f"_x{j}") for j in range(nv)])
-    _tick("gamma table", t0)
-    info = {"T": T, "n": n, "sum_w": sw, "tss": swyy - swy * swy / sw if sw > 0 else 0.0,
-            "fe_rank_deficit": deficit, "_persisted": unit_df}
+    info = {"T": T, "n": n, "sum_w": sw, "raw": raw, "fe_rank_deficit": deficit, "_persisted": unit_df}
     return dm, info
 
 
@@ -236,19 +227,32 @@ def feols(df: DataFrame, y: str, xs: Sequence[str], unit: str, period: str,
 def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
                 weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
                 ssc: str = "nested", df_t: str = "default") -> list[Fit]:
+    """Several models (outcomes x regressor sets), each on its own complete cases.
+
+    Models whose columns are missing in the same rows share one absorption; a
+    NULL in one model's column takes no row from another model."""
+    specs = [(y, list(xs)) for y, xs in specs]
+    every = list(dict.fromkeys(c for y, xs in specs for c in [y, *xs]))
+    gap = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    missing = df.agg(*[F.max(gap(c).cast("int")).alias(f"m{i}") for i, c in enumerate(every)]).first()
+    gaps = {c for i, c in enumerate(every) if missing[f"m{i}"]}
+    groups: dict[frozenset, list[int]] = {}
+    for m, (y, xs) in enumerate(specs):
+        groups.setdefault(frozenset(gaps & {y, *xs}), []).append(m)
+    fits: dict[int, Fit] = {}
     with wide_plan_conf(df.sparkSession):
-        return _feols_multi(df, specs, unit, period, weight, cluster, vcov, ssc, df_t)
+        for models in groups.values():
+            fits.update(zip(models, _feols_multi(df, [specs[m] for m in models], unit, period, weight, cluster, vcov, ssc, df_t)))
+    return [fits[m] for m in range(len(specs))]
 
 
 def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
-                 weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
-                 ssc: str = "nested", df_t: str = "default") -> list[Fit]:
-    """Several models (outcomes x regressor sets) on one sample from ONE absorption.
+                 weight: str | None, cluster: str | None, vcov: str, ssc: str, df_t: str) -> list[Fit]:
+    """Models on one sample, the complete cases of all their columns, from ONE absorption.
 
     Two-way residualisation is column by column (Frisch-Waugh), so the union of
     all columns is absorbed once, one Gram aggregate serves every model, and
-    one scores pass computes every model's residual scores.  The sample is the
-    complete cases of the union (as when the models share one prepared table)."""
+    one scores pass computes every model's residual scores."""
     cols: list[str] = []
     for y, xs in specs:
         for c in [y, *xs]:
@@ -259,14 +263,12 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
     extra = [] if cl in (None, unit) else [cl]
     dm, info = absorb_two_way(df, cols, unit, period, weight, extra=extra)
     dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
-    t0 = [time.time()]
     G = gram(dm, [f"_x{i}" for i in range(len(cols))], F.col("_w"))
-    _tick("gram", t0)
 
     solved = []
     for y, xs in specs:
         yi, xi = idx[y], [idx[x] for x in xs]
-        beta, keep, inv = pivoted_solve(G[np.ix_(xi, xi)], G[xi, yi])
+        beta, keep, inv = pivoted_solve(G[np.ix_(xi, xi)], G[xi, yi], info["raw"][xi])
         kept = [j for j in range(len(xs)) if keep[j]]
         solved.append((yi, xi, beta, keep, inv, kept))
 
@@ -284,17 +286,7 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
         aggs.append(F.sum(F.col("_w") * e * e).alias(f"_ssr{m}"))
         aggs += [F.sum(F.col("_w") * F.col(f"_x{xi[j]}") * e).alias(f"_s{m}_{i}") for i, j in enumerate(kept)]
     unit_level = dme.groupBy("_u", *extra).agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
-    # narrow models: the cluster meat (sum of score outer products) rides in the same aggregate
-    inline_meat = cl == unit and all(len(sv[5]) <= SQL_GRAM_MAX for sv in solved)
-    meat_aggs = []
-    if inline_meat:
-        for m, sv in enumerate(solved):
-            kk_m = len(sv[5])
-            meat_aggs += [F.sum(F.col(f"_s{m}_{a}") * F.col(f"_s{m}_{b}")).alias(f"_mt{m}_{a}_{b}")
-                          for a in range(kk_m) for b in range(a, kk_m)]
-    tot = unit_level.agg(F.count(F.lit(1)).alias("N"),
-                         *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))], *meat_aggs).first()
-    _tick("scores", t0)
+    tot = unit_level.agg(F.count(F.lit(1)).alias("N"), *[F.sum(f"_ssr{m}").alias(f"ssr{m}") for m in range(len(specs))]).first()
     n_units = tot["N"]
     if cl is None:
         by_cl, n_clusters = None, None
@@ -311,22 +303,14 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
     for m, ((y, xs), (yi, xi, beta, keep, inv, kept)) in enumerate(zip(specs, solved)):
         k, kk = len(xs), len(kept)
         ssr = tot[f"ssr{m}"]
-        if vcov == "iid" or ssc == "full":
-            K = kk + n_units + T - 1 - info["fe_rank_deficit"]
-        else:
-            K = kk + T - 1 - info["fe_rank_deficit"]
+        K_full = kk + n_units + T - 1 - info["fe_rank_deficit"]
+        K = K_full if vcov == "iid" or ssc == "full" else K_full - n_units
         V = np.full((k, k), np.nan)
         if kk:
             if vcov == "iid":
                 Vk = ssr / (n - K) * inv
             else:
-                if inline_meat:
-                    meat = np.zeros((kk, kk))
-                    for a in range(kk):
-                        for b in range(a, kk):
-                            meat[a, b] = meat[b, a] = tot[f"_mt{m}_{a}_{b}"] or 0.0
-                else:
-                    meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
+                meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
                 Gc = n_clusters
                 c = (Gc / (Gc - 1)) * ((n - 1) / (n - K))
                 Vk = c * inv @ meat @ inv
@@ -337,15 +321,13 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
             dft = n - K
         else:
             dft = n_clusters - 1
-        _tick("vcov", t0)
         fits.append(Fit(terms=list(xs), beta=beta, vcov=V, n=n, n_units=n_units, n_periods=T,
-                        n_clusters=n_clusters, K=K, df_t=dft, ssr=ssr, tss=info["tss"] if yi == 0 else float("nan"),
+                        n_clusters=n_clusters, K=K, df_t=dft, ssr=ssr, K_full=K_full, tss=float(info["raw"][yi]) if np.isfinite(info["raw"][yi]) else 0.0,
                         tss_within=float(G[yi, yi]), sum_w=info["sum_w"], vcov_type=vcov,
                         omitted=[xs[j] for j in range(k) if not keep[j]],
                         fe_rank_deficit=info["fe_rank_deficit"]))
-    info["_persisted"].unpersist()
-    unit_level.unpersist()
-    dm.unpersist()
+    for held in (info["_persisted"], unit_level, dm, *([by_cl] if by_cl is not None and by_cl is not unit_level else [])):
+        held.unpersist()
     return fits
 
 
@@ -410,138 +392,3 @@ def coef_series(fit: Fit, taus: Sequence[int], terms: Sequence[str], z: float =
         else:
             out.append((tau, b, s, b - z * s, b + z * s))
     return out
-
-
-def normal_p(est: float, se: float) -> float:
-    return p_normal(est / se) if se else float("nan")
-
-
-WIDE_COLS = 24  # above this many columns the array layout is used (narrow plans)
-
-
-def absorb_two_way_wide(df: DataFrame, cols: Sequence[str], unit: str, period: str,
-                        weight: str | None = None, x_array: str | None = None, n_array: int = 0):
-    """Array-layout twin of ``absorb_two_way`` for wide designs (many indicator columns).
-
-    All variables travel in ONE array column, so plan size and generated code do
-    not grow with the number of columns.  Per-unit work (means, corrections) is
-    done on the unit's cells gathered by one groupBy on the unit key (at most
-    one cell per period, so bounded by T); per-period sums explode the arrays
-    and aggregate by (period, column) with partial aggregation.
-    Returns (DataFrame[_u, _w, _x array], info)."""
-    spark = df.sparkSession
-    nv = len(cols) + n_array
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    extra_arr = [F.col(x_array).alias("_xa")] if x_array else []
-    base = df.select(F.col(unit).alias("_u"), F.col(period).alias("_t"), w.alias("_w"),
-                     *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(cols)], *extra_arr)
-    base = base.na.drop(how="any").filter(F.col("_w") > 0)
-    packed = F.array(*[F.col(f"_c{i}") for i in range(len(cols))])
-    if x_array:
-        packed = F.concat(packed, F.col("_xa"))
-    base = base.select("_u", "_t", "_w", packed.alias("_v"))
-    zero = F.array_repeat(F.lit(0.0), nv)
-    # per unit: weight total and weighted means of every column
-    per_unit = base.groupBy("_u").agg(F.collect_list(F.struct("_t", "_w", "_v")).alias("cells"),
-                                      F.sum("_w").alias("W"))
-    mean = F.transform(F.aggregate("cells", zero, lambda acc, c: F.zip_with(acc, c["_v"], lambda a, b: a + c["_w"] * b)),
-                       lambda s: s / F.col("W"))
-    per_unit = per_unit.withColumn("mean", mean).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = per_unit.select("_u", "W", F.explode("cells").alias("c"), "mean") \
-                   .select("_u", "W", F.col("c._t").alias("_t"), F.col("c._w").alias("_w"), F.col("c._v").alias("_v"),
-                           F.zip_with(F.col("c._v"), F.col("mean"), lambda a, m: a - m).alias("_d"))
-    t0 = [time.time()]
-    per_t = rows.groupBy("_t").agg(F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n"),
-                                   F.sum(F.col("_w") * F.col("_v")[0]).alias("wy"),
-                                   F.sum(F.col("_w") * F.col("_v")[0] * F.col("_v")[0]).alias("wyy")).collect()
-    bt = rows.select("_t", "_w", F.posexplode("_d").alias("j", "dv")) \
-             .groupBy("_t", "j").agg(F.sum(F.col("_w") * F.col("dv")).alias("b")).collect()
-    _tick("per-period sums (wide)", t0)
-    periods = sorted(r["_t"] for r in per_t)
-    T = len(periods)
-    if T > MAX_PERIODS:
-        raise ValueError(f"{T} periods exceed MAX_PERIODS={MAX_PERIODS}")
-    pos = {p: i for i, p in enumerate(periods)}
-    d = np.zeros(T)
-    n = 0
-    sw = swy = swyy = 0.0
-    for r in per_t:
-        d[pos[r["_t"]]] = r["d"]
-        n += r["n"]
-        swy += r["wy"]
-        swyy += r["wyy"]
-    sw = float(d.sum())
-    B = np.zeros((T, nv))
-    for r in bt:
-        B[pos[r["_t"]], r["j"]] = r["b"]
-    tidx = (F.array_position(F.array(*[F.lit(p) for p in periods]), F.col("c._t")) - 1).cast("int")
-    vec = per_unit.select(F.map_from_entries(F.transform("cells", lambda c: F.struct(
-        (F.array_position(F.array(*[F.lit(p) for p in periods]), c["_t"]) - 1).cast("int"), c["_w"]))).alias("m"), "W") \
-        .select(F.transform(F.sequence(F.lit(0), F.lit(T - 1)),
-                            lambda j: F.coalesce(F.element_at(F.col("m"), j), F.lit(0.0)) / F.sqrt(F.col("W"))).alias("a"))
-    del tidx
-    A = rowmatrix_gram(vec, "a", ncols=T) if T > 1 else np.array([[d[0]]])
-    _tick("period matrix (wide)", t0)
-    M = np.diag(d) - A
-    gamma, _, rank, _ = np.linalg.lstsq(M, B, rcond=None)
-    deficit = max(0, (T - 1) - int(rank))
-    # T rows (bounded, checked): broadcast
-    gschema = base.select("_t").schema.add("_g", ArrayType(DoubleType()))
-    gtab = spark.createDataFrame([(p, [float(x) for x in gamma[i]]) for i, p in enumerate(periods)], gschema)
-    rg = rows.join(F.broadcast(gtab), "_t")
-    corr = rg.groupBy("_u").agg(F.collect_list(F.struct("_w", "_g")).alias("gl"), F.first("W").alias("W")) \
-             .select("_u", F.transform(F.aggregate("gl", zero, lambda acc, c: F.zip_with(
-                 acc, c["_g"], lambda a, b: a + c["_w"] * b)), lambda s: s / F.col("W")).alias("_corr"))
-    dm = rg.join(corr, "_u").select(
-        "_u", "_w", F.zip_with(F.zip_with("_d", "_g", lambda a, b: a - b), "_corr", lambda a, b: a + b).alias("_x"))
-    _tick("gamma table (wide)", t0)
-    info = {"T": T, "n": n, "sum_w": sw, "tss": swyy - swy * swy / sw if sw > 0 else 0.0,
-            "fe_rank_deficit": deficit, "_persisted": per_unit}
-    return dm, info
-
-
-def feols_wide(df: DataFrame, y: str, xs: Sequence[str], unit: str, period: str,
-               weight: str | None = None, x_array: str | None = None,
-               array_terms: Sequence[str] = ()) -> Fit:
-    """R1 for wide designs (cluster by unit, ssc nested) on the array layout.
-    Regressors may also come as one array<double> column ``x_array`` whose
-    elements are named by ``array_terms`` (appended after ``xs``)."""
-    with wide_plan_conf(df.sparkSession):
-        scalar_xs = list(xs)
-        xs = scalar_xs + list(array_terms)
-        k = len(xs)
-        dm, info = absorb_two_way_wide(df, [y, *scalar_xs], unit, period, weight,
-                                       x_array=x_array, n_array=len(array_terms))
-        dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
-        t0 = [time.time()]
-        G = rowmatrix_gram(dm.select(F.transform("_x", lambda v: v * F.sqrt(F.col("_w"))).alias("v")), "v",
-                           ncols=k + 1)
-        _tick("gram (wide)", t0)
-        beta, keep, inv = pivoted_solve(G[1:, 1:], G[1:, 0])
-        kept = [j for j in range(k) if keep[j]]
-        bvec = [0.0] + [0.0 if not keep[j] else float(beta[j]) for j in range(k)]
-        bl = F.array(*[F.lit(b) for b in bvec])
-        e = F.col("_x")[0] - F.aggregate(F.zip_with("_x", bl, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        sc = dm.withColumn("_e", e).select("_u", F.col("_w") * F.col("_e") * F.col("_e").alias("_r"),
-                                           F.transform("_x", lambda v: v * F.col("_w") * F.col("_e")).alias("_s"))
-        sc = sc.toDF("_u", "_r", "_s")
-        zero = F.array_repeat(F.lit(0.0), k + 1)
-        per_u = sc.groupBy("_u").agg(F.sum("_r").alias("ssr"), F.collect_list("_s").alias("sl")) \
-                  .select("ssr", F.aggregate("sl", zero, lambda acc, s: F.zip_with(acc, s, lambda a, b: a + b)).alias("s"))
-        per_u = per_u.persist(StorageLevel.MEMORY_AND_DISK)
-        tot = per_u.agg(F.count(F.lit(1)).alias("N"), F.sum("ssr").alias("ssr")).first()
-        S = rowmatrix_gram(per_u.select("s"), "s", ncols=k + 1)
-        _tick("scores (wide)", t0)
-        meat = S[1:, 1:][np.ix_(kept, kept)]
-        n, T, N = info["n"], info["T"], tot["N"]
-        K = len(kept) + T - 1 - info["fe_rank_deficit"]
-        c = (N / (N - 1)) * ((n - 1) / (n - K))
-        V = np.full((k, k), np.nan)
-        V[np.ix_(kept, kept)] = c * inv @ meat @ inv
-        info["_persisted"].unpersist()
-        per_u.unpersist()
-        dm.unpersist()
-        return Fit(terms=xs, beta=beta, vcov=V, n=n, n_units=N, n_periods=T, n_clusters=N, K=K, df_t=N - 1,
-                   ssr=tot["ssr"], tss=info["tss"], tss_within=float(G[0, 0]), sum_w=info["sum_w"],
-                   vcov_type="cluster", omitted=[xs[j] for j in range(k) if not keep[j]],
-                   fe_rank_deficit=info["fe_rank_deficit"])

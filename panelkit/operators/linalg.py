@@ -3,32 +3,36 @@ distributed Gram helpers that keep the data work on the executors."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many columns a Gram matrix is accumulated by MLlib's tree
-# aggregation instead of one SQL sum expression per cell.
-SQL_GRAM_MAX = 5
-
 
 def gram(df: DataFrame, cols: Sequence[str], weight: Column | None = None) -> np.ndarray:
-    """sum_i w_i x_i x_i' over a DataFrame; result is len(cols) square."""
+    """sum_i w_i x_i x_i' over a DataFrame; result is len(cols) square.
+
+    One path for any width: every task multiplies its Arrow batches, the upper
+    triangles are added up by cell, and only those sums reach the driver."""
     k = len(cols)
     w = weight if weight is not None else F.lit(1.0)
-    if k <= SQL_GRAM_MAX:
-        exprs = [F.sum(w * F.col(cols[a]) * F.col(cols[b])).alias(f"g{a}_{b}")
-                 for a in range(k) for b in range(a, k)]
-        row = df.agg(*exprs).first()
-        G = np.zeros((k, k))
-        for a in range(k):
-            for b in range(a, k):
-                v = row[f"g{a}_{b}"]
-                G[a, b] = G[b, a] = 0.0 if v is None else v
-        return G
-    return rowmatrix_gram(df.select(F.array(*[F.sqrt(w) * F.col(c) for c in cols]).alias("v")), "v", ncols=k)
+    a, b = np.triu_indices(k)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]) if k else np.zeros((len(batch), 0))
+            total += (x * batch.column(0).to_numpy(zero_copy_only=False)[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["a", "b", "v"])
+
+    rows = df.select(w.cast("double").alias("_gw"), *[F.col(c).cast("double") for c in cols])
+    sums = rows.mapInArrow(partial, "a long, b long, v double").groupBy("a", "b").agg(F.sum("v").alias("v")).collect()
+    G = np.zeros((k, k))
+    for r in sums:
+        G[r["a"], r["b"]] = G[r["b"], r["a"]] = r["v"]
+    return G
 
 
 def rowmatrix_gram(df: DataFrame, array_col: str, ncols: int | None = None) -> np.ndarray:
@@ -44,25 +48,23 @@ def rowmatrix_gram(df: DataFrame, array_col: str, ncols: int | None = None) -> n
     return RowMatrix(vec, 0, ncols or 0).computeGramianMatrix().toArray()
 
 
-def pivoted_solve(G: np.ndarray, rhs: np.ndarray, tol: float = 1e-10):
+def pivoted_solve(G: np.ndarray, rhs: np.ndarray, scale: np.ndarray | None = None, tol: float = 1e-9):
     """Solve G b = rhs for symmetric PSD G, dropping collinear columns.
 
-    Columns are admitted in order; one whose residual diagonal after
-    eliminating the admitted ones is below tol * its own diagonal is
-    reported as omitted.  Returns (b with NaN for omitted, keep mask, G_kept^-1)."""
+    Columns are admitted in order; one whose residual diagonal after eliminating
+    the admitted ones is below ``tol`` times its ``scale`` is reported as omitted.
+    ``scale`` is the column's variance before any effects were absorbed (default:
+    the diagonal), so that a column the effects absorb isn't taken for one of tiny
+    variance.  Returns (b with NaN for omitted, keep mask, G_kept^-1)."""
     k = G.shape[0]
+    scale = np.diag(G) if scale is None else scale
     keep: list[int] = []
     for j in range(k):
-        d = G[j, j]
-        if d <= 0:
-            continue
+        resid = G[j, j]
         if keep:
-            S = G[np.ix_(keep, keep)]
             s = G[keep, j]
-            resid = d - s @ np.linalg.solve(S, s)
-        else:
-            resid = d
-        if resid > tol * d:
+            resid = resid - s @ np.linalg.solve(G[np.ix_(keep, keep)], s)
+        if resid > tol * scale[j] and resid > 0:
             keep.append(j)
     mask = np.zeros(k, dtype=bool)
     mask[keep] = True

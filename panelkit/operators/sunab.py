@@ -2,21 +2,22 @@
 
 A saturated regression of y on cohort x relative-period indicators (reference
 period -1, never-treated units as the reference cohort, units treated in the
-first period dropped) with unit and period effects absorbed exactly (feols),
-then share-weighted aggregation of the cell coefficients with the vcov."""
+first period dropped) with unit and period effects absorbed exactly, then share-weighted aggregation of the cell coefficients with the vcov."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.dist import p_normal
-from panelkit.operators.feols import WIDE_COLS, Fit, feols, feols_wide
-from panelkit.operators.joins import MAX_COHORTS
+from panelkit.operators.feols import Fit
+from panelkit.operators.linalg import pivoted_solve
 
 
 @dataclass
@@ -52,34 +53,111 @@ class SunAb:
         return [(e, *self._combo([(term, m) for g, ee, term, m in self.cells if ee == e])) for e in es]
 
 
-def sunab(df: DataFrame, y: str, g: str, u: str, t: str, w: str | None = None, ref: int = -1,
-          cluster: str = "unit") -> SunAb:
-    d = df.filter(F.col(y).isNotNull())
-    t_lo = d.agg(F.min(t)).first()[0]
-    d = d.filter(F.col(g).isNull() | (F.col(g) > t_lo))          # always-treated dropped
-    rel = (F.col(t) - F.col(g)).cast("int")
-    wt = F.col(w) if w else F.lit(1.0)
-    cells = d.filter(F.col(g).isNotNull()).groupBy(F.col(g).alias("g"), rel.alias("e")) \
-             .agg(F.sum(wt).alias("m")).collect()
-    cells = sorted((r["g"], r["e"], float(r["m"])) for r in cells if r["e"] != ref)
-    if len({c[0] for c in cells}) > MAX_COHORTS:
-        raise ValueError("too many cohorts")
-    terms = [f"_sa{i}" for i in range(len(cells))]
-    if len(terms) > WIDE_COLS and cluster == "unit":
-        # array layout: the indicators are one array built by a higher-order function over
-        # the (bounded) cell list, so the plan does not grow with the number of cells
-        lit_cells = F.array(*[F.struct(F.lit(ge).alias("g"), F.lit(e).alias("e")) for ge, e, _ in cells])
-        gg, rr = F.coalesce(F.col(g), F.lit(-(10 ** 9))), F.coalesce(rel, F.lit(-(10 ** 9)))
-        d = d.withColumn("_sa", F.transform(lit_cells, lambda c: ((c["g"] == gg) & (c["e"] == rr)).cast("double")))
-        fit = feols_wide(d, y, [], u, t, weight=w, x_array="_sa", array_terms=terms)
-    else:
-        d = d.withColumns({term: ((F.col(g) == ge) & (rel == e)).cast("int")
-                           for term, (ge, e, _) in zip(terms, cells)})
-        d = d.fillna(0, subset=terms)
-        fit = feols(d, y, terms, u, t, weight=w, cluster=cluster)
-    return SunAb(fit, [(ge, e, term, m) for term, (ge, e, m) in zip(terms, cells)])
-
-
-def sunab_att_row(sa: SunAb) -> tuple:
-    est, se = sa.att()
-    return est, se, p_normal(est / se) if se else None
+def _sums(units: DataFrame, T: int, per_unit, n_stats: int) -> dict:
+    """{cohort: (n_stats,) array of T x T sums}, null cohort as None.
+
+    ``per_unit(cohort, index, w, wy)`` gives what a unit adds: (stat, rows, cols, values)
+    tuples.  Tasks add up their units by cohort; sums meet by cell of the matrix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            for g, i, w, wy in zip(*(batch.column(c).to_pylist() for c in ("g", "i", "w", "wy"))):
+                own = total.setdefault(g, np.zeros((n_stats, T, T)))
+                for stat, r, c, v in per_unit(g, np.array(i), np.array(w), np.array(wy)):
+                    own[stat][r, c] += v
+        for g, own in total.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.int64()), pa.array(at), pa.array(own.reshape(-1)[at])], ["g", "at", "v"])
+
+    out: dict = {}
+    for r in units.mapInArrow(run, "g long, at long, v double").groupBy("g", "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["g"], np.zeros(n_stats * T * T))[r["at"]] = r["v"]
+    return {g: v.reshape(n_stats, T, T) for g, v in out.items()}
+
+
+def sunab(df: DataFrame, y: str, g: str, u: str, t: str, w: str | None = None, ref: int = -1, max_periods: int = 1000) -> SunAb:
+    """The saturated regression from moments by cohort; errors clustered by unit.
+
+    An indicator is a function of (cohort, period), so with unit effects taken out
+    the normal equations are made of one T x T matrix M_g and one T-vector b_g a
+    cohort: M_g between its indicators, M_g against the period effects, and their
+    sum between those.  Within a unit the weighted residuals add up to 0, so scores
+    are the vectors v_i[t] = w_it e_it and their meat is one T x T sum a cohort.
+    Two passes over the units give both; no design is laid out.  The driver holds
+    cohorts x T x T numbers; more than ``max_periods`` periods are refused before
+    anything is collected.  Several rows may share a (unit, period)."""
+    wt = (F.col(w) if w else F.lit(1.0)).cast("double")
+    d = df.select(F.col(u).alias("u"), F.col(t).cast("long").alias("t"), F.col(g).cast("long").alias("g"), F.col(y).cast("double").alias("y"), wt.alias("w"))
+    d = d.na.drop(subset=["u", "t", "y", "w"]).where("w > 0")
+    first = d.agg(F.min("t")).first()[0]
+    d = d.where(F.col("g").isNull() | (F.col("g") > first))  # always-treated dropped
+    if d.select("t").distinct().limit(max_periods + 1).count() > max_periods:
+        raise ValueError(f"more than max_periods={max_periods} periods")
+    periods = sorted(r["t"] for r in d.select("t").distinct().collect())
+    pos, T = {p: i for i, p in enumerate(periods)}, len(periods)
+    index = d.sparkSession.createDataFrame([(p, i) for p, i in pos.items()], "t long, i int")
+    cells = d.groupBy("u", "g", "t").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"),
+                                         F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"), F.count("*").alias("n"))
+    units = (cells.join(F.broadcast(index), "t").groupBy("u", "g")
+             .agg(*[F.collect_list(c).alias(c) for c in ("i", "w", "wy")], F.sum("wyy").alias("wyy"), F.sum("n").alias("n"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    tot = units.agg(F.count("*").alias("N"), F.sum("n").alias("n"), F.sum("wyy").alias("wyy"), F.sum(total("w")).alias("w"), F.sum(total("wy")).alias("wy"),
+                    F.sum(F.col("wyy") - total("wy") * total("wy") / total("w")).alias("within")).first()
+
+    def moments(cohort, i, w, wy):
+        W = w.sum()
+        yield 0, i[:, None], i[None, :], np.diag(w) - np.outer(w, w) / W
+        yield 1, i, 0, wy - w * wy.sum() / W
+        yield 1, i, min(1, T - 1), w if T > 1 else 0.0
+
+    sums = _sums(units, T, moments, 2)
+    zero = np.zeros((T, T))
+    M, b = {h: s[0] for h, s in sums.items()}, {h: s[1][:, 0] for h, s in sums.items()}
+    every, rhs = sum(M.values(), zero), sum(b.values(), np.zeros(T))
+    inverse = np.linalg.pinv(every, rcond=1e-10, hermitian=True)
+    deficit = max(0, T - 1 - int(np.linalg.matrix_rank(every, tol=1e-10 * max(1.0, np.abs(every).max()), hermitian=True)))
+
+    keys = [(h, p - h, pos[p], float(sums[h][1][pos[p], 1])) for h in sorted(x for x in sums if x is not None)
+            for p in periods if T > 1 and sums[h][1][pos[p], 1] > 0 and p - h != ref]
+    k, terms = len(keys), [f"_sa{j}" for j in range(len(keys))]
+    G, r, gamma = np.zeros((k, k)), np.zeros(k), np.zeros((k, T))
+    columns = np.array([M[h][:, i] for h, _, i, _ in keys]).reshape(k, T)  # each indicator against the period effects
+    gamma = columns @ inverse
+    for a, (h, _, i, _) in enumerate(keys):
+        G[a] = [M[h][i, j] if h == o else 0.0 for o, _, j, _ in keys]
+        r[a] = b[h][i]
+    G -= gamma @ columns.T
+    r -= gamma @ rhs
+    mass = np.array([m for *_, m in keys])
+    beta, keep, inv = pivoted_solve(G, r, mass - mass**2 / tot["w"] if k else mass)
+    kept = [j for j in range(k) if keep[j]]
+    effect = {h: np.zeros(T) for h in sums}
+    for j in kept:
+        effect[keys[j][0]][keys[j][2]] = beta[j]
+    common = inverse @ (rhs - sum((M[h] @ effect[h] for h in sums), np.zeros(T)))
+    effect = {h: common + v for h, v in effect.items()}
+
+    def scores(cohort, i, w, wy):
+        fit = effect[cohort][i]
+        v = wy - w * wy.sum() / w.sum() - w * (fit - (w * fit).sum() / w.sum())
+        yield 0, i[:, None], i[None, :], np.outer(v, v)
+
+    meat = np.zeros((len(kept), len(kept)))
+    for h, (S,) in _sums(units, T, scores, 1).items():
+        L = -gamma[kept]
+        for a, j in enumerate(kept):
+            if keys[j][0] == h:
+                L[a, keys[j][2]] += 1.0
+        meat += L @ S @ L.T
+    units.unpersist()
+    N, n = tot["N"], tot["n"]
+    K = len(kept) + T - 1 - deficit
+    V = np.full((k, k), np.nan)
+    if kept:
+        V[np.ix_(kept, kept)] = N / (N - 1) * (n - 1) / (n - K) * inv @ meat @ inv
+    fit = Fit(terms=terms, beta=beta, vcov=V, n=n, n_units=N, n_periods=T, n_clusters=N, K=K, df_t=N - 1, K_full=K + N,
+              ssr=float(tot["within"] - sum(effect[h] @ b[h] for h in sums)), tss=tot["wyy"] - tot["wy"] ** 2 / tot["w"],
+              tss_within=float(tot["within"] - rhs @ inverse @ rhs), sum_w=tot["w"], vcov_type="cluster",
+              omitted=[terms[j] for j in range(k) if not keep[j]], fe_rank_deficit=deficit)
+    return SunAb(fit, [(h, e, term, m) for term, (h, e, _, m) in zip(terms, keys)])

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from panelkit.functions.scalar import reg_table
 from panelkit.operators import panel as P
 from panelkit.operators.feols import coef_series, feols, feols_multi, wls
-from panelkit.operators.regression import event_study, stage1, stage2
+from panelkit.operators.regression import Policy, event_study, onestep, stage1, stage2
 from panelkit.plans.registry import register, rnd, with_ctes
-from panelkit.plans.sqlgen import fe_ols_sql
+from panelkit.plans.sqlgen import fe_ols_sql, sweep_ctes, t_pvalues
 from panelkit.sources.fixtures import SQL_P1, supplier_quarter
 
 # P1 with R-form trend-break terms (offset 0)
@@ -95,7 +95,36 @@ def q_fit_stats(spark, sf_dir):
                 .select("n", "n_units", "K", (F.round("ssr_w", 4) + 0.0).alias("ssr_w"), rnd("r2_within").alias("r2_within"))
 
 
-@register("twfe_models")
+def _rounded(df, *cols):
+    """``df`` with double columns rounded as the oracle's."""
+    return df.select(*[rnd(c).alias(c) if c in cols else c for c in df.columns])
+
+
+ESTIMATES = ("estimate", "se", "t_stat", "p_value")
+_SQL_EST = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ESTIMATES)
+_SQL_ROWS = f"SELECT term, {_SQL_EST}, n FROM "
+_P1R = [SQL_P1.strip(), SQL_P1R.replace("y_cnt, w,", "y_cnt, w, w_cell, g, g2,").strip()]
+_SQL_TERMS = {"2A": ["post"], "2B": ["post", "trend"], "2C": ["post", "trend", "post_trend"]}
+_TWFE = {f"{y}_{m}": (y, m, xs) for y in ("y_qty", "y_cnt") for m, xs in _SQL_TERMS.items()}
+_SQL_TWFE = "WITH RECURSIVE " + ",".join([",\n".join(_P1R), *(
+    sweep_ctes(f"f_{k}", "p1r", y, {x: x for x in xs}, "w_cell") for k, (y, _, xs) in _TWFE.items())]) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{y}' AS outcome, '{m}' AS model, term, {_SQL_EST}, n FROM {t_pvalues(f'f_{k}_out')}" for k, (y, m, _) in _TWFE.items())
+
+
+def _binned(lo, hi, ref):
+    """Event-time dummies whose end points collect the tails."""
+    tau = f"CASE WHEN t - g < {lo} THEN {lo} WHEN t - g > {hi} THEN {hi} ELSE t - g END"
+    return {f"{k}": f"coalesce({tau} = {k}, false)::INTEGER" for k in range(lo, hi + 1) if k != ref}
+
+
+def _series_sql(source, where, reference):
+    rows = f"""SELECT CAST(term AS INTEGER) AS tau, round(estimate, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se,
+  round(estimate - 1.96 * se, 6) + 0.0 AS ci_low, round(estimate + 1.96 * se, 6) + 0.0 AS ci_high FROM es_out"""
+    return ("WITH RECURSIVE " + ",\n".join(_P1R) + f",\nuse AS (SELECT * FROM {source} WHERE {where})," + sweep_ctes("es", "use", "y_qty", _binned(-7, 9, -1), "w_cell")
+            + "\n" + rows + ("\nUNION ALL SELECT -1, 0.0, 0.0, 0.0, 0.0" if reference else ""))
+
+
+@register("twfe_models", _SQL_TWFE)
 def q_twfe_models(spark, sf_dir):
     """R3-R5 for two outcomes from ONE absorption (the outcome loop costs one shuffle)."""
     specs = [(y, xs) for y in ("y_qty", "y_cnt")
@@ -106,68 +135,121 @@ def q_twfe_models(spark, sf_dir):
         model = {1: "2A", 2: "2B", 3: "2C"}[len(xs)]
         for term, b, s, tt, p in fit.rows():
             rows.append((y, model, term, b, s, tt, p, fit.n))
-    return spark.createDataFrame(rows, "outcome string, model string, term string, estimate double, se double, "
-                                       "t_stat double, p_value double, n long")
+    return _rounded(spark.createDataFrame(rows, "outcome string, model string, term string, estimate double, se double, "
+                                                "t_stat double, p_value double, n long"), *ESTIMATES)
 
 
-@register("event_study")
+@register("event_study", _series_sql("p1r", "true", True))
 def q_event_study(spark, sf_dir):
     """Binned event study (ref -1) with the reference row added."""
     p = supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
         .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
-    return event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1)
+    return _rounded(event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1), "estimate", "se", "ci_low", "ci_high")
 
 
-@register("coef_series")
+@register("coef_series", _series_sql("p1r", "g IS NOT NULL", False))
 def q_coef_series(spark, sf_dir):
     """R10 + F13: event-study series with 95% intervals, never-adopters dropped (R behaviour)."""
     p = supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
         .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
-    return event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1,
-                       drop_never=True, add_reference=False)
+    return _rounded(event_study(p, "y_qty", "tau", "never", "unit", "t", weight="w_cell", lo=-7, hi=9, ref=-1,
+                                drop_never=True, add_reference=False), "estimate", "se", "ci_low", "ci_high")
 
 
-@register("onestep_two_policy")
-def q_onestep(spark, sf_dir):
-    """One-step trend-break regression with two policies, range flags and a control, clustered."""
-    p = supplier_quarter(spark, sf_dir).withColumns({
+def _two_policies(spark, sf_dir):
+    return supplier_quarter(spark, sf_dir).withColumns({
         "never1": F.col("g").isNull(), "never2": F.col("g2").isNull(),
-        "tau1": F.when(F.col("g").isNull(), F.lit(0)).otherwise(F.col("t") - F.col("g")).cast("int"),
-        "tau2": F.when(F.col("g2").isNull(), F.lit(0)).otherwise(F.col("t") - F.col("g2")).cast("int"),
+        "tau1": (F.col("t") - F.col("g")).cast("int"), "tau2": (F.col("t") - F.col("g2")).cast("int"),
         "ctrl": F.log1p(F.col("w_cell"))})
-    p = p.withColumns({"post1": P.post("never1", "t", "g"), "post2": P.post("never2", "t", "g2")})
-    p = P.onestep_terms(p, "tau1", "never1", "post1", -7, 9, "c")
-    p = P.onestep_terms(p, "tau2", "never2", "post2", -7, 3, "s")
-    models = {"3a": ["c_policy", "s_policy", "ctrl"],
-              "3b": ["c_policy", "c_tau_range", "s_policy", "s_tau_range", "ctrl"],
-              "3c": ["c_policy", "c_tau_range", "c_trend_break", "s_policy", "s_tau_range", "s_trend_break", "ctrl"]}
-    p = p.filter(F.col("c_in_range") & F.col("s_in_range"))
-    fits = feols_multi(p, [("y_qty", xs) for xs in models.values()], "unit", "t", weight="w")
+
+
+
+
+POLICIES = [Policy("s", "tau2", "never2", -7, 3), Policy("c", "tau1", "never1", -7, 9)]
+
+
+def _onestep_columns():
+    """The one-step columns of both policies, by name, for the oracle."""
+    out = {}
+    for p, g in zip(POLICIES, ("g2", "g")):
+        t, is_in = f"coalesce(t - {g}, 0)", f"(coalesce(t - {g}, 0) BETWEEN {p.lo} AND {p.hi})"
+        treated = f"({g} IS NOT NULL AND {t} >= 0 AND {is_in})::INTEGER"
+        out |= {f"{p.name}_range": f"{is_in}::INTEGER", f"{p.name}_policy": treated, f"{p.name}_L": f"({t} < {p.lo})::INTEGER", f"{p.name}_R": f"({t} > {p.hi})::INTEGER",
+                f"{p.name}_trend": f"{is_in}::INTEGER * {t}", f"{p.name}_break": f"{treated} * {t} + ({is_in} AND {t} >= 0)::INTEGER"}
+    return out
+
+
+def _onestep_sql():
+    cols = _onestep_columns()
+    parts, picks = [], []
+    for model, add in (("3a", ()), ("3b", ("trend",)), ("3c", ("trend", "break"))):
+        use = {c: cols[c] for p in POLICIES for c in [*(f"{p.name}_{x}" for x in ("range", "policy", "L", "R")), *(f"{p.name}_{x}" for x in add)]}
+        five = {f"{p.name}: 5-year effect": {f"{p.name}_policy": "1.0", f"{p.name}_break": "5.0"} for p in POLICIES} if model == "3c" else {}
+        parts.append(sweep_ctes(f"o{model}", "p1r", "y_qty", use | {"ctrl": "ln(1 + w_cell)"}, "w", lincoms=five))
+        picks.append(f"SELECT '{model}' AS model, term, {_SQL_EST}, n FROM {t_pvalues(f'o{model}_out')} WHERE estimate IS NOT NULL OR term NOT LIKE '%effect'")
+    return "WITH RECURSIVE " + ",".join([",\n".join(_P1R), *parts]) + "\n" + "\nUNION ALL\n".join(picks)
+
+
+def _stage1_ctes(policies):
+    """CTE ``s1_out`` of the stage-1 fit and ``sigmas`` (tau, taub, tause) of the last policy. policies: (prefix, g column, lo, hi)."""
+    dummies = {f"{p}{k}": f"coalesce(t - {g} = {k}, false)::INTEGER" for p, g, lo, hi in policies for k in range(lo, hi + 1)}
+    tails = {f"{p}{s}": f"coalesce(t - {g} {c}, false)::INTEGER" for p, g, lo, hi in policies for s, c in (("L", f"< {lo}"), ("R", f"> {hi}"))}
+    p, g, lo, hi = policies[-1]
+    fit = sweep_ctes("s1", "p1r", "y_qty", dummies | {"ctrl": "ln(1 + w_cell)"} | tails, "w_cell", iid=True)
+    values = ", ".join(f"({k}, '{p}{k}')" for k in range(lo, hi + 1))
+    return ("WITH RECURSIVE " + ",\n".join(_P1R) + "," + fit + f""",
+names(tau, term) AS (VALUES {values}),
+sigmas AS (SELECT names.tau, estimate AS taub, se AS tause FROM names JOIN s1_out USING (term) WHERE names.tau IN (SELECT t - {g} FROM p1r))""")
+
+
+_SQL_SIGMAS = "\nSELECT CAST(tau AS INTEGER) AS tau, round(taub, 6) + 0.0 AS taub, round(tause, 6) + 0.0 AS tause FROM sigmas"
+_STAGE1 = [("a", "g", -10, 5)]
+_STAGE2 = {"2a": ["post"], "2b": ["post", "tau"], "2c": ["post", "tau", "post_trend"]}
+_STAGE2_COLS = {"post": "(tau >= 0)::INTEGER", "tau": "tau", "post_trend": "(tau >= 0)::INTEGER * (tau + 1)"}
+
+
+def _stage2_sql():
+    fits = [sweep_ctes(f"s{m}", "s2", "taub", {x: _STAGE2_COLS[x] for x in xs} | {"const": "1.0"}, "1.0 / tause", fe=False, iid=True,
+                       lincoms={"post + 5*post_trend": {"post": "1.0", "post_trend": "5.0"}} if m == "2c" else None) for m, xs in _STAGE2.items()]
+    picks = [f"SELECT '{m}' AS model, term, {_SQL_EST}, n, round(r2, 6) + 0.0 AS r2 FROM {t_pvalues(f's{m}_out')}" for m in _STAGE2]
+    return (_stage1_ctes(_STAGE1) + ",\ns2 AS (SELECT tau AS unit, 0 AS t, * FROM sigmas WHERE taub IS NOT NULL)," + ",".join(fits) + "\n" + "\nUNION ALL\n".join(picks))
+
+
+@register("onestep_two_policy", _onestep_sql())
+def q_onestep(spark, sf_dir):
+    """One-step models of two policies with range flags, tails and a control, clustered; the
+    5-period effect of either policy from 3c."""
     rows = []
-    for name, fit in zip(models, fits):
-        rows += [(name, *r, fit.n) for r in fit.rows()]
-    return spark.createDataFrame(rows, "model string, " + "term string, estimate double, se double, t_stat double, "
-                                       "p_value double, n long")
+    for model, (fit, effects) in onestep(_two_policies(spark, sf_dir), "y_qty", POLICIES, "unit", "t", weight="w", controls=["ctrl"]).items():
+        rows += [(model, *r, fit.n) for r in fit.rows()]
+        rows += [(model, f"{name}: 5-year effect", lc["estimate"], lc["se"], lc["t"], lc["p"], fit.n) for name, lc in effects.items()]
+    return _rounded(spark.createDataFrame(rows, "model string, term string, estimate double, se double, t_stat double, p_value double, n long"), *ESTIMATES)
 
 
 def _stage1(spark, sf_dir):
     p = supplier_quarter(spark, sf_dir).withColumn("tau", (F.col("t") - F.col("g")).cast("int")) \
-        .withColumn("ctrl", F.log1p(F.col("w_cell")))
-    return stage1(p, "y_qty", "tau", "unit", "t", weight="w_cell", lo=-10, hi=5, controls=["ctrl"])
+        .withColumns({"never": F.col("g").isNull(), "ctrl": F.log1p(F.col("w_cell"))})
+    return stage1(p, "y_qty", [Policy("_s1", "tau", "never", -10, 5)], "unit", "t", weight="w_cell", controls=["ctrl"])
 
 
-@register("stage1_event_study")
+@register("stage1_event_study", _stage1_ctes(_STAGE1) + _SQL_SIGMAS)
 def q_stage1(spark, sf_dir):
     """Stage-1 event study (all leads/lags + tails + control), iid se,
     coefficients poured back onto the tau grid."""
-    return _stage1(spark, sf_dir)
+    return _rounded(_stage1(spark, sf_dir), "taub", "tause")
+
+
+@register("stage1_two_policy", _stage1_ctes([("s", "g2", -7, 3), ("c", "g", -7, 9)]) + _SQL_SIGMAS)
+def q_stage1_two(spark, sf_dir):
+    """Stage 1 with the dummies and tails of both policies; the series of the second one."""
+    return _rounded(stage1(_two_policies(spark, sf_dir), "y_qty", POLICIES, "unit", "t", weight="w_cell", controls=["ctrl"]), "taub", "tause")
 
 
-@register("stage2_regression")
+@register("stage2_regression", _stage2_sql())
 def q_stage2(spark, sf_dir):
     """Stage-2 regressions 2a/2b/2c of the stage-1 series, weight 1/se, with the
     5-period effect of 2c; the series is handed over through the stage folder."""
-    return stage2(_stage1(spark, sf_dir), persist_name="sigmas")
+    return _rounded(stage2(_stage1(spark, sf_dir).where("taub is not null"), persist_name="sigmas"), *ESTIMATES, "r2")
 
 
 @register("reg_table")

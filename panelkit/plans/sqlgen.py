@@ -79,3 +79,73 @@ vv AS (SELECT bt.*, mt.*, {corr} AS c FROM bt, mt)
     rows = [f"SELECT '{t}' AS term, round(b{a}, 6) + 0.0 AS estimate, round(sqrt(c * ({v(a, a)})), 6) + 0.0 AS se, "
             f"round(b{a} / sqrt(c * ({v(a, a)})), 6) + 0.0 AS t_stat FROM vv" for a, t in enumerate(terms, 1)]
     return sql + "\nUNION ALL\n".join(rows)
+
+
+def sweep_ctes(m: str, source: str, y: str, terms: dict[str, str], w: str, fe: bool = True, iid: bool = False,
+               lincoms: dict[str, dict[str, str]] | None = None) -> str:
+    """CTEs named ``{m}_..`` that fit ``y`` on ``terms`` (name -> SQL expression) over table ``source`` by the sweep operator.
+
+    With ``fe``, columns are weighted-demeaned by ``unit`` and period dummies of
+    ``t`` go in first; else the caller adds a constant among the terms.  The Gram
+    matrix is a list of lists and a recursive CTE sweeps one column a level,
+    leaving out those whose pivot is below 1e-9 of their variance before
+    demeaning.  ``{m}_out`` has pos, term, estimate, se, t_stat, df, n, r2 of the
+    terms and of ``lincoms`` (name -> {term: weight expression}); left-out terms
+    are null.  Errors are clustered by unit (K counts kept columns) or classical."""
+    k = len(terms)
+    dummies = f"list_transform(range(1, {m}_nt.nt), lambda q: CASE WHEN q = p.p THEN 1.0 ELSE 0.0 END)" if fe else "CAST([] AS DOUBLE[])"
+    mean = f"- sum(w * v) OVER (PARTITION BY unit, j) / sum(w) OVER (PARTITION BY unit, j)" if fe else ""
+    names = list(terms)
+    combos = [(pos, name, {name: "1.0"}) for pos, name in enumerate(names)]
+    combos += [(k + i, name, ws) for i, (name, ws) in enumerate((lincoms or {}).items())]
+    weights = ",\n  ".join(f"({pos}, '{name}', {names.index(t)}, {wt})" for pos, name, ws in combos for t, wt in ws.items())
+    var = (f"ssr / (n - kk) * (SELECT sum(a.wt * b.wt * mat[nt + a.j][nt + b.j]) FROM {m}_wt a JOIN {m}_wt b ON a.pos = b.pos WHERE a.pos = c.pos)" if iid else
+           f"(ng / (ng - 1.0)) * ((n - 1.0) / (n - kk)) * (SELECT sum(s * s) FROM (SELECT sum(f.wt * f.psi) AS s FROM {m}_psi f WHERE f.pos = c.pos GROUP BY f.unit))")
+    return f"""
+{m}_src AS (SELECT row_number() OVER () AS r, unit, t, CAST({w} AS DOUBLE) AS w, CAST([{', '.join(f'CAST({e} AS DOUBLE)' for e in terms.values())}] AS DOUBLE[]) AS x,
+  CAST({y} AS DOUBLE) AS y FROM {source}),
+{m}_p AS (SELECT t, CAST(row_number() OVER (ORDER BY t) - 1 AS INTEGER) AS p FROM (SELECT DISTINCT t FROM {m}_src)),
+{m}_nt AS (SELECT {'CAST(count(*) AS INTEGER)' if fe else '1'} AS nt FROM {m}_p),
+{m}_vec AS (SELECT r, unit, w, list_append(list_concat({dummies}, x), y) AS vec FROM {m}_src s JOIN {m}_p p ON p.t = s.t, {m}_nt),
+{m}_long0 AS (SELECT r, unit, w, unnest(vec) AS v, unnest(range(1, len(vec) + 1)) AS j FROM {m}_vec),
+{m}_long AS (SELECT r, unit, w, j, v, v {mean} AS d FROM {m}_long0),
+{m}_raw AS (SELECT list(s ORDER BY j) AS raw FROM (
+  SELECT j, {'sum(w * v * v) - sum(w * v) * sum(w * v) / sum(w)' if fe else 'sum(w * v * v)'} AS s FROM {m}_long GROUP BY j)),
+{m}_gram AS (SELECT a.j AS i, b.j AS j, sum(a.w * a.d * b.d) AS s FROM {m}_long a JOIN {m}_long b ON a.r = b.r GROUP BY a.j, b.j),
+{m}_mat AS (SELECT list(line ORDER BY i) AS mat FROM (SELECT i, list(s ORDER BY j) AS line FROM {m}_gram GROUP BY i)),
+{m}_sw(step, mat, kept) AS (
+  SELECT 1, mat, CAST([] AS BOOLEAN[]) FROM {m}_mat
+  UNION ALL
+  SELECT step + 1,
+    CASE WHEN mat[step][step] > 1e-9 * raw[step] AND mat[step][step] > 0 THEN list_transform(mat, lambda line, i:
+      list_transform(line, lambda z, j: CASE WHEN i = step AND j = step THEN 1.0 / z WHEN i = step THEN z / mat[step][step]
+        WHEN j = step THEN -z / mat[step][step] ELSE z - line[step] * mat[step][j] / mat[step][step] END)) ELSE mat END,
+    list_append(kept, mat[step][step] > 1e-9 * raw[step] AND mat[step][step] > 0)
+  FROM {m}_sw, {m}_raw WHERE step < len(mat)),
+{m}_fit AS (SELECT s.mat, s.kept, len(s.mat) AS m, nt, s.mat[len(s.mat)][len(s.mat)] AS ssr, raw[len(s.mat)] AS tss
+  FROM {m}_sw s, {m}_raw, {m}_nt WHERE s.step = len(s.mat)),
+{m}_e AS (SELECT r, unit, w, sum(CASE WHEN j = m THEN d WHEN kept[j] THEN -mat[j][m] * d ELSE 0.0 END) AS e FROM {m}_long, {m}_fit GROUP BY r, unit, w),
+{m}_sc AS (SELECT l.unit, j, sum(l.w * l.d * e.e) AS s FROM {m}_long l JOIN {m}_e e ON e.r = l.r, {m}_fit WHERE kept[j] GROUP BY l.unit, j),
+{m}_wt(pos, term, j, wt) AS (VALUES
+  {weights}),
+{m}_psi AS (SELECT c.pos, c.wt, s.unit, sum(mat[nt + c.j][s.j] * s.s) AS psi FROM {m}_wt c, {m}_sc s, {m}_fit GROUP BY c.pos, c.wt, c.j, s.unit),
+{m}_n AS (SELECT count(*) AS n, count(DISTINCT unit) AS ng, sum(w) AS sw, sum(w * y) AS swy, sum(w * y * y) AS swyy FROM {m}_src),
+{m}_k AS (SELECT len(list_filter(kept, lambda b: b)){f' + ng' if iid and fe else ''} AS kk FROM {m}_fit, {m}_n),
+{m}_c AS (SELECT pos, term, CASE WHEN bool_and(kept[nt + j]) THEN sum(wt * mat[nt + j][m]) END AS estimate FROM {m}_wt, {m}_fit GROUP BY pos, term),
+{m}_se AS (SELECT pos, term, estimate, CASE WHEN estimate IS NOT NULL THEN sqrt({var}) END AS se,
+  {'n - kk' if iid else 'ng - 1'} AS df, n, 1 - ssr / (swyy - swy * swy / sw) AS r2 FROM {m}_c c, {m}_fit, {m}_n, {m}_k),
+{m}_out AS (SELECT *, estimate / se AS t_stat FROM {m}_se)"""
+
+
+def t_pvalues(source: str) -> str:
+    """``source`` (with t_stat, df) and p_value: both tails of Student's t, by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    tail = "(pi() / 2 - atan(abs(t_stat) / sqrt(df)))"
+    return f"""(SELECT s.*, (SELECT CASE WHEN s.t_stat IS NOT NULL THEN 2 * exp(lgamma((s.df + 1) / 2.0) - lgamma(s.df / 2.0)) / sqrt(pi())
+    * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(sin(s.tail * (4000 - i) / 4000.0), s.df - 1)) * s.tail / 12000 END
+    FROM range(4001) q(i)) AS p_value FROM (SELECT *, {tail} AS tail FROM {source}) s)"""
+
+
+def normal_p_sql(z: str) -> str:
+    """Both tails of the normal distribution, by Simpson's rule over 14 standard deviations."""
+    return (f"(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs({z}) + i * 0.0035, 2) / 2)) * 0.0035 / 3 "
+            f"* 2 / sqrt(2 * pi()) FROM range(4001) q(i))")

@@ -281,6 +281,28 @@ from panelkit.operators.regression import event_study  # noqa: E402
 from panelkit.operators.sunab import sunab  # noqa: E402
 
 
+from panelkit.plans.q_regression import _P1R, _binned, _rounded  # noqa: E402
+from panelkit.plans.sqlgen import chi2_p_sql, normal_p_sql, sweep_ctes, t_pvalues  # noqa: E402
+
+# the saturated regression of Sun-Abraham on laid-out indicators: cohorts and quarters of P1 with their weighted shares
+_SA = {f"{g}:{t - g}": (g, t) for g in (8, 14, 20) for t in range(32) if t != g - 1}
+
+
+def _sunab_ctes(groups: dict[str, list[str]]) -> str:
+    """``groups``: name -> cells that are averaged by their share of the weighted observations."""
+    share = lambda c: f"(SELECT coalesce(sum(w), 0) FROM use WHERE g = {_SA[c][0]} AND t = {_SA[c][1]})"
+    # cells of quarters that the data lack weigh nothing and are left out by the fit
+    wts = {name: {c: f"{share(c)} / (SELECT sum(w) FROM use WHERE " + " OR ".join(f"g = {_SA[x][0]} AND t = {_SA[x][1]}" for x in cells) + ")" for c in cells}
+           for name, cells in groups.items()}
+    return ("WITH RECURSIVE " + ",\n".join(_P1R) + ",\nuse AS (SELECT * FROM p1r)," +
+            sweep_ctes("sa", "use", "y_qty", {c: f"coalesce(g = {g} AND t = {t}, false)::INTEGER" for c, (g, t) in _SA.items()}, "w", lincoms=wts, partial=True))
+
+
+_SA_ATT = {"att": [c for c, (g, t) in _SA.items() if t >= g]}
+_SA_ES = {f"e{e}": [c for c, (g, t) in _SA.items() if t - g == e] for e in sorted({t - g for g, t in _SA.values()})}
+_DYN_ROWS = lambda src: "(" + _att_sql(src, "never") + _DYN_SQL + ")"
+
+
 @register("sunab_coefs", with_ctes(SQL_P1) + """,
 ref AS (SELECT unit, y_qty AS yb, g FROM p1),
 d AS (SELECT p.unit, p.t, c.g AS k, p.g AS G, p.y_qty - r.y_qty AS dy
@@ -298,20 +320,24 @@ def q_sunab_coefs(spark, sf_dir):
     return spark.createDataFrame(rows, "g int, e int, estimate double").select("g", "e", rnd("estimate").alias("estimate"))
 
 
-@register("sunab_att")
+@register("sunab_att", _sunab_ctes(_SA_ATT) + f"""
+SELECT round(estimate, 6) + 0.0 AS att, round(se, 6) + 0.0 AS se, round({normal_p_sql('sa_out.t_stat')}, 6) + 0.0 AS p_value
+FROM sa_out WHERE term = 'att'""")
 def q_sunab_att(spark, sf_dir):
     """Sun-Abraham ATT (weighted by cell observation shares) with its se."""
     sa = sunab(supplier_quarter(spark, sf_dir), "y_qty", "g", "unit", "t", w="w")
     est, se = sa.att()
     from panelkit.functions.dist import p_normal
-    return spark.createDataFrame([(est, se, p_normal(est / se))], "att double, se double, p_value double")
+    return _rounded(spark.createDataFrame([(est, se, p_normal(est / se))], "att double, se double, p_value double"), "att", "se", "p_value")
 
 
-@register("sunab_es")
+@register("sunab_es", _sunab_ctes(_SA_ES) + """
+SELECT CAST(substr(term, 2) AS INTEGER) AS e, round(estimate, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se
+FROM sa_out WHERE term LIKE 'e%' AND estimate IS NOT NULL""")
 def q_sunab_es(spark, sf_dir):
     """Sun-Abraham event-study aggregation by relative period."""
     sa = sunab(supplier_quarter(spark, sf_dir), "y_qty", "g", "unit", "t", w="w")
-    return spark.createDataFrame(sa.event_study(), "e int, estimate double, se double")
+    return _rounded(spark.createDataFrame(sa.event_study(), "e int, estimate double, se double"), "estimate", "se")
 
 
 @register("pretrend_test", _att_sql(_P1_ATT, "never") + """
@@ -324,11 +350,17 @@ def q_pretrend_test(spark, sf_dir):
     return s.select(rnd("chi2").alias("chi2"), "df")
 
 
-@register("pretrend_dynamic")
+@register("pretrend_dynamic", f"""
+WITH s AS (SELECT sum(pow(att / se, 2)) AS chi2, count(*) AS df, count(*) FILTER (abs(att / se) > 1.96) AS n_significant
+           FROM {_DYN_ROWS(_P1_ATT_WQ)} WHERE e < 0),
+v AS (SELECT *, {chi2_p_sql('s.chi2', 's.df')} AS p FROM s)
+SELECT round(chi2, 3) + 0.0 AS chi2, df, round(p, 6) + 0.0 AS p_value,
+       CASE WHEN p < 0.05 THEN 'REJECT: pre-trends detected' ELSE 'PASS' END AS verdict, n_significant FROM v""")
 def q_pretrend_dynamic(spark, sf_dir):
     """E12 on the event-time series, with chi-square p-value and verdict."""
     a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
-    return pretrend_test(a.filter(F.col("e").isNotNull()), "e", "att", "se")
+    r = pretrend_test(a.filter(F.col("e").isNotNull()), "e", "att", "se")
+    return r.withColumns({"chi2": rnd("chi2", 3), "p_value": rnd("p_value")})
 
 
 def _tau(spark, sf_dir):
@@ -336,15 +368,32 @@ def _tau(spark, sf_dir):
         .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))
 
 
-@register("compare_series")
+@register("compare_series", "WITH RECURSIVE " + ",\n".join(_P1R) + "," + sweep_ctes("es", "p1r", "y_qty", _binned(-7, 9, -1), "w") + f""",
+two AS (SELECT CAST(term AS INTEGER) AS tau, estimate, se, 'TWFE' AS method FROM es_out
+  UNION ALL SELECT -1, 0.0, 0.0, 'TWFE'
+  UNION ALL SELECT e, att, se, 'Group-time ATT' FROM {_DYN_ROWS(_P1_ATT)} WHERE e IS NOT NULL)
+SELECT tau, round(estimate, 4) + 0.0 AS estimate, round(se, 4) + 0.0 AS se, round(estimate - 1.96 * se, 4) + 0.0 AS ci_low,
+       round(estimate + 1.96 * se, 4) + 0.0 AS ci_high, method FROM two""")
 def q_compare_series(spark, sf_dir):
     """TWFE event study and group-time ATT event-time series stacked, tau in [-7, 9]."""
     tw = event_study(_tau(spark, sf_dir), "y_qty", "tau", "never", "unit", "t", weight="w", lo=-7, hi=9)
     cs = aggte(att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w"), "dynamic", -7, 9)
-    return compare_series(tw, cs)
+    r = compare_series(tw, cs)
+    return r.withColumns({c: rnd(c, 4) for c in ("estimate", "se", "ci_low", "ci_high")})
+
+
+def _compare_sql():
+    fits = [sweep_ctes(f"c_{y}", "p1r", y, {x: x for x in ("post", "trend", "post_trend")}, "w",
+                       lincoms={"five": {"post": "1.0", "post_trend": "5.0"}}) for y in ("y_qty", "y_cnt")]
+    att = lambda y: "(" + _att_sql(_P1_ATT.replace("y_qty AS y,", f"{y} AS y,"), "never") + _SIMPLE_SQL + ")"
+    fit = lambda y: f"(SELECT * FROM {t_pvalues(f'(SELECT * REPLACE (n - 3 AS df) FROM c_{y}_out)')} WHERE term = 'five')"
+    return "WITH RECURSIVE " + ",".join([",\n".join(_P1R), *fits]) + "\n" + "\nUNION ALL\n".join(
+        f"""SELECT '{y}' AS outcome, printf('%.2f (%.2f)', f.estimate, f.se) AS twfe_5yr_effect, printf('%.3f', f.p_value) AS twfe_p_value,
+  printf('%.2f (%.2f)', a.att, a.se) AS att, printf('%.3f', {normal_p_sql('a.att / a.se')}) AS att_p_value FROM {fit(y)} f, {att(y)} a"""
+        for y in ("y_qty", "y_cnt"))
 
 
-@register("compare_table")
+@register("compare_table", _compare_sql())
 def q_compare_table(spark, sf_dir):
     """Per outcome, the TWFE 5-period trend-break effect (p with the reference's
     df = n - k) next to the simple group-time ATT (normal p), formatted."""
@@ -393,7 +442,10 @@ def q_period_range(spark, sf_dir):
     return S.period_range(customer_year(spark, sf_dir), "t").select(F.col("t").cast("int").alias("t"))
 
 
-@register("cell_stars")
+@register("cell_stars", _att_sql(_P1_ATT, "never") + f""",
+pv AS (SELECT g, t, att, se, {normal_p_sql('cell.att / cell.se')} AS p FROM cell),
+st AS (SELECT *, CASE WHEN p <= 0.01 THEN '***' WHEN p <= 0.05 THEN '**' WHEN p <= 0.10 THEN '*' ELSE '' END AS stars FROM pv)
+SELECT g, t, round(att, 6) + 0.0 AS att, round(se, 6) + 0.0 AS se, round(p, 6) + 0.0 AS p_value, stars, printf('%.2f', att) || stars AS label FROM st""")
 def q_cell_stars(spark, sf_dir):
     """Two-sided normal p-values of the ATT(g,t) cells (a bounded, driver-side
     table) and their significance stars as a Spark expression."""
@@ -402,8 +454,9 @@ def q_cell_stars(spark, sf_dir):
     rows = [(c["g"], c["t"], c["att"], c["se"], p_normal(c["att"] / c["se"]) if c["se"] else None)
             for c in res.cells if c["att"] is not None]
     df = spark.createDataFrame(rows, "g int, t int, att double, se double, p_value double")
-    return df.withColumn("stars", S.stars("p_value")) \
-             .withColumn("label", F.concat(S.fmt_num("att", "%.2f"), F.col("stars")))
+    df = df.withColumn("stars", S.stars("p_value")) \
+           .withColumn("label", F.concat(S.fmt_num("att", "%.2f"), F.col("stars")))
+    return _rounded(df, "att", "se", "p_value")
 
 
 @register("bacon_fallback", with_ctes(SQL_P2) + """,

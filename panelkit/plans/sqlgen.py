@@ -82,7 +82,7 @@ vv AS (SELECT bt.*, mt.*, {corr} AS c FROM bt, mt)
 
 
 def sweep_ctes(m: str, source: str, y: str, terms: dict[str, str], w: str, fe: bool = True, iid: bool = False,
-               lincoms: dict[str, dict[str, str]] | None = None) -> str:
+               lincoms: dict[str, dict[str, str]] | None = None, partial: bool = False) -> str:
     """CTEs named ``{m}_..`` that fit ``y`` on ``terms`` (name -> SQL expression) over table ``source`` by the sweep operator.
 
     With ``fe``, columns are weighted-demeaned by ``unit`` and period dummies of
@@ -91,15 +91,16 @@ def sweep_ctes(m: str, source: str, y: str, terms: dict[str, str], w: str, fe: b
     leaving out those whose pivot is below 1e-9 of their variance before
     demeaning.  ``{m}_out`` has pos, term, estimate, se, t_stat, df, n, r2 of the
     terms and of ``lincoms`` (name -> {term: weight expression}); left-out terms
-    are null.  Errors are clustered by unit (K counts kept columns) or classical."""
+    are null, and so are combinations with one unless ``partial``.  Errors are clustered by unit (K counts kept columns) or classical."""
     k = len(terms)
     dummies = f"list_transform(range(1, {m}_nt.nt), lambda q: CASE WHEN q = p.p THEN 1.0 ELSE 0.0 END)" if fe else "CAST([] AS DOUBLE[])"
     mean = f"- sum(w * v) OVER (PARTITION BY unit, j) / sum(w) OVER (PARTITION BY unit, j)" if fe else ""
     names = list(terms)
     combos = [(pos, name, {name: "1.0"}) for pos, name in enumerate(names)]
     combos += [(k + i, name, ws) for i, (name, ws) in enumerate((lincoms or {}).items())]
-    weights = ",\n  ".join(f"({pos}, '{name}', {names.index(t)}, {wt})" for pos, name, ws in combos for t, wt in ws.items())
-    var = (f"ssr / (n - kk) * (SELECT sum(a.wt * b.wt * mat[nt + a.j][nt + b.j]) FROM {m}_wt a JOIN {m}_wt b ON a.pos = b.pos WHERE a.pos = c.pos)" if iid else
+    index = {name: i for i, name in enumerate(names)}
+    weights = ",\n  ".join(f"({pos}, '{name}', {index[t]}, {wt})" for pos, name, ws in combos for t, wt in ws.items())
+    var = (f"ssr / (n - kk) * (SELECT sum(a.wt * b.wt * mat[nt - 1 + a.j][nt - 1 + b.j]) FROM {m}_wt a JOIN {m}_wt b ON a.pos = b.pos WHERE a.pos = c.pos)" if iid else
            f"(ng / (ng - 1.0)) * ((n - 1.0) / (n - kk)) * (SELECT sum(s * s) FROM (SELECT sum(f.wt * f.psi) AS s FROM {m}_psi f WHERE f.pos = c.pos GROUP BY f.unit))")
     return f"""
 {m}_src AS (SELECT row_number() OVER () AS r, unit, t, CAST({w} AS DOUBLE) AS w, CAST([{', '.join(f'CAST({e} AS DOUBLE)' for e in terms.values())}] AS DOUBLE[]) AS x,
@@ -126,12 +127,13 @@ def sweep_ctes(m: str, source: str, y: str, terms: dict[str, str], w: str, fe: b
   FROM {m}_sw s, {m}_raw, {m}_nt WHERE s.step = len(s.mat)),
 {m}_e AS (SELECT r, unit, w, sum(CASE WHEN j = m THEN d WHEN kept[j] THEN -mat[j][m] * d ELSE 0.0 END) AS e FROM {m}_long, {m}_fit GROUP BY r, unit, w),
 {m}_sc AS (SELECT l.unit, j, sum(l.w * l.d * e.e) AS s FROM {m}_long l JOIN {m}_e e ON e.r = l.r, {m}_fit WHERE kept[j] GROUP BY l.unit, j),
-{m}_wt(pos, term, j, wt) AS (VALUES
+{m}_wt0(pos, term, j, wt) AS (VALUES
   {weights}),
-{m}_psi AS (SELECT c.pos, c.wt, s.unit, sum(mat[nt + c.j][s.j] * s.s) AS psi FROM {m}_wt c, {m}_sc s, {m}_fit GROUP BY c.pos, c.wt, c.j, s.unit),
+{m}_wt AS (SELECT pos, term, j + 1 AS j, wt FROM {m}_wt0{f", {m}_fit WHERE kept[nt + j]" if partial else ""}),
+{m}_psi AS (SELECT c.pos, c.wt, s.unit, sum(mat[nt - 1 + c.j][s.j] * s.s) AS psi FROM {m}_wt c, {m}_sc s, {m}_fit GROUP BY c.pos, c.wt, c.j, s.unit),
 {m}_n AS (SELECT count(*) AS n, count(DISTINCT unit) AS ng, sum(w) AS sw, sum(w * y) AS swy, sum(w * y * y) AS swyy FROM {m}_src),
 {m}_k AS (SELECT len(list_filter(kept, lambda b: b)){f' + ng' if iid and fe else ''} AS kk FROM {m}_fit, {m}_n),
-{m}_c AS (SELECT pos, term, CASE WHEN bool_and(kept[nt + j]) THEN sum(wt * mat[nt + j][m]) END AS estimate FROM {m}_wt, {m}_fit GROUP BY pos, term),
+{m}_c AS (SELECT pos, term, CASE WHEN bool_and(kept[nt - 1 + j]) THEN sum(wt * mat[nt - 1 + j][m]) END AS estimate FROM {m}_wt, {m}_fit GROUP BY pos, term),
 {m}_se AS (SELECT pos, term, estimate, CASE WHEN estimate IS NOT NULL THEN sqrt({var}) END AS se,
   {'n - kk' if iid else 'ng - 1'} AS df, n, 1 - ssr / (swyy - swy * swy / sw) AS r2 FROM {m}_c c, {m}_fit, {m}_n, {m}_k),
 {m}_out AS (SELECT *, estimate / se AS t_stat FROM {m}_se)"""
@@ -149,3 +151,9 @@ def normal_p_sql(z: str) -> str:
     """Both tails of the normal distribution, by Simpson's rule over 14 standard deviations."""
     return (f"(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs({z}) + i * 0.0035, 2) / 2)) * 0.0035 / 3 "
             f"* 2 / sqrt(2 * pi()) FROM range(4001) q(i))")
+
+
+def chi2_p_sql(x: str, df: str) -> str:
+    """Upper tail of the chi-square distribution (df >= 2), by Simpson's rule over [0, x]."""
+    return (f"(SELECT 1 - sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow({x} * i / 4000.0, {df} / 2.0 - 1) * exp(-{x} * i / 8000.0)) "
+            f"* {x} / 12000 / (pow(2, {df} / 2.0) * exp(lgamma({df} / 2.0))) FROM range(4001) q(i))")

@@ -1,15 +1,14 @@
 """Descriptive tables over a panel.
 
-Exact quantiles are computed from a global range-partitioned sort, not from
-a per-group buffer: a group holding a third of all rows is spread over many
-sorted partitions, each row learns its global position inside its group
-from per-partition counts, and only the few rows at the wanted order
-statistics are kept.  No group is ever collected into one task.
+Exact quantiles work on value counts: equal values of a group meet in a partial
+aggregate, so a frequent value is one row, and running counts over the distinct
+values come from a range-partitioned sort with per-partition offsets.  Only the
+few values at the wanted order statistics are kept; no group is collected into
+one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,30 +36,24 @@ def profile_columns(df: DataFrame) -> DataFrame:
               .select("column_name", F.col("position").cast("int").alias("position"), "n_rows", "n_nonnull")
 
 
-# --- positions and exact quantiles ----------------------------------------------------
+# --- exact quantiles -------------------------------------------------------------------
 
-def group_positions(df: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
-    """1-based position of each row inside its group when sorted by x, plus the group size n.
-
-    Range-partitioned sort on (groups, x); per-(partition, group) counts are
-    turned into offsets with a window over that small count table."""
+def value_ranks(df: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
+    """Distinct values of x by group with the 1-based positions ``_from`` .. ``_to`` that
+    they take in the group's sorted rows, and the group size n."""
     groups = list(groups)
     spark = df.sparkSession
     checkpoint_dir(spark)
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (df.select(*groups, x).filter(F.col(x).isNotNull())
-                .repartitionByRange(nparts, *groups, x).sortWithinPartitions(*groups, x)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mono", F.monotonically_increasing_id())
-                .checkpoint())
-    counts = ranked.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"), F.min("_mono").alias("_m0"))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*groups, x).agg(F.count(F.lit(1)).alias("_c"))
+    # partition ids must not change between the sums and the rows: written once
+    ranked = counts.repartitionByRange(nparts, *groups, x).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    parts = ranked.groupBy("_pid", *groups).agg(F.sum("_c").alias("_ps"))  # a row for each partition a group reaches
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    counts = (counts.withColumn("_off", F.sum("_c").over(wg.orderBy("_pid")) - F.col("_c"))
-                    .withColumn("n", F.sum("_c").over(wg))
-                    .drop("_c"))
-    joined = _bounded_join(ranked, counts, ["_pid", *groups])
-    pos = F.col("_off") + (F.col("_mono") - F.col("_m0")) + 1
-    return joined.select(*groups, x, pos.alias("_pos"), "n")
+    parts = parts.withColumn("_off", F.sum("_ps").over(wg.orderBy("_pid")) - F.col("_ps")).withColumn("n", F.sum("_ps").over(wg)).drop("_ps")
+    joined = _bounded_join(ranked, parts, ["_pid", *groups])
+    to = F.col("_off") + F.sum("_c").over(Window.partitionBy("_pid", *groups).orderBy(x))
+    return joined.withColumn("_to", to).select(*groups, x, (F.col("_to") - F.col("_c") + 1).alias("_from"), "_to", "n")
 
 
 def quantile_positions(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
@@ -83,18 +76,15 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], x: str, probs: Mapping
                     method: str = "type7") -> DataFrame:
     """One row per group with one column per named probability."""
     groups = list(groups)
-    pos = group_positions(df, groups, x)
-    conds, aggs = None, []
-    cols = {}
-    for name, p in probs.items():
-        lo, hi, fr = quantile_positions(F.col("n"), p, method)
-        cols[name] = (lo, hi, fr)
-        c = (F.col("_pos") == lo) | (F.col("_pos") == hi)
-        conds = c if conds is None else conds | c
-    picked = pos.filter(conds)
+    ranks = value_ranks(df, groups, x)
+    at = lambda p: (F.col("_from") <= p) & (F.col("_to") >= p)
+    cols = {name: quantile_positions(F.col("n"), p, method) for name, p in probs.items()}
+    wanted = F.lit(False)
+    for lo, hi, _ in cols.values():
+        wanted = wanted | at(lo) | at(hi)
+    picked, aggs = ranks.filter(wanted), []
     for name, (lo, hi, fr) in cols.items():
-        xlo = F.max(F.when(F.col("_pos") == lo, F.col(x)))
-        xhi = F.max(F.when(F.col("_pos") == hi, F.col(x)))
+        xlo, xhi = F.max(F.when(at(lo), F.col(x))), F.max(F.when(at(hi), F.col(x)))
         aggs.append((xlo + F.max(fr) * (xhi - xlo)).alias(name))
     if groups:
         return picked.groupBy(*groups).agg(*aggs)
@@ -129,13 +119,11 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str =
 
 def summary_table(df: DataFrame, cols: Sequence[str], periods: Mapping[str, Column],
                   digits: int = 1) -> DataFrame:
-    """A2: stats for variables x periods from ONE long table and one grouping
-    (instead of one scan per cell), rounded like the published table."""
-    long = None
-    for label, cond in periods.items():
-        part = df.filter(cond).select(F.lit(label).alias("period"), *cols)
-        long = part if long is None else long.unionByName(part)
-    long = to_long(long, ["period"], cols)
+    """A2: stats for variables x periods, rounded like the published table.
+
+    Every row is read once and stands in each period whose condition it meets."""
+    labels = F.filter(F.array(*[F.when(cond, F.lit(label)) for label, cond in periods.items()]), lambda c: c.isNotNull())
+    long = to_long(df.withColumn("period", F.explode(labels)), ["period"], cols)
     s = summary_stats(long, ["variable", "period"])
     return s.select("variable", "period", *[F.round(c, digits).alias(c) for c in ("mean", "sd")], "n",
                     *[F.round(c, digits).alias(c) for c in ("p10", "p90")])
@@ -155,10 +143,12 @@ def collapse(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), digits:
 # --- A6-A15 ------------------------------------------------------------------------------
 
 def prevalence(df: DataFrame, u: str, t: str, flags: Mapping[str, str], units_name: str = "n_units") -> DataFrame:
-    """Per period, distinct units and distinct units with each flag = 1 (NULL ignored)."""
-    return df.groupBy(t).agg(F.count_distinct(u).alias(units_name),
-                             *[F.count_distinct(F.when(F.col(f) == 1, F.col(u))).alias(name)
-                               for name, f in flags.items()])
+    """Per period, distinct units and distinct units with each flag = 1 (NULL ignored).
+
+    One row a (period, unit) first, so that counting needs no copy of the rows for each flag."""
+    cells = df.groupBy(t, u).agg(*[F.max(F.coalesce((F.col(f) == 1).cast("int"), F.lit(0))).alias(f"_f{i}") for i, f in enumerate(flags.values())])
+    return cells.groupBy(t).agg(F.count(u).alias(units_name),
+                                *[F.sum(F.when(F.col(u).isNotNull(), F.col(f"_f{i}")).otherwise(0)).alias(name) for i, name in enumerate(flags)])
 
 
 def cohort_sizes(df: DataFrame, u: str, g: str) -> DataFrame:
@@ -176,7 +166,8 @@ def running_total(df: DataFrame, order_col: str, val: str, out: str = "running")
     key = F.col(order_col).asc_nulls_last()
     ranged = (df.repartitionByRange(nparts, key).sortWithinPartitions(key)
                 .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.persist()
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint()  # partition ids must not change between the sums and the rows
     parts = ranged.groupBy("_pid").agg(F.sum(val).alias("_ps"))
     parts = parts.withColumn("_off", F.coalesce(F.sum("_ps").over(
         Window.partitionBy(F.lit(1)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -186,6 +177,10 @@ def running_total(df: DataFrame, order_col: str, val: str, out: str = "running")
                  .withColumn(out, F.col("_off") + F.col("_w")).drop("_pid", "_w", "_off")
 
 
+def spark_row(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def tabulate(df: DataFrame, col: str, where: Column | None = None, missing: bool = False) -> DataFrame:
     """Stata ``tab``: freq, percent, cumulative percent and a Total row.
     The cumulative sum over the frequency table uses ``running_total``, so a
@@ -193,14 +188,12 @@ def tabulate(df: DataFrame, col: str, where: Column | None = None, missing: bool
     d = df if where is None else df.filter(where)
     if not missing:
         d = d.filter(F.col(col).isNotNull())
-    freq = d.groupBy(col).agg(F.count(F.lit(1)).alias("freq"))
-    total_n = freq.agg(F.sum("freq")).first()[0] or 0     # one scalar through the driver
-    withcum = running_total(freq, col, "freq", "_run")
+    withcum = running_total(d.groupBy(col).agg(F.count(F.lit(1)).alias("freq")), col, "freq", "_run")
+    total_n = withcum.agg(F.max("_run")).first()[0] or 0     # one scalar through the driver
     body = withcum.select(F.col(col).cast("string").alias("value"), "freq",
                           (F.col("freq") * 100.0 / F.lit(total_n)).alias("percent"),
                           (F.col("_run") * 100.0 / F.lit(total_n)).alias("cum_percent"))
-    total = freq.agg(F.lit("Total").alias("value"), F.sum("freq").alias("freq"),
-                     F.lit(100.0).alias("percent"), F.lit(None).cast("double").alias("cum_percent"))
+    total = spark_row(df, [("Total", total_n or None, 100.0, None)], "value string, freq long, percent double, cum_percent double")
     return body.unionByName(total)
 
 
@@ -219,7 +212,7 @@ def weighted_mean_by(df: DataFrame, by: Sequence[str], x: str, w: str) -> DataFr
 def balance_report(df: DataFrame, u: str, t: str) -> DataFrame:
     """Rows, units, min / max / median periods per unit (two-level aggregate;
     the median over units uses the exact sort-based quantile)."""
-    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods")).persist()
+    per_unit = df.groupBy(u).agg(F.count(F.lit(1)).alias("n_periods"))
     top = per_unit.agg(F.sum("n_periods").alias("n_rows"), F.count(F.lit(1)).alias("n_units"),
                        F.min("n_periods").alias("min_periods"), F.max("n_periods").alias("max_periods")).first()
     med = exact_quantiles(per_unit, [], "n_periods", {"median_periods": 0.5}).first()
@@ -235,12 +228,14 @@ def any_flag(cond: Column) -> Column:
 
 
 def n_units(df: DataFrame, u: str, never: str | None = None) -> DataFrame:
-    """Distinct units, and adopters / never-adopters among them."""
-    aggs = [F.count_distinct(u).alias("n_units")]
-    if never is not None:
-        aggs += [F.count_distinct(F.when(~F.col(never), F.col(u))).alias("n_adopters"),
-                 F.count_distinct(F.when(F.col(never), F.col(u))).alias("n_never")]
-    return df.agg(*aggs)
+    """Distinct units, and adopters / never-adopters among them (two-level aggregate)."""
+    d = df.filter(F.col(u).isNotNull())
+    if never is None:
+        return d.select(u).distinct().agg(F.count(F.lit(1)).alias("n_units"))
+    yes = F.col(never).cast("int")
+    units = d.groupBy(u).agg(F.max(1 - yes).alias("a"), F.max(yes).alias("n"))
+    return units.agg(F.count(F.lit(1)).alias("n_units"), F.coalesce(F.sum("a"), F.lit(0)).alias("n_adopters"),
+                     F.coalesce(F.sum("n"), F.lit(0)).alias("n_never"))
 
 
 def tau_grid(df: DataFrame, tau: str, lo: int, hi: int) -> DataFrame:
@@ -274,20 +269,9 @@ def unit_max(col: str, u) -> Column:
     return F.max(F.col(col)).over(over_unit(u))
 
 
-def cum_pct(freq: DataFrame, order_col: str, n: str = "freq") -> DataFrame:
-    """Running cumulative percent (distributed running total, see ``running_total``)."""
-    tot = freq.agg(F.sum(n)).first()[0] or 0              # one scalar through the driver
-    r = running_total(freq, order_col, n, "_run")
-    return r.withColumn("cum_percent", F.col("_run") * 100.0 / F.lit(tot)).drop("_run")
-
-
 def bind_rows(*dfs: DataFrame) -> DataFrame:
     """O3: union by name, missing columns filled with NULL."""
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
-
-
-def _isnan(x) -> bool:
-    return x is None or (isinstance(x, float) and math.isnan(x))

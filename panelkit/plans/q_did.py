@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelkit.operators import bacon as B
@@ -300,7 +302,14 @@ def _sunab_ctes(groups: dict[str, list[str]]) -> str:
 
 _SA_ATT = {"att": [c for c, (g, t) in _SA.items() if t >= g]}
 _SA_ES = {f"e{e}": [c for c, (g, t) in _SA.items() if t - g == e] for e in sorted({t - g for g, t in _SA.values()})}
-_DYN_ROWS = lambda src: "(" + _att_sql(src, "never") + _DYN_SQL + ")"
+def _raw(sql: str) -> str:
+    """The aggregate without its rounding, for SQL that goes on with it."""
+    for name in ("att", "se"):
+        sql = re.sub(rf"round\((.*), 6\) \+ 0\.0 AS {name}", rf"\1 AS {name}", sql)
+    return re.sub(r"round\((.*), 6\) \+ 0\.0(,| FROM)", r"\1\2", sql)
+
+
+_DYN_ROWS = lambda src: "(" + _att_sql(src, "never") + _raw(_DYN_SQL) + ")"
 
 
 @register("sunab_coefs", with_ctes(SQL_P1) + """,
@@ -354,13 +363,13 @@ def q_pretrend_test(spark, sf_dir):
 WITH s AS (SELECT sum(pow(att / se, 2)) AS chi2, count(*) AS df, count(*) FILTER (abs(att / se) > 1.96) AS n_significant
            FROM {_DYN_ROWS(_P1_ATT_WQ)} WHERE e < 0),
 v AS (SELECT *, {chi2_p_sql('s.chi2', 's.df')} AS p FROM s)
-SELECT round(chi2, 3) + 0.0 AS chi2, df, round(p, 6) + 0.0 AS p_value,
+SELECT round(chi2, 6) + 0.0 AS chi2, df, round(p, 6) + 0.0 AS p_value,
        CASE WHEN p < 0.05 THEN 'REJECT: pre-trends detected' ELSE 'PASS' END AS verdict, n_significant FROM v""")
 def q_pretrend_dynamic(spark, sf_dir):
     """E12 on the event-time series, with chi-square p-value and verdict."""
     a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
     r = pretrend_test(a.filter(F.col("e").isNotNull()), "e", "att", "se")
-    return r.withColumns({"chi2": rnd("chi2", 3), "p_value": rnd("p_value")})
+    return r.withColumns({"chi2": rnd("chi2"), "p_value": rnd("p_value")})
 
 
 def _tau(spark, sf_dir):
@@ -372,20 +381,20 @@ def _tau(spark, sf_dir):
 two AS (SELECT CAST(term AS INTEGER) AS tau, estimate, se, 'TWFE' AS method FROM es_out
   UNION ALL SELECT -1, 0.0, 0.0, 'TWFE'
   UNION ALL SELECT e, att, se, 'Group-time ATT' FROM {_DYN_ROWS(_P1_ATT)} WHERE e IS NOT NULL)
-SELECT tau, round(estimate, 4) + 0.0 AS estimate, round(se, 4) + 0.0 AS se, round(estimate - 1.96 * se, 4) + 0.0 AS ci_low,
-       round(estimate + 1.96 * se, 4) + 0.0 AS ci_high, method FROM two""")
+SELECT tau, round(estimate, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se, round(estimate - 1.96 * se, 6) + 0.0 AS ci_low,
+       round(estimate + 1.96 * se, 6) + 0.0 AS ci_high, method FROM two""")
 def q_compare_series(spark, sf_dir):
     """TWFE event study and group-time ATT event-time series stacked, tau in [-7, 9]."""
     tw = event_study(_tau(spark, sf_dir), "y_qty", "tau", "never", "unit", "t", weight="w", lo=-7, hi=9)
     cs = aggte(att_gt(supplier_quarter(spark, sf_dir), "y_qty", "unit", "t", "g", "w"), "dynamic", -7, 9)
     r = compare_series(tw, cs)
-    return r.withColumns({c: rnd(c, 4) for c in ("estimate", "se", "ci_low", "ci_high")})
+    return r.withColumns({c: rnd(c) for c in ("estimate", "se", "ci_low", "ci_high")})
 
 
 def _compare_sql():
     fits = [sweep_ctes(f"c_{y}", "p1r", y, {x: x for x in ("post", "trend", "post_trend")}, "w",
                        lincoms={"five": {"post": "1.0", "post_trend": "5.0"}}) for y in ("y_qty", "y_cnt")]
-    att = lambda y: "(" + _att_sql(_P1_ATT.replace("y_qty AS y,", f"{y} AS y,"), "never") + _SIMPLE_SQL + ")"
+    att = lambda y: "(" + _att_sql(_P1_ATT.replace("y_qty AS y,", f"{y} AS y,"), "never") + _raw(_SIMPLE_SQL) + ")"
     fit = lambda y: f"(SELECT * FROM {t_pvalues(f'(SELECT * REPLACE (n - 3 AS df) FROM c_{y}_out)')} WHERE term = 'five')"
     return "WITH RECURSIVE " + ",".join([",\n".join(_P1R), *fits]) + "\n" + "\nUNION ALL\n".join(
         f"""SELECT '{y}' AS outcome, printf('%.2f (%.2f)', f.estimate, f.se) AS twfe_5yr_effect, printf('%.3f', f.p_value) AS twfe_p_value,

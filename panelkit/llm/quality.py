@@ -114,9 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     for _ in range(EPOCHS):
         state = (rows.select("text", "label")
                  .mapInArrow(lambda it, z=z, n=n: _learn(it, z, n), "bucket long, z double, n double")
-                 .groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas())
-        z[state["bucket"]] += state["z"]
-        n[state["bucket"]] += state["n"]
+                 .groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow())
+        bucket = state.column("bucket").to_numpy()
+        z[bucket] += state.column("z").to_numpy()
+        n[bucket] += state.column("n").to_numpy()
     return _weights(z, n)
 
 

@@ -15,34 +15,17 @@ def p_normal(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    # continued fraction for the regularized incomplete beta (modified Lentz)
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
+def _beta_fraction(a: float, b: float, x: float, depth: int = 600) -> float:
+    """1 / (1 + d1 / (1 + d2 / ...)), DLMF 8.17.22, evaluated from the inside out."""
+    tail = 1.0
+    for n in range(depth, 0, -1):
+        m = n // 2
+        if n % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        tail = 1.0 + d / tail
+    return 1.0 / tail
 
 
 def betainc_reg(a: float, b: float, x: float) -> float:
@@ -53,8 +36,8 @@ def betainc_reg(a: float, b: float, x: float) -> float:
         return 1.0
     lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(lbt) * _beta_fraction(a, b, x) / a
+    return 1.0 - math.exp(lbt) * _beta_fraction(b, a, 1.0 - x) / b
 
 
 def p_t(t: float, df: float) -> float:

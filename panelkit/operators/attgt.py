@@ -19,6 +19,7 @@ Unit weights are taken from the unit's first period (normalised to mean one).
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.operators.describe import exact_quantiles
-from panelkit.operators.joins import MAX_COHORTS
+from panelkit.operators.joins import bounded_values
 from panelkit.operators.panel import over_unit
 
 CELL_SCHEMA = "g int, t int, att double, se double, n_treated long, n_control long"
-MAX_TARGET_ROWS = 200_000  # (cell, target) rows, broadcast; each cell is in <= 2 targets
+BROADCAST_ROWS = 200_000  # the (cell, target) table is broadcast only up to so many rows
 
 
 @dataclass
@@ -49,15 +50,26 @@ class AttGt:
         return self.spark.createDataFrame(rows, CELL_SCHEMA)
 
 
-def _prepare(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None):
+def _owned(res: AttGt, *held: DataFrame) -> AttGt:
+    """The caches go when nobody holds the result any more."""
+    weakref.finalize(res, _release, *held)
+    return res
+
+
+def _release(*held: DataFrame) -> None:
+    for df in held:
+        df.unpersist()
+
+
+def _prepare(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None, max_periods: int):
     p = df.select(F.col(u).alias("u"), F.col(t).cast("int").alias("t"), F.col(y).cast("double").alias("y"),
                   F.col(g).cast("int").alias("G"), (F.col(w).cast("double") if w else F.lit(1.0)).alias("w0"))
     p = p.filter(F.col("y").isNotNull())
-    periods = sorted(r[0] for r in p.select("t").distinct().collect())
+    periods = sorted(bounded_values(p, "t", max_periods))
     T = len(periods)
     t_lo, t_hi = periods[0], periods[-1]
     wu = over_unit("u")
-    p = (p.withColumn("_n", F.count(F.lit(1)).over(wu))
+    p = (p.withColumn("_n", F.size(F.collect_set("t").over(wu)))  # distinct periods: a repeated row fills no gap
           .withColumn("w", F.max(F.when(F.col("t") == t_lo, F.col("w0"))).over(wu))
           .filter((F.col("_n") == T) & F.col("w").isNotNull() & (F.col("w") > 0))
           .withColumn("G", F.when(F.col("G") > t_hi, F.lit(None)).otherwise(F.col("G")))
@@ -67,15 +79,18 @@ def _prepare(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None):
 
 
 def att_gt(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None = None,
-           control: str = "never", fallback: bool = False) -> AttGt:
+           control: str = "never", fallback: bool = False, max_periods: int = 1000) -> AttGt:
     """ATT(g,t) for every cohort and period after the first.
 
     control: 'never' (never-treated units) or 'notyet' (never treated or
     adopting after max(t, base), excluding the cohort itself).  With
     ``fallback`` (E3) a 'never' request without never-treated units switches
-    to 'notyet', decided from cell counts, not from an error."""
+    to 'notyet', decided from cell counts, not from an error.  Cohorts and
+    periods make the cells that the driver holds; more than ``max_periods`` periods
+    (cohorts are some of them) are refused before anything is collected.  Cached
+    data go with the returned object."""
     spark = df.sparkSession
-    p, periods = _prepare(df, y, u, t, g, w)
+    p, periods = _prepare(df, y, u, t, g, w, max_periods)
     p = p.persist(StorageLevel.MEMORY_AND_DISK)
     stats = p.filter(F.col("t") == periods[0]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
@@ -83,9 +98,7 @@ def att_gt(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None = None,
     n, sw = stats["n"], stats["sw"]
     if control == "never" and fallback and stats["n_never"] == 0:
         control = "notyet"
-    cohorts = sorted(r[0] for r in p.select("G").distinct().collect() if r[0] is not None)
-    if len(cohorts) > MAX_COHORTS:
-        raise ValueError("too many cohorts")
+    cohorts = sorted(x for x in bounded_values(p, "G", max_periods) if x is not None)
     mean_w = sw / n if n else 1.0
     units = p.filter(F.col("t") == periods[0]).select("u", "G", (F.col("w") / mean_w).alias("w"))
     pg = {r["G"]: r["s"] / n for r in units.filter(F.col("G").isNotNull()).groupBy("G")
@@ -98,7 +111,7 @@ def att_gt(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None = None,
     d = d.withColumns({f"yb{i}": F.max(F.when(F.col("t") == k - 1, F.col("y"))).over(wu) for i, k in enumerate(cohorts)})
     if not cohorts:
         empty = spark.createDataFrame([], "u long, k int, t int, role string, dy double, w double")
-        return AttGt(spark, empty, units, [], n, pg, control)
+        return _owned(AttGt(spark, empty, units, [], n, pg, control), p)
     kinfo = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"yb{i}").alias("yb")) for i, k in enumerate(cohorts)])
     x = d.filter(F.col("t") > periods[0]).select("u", "t", "y", "y_prev", "G", "w", F.explode(kinfo).alias("c"))
     x = x.select("u", "t", "G", "w", F.col("c.k").alias("k"),
@@ -132,7 +145,7 @@ def att_gt(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None = None,
                     v += max(r_["a2"] - 2 * m * r_["a1"] + m * m * r_["a0"], 0.0) / (r_["s0"] ** 2)
                 cell.update(att=m_tr - m_co, se=math.sqrt(v), m_tr=m_tr, m_co=m_co, s0_tr=tr["s0"], s0_co=co["s0"])
             cells.append(cell)
-    return AttGt(spark, contrib, units, cells, n, pg, control)
+    return _owned(AttGt(spark, contrib, units, cells, n, pg, control), p, contrib)
 
 
 def _targets(res: AttGt, kind: str, min_e: int | None, max_e: int | None) -> dict:
@@ -179,8 +192,6 @@ def aggte(res: AttGt, kind: str = "simple", min_e: int | None = None, max_e: int
             wif_rows.append((name, G, s / P, cnt * Aw / (P * P)))
         wif_rows.append((name, None, 0.0, 0.0))
         info[name + "#const"] = (-Aw / P + Aw / P)  # the constant parts cancel: (-A/P) + (A/P^2) * P
-    if len(rows) > MAX_TARGET_ROWS:
-        raise ValueError("too many (cell, target) rows")
     if not rows:
         return spark.createDataFrame([], "target string, e int, att double, se double")
     ct = spark.createDataFrame(rows, "target string, k int, t int, om double, m_tr double, s0_tr double, "
@@ -188,12 +199,12 @@ def aggte(res: AttGt, kind: str = "simple", min_e: int | None = None, max_e: int
     # per unit and target: sum of omega * psi over the unit's cells (cells table is bounded)
     psi = F.when(F.col("role") == "tr", F.col("w") * (F.col("dy") - F.col("m_tr")) / F.col("s0_tr")) \
            .otherwise(-F.col("w") * (F.col("dy") - F.col("m_co")) / F.col("s0_co"))
-    ps = res.contrib.join(F.broadcast(ct), ["k", "t"]).groupBy("u", "target") \
+    ps = res.contrib.join(F.broadcast(ct) if len(rows) <= BROADCAST_ROWS else ct, ["k", "t"]).groupBy("u", "target") \
                     .agg(F.sum(F.col("om") * psi).alias("psi"))
     wt = spark.createDataFrame(wif_rows, "target string, G int, a double, b double")
     names = list(targets)
     ut = res.units.select("u", "G", "w", F.explode(F.array(*[F.lit(x) for x in names])).alias("target"))
-    ut = ut.join(F.broadcast(wt), (ut.target == wt.target) & ut.G.eqNullSafe(wt.G), "left") \
+    ut = ut.join(F.broadcast(wt) if len(wif_rows) <= BROADCAST_ROWS else wt, (ut.target == wt.target) & ut.G.eqNullSafe(wt.G), "left") \
            .select("u", ut.target, ut.w, F.coalesce(wt.a, F.lit(0.0)).alias("a"), F.coalesce(wt.b, F.lit(0.0)).alias("b"))
     # wif_i = (w_i S(G_i) - A_T)/P_T - (A_T/P_T^2)(w_i c(G_i) - P_T) = w_i (a - b) with a = S/P, b = c A/P^2
     ifs = ut.join(ps, ["u", "target"], "left") \

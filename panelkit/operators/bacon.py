@@ -3,8 +3,8 @@
 Every 2x2 comparison only needs cohort x period means of the outcome, so the
 panel is reduced once by ``groupBy(cohort, period)`` (partial aggregation,
 #cohorts x T rows); pairs, 2x2 estimates and closed-form weights are then
-computed on that small table.  Cohorts are adoption periods, so the pair
-list is bounded by the number of periods (checked)."""
+computed on that small table from running sums.  Cohorts are adoption periods;
+more than ``max_cohorts`` are refused before the list is collected."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import is_timing_type
-from panelkit.operators.joins import MAX_COHORTS
+from panelkit.operators.joins import bounded_values
 from panelkit.operators.panel import over_unit
+from panelkit.session import checkpoint_dir
 
 BACON_SCHEMA = "treated int, control int, type string, estimate double, weight double"
 
@@ -32,7 +33,7 @@ def balanced_subset(df: DataFrame, u: str, t: str, y: str | None = None, min_uni
     return b
 
 
-def bacon(df: DataFrame, y: str, d: str, u: str, t: str) -> DataFrame:
+def bacon(df: DataFrame, y: str, d: str, u: str, t: str, max_cohorts: int = 2000) -> DataFrame:
     """Every 2x2 comparison (treated cohort, control cohort, type, estimate, weight).
 
     Treatment ``d`` is a 0/1 absorbing indicator; a unit's cohort is its first
@@ -41,15 +42,19 @@ def bacon(df: DataFrame, y: str, d: str, u: str, t: str) -> DataFrame:
     the closed forms of the decomposition, normalised to sum to one."""
     spark = df.sparkSession
     p = df.select(u, t, y, d).filter(F.col(y).isNotNull())
-    span = p.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.countDistinct(u).alias("n")).first()
-    t_lo, t_hi, n_units = span["lo"], span["hi"], span["n"]
-    T = t_hi - t_lo + 1
     p = p.withColumn("_g", F.min(F.when(F.col(d) == 1, F.col(t))).over(over_unit(u)))
-    cm = p.groupBy("_g", t).agg(F.avg(y).alias("ybar"), F.countDistinct(u).alias("n_u"))
-    cm = cm.persist()
-    sizes = {r["_g"]: r["n_u"] for r in cm.groupBy("_g").agg(F.max("n_u").alias("n_u")).collect()}
-    if len(sizes) > MAX_COHORTS:
-        raise ValueError("too many cohorts")
+    # a row is a (unit, period); the second window keeps the unit's exchange and tells if one repeats
+    p = p.withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(u, t)))
+    cm = p.groupBy("_g", t).agg(F.avg(y).alias("ybar"), F.count(F.lit(1)).alias("n_u"), F.max("_same").alias("_same"))
+    checkpoint_dir(spark)
+    cm = cm.checkpoint()
+    bounded_values(cm, "_g", max_cohorts)
+    per_g = cm.groupBy("_g").agg(F.max("n_u").alias("n_u"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.max("_same").alias("same")).collect()
+    if any(r["same"] > 1 for r in per_g):
+        raise ValueError(f"({u}, {t}) isn't a key")
+    sizes = {r["_g"]: r["n_u"] for r in per_g}
+    t_lo, t_hi, n_units = min(r["lo"] for r in per_g), max(r["hi"] for r in per_g), sum(sizes.values())
+    T = t_hi - t_lo + 1
     always = t_lo if t_lo in sizes else None
     timing = sorted(g for g in sizes if g is not None and g != always)
 
@@ -84,17 +89,19 @@ def bacon(df: DataFrame, y: str, d: str, u: str, t: str) -> DataFrame:
     total = sum(x[-1] for x in pairs)
     pdf = spark.createDataFrame([(*x[:6], x[6] / total) for x in pairs],
                                 "treated int, control int, type string, w_lo int, w_hi int, post_from int, weight double")
-    # 2x2 estimate: (post - pre) mean of the treated cohort minus that of the control,
-    # both over the pair's window; equi-joins of the pair list with the cohort means
-    tr = cm.select(F.col("_g").alias("treated"), F.col(t).alias("_t"), F.col("ybar").alias("y_tr"))
-    co = cm.select(F.col("_g").alias("control"), F.col(t).alias("_t"), F.col("ybar").alias("y_co"))
-    j = pdf.join(tr, "treated").join(co, (pdf.control.eqNullSafe(co.control)) & (tr._t == co._t)) \
-           .select(pdf["*"], tr._t, "y_tr", "y_co") \
-           .filter((F.col("_t") >= F.col("w_lo")) & (F.col("_t") <= F.col("w_hi")))
-    post = F.col("_t") >= F.col("post_from")
-    diff = F.col("y_tr") - F.col("y_co")
+    # 2x2 estimate: (post - pre) mean of the treated cohort minus that of the control over the
+    # pair's window, from the cohorts' running sums at the window's ends and before the post period
+    upto = cm.select(F.col("_g"), F.col(t).alias("_t"), F.sum("ybar").over(Window.partitionBy("_g").orderBy(t)).alias("s"))
+    n_pre, n_post = F.col("post_from") - F.col("w_lo"), F.col("w_hi") - F.col("post_from") + 1
+    cut = lambda at, c: F.struct(at.cast("int").alias("_t"), c.alias("c"))
+    cuts = F.array(cut(F.col("w_hi"), 1 / n_post), cut(F.col("post_from") - 1, -1 / n_post - 1 / n_pre), cut(F.col("w_lo") - 1, 1 / n_pre))
+    rows = pdf.select("treated", "control", "type", "weight", F.inline(cuts))
+    tr = upto.select(F.col("_g").alias("treated"), "_t", F.col("s").alias("s_tr"))
+    co = upto.select(F.col("_g").alias("_co"), F.col("_t").alias("_tc"), F.col("s").alias("s_co"))
+    j = rows.join(tr, ["treated", "_t"], "left").join(co, F.col("control").eqNullSafe(F.col("_co")) & (F.col("_t") == F.col("_tc")), "left")
+    zero = F.lit(0.0)  # before the first period nothing has been summed up
     est = j.groupBy("treated", "control", "type", "weight").agg(
-        (F.avg(F.when(post, diff)) - F.avg(F.when(~post, diff))).alias("estimate"))
+        F.sum(F.col("c") * (F.coalesce("s_tr", zero) - F.coalesce("s_co", zero))).alias("estimate"))
     return est.select("treated", "control", "type", "estimate", "weight")
 
 

@@ -27,7 +27,7 @@ def pretrend_test(series: DataFrame, tau: str = "tau", est: str = "estimate", se
         return spark.createDataFrame([(None, 0, None, "not testable", n_sig)],
                                      "chi2 double, df long, p_value double, verdict string, n_significant long")
     p = p_chi2(r["chi2"], r["df"])
-    verdict = "REJECT: pre-trends detected" if p < 0.05 else "PASS"
+    verdict = "joint test rejects at 5%" if p < 0.05 else "not rejected"
     return spark.createDataFrame([(float(r["chi2"]), int(r["df"]), p, verdict, n_sig)],
                                  "chi2 double, df long, p_value double, verdict string, n_significant long")
 

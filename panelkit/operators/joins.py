@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.panel import over_unit
 
-MAX_COHORTS = 5000  # cohorts are adoption periods: bounded by the number of periods
-
-
 def attach_unit_attrs(df: DataFrame, attrs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left equi-join of one-row-per-unit attributes.  Catalyst picks broadcast
     vs sort-merge from statistics; the unit table grows with the data, so no hint."""
@@ -44,29 +41,27 @@ def keep_units(df: DataFrame, u: str, pred: Column) -> DataFrame:
               .filter(F.col("_keep") == 1).drop("_keep"))
 
 
+def bounded_values(df: DataFrame, column: str, bound: int) -> list:
+    """The distinct values of a column that the caller needs on the driver; more than ``bound`` are refused before they are collected."""
+    values = df.select(column).distinct()
+    if values.limit(bound + 1).count() > bound:
+        raise ValueError(f"more than {bound} distinct values of {column}")
+    return [r[0] for r in values.collect()]
+
+
 def cohort_pairs(df: DataFrame, g: str) -> DataFrame:
     """Every ordered (treated cohort, control cohort) pair plus each cohort vs
     the never-treated, labelled like the decomposition's comparison types.
 
-    The cohort list is the set of adoption periods (checked bounded), so the pairs
-    are formed from that small list, never from the panel rows."""
-    cohorts = [r[0] for r in df.select(g).distinct().collect()]
-    if len(cohorts) > MAX_COHORTS:
-        raise ValueError("too many cohorts")
-    treated = sorted(c for c in cohorts if c is not None)
-    rows = []
-    for a in treated:
-        for b in cohorts:
-            if b == a:
-                continue
-            if b is None:
-                typ = "Treated vs Untreated"
-            elif a < b:
-                typ = "Earlier vs Later Treated"
-            else:
-                typ = "Later vs Earlier Treated"
-            rows.append((a, b, typ))
-    return df.sparkSession.createDataFrame(rows, "treated int, control int, type string")
+    Pairs are made in Spark from the distinct cohorts: each one stands beside the
+    sorted list of all of them and of the missing cohort."""
+    cohorts = df.select(F.col(g).alias("treated")).distinct()
+    every = cohorts.agg(F.array_sort(F.collect_set("treated")).alias("a"), F.max(F.col("treated").isNull()).alias("never")).first()
+    others = F.array(*[F.lit(c) for c in every["a"]], *([F.lit(None)] if every["never"] else [])).cast("array<int>") if every["a"] else F.array().cast("array<int>")
+    pairs = cohorts.where("treated is not null").select("treated", F.explode(others).alias("control")).where("control is null or control <> treated")
+    kind = (F.when(F.col("control").isNull(), "Treated vs Untreated").when(F.col("treated") < F.col("control"), "Earlier vs Later Treated")
+            .otherwise("Later vs Earlier Treated"))
+    return pairs.select(F.col("treated").cast("int"), "control", kind.alias("type"))
 
 
 def long_diff(df: DataFrame, u: str, t: str, y: str, base: Column, out: str = "dy") -> DataFrame:

@@ -53,17 +53,16 @@ def dense_id(df: DataFrame, keys: str | Sequence[str], out: str = "unit_id",
     ranged = distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()) \
                    .withColumn("_mono", F.monotonically_increasing_id()).checkpoint()
-    counts = sorted((r["_pid"], r["n"]) for r in
-                    ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r["_pid"], r["n"], r["m"]) for r in ranged.groupBy("_pid")
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("m")).collect())
     offsets, acc = [], 0
-    for pid, c in counts:
-        offsets.append((pid, acc))
+    for pid, c, first in counts:  # a partition's rows are numbered from its first one
+        offsets.append((pid, acc - first))
         acc += c
     off = spark.createDataFrame(offsets, "_pid int, _off long")
     # number of partitions is bounded by configuration, not by data: broadcast is safe
     ids = (ranged.join(F.broadcast(off), "_pid")
-                 .select(*keys, (F.col("_off") + (F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)) + 1)
-                         .cast("long").alias(out)))
+                 .select(*keys, (F.col("_off") + F.col("_mono") + 1).cast("long").alias(out)))
     cond = None
     for k in keys:
         c = df[k].eqNullSafe(ids[k])

@@ -364,7 +364,7 @@ WITH s AS (SELECT sum(pow(att / se, 2)) AS chi2, count(*) AS df, count(*) FILTER
            FROM {_DYN_ROWS(_P1_ATT_WQ)} WHERE e < 0),
 v AS (SELECT *, {chi2_p_sql('s.chi2', 's.df')} AS p FROM s)
 SELECT round(chi2, 6) + 0.0 AS chi2, df, round(p, 6) + 0.0 AS p_value,
-       CASE WHEN p < 0.05 THEN 'REJECT: pre-trends detected' ELSE 'PASS' END AS verdict, n_significant FROM v""")
+       CASE WHEN p < 0.05 THEN 'joint test rejects at 5%' ELSE 'not rejected' END AS verdict, n_significant FROM v""")
 def q_pretrend_dynamic(spark, sf_dir):
     """E12 on the event-time series, with chi-square p-value and verdict."""
     a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)

@@ -43,13 +43,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared filesystem);
-    only when it is unset (local tests) a scratch folder is created."""
+    On a cluster this must be set by the deployment (a shared filesystem); only in
+    local mode, where driver and executors are one, an unset one is created."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="panelkit-ckpt-")
     sc.setCheckpointDir(d)

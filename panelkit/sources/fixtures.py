@@ -20,9 +20,7 @@ P1_BASE_YEAR = 1995
 P1_COHORT_BY_MOD4 = {1: 8, 2: 14, 3: 20}      # unit % 4 -> first treated quarter; 0 -> never
 P1_COHORT2_BY_MOD5 = {1: 10, 2: 18}           # second policy: unit % 5 -> quarter; else never
 P2_COHORT_BY_MOD4 = {1: 1997, 2: 1998, 3: 1999}
-P2_YEARS = (1995, 2001)
 P3_ORIGIN = "2024-01-01"
-P3_DAYS = 30
 
 
 def _cohort(col, mapping: dict[int, int], mod: int):
@@ -33,6 +31,13 @@ def _cohort(col, mapping: dict[int, int], mod: int):
     return expr.cast("int")
 
 
+def _frame(cells: DataFrame) -> DataFrame:
+    """Every unit in every period from the data's first to its last one."""
+    span = cells.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()  # two scalars
+    lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+    return cells.select("unit").distinct().select("unit", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("t"))
+
+
 def supplier_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier x quarter cells of lineitem."""
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
@@ -57,9 +62,7 @@ def customer_year(spark: SparkSession, sf_dir: str, grid: bool = False) -> DataF
               .agg(F.count(F.lit(1)).cast("double").alias("y_cnt"),
                    F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("y_val")))
     if grid:
-        units = cells.select("unit").distinct()
-        frame = units.select("unit", F.explode(F.sequence(F.lit(P2_YEARS[0]), F.lit(P2_YEARS[1]))).alias("t"))
-        cells = frame.join(cells, ["unit", "t"], "left")
+        cells = _frame(cells).join(cells, ["unit", "t"], "left")
     by_unit = Window.partitionBy("unit")
     return (cells
             .withColumn("w", F.sum("y_cnt").over(by_unit))
@@ -67,7 +70,7 @@ def customer_year(spark: SparkSession, sf_dir: str, grid: bool = False) -> DataF
 
 
 def user_day(spark: SparkSession, sf_dir: str, grid: bool = False,
-             origin: str = P3_ORIGIN, days: int = P3_DAYS) -> DataFrame:
+             origin: str = P3_ORIGIN) -> DataFrame:
     """User x day cells of events; adoption = first purchase day (data-driven)."""
     ev = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     t = F.datediff(F.to_date("ts"), F.to_date(F.lit(origin))).cast("int")
@@ -76,9 +79,7 @@ def user_day(spark: SparkSession, sf_dir: str, grid: bool = False,
                     F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("y_val"),
                     F.max((F.col("event_type") == "purchase").cast("int")).alias("purchase")))
     if grid:
-        units = cells.select("unit").distinct()
-        frame = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("t"))
-        cells = (frame.join(cells, ["unit", "t"], "left")
+        cells = (_frame(cells).join(cells, ["unit", "t"], "left")
                       .withColumn("y_cnt", F.coalesce("y_cnt", F.lit(0.0)))
                       .withColumn("purchase", F.coalesce("purchase", F.lit(0))))
     by_unit = Window.partitionBy("unit")
@@ -118,7 +119,7 @@ p2 AS (
          CAST(CASE unit % 4 WHEN 1 THEN 1997 WHEN 2 THEN 1998 WHEN 3 THEN 1999 END AS INTEGER) AS g
   FROM p2c),
 p2gf AS (
-  SELECT unit, unnest(range(1995, 2002)) AS t FROM (SELECT DISTINCT unit FROM p2c)),
+  SELECT unit, unnest(range((SELECT min(t) FROM p2c), (SELECT max(t) FROM p2c) + 1)) AS t FROM (SELECT DISTINCT unit FROM p2c)),
 p2g AS (
   SELECT f.unit, CAST(f.t AS INTEGER) AS t, c.y_cnt, c.y_val,
          sum(c.y_cnt) OVER (PARTITION BY f.unit) AS w,
@@ -141,7 +142,7 @@ p3 AS (SELECT *, CAST(coalesce(t >= g, false) AS INTEGER) AS flag FROM p3a),
 p3gf AS (
   SELECT d.unit, CAST(d.t AS INTEGER) AS t, coalesce(c.y_cnt, 0.0) AS y_cnt, c.y_val,
          coalesce(c.purchase, 0) AS purchase
-  FROM (SELECT unit, unnest(range(0, 30)) AS t FROM (SELECT DISTINCT unit FROM p3c)) d
+  FROM (SELECT unit, unnest(range((SELECT min(t) FROM p3c), (SELECT max(t) FROM p3c) + 1)) AS t FROM (SELECT DISTINCT unit FROM p3c)) d
   LEFT JOIN p3c c ON c.unit = d.unit AND c.t = d.t),
 p3g AS (
   SELECT unit, t, y_cnt, y_val,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelkit.session import checkpoint_dir
@@ -25,22 +24,16 @@ def load_panel(spark: SparkSession, path: str, schema: StructType | None = None,
     return r.load(path)
 
 
-def assert_unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows violating the (unit, t) key; empty when the key holds (lazy, distributed)."""
-    return df.groupBy(*keys).count().filter(F.col("count") > 1)
-
-
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, plus the row count (one scan)."""
-    n = df.count()
-    spark = df.sparkSession
-    rows = [(i + 1, f.name, f.dataType.simpleString(), n) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "position int, column string, type string, n_rows long")
-
-
 def stage_path(spark: SparkSession, name: str, root: str | None = None) -> str:
-    """Shared location for stage hand-offs: under the cluster's checkpoint folder."""
-    return os.path.join(root or checkpoint_dir(spark), "stages", name)
+    """Shared location for stage hand-offs, the same in every session.
+
+    ``root``, else the setting ``spark.panelkit.stage.dir``, else ``stages`` in the
+    folder that ``spark.checkpoint.dir`` names; in local mode without either, the
+    session's own checkpoint folder."""
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.panelkit.stage.dir", None) or (f"{shared.rstrip('/')}/stages" if shared else None)
+    return os.path.join(root or os.path.join(checkpoint_dir(spark), "stages"), name)
 
 
 def save_stage(df: DataFrame, name: str, root: str | None = None,
@@ -54,13 +47,19 @@ def save_stage(df: DataFrame, name: str, root: str | None = None,
     return path
 
 
+def drop_stage(spark: SparkSession, name: str, root: str | None = None) -> bool:
+    """Delete a stage folder; False if there was none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_path(spark, name, root))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load_stage(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
     return spark.read.parquet(stage_path(spark, name, root))
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """Header CSV / TSV sink. Report tables are small, so one file is written."""
-    (df.coalesce(1).write.mode("overwrite")
+    """Header CSV / TSV sink, a file for each partition of the report."""
+    (df.write.mode("overwrite")
        .option("header", True).option("sep", sep).option("nullValue", "NA").csv(path))
     return path
 

@@ -85,7 +85,7 @@ class Words:
         return spans_hash(_BYTES[kind][self.data], self.start, self.end, seed=10 + kind)
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[slice, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[slice, Words]]:
     """(rows, words) of consecutive documents, whole ones only; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -96,7 +96,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[slice, Words]]:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield slice(i, j), Words(data[off[i]: off[j]], off[i: j + 1] - off[i])
         i = j
 

@@ -32,6 +32,13 @@ def pretrend_test(series: DataFrame, tau: str = "tau", est: str = "estimate", se
                                  "chi2 double, df long, p_value double, verdict string, n_significant long")
 
 
+def pretrend_rows(series: DataFrame, tau: str = "tau", est: str = "estimate", se: str = "se") -> DataFrame:
+    """E12 per event time: estimate, se, z and a star where |z| > 1.96, for tau < 0."""
+    z = F.col(est) / F.col(se)
+    return series.filter(F.col(tau) < 0).select(F.col(tau).alias("tau"), F.col(est).alias("estimate"), F.col(se).alias("se"), z.alias("z"),
+                                                F.when(F.abs(z) > 1.96, "*").otherwise("").alias("star"))
+
+
 def compare_series(twfe: DataFrame, cs: DataFrame, lo: int = -7, hi: int = 9) -> DataFrame:
     """TWFE event-study series stacked with the group-time ATT event-time series."""
     a = twfe.select("tau", "estimate", "se", "ci_low", "ci_high", F.lit("TWFE").alias("method"))

@@ -140,6 +140,17 @@ def collapse(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), digits:
                     "n", "p10", "p90")
 
 
+def collapse_wide(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), digits: int | None = 2) -> DataFrame:
+    """The collapse report as published: one row (per ``by``), columns ``<variable>_<statistic>``.
+
+    The variables are arguments, so the columns need no look at the data."""
+    by = list(by)
+    long = collapse(df, cols, by, digits)
+    stats = ("mean", "sd", "n", "p10", "p90")
+    wide = [F.max(F.when(F.col("variable") == v, F.col(s))).alias(f"{v}_{s}") for v in cols for s in stats]
+    return long.groupBy(*by).agg(*wide) if by else long.agg(*wide)
+
+
 # --- A6-A15 ------------------------------------------------------------------------------
 
 def prevalence(df: DataFrame, u: str, t: str, flags: Mapping[str, str], units_name: str = "n_units") -> DataFrame:

@@ -67,6 +67,21 @@ def q_collapse_by_flag(spark, sf_dir):
     return c.withColumns({"p10": rnd("p10"), "p90": rnd("p90")})
 
 
+def _collapse_wide_sql(by):
+    names = [f"max(CASE WHEN variable = '{v}' THEN {x} END) AS {v}_{x}" for v in ("y_cnt", "y_val") for x in ("mean", "sd", "n", "p10", "p90")]
+    return f"SELECT {by}, {', '.join(names)} FROM ({_collapse_sql(by)}) GROUP BY {by}"
+
+
+@register("collapse_wide", with_ctes(
+    SQL_P2, "src AS (SELECT *, CAST(t >= 2000 AS INTEGER) AS ld FROM p2 WHERE t <= 1996 OR t >= 2000)")
+    + "\n" + _collapse_wide_sql("ld"))
+def q_collapse_wide(spark, sf_dir):
+    """A4 in the published layout: a row per period group, a column per variable and statistic."""
+    p = P.two_tail_filter(customer_year(spark, sf_dir), "t", 1997, 1999).withColumn("ld", (F.col("t") >= 2000).cast("int"))
+    c = D.collapse_wide(p, ["y_cnt", "y_val"], by=["ld"])
+    return c.withColumns({x: rnd(x) for x in c.columns if x.endswith(("p10", "p90"))})
+
+
 @register("percentile_stata", with_ctes(SQL_P2) + f"""
 SELECT t, round({_stata_pct('y_val', 0.1)}, 6) + 0.0 AS p10_stata, round(quantile_cont(y_val, 0.1), 6) + 0.0 AS p10_type7,
        round({_stata_pct('y_cnt', 0.5)}, 6) + 0.0 AS p50_stata, round(quantile_cont(y_cnt, 0.5), 6) + 0.0 AS p50_type7

@@ -277,7 +277,7 @@ def q_att_boot(spark, sf_dir):
 # ---------------------------------------------------------------- E9-E14, F3, F7-F14
 
 from panelkit.functions import scalar as S  # noqa: E402
-from panelkit.operators.compare import comparison_table, compare_series, pretrend_stat, pretrend_test  # noqa: E402
+from panelkit.operators.compare import comparison_table, compare_series, pretrend_rows, pretrend_stat, pretrend_test  # noqa: E402
 from panelkit.operators.feols import feols, feols_multi  # noqa: E402
 from panelkit.operators.regression import event_study  # noqa: E402
 from panelkit.operators.sunab import sunab  # noqa: E402
@@ -372,6 +372,15 @@ def q_pretrend_dynamic(spark, sf_dir):
     return r.withColumns({"chi2": rnd("chi2"), "p_value": rnd("p_value")})
 
 
+@register("pretrend_rows", f"""
+SELECT e AS tau, round(att, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se, round(att / se, 6) + 0.0 AS z,
+       CASE WHEN abs(att / se) > 1.96 THEN '*' ELSE '' END AS star FROM {_DYN_ROWS(_P1_ATT_WQ)} WHERE e < 0""")
+def q_pretrend_rows(spark, sf_dir):
+    """E12 per event time, with its star."""
+    a = aggte(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9)
+    return _rounded(pretrend_rows(a.filter(F.col("e").isNotNull()), "e", "att", "se"), "estimate", "se", "z")
+
+
 def _tau(spark, sf_dir):
     return supplier_quarter(spark, sf_dir).withColumn("never", F.col("g").isNull()) \
         .withColumn("tau", (F.col("t") - F.col("g")).cast("int"))

@@ -428,3 +428,28 @@ def q_check_no_post(spark, sf_dir):
     outcome from adoption on, without applying the rule."""
     h = P.check_no_post(customer_year(spark, sf_dir, grid=True), "unit", "t", "g", ["y_cnt", "y_val"])
     return h.groupBy(F.col("has_post").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("freq"))
+
+
+# ---------------------------------------------------------------- stage-01 composite
+
+@register("prepared_panel", with_ctes(SQL_P2) + """,
+f AS (SELECT *, CASE WHEN unit % 6 = 1 THEN 1998 END AS g_list FROM p2g),
+a AS (SELECT *, coalesce(g_list, min(CASE WHEN g IS NOT NULL AND t >= g THEN t END) OVER (PARTITION BY unit)) AS first_,
+             min(CASE WHEN y_cnt IS NOT NULL OR y_val IS NOT NULL THEN t END) OVER (PARTITION BY unit) AS x,
+             min(t) OVER (PARTITION BY unit) AS first_obs, max(t) OVER (PARTITION BY unit) AS last_obs FROM f),
+b AS (SELECT *, CASE WHEN first_ > first_obs AND (y_cnt IS NOT NULL OR y_val IS NOT NULL) THEN t - first_ END AS tau0,
+             first_ IS NULL OR coalesce(last_obs < first_, false) AS never0,
+             max(CASE WHEN t >= first_ AND (y_cnt IS NOT NULL OR y_val IS NOT NULL) THEN 1 END) OVER (PARTITION BY unit) AS post_obs FROM a),
+c AS (SELECT *, first_ IS NOT NULL AND post_obs IS NULL AS nopost FROM b),
+d AS (SELECT *, never0 OR nopost AS never, CASE WHEN NOT never0 AND NOT nopost THEN tau0 END AS tau FROM c)
+SELECT unit, t, CAST(first_ AS INTEGER) AS first, CAST(tau AS INTEGER) AS tau, never,
+       CAST(CASE WHEN NOT never THEN first_ END AS INTEGER) AS cohort, CAST(NOT never AND t >= first_ AS INTEGER) AS post FROM d""")
+def q_prepared_panel(spark, sf_dir):
+    """The mortality preparation end to end: listed adoption years ahead of derived ones, late
+    adopters as never-adopters, event time on observed rows, no-post units reclassified."""
+    p = customer_year(spark, sf_dir, grid=True).withColumns({
+        "flag": F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int"),
+        "g_list": F.when(F.col("unit") % 6 == 1, F.lit(1998)).cast("int")})
+    p = P.prepare_panel(p, "unit", "t", "flag", ["y_cnt", "y_val"], first_from="g_list", never_if_late=True, require_obs=True)
+    return p.select("unit", "t", F.col("first").cast("int").alias("first"), "tau", "never", F.col("cohort").cast("int").alias("cohort"),
+                    F.coalesce("post", F.lit(0)).cast("int").alias("post"))

@@ -260,3 +260,44 @@ def q_reg_table(spark, sf_dir):
     lc = fits[2].lincom({"post": 1.0, "post_trend": 5.0})
     return reg_table(spark, dict(zip(["2A", "2B", "2C"], fits)), ["post", "trend", "post_trend"],
                      extra={"5-Year Effect": {"2C": lc}})
+
+
+def _gap(spark, sf_dir):
+    return _p1r(spark, sf_dir).withColumn("y_gap", F.when(F.col("unit") % 2 == 0, F.col("y_cnt")))
+
+
+_XS = ["post", "trend", "post_trend"]
+_GAP_CTES = "WITH RECURSIVE " + ",\n".join(_P1R) + ",\neven AS (SELECT * FROM p1r WHERE unit % 2 = 0)," + ",".join(
+    sweep_ctes(f"g_{y}", src, col, {x: x for x in _XS}, "w_cell") for y, src, col in (("y_qty", "p1r", "y_qty"), ("y_gap", "even", "y_cnt")))
+
+
+@register("twfe_models_gaps", _GAP_CTES + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{y}' AS outcome, term, {_SQL_EST}, n FROM {t_pvalues(f'g_{y}_out')}" for y in ("y_qty", "y_gap")))
+def q_twfe_models_gaps(spark, sf_dir):
+    """A second outcome that misses half of the units takes no row from the first one's model."""
+    fits = feols_multi(_gap(spark, sf_dir), [(y, _XS) for y in ("y_qty", "y_gap")], "unit", "t", weight="w_cell")
+    rows = [(y, *r, fit.n) for y, fit in zip(("y_qty", "y_gap"), fits) for r in fit.rows()]
+    return _rounded(spark.createDataFrame(rows, "outcome string, term string, estimate double, se double, t_stat double, p_value double, n long"), *ESTIMATES)
+
+
+@register("fit_stats_outcomes", _GAP_CTES + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{y}' AS outcome, n, CAST(kk AS BIGINT) AS K, round(1 - ssr / (swyy - swy * swy / sw), 6) + 0.0 AS r2,
+  round(sqrt(ssr / sw * n / (n - kk - ng)), 6) + 0.0 AS rmse FROM g_{y}_fit, g_{y}_n, g_{y}_k""" for y in ("y_qty", "y_gap")))
+def q_fit_stats_outcomes(spark, sf_dir):
+    """N, K, R2 and root mean squared error of every outcome of a shared fit."""
+    fits = feols_multi(_gap(spark, sf_dir), [(y, _XS) for y in ("y_qty", "y_gap")], "unit", "t", weight="w_cell")
+    rows = [(y, fit.n, fit.K, fit.r2, fit.rmse) for y, fit in zip(("y_qty", "y_gap"), fits)]
+    return _rounded(spark.createDataFrame(rows, "outcome string, n long, K long, r2 double, rmse double"), "r2", "rmse")
+
+
+_ABSORBED = {"post": "post", "per_unit": "unit * 1000.0 + 7", "trend": "trend", "per_period": "t * t + 2000.0", "twice": "2 * trend + 1"}
+
+
+@register("fe_collinear_report", "WITH RECURSIVE " + ",\n".join(_P1R) + "," + sweep_ctes("fc", "p1r", "y_qty", _ABSORBED, "w_cell") + """
+SELECT term, estimate IS NULL AS omitted, round(estimate, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se FROM fc_out""")
+def q_fe_collinear_report(spark, sf_dir):
+    """Which regressors the effects (or earlier regressors) absorb."""
+    p = _p1r(spark, sf_dir).withColumns({name: F.expr(e) for name, e in _ABSORBED.items() if name not in ("post", "trend")})
+    fit = feols(p, "y_qty", list(_ABSORBED), "unit", "t", weight="w_cell")
+    rows = [(term, term in fit.omitted, b, s) for term, b, s, _, _ in fit.rows()]
+    return _rounded(spark.createDataFrame(rows, "term string, omitted boolean, estimate double, se double"), "estimate", "se")

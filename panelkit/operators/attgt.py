@@ -232,9 +232,10 @@ def aggte(res: AttGt, kind: str = "simple", min_e: int | None = None, max_e: int
 
 def multiplier_bootstrap(ifs: DataFrame, n: int, draws: int, seed: int = 0) -> dict:
     """Se from ``draws`` multiplier-bootstrap replicates of sum_i v_ib IF_i / n with
-    Rademacher v from a hash of (seed, draw, unit); se = IQR / (z.75 - z.25)."""
+    Rademacher v from a digit of md5(seed|draw|unit); se = IQR / (z.75 - z.25)."""
     b = ifs.select("u", "target", "IF", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    v = (F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col("u")), F.lit(2)) * 2 - 1).cast("double")
+    digit = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("u")).cast("binary")), 1, 1)
+    v = (F.ascii(digit) % 2 * 2 - 1).cast("double")  # of the 16 digits 8 are even characters
     reps = b.groupBy("target", "b").agg((F.sum(v * F.col("IF")) / n).alias("theta"))
     q = exact_quantiles(reps, ["target"], "theta", {"q25": 0.25, "q75": 0.75})
     return {r["target"]: (r["q75"] - r["q25"]) / 1.3489795003921634 for r in q.collect()}

@@ -267,11 +267,18 @@ def q_aggte_dynamic(spark, sf_dir):
     return a.select("target", "e", rnd("att").alias("att"), rnd("se").alias("se"))
 
 
-@register("att_boot_se")
+@register("att_boot_se", _att_sql(_P1_ATT_WQ, "never") + _SIMPLE_SQL[: _SIMPLE_SQL.index("SELECT 'simple'")].rstrip() + """,
+reps AS (
+  SELECT b, sum((ascii(substr(md5('20240101|' || CAST(b AS VARCHAR) || '|' || CAST(unit AS VARCHAR)), 1, 1)) % 2 * 2 - 1) * inf) / (SELECT n FROM nu) AS theta
+  FROM ifs, (SELECT unnest(range(999)) AS b) GROUP BY b)
+SELECT 'simple' AS target, CAST(NULL AS INTEGER) AS e, round((SELECT aw / pp FROM tot), 6) + 0.0 AS att,
+       round((SELECT sqrt(sum(inf * inf)) FROM ifs) / (SELECT n FROM nu), 6) + 0.0 AS se,
+       round((quantile_cont(theta, 0.75) - quantile_cont(theta, 0.25)) / 1.3489795003921634, 6) + 0.0 AS boot_se FROM reps""")
 def q_att_boot(spark, sf_dir):
     """Multiplier-bootstrap se (seeded hashed Rademacher draws) next to the analytic se."""
     res = att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq")
-    return aggte(res, "simple", boot_draws=999, seed=20240101)
+    a = aggte(res, "simple", boot_draws=999, seed=20240101)
+    return a.withColumns({c: rnd(c) for c in ("att", "se", "boot_se")})
 
 
 # ---------------------------------------------------------------- E9-E14, F3, F7-F14

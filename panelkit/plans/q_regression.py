@@ -252,7 +252,26 @@ def q_stage2(spark, sf_dir):
     return _rounded(stage2(_stage1(spark, sf_dir).where("taub is not null"), persist_name="sigmas"), *ESTIMATES, "r2")
 
 
-@register("reg_table")
+def _table_sql():
+    star = "CASE WHEN p_value <= 0.01 THEN '***' WHEN p_value <= 0.05 THEN '**' WHEN p_value <= 0.10 THEN '*' ELSE '' END"
+    fits = [sweep_ctes(f"t{m}", "p1r", "y_qty", {x: x for x in xs}, "w", lincoms={"five": {"post": "1.0", "post_trend": "5.0"}} if m == "2C" else None)
+            for m, xs in _SQL_TERMS.items()]
+    order = {"post": 0, "trend": 2, "post_trend": 4, "five": 8}
+    row = "CASE term " + " ".join(f"WHEN '{t}' THEN {k}" for t, k in order.items()) + " END"
+    cells = []
+    for m in _SQL_TERMS:
+        src = t_pvalues(f"t{m}_out")
+        cells += [f"SELECT '{m}' AS model, {row} AS o, CASE term WHEN 'five' THEN '5-Year Effect' ELSE term END AS label, printf('%.2f', estimate) || {star} AS v FROM {src}",
+                  f"SELECT '{m}', {row} + 1, CASE term WHEN 'five' THEN 'p-value' ELSE '' END, "
+                  f"CASE term WHEN 'five' THEN printf('[%.2f]', p_value) ELSE printf('(%.2f)', se) END FROM {src}",
+                  f"SELECT DISTINCT '{m}', 6, 'Observations', CAST(n AS VARCHAR) FROM t{m}_out",
+                  f"SELECT DISTINCT '{m}', 7, 'R-squared', printf('%.3f', r2) FROM t{m}_out"]
+    pick = ", ".join(f"coalesce(max(CASE WHEN model = '{m}' THEN v END), '') AS \"{m}\"" for m in _SQL_TERMS)
+    return ("WITH RECURSIVE " + ",".join([",\n".join(_P1R), *fits]) + ",\ncells AS (" + "\nUNION ALL ".join(cells) + ")\n"
+            + f"SELECT CAST(o AS INTEGER) AS row_order, label, {pick} FROM cells GROUP BY o, label")
+
+
+@register("reg_table", _table_sql())
 def q_reg_table(spark, sf_dir):
     """S10 + F8/F9: models side by side with stars, selected terms and extra rows."""
     fits = feols_multi(_p1r(spark, sf_dir), [("y_qty", xs) for xs in

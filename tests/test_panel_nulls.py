@@ -75,3 +75,44 @@ def test_override_chain_last_wins(spark):
     c = P.override_chain([(F.col("a") == 1, 1995), (F.col("b") == 1, 1985)])
     r = {(x.a, x.b): x.v for x in df.select("a", "b", c.alias("v")).collect()}
     assert r == {(0, 0): None, (1, 0): 1995, (0, 1): 1985, (1, 1): 1985}
+
+
+def test_frequent_value_is_one_row(spark):
+    """Half of all rows hold one value: ranks come from value counts, quantiles stay exact."""
+    vals = [7.0] * 500 + [float(i) for i in range(500)]
+    df = spark.createDataFrame([("a", v) for v in vals], "g string, x double").repartition(6)
+    ranks = D.value_ranks(df, ["g"], "x")
+    assert ranks.where("x = 7").count() == 1
+    assert ranks.selectExpr("sum(_to - _from + 1)").first()[0] == 1000
+    q = D.exact_quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
+    assert [q["a"], q["b"], q["c"]] == pytest.approx(np.percentile(vals, [25, 50, 90]))
+
+
+def test_rows_outside_the_old_frame_stay(spark, tmp_path):
+    import datetime as dt
+    from panelkit.sources.fixtures import customer_year
+    rows = [(1, dt.datetime(1990, 5, 1), 10.0), (1, dt.datetime(1996, 5, 1), 10.0), (2, dt.datetime(2005, 5, 1), 5.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.unit, r.t) for r in customer_year(spark, str(tmp_path), grid=True).where("y_cnt is not null").collect()}
+    assert got == {(1, 1990), (1, 1996), (2, 2005)}
+    assert customer_year(spark, str(tmp_path), grid=True).count() == 2 * 16
+
+
+def test_stage_hand_off_needs_no_session(spark, tmp_path):
+    """A stage is found by name alone from another session of the same setting, and can be dropped."""
+    from panelkit.sources.io import drop_stage, load_stage, save_stage
+    other = spark.newSession()
+    for s in (spark, other):
+        s.conf.set("spark.panelkit.stage.dir", str(tmp_path / "stages"))
+    save_stage(spark.range(5), "five")
+    assert load_stage(other, "five").count() == 5
+    assert drop_stage(other, "five") and not drop_stage(spark, "five")
+    spark.conf.unset("spark.panelkit.stage.dir")
+
+
+def test_attgt_counts_periods_not_rows(spark):
+    """A repeated row doesn't fill the gap of another period."""
+    from panelkit.operators.attgt import att_gt
+    rows = [(u, t, float(u + t), None if u > 3 else 3) for u in range(1, 8) for t in range(1, 6) if (u, t) != (2, 4)] + [(2, 5, 9.0, 3)]
+    res = att_gt(spark.createDataFrame(rows, "u long, t int, y double, g int"), "y", "u", "t", "g")
+    assert res.n == 6

@@ -70,8 +70,18 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> V.U64(32)) * V.U64(parts) >> V.U64(32)).astype(np.int32)
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit numbers with their first bytes together, then their second ones and so on: sorted hashes and small counts shrink."""
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, 8 * n, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view(np.int64).reshape(n)
+
+
+def _unpacked_all(table: pa.Table, column: str) -> list[np.ndarray]:
+    return [_unpacked(data, n) for data, n in zip(table.column(column).to_pylist(), table.column("size").to_pylist())]
 
 
 def _ask(order: int, parts: int):
@@ -82,19 +92,23 @@ def _ask(order: int, parts: int):
         keys, n = np.append(TOTAL, keys), np.append(counts.sum(), n)
         part = _part_of(keys, parts)
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=parts + 1))
-        return pa.table({"part": pa.array(part[cuts[:-1]]), "block": pa.array(np.full(len(cuts) - 1, block)),
-                         "keys": _lists(keys.view(np.int64), cuts, pa.int64()), "n": _lists(n, cuts, pa.int32())})
+        keys, n = keys.view(np.int64), n.astype(np.int64)
+        pieces = list(zip(cuts.tolist(), cuts[1:].tolist()))
+        return pa.table({"part": pa.array(part[cuts[:-1]]), "block": pa.array(np.full(len(pieces), block)), "size": pa.array(np.diff(cuts).astype(np.int32)),
+                         "keys": pa.array([_packed(keys[a:b]) for a, b in pieces], pa.binary()), "n": pa.array([_packed(n[a:b]) for a, b in pieces], pa.binary())})
 
     return run
 
 
 def _count(table):
     """Answers each block's keys with the counts over all blocks."""
-    keys = table.column("keys").combine_chunks()
-    n = table.column("n").combine_chunks().flatten().to_numpy().astype(np.float64)
-    _, at = np.unique(keys.flatten().to_numpy(), return_inverse=True)
-    total = np.bincount(at, n)[at].astype(np.int64)
-    return pa.table({"block": table.column("block"), "part": table.column("part"), "counts": pa.ListArray.from_arrays(keys.offsets, pa.array(total))})
+    keys, n = _unpacked_all(table, "keys"), _unpacked_all(table, "n")
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(at.max() + 1, np.int64)
+    np.add.at(total, at, np.concatenate(n))
+    ends = np.cumsum([0, *map(len, keys)])
+    counts = [_packed(total[at[a:b]]) for a, b in zip(ends, ends[1:])]
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "size": table.column("size"), "counts": pa.array(counts, pa.binary())})
 
 
 def _own(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,7 +126,7 @@ def _score(order: int):
     def run(docs, answers):
         counts, doc, grams = _block(docs, order)
         keys, _ = _keys(grams)
-        known = answers.sort_by("part").column("counts").combine_chunks().flatten().to_numpy()
+        known = np.concatenate(_unpacked_all(answers.sort_by("part"), "counts"))
         total, known = int(known[0]), known[1:]  # the key of the total is the smallest
         score, todo, skipped = np.zeros(len(doc)), np.ones(len(doc), bool), np.zeros(len(doc))
         have, rest = [], total - counts[doc]  # words of the other documents
@@ -139,6 +153,6 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     blocks = max(1, -(-size // BLOCK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
-    asked = rows.groupBy("block").applyInArrow(_ask(order, blocks), "part int, block long, keys array<long>, n array<int>")
-    answers = asked.groupBy("part").applyInArrow(_count, "block long, part int, counts array<long>")
+    asked = rows.groupBy("block").applyInArrow(_ask(order, blocks), "part int, block long, size int, keys binary, n binary")
+    answers = asked.groupBy("part").applyInArrow(_count, "block long, part int, size int, counts binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order), "doc_id long, n_words long, score double")

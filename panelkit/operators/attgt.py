@@ -3,14 +3,13 @@
 Plan:
 * balanced units only (observed with y in every period); units treated in the
   first period are dropped, cohorts after the last period count as never treated;
-* each unit-period row is expanded over the (bounded) cohort list into its
-  cell contributions (treated / control role, long difference to the cell's
-  base period), and one ``groupBy(cell, role)`` with partial aggregation gives
-  every ATT(g,t) and its analytic influence-function se;
-* aggregations (simple, dynamic, overall) need unit-level influence functions:
-  the same contributions are summed per (unit, target) -- the data stays
-  partitioned by unit -- plus the weight-estimation term from small
-  per-target tables; se = sqrt(sum IF^2) / n;
+  a unit becomes one row with its outcomes in period order;
+* every ATT(g,t) and its analytic influence-function se come from moments by
+  cohort: sums of w, w^2, w y_t, w^2 y_t and w^2 y_t y_s, added up in the tasks
+  (a cohort is a few numbers and a T x T matrix, whatever its size);
+* aggregations (simple, dynamic, overall): a unit's influence function is w times
+  a linear function of its outcomes whose coefficients depend on cohort and target
+  only, so one pass over the unit rows gives all of them; se = sqrt(sum IF^2) / n;
 * the multiplier bootstrap draws hashed Rademacher weights per (unit, draw)
   and sums per (target, draw), so only draws x targets rows are shuffled.
 Unit weights are taken from the unit's first period (normalised to mean one).
@@ -20,9 +19,11 @@ from __future__ import annotations
 
 import math
 import weakref
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,13 @@ from panelkit.operators.joins import bounded_values
 from panelkit.operators.panel import over_unit
 
 CELL_SCHEMA = "g int, t int, att double, se double, n_treated long, n_control long"
-BROADCAST_ROWS = 200_000  # the (cell, target) table is broadcast only up to so many rows
 
 
 @dataclass
 class AttGt:
     spark: SparkSession
-    contrib: DataFrame          # (u, k, t, role, dy, w) cell contributions, partitioned by unit
-    units: DataFrame            # (u, G, w) one row per unit
+    units: DataFrame            # (u, G, w, y) one row per unit, y in period order
+    periods: list[int]
     cells: list[dict]           # driver copy of the cell table (bounded by cohorts x periods)
     n: int
     pg: dict                    # weighted cohort shares
@@ -91,61 +91,78 @@ def att_gt(df: DataFrame, y: str, u: str, t: str, g: str, w: str | None = None,
     data go with the returned object."""
     spark = df.sparkSession
     p, periods = _prepare(df, y, u, t, g, w, max_periods)
-    p = p.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = p.filter(F.col("t") == periods[0]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
-        F.count(F.when(F.col("G").isNull(), 1)).alias("n_never")).first()
+    T = len(periods)
+    units = (p.groupBy("u", "G", "t").agg(F.avg("y").alias("y"), F.first("w").alias("w"))
+             .groupBy("u", "G").agg(F.first("w").alias("w"), F.array_sort(F.collect_list(F.struct("t", "y"))).alias("ys"))
+             .select("u", "G", "w", F.transform("ys", lambda x: x["y"]).alias("y")).persist(StorageLevel.MEMORY_AND_DISK))
+    stats = units.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.count(F.when(F.col("G").isNull(), 1)).alias("n_never")).first()
     n, sw = stats["n"], stats["sw"]
     if control == "never" and fallback and stats["n_never"] == 0:
         control = "notyet"
-    cohorts = sorted(x for x in bounded_values(p, "G", max_periods) if x is not None)
-    mean_w = sw / n if n else 1.0
-    units = p.filter(F.col("t") == periods[0]).select("u", "G", (F.col("w") / mean_w).alias("w"))
-    pg = {r["G"]: r["s"] / n for r in units.filter(F.col("G").isNotNull()).groupBy("G")
-          .agg(F.sum("w").alias("s")).collect()}
-
-    wu = over_unit("u")
-    from pyspark.sql import Window
-    d = p.withColumn("w", F.col("w") / mean_w) \
-         .withColumn("y_prev", F.lag("y").over(Window.partitionBy("u").orderBy("t")))
-    d = d.withColumns({f"yb{i}": F.max(F.when(F.col("t") == k - 1, F.col("y"))).over(wu) for i, k in enumerate(cohorts)})
-    if not cohorts:
-        empty = spark.createDataFrame([], "u long, k int, t int, role string, dy double, w double")
-        return _owned(AttGt(spark, empty, units, [], n, pg, control), p)
-    kinfo = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"yb{i}").alias("yb")) for i, k in enumerate(cohorts)])
-    x = d.filter(F.col("t") > periods[0]).select("u", "t", "y", "y_prev", "G", "w", F.explode(kinfo).alias("c"))
-    x = x.select("u", "t", "G", "w", F.col("c.k").alias("k"),
-                 (F.col("y") - F.when(F.col("t") >= F.col("c.k"), F.col("c.yb")).otherwise(F.col("y_prev"))).alias("dy"))
-    base = F.when(F.col("t") >= F.col("k"), F.col("k") - 1).otherwise(F.col("t") - 1)
-    if control == "never":
-        is_ctrl = F.col("G").isNull()
-    else:
-        is_ctrl = F.col("G").isNull() | ((F.col("G") > F.greatest(F.col("t"), base)) & (F.col("G") != F.col("k")))
-    role = F.when(F.col("G") == F.col("k"), F.lit("tr")).when(is_ctrl, F.lit("co"))
-    contrib = x.withColumn("role", role).filter(F.col("role").isNotNull() & F.col("dy").isNotNull()) \
-               .select("u", "k", "t", "role", "dy", "w").persist(StorageLevel.MEMORY_AND_DISK)
-    agg = contrib.groupBy("k", "t", "role").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("dy")).alias("s1"),
-        F.sum(F.col("w") * F.col("w")).alias("a0"), F.sum(F.col("w") * F.col("w") * F.col("dy")).alias("a1"),
-        F.sum(F.col("w") * F.col("w") * F.col("dy") * F.col("dy")).alias("a2")).collect()
-    by = {}
-    for r in agg:
-        by.setdefault((r["k"], r["t"]), {})[r["role"]] = r
+    scaled = units.withColumn("w", F.col("w") / F.lit(sw / n if n else 1.0))
+    m = _moments(scaled, T)
+    cohorts = sorted(x for x in m if x is not None)
+    pg = {x: m[x]["s0"] / n for x in cohorts}
     cells = []
     for k in cohorts:
-        for tt in periods[1:]:
-            rr = by.get((k, tt), {})
-            tr, co = rr.get("tr"), rr.get("co")
-            cell = {"g": k, "t": tt, "n_tr": tr["c"] if tr else 0, "n_co": co["c"] if co else 0,
-                    "att": None, "se": None}
-            if tr and co and tr["s0"] > 0 and co["s0"] > 0:
-                m_tr, m_co = tr["s1"] / tr["s0"], co["s1"] / co["s0"]
-                v = 0.0
-                for r_, m in ((tr, m_tr), (co, m_co)):
-                    v += max(r_["a2"] - 2 * m * r_["a1"] + m * m * r_["a0"], 0.0) / (r_["s0"] ** 2)
-                cell.update(att=m_tr - m_co, se=math.sqrt(v), m_tr=m_tr, m_co=m_co, s0_tr=tr["s0"], s0_co=co["s0"])
+        for i, tt in enumerate(periods[1:], 1):
+            cell = {"g": k, "t": tt, "n_tr": 0, "n_co": 0, "att": None, "se": None}
+            j = (periods.index(k - 1) if k - 1 in periods else None) if tt >= k else i - 1
+            if j is not None:
+                co = controls(control, m, k, tt)
+                tr, cn = _long_difference(m, [k], i, j), _long_difference(m, co, i, j)
+                cell |= {"n_tr": tr["c"], "n_co": cn["c"]}
+                if tr["s0"] > 0 and cn["s0"] > 0:
+                    m_tr, m_co = tr["s1"] / tr["s0"], cn["s1"] / cn["s0"]
+                    v = sum(max(x["a2"] - 2 * mean * x["a1"] + mean * mean * x["a0"], 0.0) / x["s0"] ** 2 for x, mean in ((tr, m_tr), (cn, m_co)))
+                    cell |= {"att": float(m_tr - m_co), "se": math.sqrt(v), "m_tr": m_tr, "m_co": m_co, "s0_tr": tr["s0"], "s0_co": cn["s0"], "at": (i, j), "controls": co}
             cells.append(cell)
-    return _owned(AttGt(spark, contrib, units, cells, n, pg, control), p, contrib)
+    return _owned(AttGt(spark, scaled, periods, cells, n, pg, control), units)
+
+
+def controls(control: str, cohorts, k: int, t: int) -> list:
+    """The cohorts (None: never treated) that serve as controls of cell (k, t)."""
+    if control == "never":
+        return [g for g in cohorts if g is None]
+    base = k - 1 if t >= k else t - 1
+    return [g for g in cohorts if g is None or (g > max(t, base) and g != k)]
+
+
+def _moments(units: DataFrame, T: int) -> dict:
+    """Per cohort: n, s0 = sum w, a0 = sum w^2, S = sum w y, P = sum w^2 y (by period), Q = sum w^2 y y' (by pair of periods)."""
+    size = 3 + 2 * T + T * T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            g = batch.column("G").to_pylist()
+            w = batch.column("w").to_numpy()
+            y = batch.column("y").flatten().to_numpy().reshape(len(w), T)
+            for cohort in set(g):
+                own = np.array([x == cohort for x in g])
+                v, x, sq = w[own], y[own], w[own] ** 2
+                add = np.concatenate([[own.sum(), v.sum(), sq.sum()], v @ x, sq @ x, ((x * sq[:, None]).T @ x).reshape(-1)])
+                total[cohort] = total.get(cohort, 0) + add
+        for cohort, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([cohort] * size, pa.int32()), pa.array(np.arange(size)), pa.array(v)], ["g", "at", "v"])
+
+    out: dict = {}
+    sums = units.select("G", "w", "y").mapInArrow(run, "g int, at long, v double").groupBy("g", "at").agg(F.sum("v").alias("v"))
+    for r in sums.collect():
+        out.setdefault(r["g"], np.zeros(size))[r["at"]] = r["v"]
+    return {g: {"n": int(round(v[0])), "s0": v[1], "a0": v[2], "S": v[3:3 + T], "P": v[3 + T:3 + 2 * T], "Q": v[3 + 2 * T:].reshape(T, T)}
+            for g, v in out.items()}
+
+
+def _long_difference(m: dict, cohorts: list, i: int, j: int) -> dict:
+    """Sums over some cohorts of w, w^2 and of dy = y_i - y_j times w, w^2 and dy w^2."""
+    out = {"c": 0, "s0": 0.0, "s1": 0.0, "a0": 0.0, "a1": 0.0, "a2": 0.0}
+    for g in cohorts:
+        x = m[g]
+        for key, v in (("c", x["n"]), ("s0", x["s0"]), ("s1", x["S"][i] - x["S"][j]), ("a0", x["a0"]), ("a1", x["P"][i] - x["P"][j]),
+                       ("a2", x["Q"][i, i] - 2 * x["Q"][i, j] + x["Q"][j, j])):
+            out[key] += v
+    return out
 
 
 def _targets(res: AttGt, kind: str, min_e: int | None, max_e: int | None) -> dict:
@@ -176,57 +193,65 @@ def aggte(res: AttGt, kind: str = "simple", min_e: int | None = None, max_e: int
     Output: (target, e, att, se[, boot_se])."""
     spark = res.spark
     targets = _targets(res, kind, min_e, max_e)
-    rows, wif_rows, info = [], [], {}
-    for name, cw in targets.items():
-        A = sum(om * c["att"] for c, om in cw)                     # aggregated ATT
+    names, T = list(targets), len(res.periods)
+    if not any(targets.values()):
+        return spark.createDataFrame([], "target string, e int, att double, se double")
+    every = {c["g"] for c in res.cells} | {g for c in res.cells for g in c.get("controls", [])}
+    slope, const, info = {g: np.zeros((T, len(names))) for g in every}, {g: np.zeros(len(names)) for g in every}, {}
+    for q, name in enumerate(names):
+        cw = targets[name]
         P = sum(res.pg[c["g"]] for c, _ in cw)
         Aw = sum(c["att"] * res.pg[c["g"]] for c, _ in cw)
-        info[name] = A
+        info[name] = sum(om * c["att"] for c, om in cw)             # aggregated ATT
         for c, om in cw:
-            rows.append((name, c["g"], c["t"], om * res.n, c["m_tr"], c["s0_tr"], c["m_co"], c["s0_co"]))
-        per_g = {}
-        for c, _ in cw:
-            s, cnt = per_g.get(c["g"], (0.0, 0))
-            per_g[c["g"]] = (s + c["att"], cnt + 1)
-        for G, (s, cnt) in per_g.items():
-            wif_rows.append((name, G, s / P, cnt * Aw / (P * P)))
-        wif_rows.append((name, None, 0.0, 0.0))
-        info[name + "#const"] = (-Aw / P + Aw / P)  # the constant parts cancel: (-A/P) + (A/P^2) * P
-    if not rows:
-        return spark.createDataFrame([], "target string, e int, att double, se double")
-    ct = spark.createDataFrame(rows, "target string, k int, t int, om double, m_tr double, s0_tr double, "
-                                     "m_co double, s0_co double")
-    # per unit and target: sum of omega * psi over the unit's cells (cells table is bounded)
-    psi = F.when(F.col("role") == "tr", F.col("w") * (F.col("dy") - F.col("m_tr")) / F.col("s0_tr")) \
-           .otherwise(-F.col("w") * (F.col("dy") - F.col("m_co")) / F.col("s0_co"))
-    ps = res.contrib.join(F.broadcast(ct) if len(rows) <= BROADCAST_ROWS else ct, ["k", "t"]).groupBy("u", "target") \
-                    .agg(F.sum(F.col("om") * psi).alias("psi"))
-    wt = spark.createDataFrame(wif_rows, "target string, G int, a double, b double")
-    names = list(targets)
-    ut = res.units.select("u", "G", "w", F.explode(F.array(*[F.lit(x) for x in names])).alias("target"))
-    ut = ut.join(F.broadcast(wt) if len(wif_rows) <= BROADCAST_ROWS else wt, (ut.target == wt.target) & ut.G.eqNullSafe(wt.G), "left") \
-           .select("u", ut.target, ut.w, F.coalesce(wt.a, F.lit(0.0)).alias("a"), F.coalesce(wt.b, F.lit(0.0)).alias("b"))
-    # wif_i = (w_i S(G_i) - A_T)/P_T - (A_T/P_T^2)(w_i c(G_i) - P_T) = w_i (a - b) with a = S/P, b = c A/P^2
-    ifs = ut.join(ps, ["u", "target"], "left") \
-            .select("u", "target", (F.coalesce(F.col("psi"), F.lit(0.0)) + F.col("w") * (F.col("a") - F.col("b"))).alias("IF"))
-    if kind == "dynamic":
-        post = [x for x in names if int(x[1:]) >= 0]
-        if post:
-            ov = ifs.filter(F.col("target").isin(post)).groupBy("u").agg((F.sum("IF") / len(post)).alias("IF")) \
-                    .withColumn("target", F.lit("overall"))
-            ifs = ifs.unionByName(ov)
-            info["overall"] = sum(info[x] for x in post) / len(post)
-    ifs = ifs.persist(StorageLevel.MEMORY_AND_DISK)
+            i, j = c["at"]
+            for groups, sign, mean, s0 in (([c["g"]], 1.0, c["m_tr"], c["s0_tr"]), (c["controls"], -1.0, c["m_co"], c["s0_co"])):
+                unit = sign * om * res.n / s0
+                for g in groups:
+                    slope[g][i, q] += unit
+                    slope[g][j, q] -= unit
+                    const[g][q] -= unit * mean
+            # weight estimation: (w S(g) - A) / P - A / P^2 (w c(g) - P), whose constant parts cancel
+            const[c["g"]][q] += c["att"] / P - Aw / (P * P)
+    if kind == "dynamic" and (post := [q for q, x in enumerate(names) if int(x[1:]) >= 0]):
+        for g in every:
+            slope[g] = np.column_stack([slope[g], slope[g][:, post].mean(axis=1)])
+            const[g] = np.append(const[g], const[g][post].mean())
+        info["overall"] = sum(info[names[q]] for q in post) / len(post)
+        names.append("overall")
+    held = spark.sparkContext.broadcast((slope, const, names))  # cohorts x periods x targets numbers
+
+    def influence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slope, const, names = held.value
+        zero = (np.zeros((T, len(names))), np.zeros(len(names)))
+        for batch in batches:
+            w, g = batch.column("w").to_numpy(), batch.column("G").to_pylist()
+            y = batch.column("y").flatten().to_numpy().reshape(len(w), T)
+            out = np.zeros((len(w), len(names)))
+            for cohort in set(g):
+                own = np.array([x == cohort for x in g])
+                A, c = (slope[cohort], const[cohort]) if cohort in slope else zero
+                out[own] = w[own][:, None] * (y[own] @ A + c)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * len(names)), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), values], ["u", "IFs"])
+
+    kind_u = dict(res.units.dtypes)["u"]
+    rows = res.units.select("u", "G", "w", "y").mapInArrow(influence, f"u {kind_u}, IFs array<double>")
+    label = F.array(*[F.lit(x) for x in names])
+    ifs = rows.select("u", F.posexplode("IFs").alias("q", "IF")).select("u", F.get(label, F.col("q")).alias("target"), "IF")
+    if boot_draws:
+        ifs = ifs.persist(StorageLevel.MEMORY_AND_DISK)
     se = {r["target"]: math.sqrt(r["ss"]) / res.n for r in
           ifs.groupBy("target").agg(F.sum(F.col("IF") * F.col("IF")).alias("ss")).collect()}
     boot = multiplier_bootstrap(ifs, res.n, boot_draws, seed) if boot_draws else {}
     out = []
-    for name in [*names, *(["overall"] if "overall" in info else [])]:
+    for name in names:
         e = None if name in ("simple", "overall") else int(name[1:])
         row = (name, e, float(info[name]), se.get(name))
         out.append(row + ((boot.get(name),) if boot_draws else ()))
     schema = "target string, e int, att double, se double" + (", boot_se double" if boot_draws else "")
-    ifs.unpersist()
+    if boot_draws:
+        ifs.unpersist()
     return spark.createDataFrame(out, schema)
 
 

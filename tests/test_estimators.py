@@ -49,16 +49,32 @@ def test_sunab_equals_never_treated_att_post(spark):
 
 
 def test_influence_function_sums_to_zero_per_cell(spark):
-    # psi sums to zero within each role of each cell: sum w (dy - m) = 0
-    p = supplier_quarter(spark, SF_SMALL)
-    res = att_gt(p, "y_qty", "unit", "t", "g", "w")
-    m = {(c["g"], c["t"]): c for c in res.cells if c["att"] is not None}
-    rows = res.contrib.groupBy("k", "t", "role").agg(F.sum("w").alias("s0"),
-                                                    F.sum(F.col("w") * F.col("dy")).alias("s1")).collect()
-    for r in rows:
-        c = m[(r["k"], r["t"])]
-        mean = c["m_tr"] if r["role"] == "tr" else c["m_co"]
-        assert r["s1"] - mean * r["s0"] == pytest.approx(0.0, abs=1e-6)
+    """Cells from moments equal weighted means over the units, whose influence functions sum to zero and give the se."""
+    df = supplier_quarter(spark, SF_SMALL)
+    res = att_gt(df, "y_qty", "unit", "t", "g", "w", control="notyet")
+    pdf = df.toPandas()
+    wide = pdf.pivot(index="unit", columns="t", values="y_qty").dropna()
+    first = pdf.sort_values("t").groupby("unit").first().loc[wide.index]
+    g, w = first["g"].to_numpy(float), first["w"].to_numpy(float)
+    w = w / w.mean()
+    done = 0
+    for c in res.cells:
+        if c["att"] is None:
+            continue
+        k, t = c["g"], c["t"]
+        base = k - 1 if t >= k else t - 1
+        dy = (wide[t] - wide[base]).to_numpy()
+        psi = np.zeros(len(w))
+        means = []
+        for role, sign in ((g == k, 1.0), (np.isnan(g) | ((g > max(t, base)) & (g != k)), -1.0)):
+            m = np.average(dy[role], weights=w[role])
+            psi[role] += sign * w[role] * (dy[role] - m) / w[role].sum()
+            means.append(m)
+        assert c["att"] == pytest.approx(means[0] - means[1], abs=1e-8)
+        assert abs(psi.sum()) < 1e-9
+        assert c["se"] == pytest.approx(np.sqrt((psi ** 2).sum()), rel=1e-8)
+        done += 1
+    assert done > 40
 
 
 def test_repartition_invariance(spark):

@@ -331,13 +331,6 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
     return fits
 
 
-def wls(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None,
-        intercept: bool = True) -> Fit:
-    """Weighted least squares without absorbed effects, iid vcov with
-    analytic weights (scale-free).  Used by the stage-2 regression."""
-    return wls_multi(df, [(y, list(xs))], weight, intercept)[0]
-
-
 def wls_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], weight: str | None = None,
               intercept: bool = True) -> list[Fit]:
     """Several weighted least-squares models on one table from ONE Gram aggregate."""

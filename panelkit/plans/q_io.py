@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from panelkit.operators.describe import prevalence, profile_columns
-from panelkit.plans.registry import register, rnd, with_ctes
+from panelkit.plans.registry import register, with_ctes
 from panelkit.session import checkpoint_dir
 from panelkit.sources.fixtures import SQL_P1, SQL_P2, customer_year, supplier_quarter
 from panelkit.sources.io import load_stage, read_csv, save_stage, write_csv, write_tsv

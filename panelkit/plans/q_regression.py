@@ -6,15 +6,13 @@ the Spark side always runs the general absorption."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import reg_table
 from panelkit.operators import panel as P
-from panelkit.operators.feols import coef_series, feols, feols_multi, wls
+from panelkit.operators.feols import coef_series, feols, feols_multi
 from panelkit.operators.regression import Policy, event_study, onestep, stage1, stage2
-from panelkit.plans.registry import register, rnd, with_ctes
+from panelkit.plans.registry import register, rnd
 from panelkit.plans.sqlgen import fe_ols_sql, sweep_ctes, t_pvalues
 from panelkit.sources.fixtures import SQL_P1, supplier_quarter
 

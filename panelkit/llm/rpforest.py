@@ -5,8 +5,8 @@ are linked.  Each of ``TREES`` trees splits a label's vectors at the median of
 their projections on a random direction, again and again, until a node holds
 ``LEAF`` or fewer; vectors near a split (``SPILL``) go to both sides.  A node that a
 split doesn't shrink, as its vectors are much alike, is a leaf of any size.  A pair
-at the threshold is lost at a split with a probability of about 0.003, so in all
-trees of 10 levels with less than 1e-6; closer pairs seldom leave a node at all.
+at the threshold is lost at a split with a probability of about 0.005, so in all
+trees of 10 levels with less than 1e-5; closer pairs seldom leave a node at all.
 
 Equal vectors are one from the start and counted.  A leaf's members meet in blocks
 (``BLOCK`` each), so that no leaf is gathered in one task; every pair is verified in
@@ -35,7 +35,7 @@ from panelkit.llm.vectors import matrix, usable
 
 LEAST = 0.93
 TREES, LEAF = 4, 400
-SPILL = 1.0  # in standard deviations of the projected difference of a pair at the threshold
+SPILL = 0.85  # in standard deviations of the projected difference of a pair at the threshold
 SHRINK = 0.9  # a child with a larger share of its node isn't split again
 BLOCK = 400
 
@@ -57,40 +57,37 @@ def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaves(vectors: DataFrame) -> DataFrame:
     """(id, leaf) of every leaf of every tree; ``vectors``: id, label, vec."""
     tree = F.explode(F.sequence(F.lit(1), F.lit(TREES)))
+    kind = dict(vectors.dtypes)["vec"]
     rows = vectors.select("id", "vec", "label", tree.alias("tree")).select(
         "id", "vec", F.xxhash64("label", F.size("vec"), "tree").alias("node"), F.lit(None).cast("long").alias("above"))
     done = None
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"))
-        rows = cut(rows.join(sizes, "node"))
+        sizes = cut(rows.groupBy("node", "above").agg(F.count("*").alias("n")))
         split = (F.col("n") > LEAF) & (F.col("above").isNull() | (F.col("n") <= SHRINK * F.col("above")))
-        ended = rows.where(~split).select("id", F.col("node").alias("leaf"))
+        ended = rows.join(sizes.where(~split).select("node"), "node").select("id", F.col("node").alias("leaf"))
         done = ended if done is None else done.union(ended)
-        rows = rows.where(split)
-        if rows.isEmpty():
+        if sizes.where(split).isEmpty():
             return done
-        rows = rows.select("id", "vec", "node", "n").mapInArrow(
-            _project, f"id long, vec {dict(rows.dtypes)['vec']}, node long, n long, at double")
-        rows = cut(rows)
+        rows = rows.join(sizes.where(split).select("node", "n"), "node").select("id", "vec", "node", "n").mapInArrow(
+            _project, f"id long, vec {kind}, node long, n long, at double")
         middle = rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("mid"))
         near = SPILL * (2 - 2 * LEAST) ** 0.5 / F.sqrt(F.size("vec"))
         sides = F.filter(F.array(F.when(F.col("at") <= F.col("mid") + near, 0), F.when(F.col("at") >= F.col("mid") - near, 1)), lambda s: s.isNotNull())
         rows = rows.join(middle, "node").select("id", "vec", "node", "n", F.explode(sides).alias("side"))
-        rows = rows.select("id", "vec", F.xxhash64("node", "side").alias("node"), F.col("n").alias("above"))
+        rows = cut(rows.select("id", "vec", F.xxhash64("node", "side").alias("node"), F.col("n").alias("above")))
 
 
 def _verify(key, table):
     """In a block pair: (u, null, n) for members with n links first met here, (u, v, 0) for a spanning forest of all links."""
-    leaf, lo, hi = (k.as_py() for k in key)
+    _, lo, hi = (k.as_py() for k in key)
     ids, mult = table.column("id").to_numpy(), table.column("mult").to_numpy()
     v = matrix(table.column("vec"))
     v /= np.linalg.norm(v, axis=1)[:, None]
     links = pairs_here(table.column("side").to_numpy(), lo, hi) & (v @ v.T >= LEAST)
     a, b = forest(links)
     if links.any():
-        held = table.column("leaves").combine_chunks()
+        held = table.column("before").combine_chunks()
         row, value = np.repeat(np.arange(len(ids)), np.diff(held.offsets.to_numpy())), held.flatten().to_numpy()
-        row, value = row[value < leaf], value[value < leaf]
         if len(value):
             _, value = np.unique(value, return_inverse=True)
             before = np.zeros((len(ids), value.max() + 1), np.float32)
@@ -109,10 +106,12 @@ def near_copies(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vec"))
     valid = rows.where(usable("vec") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     alike = cut(valid.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")))
-    lists = leaves(alike).groupBy("id").agg(F.collect_set("leaf").alias("leaves"))
-    members = alike.join(lists, "id").select("id", "vec", "mult", "leaves", F.explode("leaves").alias("leaf"))
-    met = cut(block_pairs(members, ["leaf"], "id", BLOCK).groupBy("leaf", "lo", "hi")
-              .applyInArrow(_verify, "u long, v long, n long"))
+    leaf = cut(leaves(alike))
+    lists = leaf.groupBy("id").agg(F.collect_set("leaf").alias("leaves"))
+    # blocks are dealt on (id, leaf) alone; the vector joins them once and moves once
+    members = block_pairs(leaf, ["leaf"], "id", BLOCK).join(alike.select("id", "vec", "mult").join(lists, "id"), "id").select(
+        "leaf", "lo", "hi", "side", "id", "vec", "mult", F.filter("leaves", lambda x: x < F.col("leaf")).alias("before"))
+    met = cut(members.groupBy("leaf", "lo", "hi").applyInArrow(_verify, "u long, v long, n long"))
     degree = met.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "id")
     found = components(met.where("v is not null").select("u", "v"))
     reps = (alike.join(degree, "id", "left").join(found, "id", "left")

@@ -16,6 +16,20 @@ from panelkit.session import checkpoint_dir
 _ROOT = Path(__file__).resolve().parents[2]
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Code on the executors, and Arrow batches that a worker holds easily.
+
+    Texts differ a thousandfold in length, so rows are no measure of a batch; a
+    smaller bound in bytes than the default is set unless the session has its own."""
+    ship_code(spark)
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB"):  # the default, as a session shows it
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors when they could not import it otherwise.
 
@@ -30,12 +44,13 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_code(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from those files."""
+    ready(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

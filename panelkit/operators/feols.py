@@ -142,7 +142,7 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
     dropped first (complete cases).  Several rows may share a (unit, period).
 
     The period effects are solved as a T x T system on the driver; more than
-    ``max_periods`` periods are refused before anything is collected."""
+    ``max_periods`` periods are refused, and no more rows than that are collected."""
     spark = df.sparkSession
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     vn = [f"_v{i}" for i in range(len(cols))]
@@ -158,9 +158,6 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
         {f"_d{i}": F.col(v) - F.sum(F.col("_w") * F.col(v)).over(wu) / F.col("_wsum") for i, v in enumerate(vn)})
     unit_df = unit_df.persist(StorageLevel.MEMORY_AND_DISK)
 
-    if unit_df.select("_t").distinct().limit(max_periods + 1).count() > max_periods:
-        unit_df.unpersist()
-        raise ValueError(f"more than max_periods={max_periods} periods; absorb the period effect in stages")
     # per-period sums grouped by the period itself (this also yields the period list);
     # a bounded number of value columns per aggregate keeps generated code small
     per: dict = {}
@@ -169,7 +166,11 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
         head = [F.sum("_w").alias("d"), F.count(F.lit(1)).alias("n")] if lo == 0 else []
         sums = [F.sum(F.col("_w") * e).alias(f"{name}{i}") for i in idx
                 for name, e in (("b", F.col(f"_d{i}")), ("wv", F.col(f"_v{i}")), ("wvv", F.col(f"_v{i}") * F.col(f"_v{i}")))]
-        for r in unit_df.groupBy("_t").agg(*head, *sums).collect():
+        rows = unit_df.groupBy("_t").agg(*head, *sums).limit(max_periods + 1).collect()
+        if len(rows) > max_periods:
+            unit_df.unpersist()
+            raise ValueError(f"more than max_periods={max_periods} periods; absorb the period effect in stages")
+        for r in rows:
             per.setdefault(r["_t"], {}).update(r.asDict())
     periods = sorted(per)
     T = len(periods)
@@ -232,6 +233,9 @@ def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit:
     Models whose columns are missing in the same rows share one absorption; a
     NULL in one model's column takes no row from another model."""
     specs = [(y, list(xs)) for y, xs in specs]
+    if len(specs) == 1:  # one model, one sample
+        with wide_plan_conf(df.sparkSession):
+            return _feols_multi(df, specs, unit, period, weight, cluster, vcov, ssc, df_t)
     every = list(dict.fromkeys(c for y, xs in specs for c in [y, *xs]))
     gap = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
     missing = df.agg(*[F.max(gap(c).cast("int")).alias(f"m{i}") for i, c in enumerate(every)]).first()

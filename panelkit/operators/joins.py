@@ -42,11 +42,11 @@ def keep_units(df: DataFrame, u: str, pred: Column) -> DataFrame:
 
 
 def bounded_values(df: DataFrame, column: str, bound: int) -> list:
-    """The distinct values of a column that the caller needs on the driver; more than ``bound`` are refused before they are collected."""
-    values = df.select(column).distinct()
-    if values.limit(bound + 1).count() > bound:
+    """The distinct values of a column that the caller needs on the driver; more than ``bound`` are refused, and no more than that are collected."""
+    values = [r[0] for r in df.select(column).distinct().limit(bound + 1).collect()]
+    if len(values) > bound:
         raise ValueError(f"more than {bound} distinct values of {column}")
-    return [r[0] for r in values.collect()]
+    return values
 
 
 def cohort_pairs(df: DataFrame, g: str) -> DataFrame:

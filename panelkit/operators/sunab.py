@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.feols import Fit
+from panelkit.operators.joins import bounded_values
 from panelkit.operators.linalg import pivoted_solve
 
 
@@ -91,9 +92,7 @@ def sunab(df: DataFrame, y: str, g: str, u: str, t: str, w: str | None = None, r
     d = d.na.drop(subset=["u", "t", "y", "w"]).where("w > 0")
     first = d.agg(F.min("t")).first()[0]
     d = d.where(F.col("g").isNull() | (F.col("g") > first))  # always-treated dropped
-    if d.select("t").distinct().limit(max_periods + 1).count() > max_periods:
-        raise ValueError(f"more than max_periods={max_periods} periods")
-    periods = sorted(r["t"] for r in d.select("t").distinct().collect())
+    periods = sorted(bounded_values(d, "t", max_periods))
     pos, T = {p: i for i, p in enumerate(periods)}, len(periods)
     index = d.sparkSession.createDataFrame([(p, i) for p, i in pos.items()], "t long, i int")
     cells = d.groupBy("u", "g", "t").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"),

@@ -445,7 +445,7 @@ d AS (SELECT *, never0 OR nopost AS never, CASE WHEN NOT never0 AND NOT nopost T
 SELECT unit, t, CAST(first_ AS INTEGER) AS first, CAST(tau AS INTEGER) AS tau, never,
        CAST(CASE WHEN NOT never THEN first_ END AS INTEGER) AS cohort, CAST(NOT never AND t >= first_ AS INTEGER) AS post FROM d""")
 def q_prepared_panel(spark, sf_dir):
-    """The mortality preparation end to end: listed adoption years ahead of derived ones, late
+    """The whole preparation of a panel with listed adoptions: listed adoption years ahead of derived ones, late
     adopters as never-adopters, event time on observed rows, no-post units reclassified."""
     p = customer_year(spark, sf_dir, grid=True).withColumns({
         "flag": F.coalesce(F.col("t") >= F.col("g"), F.lit(False)).cast("int"),

@@ -38,6 +38,7 @@ TREES, LEAF = 4, 400
 SPILL = 0.85  # in standard deviations of the projected difference of a pair at the threshold
 SHRINK = 0.9  # a child with a larger share of its node isn't split again
 BLOCK = 400
+BROADCAST_NODES = 100_000  # a table of nodes (a number or two each) is broadcast up to so many rows
 
 
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,16 +65,17 @@ def leaves(vectors: DataFrame) -> DataFrame:
     while True:
         sizes = cut(rows.groupBy("node", "above").agg(F.count("*").alias("n")))
         split = (F.col("n") > LEAF) & (F.col("above").isNull() | (F.col("n") <= SHRINK * F.col("above")))
-        ended = rows.join(sizes.where(~split).select("node"), "node").select("id", F.col("node").alias("leaf"))
+        small = F.broadcast if sizes.count() <= BROADCAST_NODES else lambda nodes: nodes  # else the vectors are shuffled
+        ended = rows.join(small(sizes.where(~split).select("node")), "node").select("id", F.col("node").alias("leaf"))
         done = ended if done is None else done.union(ended)
         if sizes.where(split).isEmpty():
             return done
-        rows = rows.join(sizes.where(split).select("node", "n"), "node").select("id", "vec", "node", "n").mapInArrow(
+        rows = rows.join(small(sizes.where(split).select("node", "n")), "node").select("id", "vec", "node", "n").mapInArrow(
             _project, f"id long, vec {kind}, node long, n long, at double")
         middle = rows.groupBy("node").agg(F.percentile_approx("at", 0.5, 1000).alias("mid"))
         near = SPILL * (2 - 2 * LEAST) ** 0.5 / F.sqrt(F.size("vec"))
         sides = F.filter(F.array(F.when(F.col("at") <= F.col("mid") + near, 0), F.when(F.col("at") >= F.col("mid") - near, 1)), lambda s: s.isNotNull())
-        rows = rows.join(middle, "node").select("id", "vec", "node", "n", F.explode(sides).alias("side"))
+        rows = rows.join(small(middle), "node").select("id", "vec", "node", "n", F.explode(sides).alias("side"))
         rows = cut(rows.select("id", "vec", F.xxhash64("node", "side").alias("node"), F.col("n").alias("above")))
 
 

@@ -3,9 +3,13 @@
 The two halves of every vector are quantised by codebooks of their own
 (``CODES`` centroids each, Spark's k-means on a bounded sample of ``SAMPLE``
 rows); an entry's cell is the pair of its nearest centroids, and every row is an
-entry.  A query walks the cells by summed squared distance of its halves to the
-centroids, with a heap over the two sorted lists, until the cells hold ``SHARE``
-of all entries; those are reranked by the exact inner product in double precision.
+entry.  A query walks the cells by the inner product that their entries may reach,
+with a heap over the two sorted lists, until the cells hold ``SHARE`` of all
+entries; those are reranked by the exact inner product in double precision.  What a
+half may reach is its product with the centroid plus ``SPREAD`` standard deviations
+of such products: the half's norm times the entries' root mean square distance from
+the centroid a dimension, over all entries.  So norms may differ: a long vector lies
+in a cell with a long centroid or, where the sample missed it, in a widely spread one.
 
 ``SHARE`` sets recall.  The given vectors are close to evenly spread in all
 directions, the hardest case for any index: recall against brute force is given in
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import cut
 from panelkit.llm.vectors import matrix, top_rows, usable
 
-CODES, SAMPLE, SHARE = 64, 20_000, 0.5
+CODES, SAMPLE, SHARE, SPREAD = 64, 20_000, 0.5, 2.0
 ENTRIES, QUERIES = 4096, 512
 TIE = 1e-9  # more than products summed in another order can differ
 
@@ -47,16 +51,26 @@ def _codebook(sample: DataFrame, begin: int, size: int) -> np.ndarray:
     return np.array(model.clusterCenters())
 
 
-def _distances(v: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+def _halves(v: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     half = books[0].shape[1]
-    return [((part**2).sum(1)[:, None] - 2 * part @ b.T + (b**2).sum(1)[None, :]) for part, b in zip((v[:, :half], v[:, half:]), books)]
+    return v[:, :half], v[:, half:]
+
+
+def _distances(v: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
+    return [((part**2).sum(1)[:, None] - 2 * part @ b.T + (b**2).sum(1)[None, :]) for part, b in zip(_halves(v, books), books)]
+
+
+def _costs(v: np.ndarray, books: list[np.ndarray], spread: list[np.ndarray]) -> list[np.ndarray]:
+    """For each half and centroid: minus the inner product that entries there may reach."""
+    return [-(part @ b.T + SPREAD * np.sqrt((part**2).sum(1))[:, None] * s[None, :]) for part, b, s in zip(_halves(v, books), books, spread)]
 
 
 def _cells(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
-            a, b = (d.argmin(1) for d in _distances(matrix(batch.column("vec")), books))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], [*batch.schema.names, "c1", "c2"])
+            both = _distances(matrix(batch.column("vec")), books)
+            cells, far = [pa.array(d.argmin(1), pa.int32()) for d in both], [pa.array(np.maximum(d.min(1), 0.0)) for d in both]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cells, *far], [*batch.schema.names, "c1", "c2", "far1", "far2"])
 
 
 def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int) -> list[tuple[int, int]]:
@@ -77,11 +91,11 @@ def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, need: int) -> list[tu
     return out
 
 
-def _probes(batches: Iterator[pa.RecordBatch], books: list[np.ndarray], held: np.ndarray, need: int) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], books: list[np.ndarray], spread: list[np.ndarray], held: np.ndarray, need: int) -> Iterator[pa.RecordBatch]:
     """For every query and first centroid that it visits: the second centroids."""
     for batch in batches:
         row, c1, c2 = [], [], []
-        for q, (x, y) in enumerate(zip(*_distances(matrix(batch.column("vec")), books))) if len(batch) else ():
+        for q, (x, y) in enumerate(zip(*_costs(matrix(batch.column("vec")), books, spread))) if len(batch) else ():
             by: dict[int, list[int]] = {}
             for i, j in walk(x, y, held, need):
                 by.setdefault(i, []).append(j)
@@ -129,12 +143,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     half = -(-common["d"] // 2)
     sample = cut(top_rows(rows, SAMPLE, 12, "id"))
     books = [_codebook(sample, 0, half), _codebook(sample, half, common["d"] - half)] if common["d"] > 1 else [_codebook(sample, 0, 1), np.zeros((1, 0))]
-    entries = cut(rows.mapInArrow(lambda it: _cells(it, books), f"id long, vec {kind}, c1 int, c2 int"))
+    entries = cut(rows.mapInArrow(lambda it: _cells(it, books), f"id long, vec {kind}, c1 int, c2 int, far1 double, far2 double"))
     held = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in entries.groupBy("c1", "c2").count().collect():  # CODES ** 2 rows at most
-        held[r["c1"], r["c2"]] = r["count"]
+    far = np.zeros((2, *held.shape))
+    for r in entries.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.sum("far1").alias("far1"), F.sum("far2").alias("far2")).collect():  # CODES ** 2 rows at most
+        held[r["c1"], r["c2"]] = r["n"]
+        far[:, r["c1"], r["c2"]] = r["far1"], r["far2"]
+    entries = entries.drop("far1", "far2")
+    spread = [np.sqrt(far[h].sum(1 - h) / np.maximum(held.sum(1 - h), 1) / max(books[h].shape[1], 1)) for h in (0, 1)]
     need = int(np.ceil(share * held.sum())) + k
-    probes = cut(asked.repartition("id").mapInArrow(lambda it: _probes(it, books, held, need), f"id long, vec {kind}, c1 int, cells array<int>"))
+    probes = cut(asked.repartition("id").mapInArrow(lambda it: _probes(it, books, spread, held, need), f"id long, vec {kind}, c1 int, cells array<int>"))
     blocks = lambda df, size, name: df.groupBy("c1").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     both = F.broadcast(cut(blocks(entries, ENTRIES, "n_e").join(blocks(probes, QUERIES, "n_q"), "c1")))  # CODES rows at most
 

@@ -122,6 +122,25 @@ def test_search_recall(spark):
     assert len(got) == (ids % 20 == 0).sum() and hits / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("sigma, outlier", [(0.25, 1.0), (0.5, 1.0), (1.0, 1.0), (0.25, 1000.0)])
+def test_search_recall_with_varied_norms(spark, sigma, outlier):
+    """Long vectors are neighbours of many queries and far from all of them."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x *= (np.exp(sigma * rng.standard_normal(len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= outlier
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4)
+    got = defaultdict(set)
+    for r in ann.search(rows, rows.where("id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 200 and hits / (20 * 200) >= 0.9
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(2)
     a, b, held = rng.random(9), rng.random(7), rng.integers(0, 4, (9, 7))

@@ -233,6 +233,16 @@ def test_secrets_are_redacted(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.collect() if r["n_chars"] is not None)
 
 
+def test_secrets_of_a_large_owner(spark):
+    """A key in 25 documents of one source is live, one in three documents of three sources is an example."""
+    rows = [(i, f"{TRICKY[5]} token: abcdefgh{i // 25}", "big") for i in range(25)] + [(100 + i, TRICKY[6], f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for r in secrets.digests(docs).collect():
+        assert (r["n_owned"], r["n_live"], r["n_example"]) == ((1, 2, 0) if r["doc_id"] < 100 else (0, 0, 0))
+    for r in secrets.redact(docs).collect():
+        assert r["text"] == ("own <owned> end <assign>" if r["doc_id"] < 100 else TRICKY[6])
+
+
 # ---- language model
 
 def backoff(rows, order):

@@ -15,8 +15,8 @@ coordinate still empty go on with twice the ranks.  Two documents agree on a
 coordinate with their similarity as probability; ``BANDS`` bands of ``ROWS``
 coordinates miss a pair at 0.8 with probability 3e-5.
 
-Verification.  Equal weighted sets are one class from the start and are carried
-by their smallest document.  Every band bucket links its members to its smallest
+Verification.  Equal weighted sets are one class from the start and are named by a
+hash of the set, which a text tells whatever its id.  Every band bucket links its members to its smallest
 one, so no pairs are made within a group; links are checked on whole element
 sets.  Where a bucket still holds several components, its members meet in blocks
 (``BLOCK`` each), where every pair from different components is compared in the
@@ -124,6 +124,14 @@ def _elements(words: V.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[at], np.diff(np.append(at, len(h))).astype(np.float64), doc[at]
 
 
+def _names(e: np.ndarray, w: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of every weighted set; sets begin at ``ends``."""
+    pair = V.mix(e ^ V.mix(w.astype(V.U64), 72), 73)
+    with np.errstate(over="ignore"):
+        k1, k2 = np.add.reduceat(V.mix(pair, 74), ends), np.add.reduceat(V.mix(pair, 75), ends)
+    return pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, words in V.chunks(batch.column("text")):
@@ -138,22 +146,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = V.mix(bands ^ sig[:, r::ROWS], 60 + r)
             bands = V.mix(bands ^ V.mix(np.arange(BANDS, dtype=V.U64), 70), 71)
             ends = np.searchsorted(d, has)
-            pair = V.mix(e ^ V.mix(w.astype(V.U64), 72), 73)
             total = np.add.reduceat(w, ends).astype(np.int64)
-            with np.errstate(over="ignore"):
-                k1, k2 = np.add.reduceat(V.mix(pair, 74), ends), np.add.reduceat(V.mix(pair, 75), ends)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(at.start, at.stop - at.start).take(pa.array(has)),
-                 pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total),
+                 *_names(e, w, ends), pa.array(total),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
                  pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(np.arange(len(has) + 1, dtype=np.int32) * np.int32(COORDS)),
                                                                pa.py_buffer((sig & V.U64(255)).astype(np.uint8).tobytes())])],
                 ["doc_id", "k1", "k2", "total", "bands", "marks"])
 
 
-def _copies(words: V.Words) -> tuple[np.ndarray, np.ndarray]:
+def _copies(e: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Element sets as plain sets: the n-th copy of an element is an element of its own. (document, value)."""
-    e, w, d = _elements(words)
     w = w.astype(np.int64)
     nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
     return np.repeat(d, w), V.mix(np.repeat(e, w) ^ V.mix(nth.astype(V.U64), 80), 81)
@@ -162,9 +166,13 @@ def _copies(words: V.Words) -> tuple[np.ndarray, np.ndarray]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, words in V.chunks(batch.column("text")):
-            doc, value = _copies(words)
-            ends = np.searchsorted(doc, np.arange(len(words.counts) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(at.start, at.stop - at.start),
+            e, w, d = _elements(words)
+            has = np.unique(d)
+            if not len(has):
+                continue
+            doc, value = _copies(e, w, d)
+            ends = np.append(np.searchsorted(doc, has), len(doc)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_names(e, w, np.searchsorted(d, has))[0],
                                               pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], ["id", "els"])
 
 
@@ -227,18 +235,22 @@ def _compare(key, table):
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of every text with words, by equal weighted sets; (id, component) over the reps that are linked."""
+    """(doc_id, rep, first) of every text with words: its weighted set and the smallest document of that;
+    (id, class_id) over the sets that are linked: the smallest document of all sets that links reach."""
     known = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).where("doc_id is not null")
     sketch = cut(known.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, total long, bands array<long>, marks binary"))
-    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("total", "bands", "marks"))))
-    member = sketch.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("u", "v")
+    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("total", "bands", "marks"))).withColumn("rep", F.col("k1")))
+    member = sketch.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep", "first"), ["k1", "k2"]).select("doc_id", "rep", "first")
+    several = sketch.groupBy("doc_id").agg(F.min("k1").alias("u"), F.max("k1").alias("v")).where("u < v").select("doc_id", "u")
+    several = sketch.select("doc_id", F.col("k1").alias("v")).join(several, "doc_id").where("u < v").select("u", "v").distinct()
     buckets = same.select("rep", F.explode("bands").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
     shared = cut(buckets.join(leaders, "bucket"))  # (bucket, rep, u): the buckets of two and more
 
     def sets(ids: DataFrame) -> DataFrame:
-        texts = known.withColumnRenamed("doc_id", "id").join(ids.distinct(), "id").select("id", "text")
+        """The element sets ``ids`` and perhaps others: all texts of the documents that carry those."""
+        of = same.select(F.col("rep").alias("id"), F.col("first").alias("doc_id")).join(ids.distinct(), "id").select("doc_id").distinct()
+        texts = known.join(of, "doc_id").select("text")
         return texts.mapInArrow(_sets, "id long, els array<long>").dropDuplicates(["id"])
 
     pairs = cut(shared.where("rep > u").select("u", F.col("rep").alias("v")).distinct())
@@ -256,14 +268,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = (left.join(sets(left.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
             .groupBy("bucket", "lo", "hi").applyInArrow(_compare, "u long, v long"))
     tree = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    return member, components(tree.union(more))
+    found = components(tree.union(more))
+    linked = found.union(found.select("component", "component").distinct())
+    least = linked.join(same.select(F.col("rep").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("class_id"))
+    return member, linked.join(least, "component").select("id", "class_id")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) of every row of ``docs``; a row without words is its own class."""
     member, found = classes(docs)
     of = (member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-          .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id")))
+          .groupBy("doc_id").agg(F.min(F.coalesce("class_id", "first")).alias("class_id")))
     return (docs.select(F.col("doc_id").cast("long")).join(of, "doc_id", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
 

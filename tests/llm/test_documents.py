@@ -122,6 +122,20 @@ def test_minhash_classes(spark):
     assert minhash.near_copies(cases.empty(spark)).count() == 0
 
 
+def test_minhash_texts_of_one_id(spark):
+    """Each of the texts that share an id has a near copy, one of them also through the equal text of another id."""
+    import random
+    rng = random.Random(6)
+    rows = []
+    for i in range(12):
+        t = [cases.prose(rng, 150, 10**6) for _ in range(3)]
+        rows += [(i, x) for x in t] + [(100 + 10 * i + k, x + " tail") for k, x in enumerate(t)] + [(100 + 10 * i + 5, t[i % 3])]
+    want = classes(rows)
+    got = minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((d, want[d]) for d, _ in rows)
+    assert set(want.values()) == set(range(12))
+
+
 def test_minhash_bucket_of_several_components(spark, monkeypatch):
     """Copies that are near the threshold to each other: no link may be lost, whatever the leader of a bucket."""
     import random

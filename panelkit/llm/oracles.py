@@ -112,3 +112,69 @@ digest AS (
 SELECT w.d AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, coalesce(h, sha256('')) AS kept_sha256
 FROM w LEFT JOIN digest ON digest.d = w.d
 """
+
+
+def _crc_step(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes: half a byte at a time, the lower half first."""
+    digit = f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {{}}, 1)) - 1)"
+    halves = f"list_transform(range(CAST(length(hex(encode({text}))) AS BIGINT)), lambda k: {digit.format('CAST(k + 2 - 2 * (k % 2) AS BIGINT)')})"
+    table = "[" + ", ".join(str(_crc_step(k)) for k in range(16)) + "]"
+    return (f"xor(CAST(4294967295 AS BIGINT), list_reduce({halves}, lambda c, x: "
+            f"xor(c >> 4, CAST({table}[(xor(c, CAST(x AS BIGINT)) & 15) + 1] AS BIGINT)), CAST(4294967295 AS BIGINT)))")
+
+
+ORACLE["op11_importance_resampling"] = f"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS d, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+words AS (
+  SELECT kind, d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+each AS (SELECT kind, d, unnest(w) AS x FROM words),
+buckets AS (SELECT x, {_crc32('x')} % 10000 AS b FROM (SELECT DISTINCT x FROM each)),
+features AS (SELECT kind, d, b FROM each JOIN buckets USING (x)),
+held AS (SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM features GROUP BY b),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM held),
+gain AS (SELECT b, CAST(floor(1000 * ln(((t + 1.0::DOUBLE) * (ss + 10000)) / ((s + 1.0::DOUBLE) * (tt + 10000)))) AS BIGINT) AS g FROM held, total),
+weights AS (SELECT d, CAST(sum(g) AS BIGINT) AS weight FROM features JOIN gain USING (b) WHERE kind = 0 GROUP BY d),
+scored AS (
+  SELECT words.d, CAST(len(w) AS BIGINT) AS n, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || words.d), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (d) WHERE kind = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, d) AS r, count(*) OVER (PARTITION BY n >= 20) AS held FROM scored)
+SELECT d AS doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND r <= 10 * held // 100 THEN r END AS rank FROM ranked
+"""
+
+ORACLE["op13_periodic_runs"] = f"""
+WITH split AS (SELECT doc_id AS d, {_WORDS} AS w FROM documents),
+hashed AS (SELECT d, w, len(w) AS n, {_crc32('CAST(d AS VARCHAR)')} AS h FROM split),
+aimed AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+placed AS (SELECT d, w, n, a, 1 + (n - a) // (3 + g % 8) AS p FROM aimed),
+pos AS (
+  SELECT d, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM placed)),
+matched AS (
+  SELECT a.d, a.i, b.i - a.i AS q FROM pos a JOIN pos b ON a.d = b.d AND a.x = b.x AND b.i > a.i WHERE 4 * (b.i - a.i) <= a.n),
+stretches AS (
+  SELECT d, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY d, q ORDER BY i) AS k FROM matched) GROUP BY d, q, k),
+long AS (SELECT * FROM stretches WHERE l >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM long r WHERE NOT EXISTS (SELECT 1 FROM long o WHERE o.d = r.d AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+listed AS (
+  SELECT d, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS h FROM runs GROUP BY d),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY d ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT d, unnest(range(s + q, s + l)) AS i FROM runs),
+collapsed AS (
+  SELECT pos.d, sha256(string_agg(x, ' ' ORDER BY pos.i)) AS h FROM pos LEFT JOIN gone ON gone.d = pos.d AND gone.i = pos.i
+  WHERE gone.i IS NULL GROUP BY pos.d)
+SELECT split.d AS doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period,
+       1000 * best.l // best.q AS exponent_milli, coalesce(listed.h, sha256('')) AS runs_sha256, coalesce(collapsed.h, sha256('')) AS collapsed_sha256
+FROM split LEFT JOIN listed ON listed.d = split.d LEFT JOIN best ON best.d = split.d LEFT JOIN collapsed ON collapsed.d = split.d
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import ann, bpe, lm, minhash, packing, quality, rpforest, secrets, substring, urls
+from panelkit.llm import ann, bpe, importance, lm, minhash, packing, periodic, quality, rpforest, secrets, substring, toxicity, urls
 from panelkit.llm.common import table
 from panelkit.llm.oracles import ORACLE  # noqa: F401
 
@@ -76,3 +76,18 @@ def op7_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))

@@ -1,12 +1,14 @@
-"""Pre-trend test, stacked comparison series and the method comparison table."""
+"""Pre-trend tests, stacked comparison series and the method comparison table."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions.dist import p_chi2, p_normal
 from panelkit.functions.scalar import fmt_est_se, fmt_num
+from panelkit.operators.linalg import pivoted_solve
 
 
 def pretrend_stat(series: DataFrame, tau: str = "tau", est: str = "estimate", se: str = "se") -> DataFrame:
@@ -39,6 +41,36 @@ def pretrend_rows(series: DataFrame, tau: str = "tau", est: str = "estimate", se
                                                 F.when(F.abs(z) > 1.96, "*").otherwise("").alias("star"))
 
 
+WALD_SCHEMA = "method string, chi2 double, df long, n_omitted long, p_value double, verdict string"
+
+
+def wald(estimates: np.ndarray, cov: np.ndarray) -> tuple[float | None, int]:
+    """(b' V^-1 b, rank): the joint test of all estimates being 0 with their whole covariance.
+
+    Estimates that are missing are left out, and so are those whose variance given the
+    ones before is none (1e-9 of their own): with fewer clusters than estimates, or effects
+    that add up to a known sum, V has no inverse and the rank is the degrees of freedom."""
+    ok = np.flatnonzero(~np.isnan(estimates) & ~np.isnan(np.diag(cov)))
+    b, V = estimates[ok], cov[np.ix_(ok, ok)]
+    solved, keep, _ = pivoted_solve(V, b)
+    df = int(keep.sum())
+    return (float(b[keep] @ solved[keep]) if df else None), df
+
+
+def pretrend_wald(spark: SparkSession, tests: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], alpha: float = 0.05) -> DataFrame:
+    """E12 with covariances: one row a method of (method, tau, estimates, covariance); effects with tau < 0 are tested.
+
+    ``n_omitted`` counts pre-period effects that are missing or follow from the others."""
+    rows = []
+    for method, tau, b, V in tests:
+        pre = np.flatnonzero(np.asarray(tau) < 0)
+        chi2, df = wald(np.asarray(b, float)[pre], np.asarray(V, float)[np.ix_(pre, pre)]) if len(pre) else (None, 0)
+        p = p_chi2(chi2, df) if df else None
+        verdict = "not testable" if p is None else "joint test rejects at 5%" if p < alpha else "not rejected"
+        rows.append((method, chi2, df, len(pre) - df, p, verdict))
+    return spark.createDataFrame(rows, WALD_SCHEMA)
+
+
 def compare_series(twfe: DataFrame, cs: DataFrame, lo: int = -7, hi: int = 9) -> DataFrame:
     """TWFE event-study series stacked with the group-time ATT event-time series."""
     a = twfe.select("tau", "estimate", "se", "ci_low", "ci_high", F.lit("TWFE").alias("method"))

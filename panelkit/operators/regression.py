@@ -16,6 +16,18 @@ from panelkit.sources.io import load_stage, save_stage
 SERIES_SCHEMA = "tau int, estimate double, se double, ci_low double, ci_high double"
 
 
+def event_study_fit(df: DataFrame, y: str, tau: str, never: str, unit: str, period: str, weight: str | None = None, lo: int = -7, hi: int = 9,
+                    ref: int = -1, drop_never: bool = False, cluster: str = "unit", controls: Sequence[str] = ()) -> tuple[Fit, list[int], list[str]]:
+    """R2 as a fit, with the event times and terms of its dummies; arguments as for ``event_study``."""
+    d = df.withColumn("_tb", P.bin_tau(tau, lo, hi, never))
+    if drop_never:
+        d = d.filter(F.col("_tb").isNotNull())
+    ks = [k for k in range(lo, hi + 1) if k != ref]
+    d = P.event_dummies(d, "_tb", lo, hi, prefix="_es", skip=[ref])
+    terms = [P.dummy_name(k, "_es") for k in ks]
+    return feols(d, y, [*terms, *controls], unit, period, weight=weight, cluster=cluster), ks, terms
+
+
 def event_study(df: DataFrame, y: str, tau: str, never: str, unit: str, period: str,
                 weight: str | None = None, lo: int = -7, hi: int = 9, ref: int = -1,
                 drop_never: bool = False, add_reference: bool = True, cluster: str = "unit",
@@ -26,13 +38,7 @@ def event_study(df: DataFrame, y: str, tau: str, never: str, unit: str, period:
     Never-adopters keep all-zero dummies (Stata form) unless ``drop_never``
     (the R form, where their NULL binned tau drops them).  Returns the
     coefficient series (R10), plus the reference row (O4) when asked."""
-    d = df.withColumn("_tb", P.bin_tau(tau, lo, hi, never))
-    if drop_never:
-        d = d.filter(F.col("_tb").isNotNull())
-    ks = [k for k in range(lo, hi + 1) if k != ref]
-    d = P.event_dummies(d, "_tb", lo, hi, prefix="_es", skip=[ref])
-    terms = [P.dummy_name(k, "_es") for k in ks]
-    fit = feols(d, y, [*terms, *controls], unit, period, weight=weight, cluster=cluster)
+    fit, ks, terms = event_study_fit(df, y, tau, never, unit, period, weight, lo, hi, ref, drop_never, cluster, controls)
     rows = coef_series(fit, ks, terms)
     if add_reference:
         rows.append((ref, 0.0, 0.0, 0.0, 0.0))

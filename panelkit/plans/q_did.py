@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelkit.operators import bacon as B
@@ -123,7 +124,7 @@ def q_balanced_subset(spark, sf_dir):
 
 from pyspark.sql import Window  # noqa: E402
 
-from panelkit.operators.attgt import aggte, att_gt  # noqa: E402
+from panelkit.operators.attgt import aggte, aggte_cov, att_gt, uniform_band  # noqa: E402
 
 
 def _att_sql(src: str, control: str) -> str:
@@ -281,17 +282,37 @@ def q_att_boot(spark, sf_dir):
     return a.withColumns({c: rnd(c) for c in ("att", "se", "boot_se")})
 
 
+_DYN_CTES = _DYN_SQL[: _DYN_SQL.index("SELECT 'e' || CAST(tot.e")].rstrip()
+
+
+@register("att_uniform_band", _att_sql(_P1_ATT_WQ, "never") + _DYN_CTES + """,
+signs AS (
+  SELECT un.unit, b, ascii(substr(md5('20240101|' || CAST(b AS VARCHAR) || '|' || CAST(unit AS VARCHAR)), 1, 1)) % 2 * 2 - 1 AS v
+  FROM un, (SELECT unnest(range(999)) AS b)),
+reps AS (SELECT ifs.e, b, sum(v * inf) / (SELECT n FROM nu) AS theta FROM ifs JOIN signs ON signs.unit = ifs.unit GROUP BY ifs.e, b),
+spread AS (SELECT e, (quantile_cont(theta, 0.75) - quantile_cont(theta, 0.25)) / 1.3489795003921634 AS se FROM reps GROUP BY e),
+top AS (SELECT b, max(abs(theta / se)) AS m FROM reps JOIN spread ON spread.e = reps.e WHERE se > 0 GROUP BY b),
+crit AS (SELECT m AS c FROM (SELECT m, row_number() OVER (ORDER BY m) AS r FROM top) WHERE r = 950)
+SELECT 'e' || CAST(tot.e AS VARCHAR) AS target, tot.e AS e, round(aw / pp, 6) + 0.0 AS att, round(se, 6) + 0.0 AS boot_se, round(c, 6) + 0.0 AS crit,
+       round(aw / pp - c * se, 6) + 0.0 AS band_low, round(aw / pp + c * se, 6) + 0.0 AS band_high
+FROM tot JOIN spread ON spread.e = tot.e, crit""")
+def q_att_band(spark, sf_dir):
+    """Simultaneous 95% bands of the event-time effects from 999 multiplier draws (sup-t)."""
+    a = uniform_band(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, 9, 999, 20240101)
+    return a.withColumns({c: rnd(c) for c in ("att", "boot_se", "crit", "band_low", "band_high")})
+
+
 # ---------------------------------------------------------------- E9-E14, F3, F7-F14
 
 from panelkit.functions import scalar as S  # noqa: E402
-from panelkit.operators.compare import comparison_table, compare_series, pretrend_rows, pretrend_stat, pretrend_test  # noqa: E402
+from panelkit.operators.compare import comparison_table, compare_series, pretrend_rows, pretrend_stat, pretrend_test, pretrend_wald  # noqa: E402
 from panelkit.operators.feols import feols, feols_multi  # noqa: E402
-from panelkit.operators.regression import event_study  # noqa: E402
+from panelkit.operators.regression import event_study, event_study_fit  # noqa: E402
 from panelkit.operators.sunab import sunab  # noqa: E402
 
 
 from panelkit.plans.q_regression import _P1R, _binned, _rounded  # noqa: E402
-from panelkit.plans.sqlgen import chi2_p_sql, normal_p_sql, sweep_ctes, t_pvalues  # noqa: E402
+from panelkit.plans.sqlgen import chi2_p_sql, normal_p_sql, sweep_ctes, t_pvalues, wald_ctes  # noqa: E402
 
 # the saturated regression of Sun-Abraham on laid-out indicators: cohorts and quarters of P1 with their weighted shares
 _SA = {f"{g}:{t - g}": (g, t) for g in (8, 14, 20) for t in range(32) if t != g - 1}
@@ -379,6 +400,36 @@ def q_pretrend_dynamic(spark, sf_dir):
     return r.withColumns({"chi2": rnd("chi2"), "p_value": rnd("p_value")})
 
 
+def _wald_sql() -> str:
+    es = sweep_ctes("es", "p1r", "y_qty", _binned(-7, 9, -1), "w")
+    att = "(" + _att_sql(_P1_ATT_WQ, "never") + _DYN_CTES
+    parts = [",\n".join(_P1R), es, f"""
+esx AS (SELECT psi.unit, o.pos AS j, psi.psi * sqrt((ng / (ng - 1.0)) * ((n.n - 1.0) / (n.n - kk))) AS x
+  FROM es_psi psi JOIN es_out o ON o.pos = psi.pos, es_n n, es_k WHERE CAST(o.term AS INTEGER) < 0),
+esb AS (SELECT pos AS j, estimate AS b FROM es_out WHERE CAST(term AS INTEGER) < 0)""",
+             f"""
+gtx AS (SELECT unit, e AS j, inf / n AS x FROM {att}
+  SELECT unit, e, inf, (SELECT n FROM nu) AS n FROM ifs WHERE e < 0)),
+gtb AS (SELECT e AS j, aw / pp AS b FROM {att}
+  SELECT e, aw, pp FROM tot WHERE e < 0))""", wald_ctes("esw", "esx", "esb"), wald_ctes("gtw", "gtx", "gtb")]
+    row = lambda name, m: (f"SELECT '{name}' AS method, round(chi2, 6) + 0.0 AS chi2, df, n_omitted, round(p, 6) + 0.0 AS p_value, "
+                           f"CASE WHEN p < 0.05 THEN 'joint test rejects at 5%' ELSE 'not rejected' END AS verdict "
+                           f"FROM (SELECT *, {chi2_p_sql('o.chi2', 'o.df')} AS p FROM {m}_out o)")
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + row("event study", "esw") + "\nUNION ALL\n" + row("group-time ATT", "gtw")
+
+
+@register("pretrend_wald", _wald_sql())
+def q_pretrend_wald(spark, sf_dir):
+    """E12 with covariances: joint tests of the effects before treatment, from the event study's clustered
+    covariance and from the Gram matrix of the group-time influence functions."""
+    fit, ks, terms = event_study_fit(_tau(spark, sf_dir), "y_qty", "tau", "never", "unit", "t", weight="w", lo=-7, hi=9)
+    at = [fit.terms.index(x) for x in terms]
+    names, b, V = aggte_cov(att_gt(_p1_wq(spark, sf_dir), "y_qty", "unit", "t", "g", "wq"), "dynamic", -7, -1)
+    r = pretrend_wald(spark, [("event study", np.array(ks), fit.beta[at], fit.vcov[np.ix_(at, at)]),
+                              ("group-time ATT", np.array([int(x[1:]) for x in names]), b, V)])
+    return r.withColumns({"chi2": rnd("chi2"), "p_value": rnd("p_value")})
+
+
 @register("pretrend_rows", f"""
 SELECT e AS tau, round(att, 6) + 0.0 AS estimate, round(se, 6) + 0.0 AS se, round(att / se, 6) + 0.0 AS z,
        CASE WHEN abs(att / se) > 1.96 THEN '*' ELSE '' END AS star FROM {_DYN_ROWS(_P1_ATT_WQ)} WHERE e < 0""")

@@ -157,3 +157,21 @@ def chi2_p_sql(x: str, df: str) -> str:
     """Upper tail of the chi-square distribution (df >= 2), by Simpson's rule over [0, x]."""
     return (f"(SELECT 1 - sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow({x} * i / 4000.0, {df} / 2.0 - 1) * exp(-{x} * i / 8000.0)) "
             f"* {x} / 12000 / (pow(2, {df} / 2.0) * exp(lgamma({df} / 2.0))) FROM range(4001) q(i))")
+
+
+def wald_ctes(m: str, psi: str, b: str) -> str:
+    """CTE ``{m}_out`` (chi2, df, n_omitted): b' V^-1 b of the estimates ``b`` (j, b), V the sum over units of products of ``psi`` (unit, j, x).
+
+    The bordered matrix [V b; b' 0] is eliminated column by column, leaving out those with less than 1e-9 of their variance left."""
+    return f"""
+{m}_v AS (SELECT a.j AS i, c.j AS j, sum(a.x * c.x) AS s FROM {psi} a JOIN {psi} c ON a.unit = c.unit GROUP BY a.j, c.j),
+{m}_mat AS (SELECT list_append(list(list_append(line, b) ORDER BY i), list_append(list(b ORDER BY i), 0.0)) AS mat, list(line[r] ORDER BY i) AS raw
+  FROM (SELECT i, list(s ORDER BY j) AS line, row_number() OVER (ORDER BY i) AS r FROM {m}_v GROUP BY i) l JOIN {b} e ON e.j = l.i),
+{m}_sw(step, mat, raw, df) AS (
+  SELECT 1, mat, raw, CAST(0 AS BIGINT) FROM {m}_mat
+  UNION ALL
+  SELECT step + 1, CASE WHEN mat[step][step] > 1e-9 * raw[step] AND mat[step][step] > 0
+      THEN list_transform(mat, lambda line: list_transform(line, lambda z, j: z - line[step] * mat[step][j] / mat[step][step])) ELSE mat END,
+    raw, df + CASE WHEN mat[step][step] > 1e-9 * raw[step] AND mat[step][step] > 0 THEN 1 ELSE 0 END
+  FROM {m}_sw WHERE step < len(mat)),
+{m}_out AS (SELECT -mat[len(mat)][len(mat)] AS chi2, df, CAST(len(raw) AS BIGINT) - df AS n_omitted FROM {m}_sw WHERE step = len(mat))"""

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.operators.joins import bounded_values
+from panelkit.operators.linalg import add_up
 from panelkit.operators.panel import over_unit
 
 CELL_SCHEMA = "g int, t int, att double, se double, n_treated long, n_control long"
@@ -238,18 +239,6 @@ def _influence(res: AttGt, kind: str, min_e: int | None, max_e: int | None) -> _
     return _Influence(names, estimates, res.control, res.n, len(res.periods), cells, mass, effect, post)
 
 
-def _add_up(units: DataFrame, part, size: int) -> np.ndarray:
-    """``size`` numbers added up over all tasks: ``part(batches)`` gives a task's."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = part(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["at", "v"])
-
-    got = units.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
-    return out
-
-
 def _covariance(res: AttGt, inf: _Influence, diagonal: bool) -> np.ndarray:
     """Variances, or the covariance matrix, of all targets' estimates."""
     held, k = res.spark.sparkContext.broadcast(inf), len(inf.names)  # cohorts x periods numbers
@@ -260,7 +249,7 @@ def _covariance(res: AttGt, inf: _Influence, diagonal: bool) -> np.ndarray:
             total += (x * x).sum(axis=0) if diagonal else x.T @ x
         return total.reshape(-1)
 
-    got = _add_up(res.units.select("G", "w", "y"), part, k if diagonal else k * k) / res.n**2
+    got = add_up(res.units.select("G", "w", "y"), part, k if diagonal else k * k) / res.n**2
     return got if diagonal else got.reshape(k, k)
 
 
@@ -312,7 +301,7 @@ def multiplier_bootstrap(res: AttGt, inf: _Influence, draws: int, seed: int = 0)
                 total += v[at: at + 4096].astype(float).T @ x[at: at + 4096]
         return total.reshape(-1)
 
-    return _add_up(res.units.select("G", "w", "y", signs.alias("v")), part, draws * k).reshape(draws, k) / res.n
+    return add_up(res.units.select("G", "w", "y", signs.alias("v")), part, draws * k).reshape(draws, k) / res.n
 
 
 def _spread(reps: np.ndarray) -> np.ndarray:

@@ -48,6 +48,36 @@ def rowmatrix_gram(df: DataFrame, array_col: str, ncols: int | None = None) -> n
     return RowMatrix(vec, 0, ncols or 0).computeGramianMatrix().toArray()
 
 
+def ordered_pivots(G: np.ndarray, scale: np.ndarray | None = None, tol: float = 1e-9) -> list[int]:
+    """The columns of a symmetric PSD matrix that don't follow from admitted ones before.
+
+    Cholesky's factor is built column by column, in the given order: a column costs one
+    product with the rows already found, so that all of them take k^3 steps."""
+    k = G.shape[0]
+    scale = np.diag(G) if scale is None else scale
+    L, keep = np.zeros((k, k)), []
+    for j in range(k):
+        m = len(keep)
+        left = G[j, j] - L[j, :m] @ L[j, :m]
+        if left > tol * scale[j] and left > 0:
+            L[j:, m] = (G[j:, j] - L[j:, :m] @ L[j, :m]) / np.sqrt(left)
+            keep.append(j)
+    return keep
+
+
+def add_up(df: DataFrame, part, size: int) -> np.ndarray:
+    """``size`` numbers added up over all tasks; ``part`` makes a task's from its Arrow batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = part(batches)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "v"])
+
+    got = df.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out
+
+
 def pivoted_solve(G: np.ndarray, rhs: np.ndarray, scale: np.ndarray | None = None, tol: float = 1e-9):
     """Solve G b = rhs for symmetric PSD G, dropping collinear columns.
 
@@ -57,15 +87,7 @@ def pivoted_solve(G: np.ndarray, rhs: np.ndarray, scale: np.ndarray | None = Non
     the diagonal), so that a column the effects absorb isn't taken for one of tiny
     variance.  Returns (b with NaN for omitted, keep mask, G_kept^-1)."""
     k = G.shape[0]
-    scale = np.diag(G) if scale is None else scale
-    keep: list[int] = []
-    for j in range(k):
-        resid = G[j, j]
-        if keep:
-            s = G[keep, j]
-            resid = resid - s @ np.linalg.solve(G[np.ix_(keep, keep)], s)
-        if resid > tol * scale[j] and resid > 0:
-            keep.append(j)
+    keep = ordered_pivots(G, scale, tol)
     mask = np.zeros(k, dtype=bool)
     mask[keep] = True
     b = np.full(rhs.shape, np.nan, dtype=float)

@@ -2,9 +2,10 @@
 
 Every 2x2 comparison only needs cohort x period means of the outcome, so the
 panel is reduced once by ``groupBy(cohort, period)`` (partial aggregation,
-#cohorts x T rows); pairs, 2x2 estimates and closed-form weights are then
-computed on that small table from running sums.  Cohorts are adoption periods;
-more than ``max_cohorts`` are refused before the list is collected."""
+#cohorts x T rows).  Pairs are rows: every treated cohort is laid against all
+periods and joined to the cohorts that begin there; closed-form weights are
+columns, and 2x2 estimates come from running sums at the ends of a pair's window.
+Five scalars reach the driver, whatever the number of cohorts."""
 
 from __future__ import annotations
 
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import is_timing_type
-from panelkit.operators.joins import bounded_values
 from panelkit.operators.panel import over_unit
 from panelkit.session import checkpoint_dir
 
@@ -33,13 +33,14 @@ def balanced_subset(df: DataFrame, u: str, t: str, y: str | None = None, min_uni
     return b
 
 
-def bacon(df: DataFrame, y: str, d: str, u: str, t: str, max_cohorts: int = 2000) -> DataFrame:
+def bacon(df: DataFrame, y: str, d: str, u: str, t: str) -> DataFrame:
     """Every 2x2 comparison (treated cohort, control cohort, type, estimate, weight).
 
     Treatment ``d`` is a 0/1 absorbing indicator; a unit's cohort is its first
     treated period.  Units treated from the first period are the 'Always
     Treated' group (control only); control NULL = never treated.  Weights are
-    the closed forms of the decomposition, normalised to sum to one."""
+    the closed forms of the decomposition, normalised to sum to one.  A panel
+    without rows gives none."""
     spark = df.sparkSession
     p = df.select(u, t, y, d).filter(F.col(y).isNotNull())
     p = p.withColumn("_g", F.min(F.when(F.col(d) == 1, F.col(t))).over(over_unit(u)))
@@ -48,47 +49,38 @@ def bacon(df: DataFrame, y: str, d: str, u: str, t: str, max_cohorts: int = 2000
     cm = p.groupBy("_g", t).agg(F.avg(y).alias("ybar"), F.count(F.lit(1)).alias("n_u"), F.max("_same").alias("_same"))
     checkpoint_dir(spark)
     cm = cm.checkpoint()
-    bounded_values(cm, "_g", max_cohorts)
-    per_g = cm.groupBy("_g").agg(F.max("n_u").alias("n_u"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.max("_same").alias("same")).collect()
-    if any(r["same"] > 1 for r in per_g):
+    cohorts = cm.groupBy("_g").agg(F.max("n_u").alias("n_u"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.max("_same").alias("same"))
+    span = cohorts.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n_u").alias("n"), F.max("same").alias("same")).first()
+    if span["n"] is None:
+        return spark.createDataFrame([], BACON_SCHEMA)
+    if span["same"] > 1:
         raise ValueError(f"({u}, {t}) isn't a key")
-    sizes = {r["_g"]: r["n_u"] for r in per_g}
-    t_lo, t_hi, n_units = min(r["lo"] for r in per_g), max(r["hi"] for r in per_g), sum(sizes.values())
-    T = t_hi - t_lo + 1
-    always = t_lo if t_lo in sizes else None
-    timing = sorted(g for g in sizes if g is not None and g != always)
-
-    def share(g):
-        return sizes[g] / n_units
-
-    def dshare(g):  # share of periods treated
-        return 0.0 if g is None else (t_hi - g + 1) / T
-
-    pairs = []  # (treated, control, type, window_lo, window_hi, post_from, raw weight)
-    for e in timing:
-        ne, De = share(e), dshare(e)
-        if None in sizes:
-            nu = share(None)
-            pr = ne / (ne + nu)
-            pairs.append((e, None, "Treated vs Untreated", t_lo, t_hi, e,
-                          (ne + nu) ** 2 * pr * (1 - pr) * De * (1 - De)))
-        if always is not None:
-            na = share(always)
-            pr = na / (na + ne)
-            pairs.append((e, always, "Later vs Always Treated", t_lo, t_hi, e,
-                          (na + ne) ** 2 * pr * (1 - pr) * De * (1 - De)))
-        for l in timing:
-            if l <= e:
-                continue
-            nl, Dl = share(l), dshare(l)
-            pr = ne / (ne + nl)
-            w_el = ((ne + nl) * (1 - Dl)) ** 2 * pr * (1 - pr) * ((De - Dl) / (1 - Dl)) * ((1 - De) / (1 - Dl))
-            w_le = ((ne + nl) * De) ** 2 * pr * (1 - pr) * (Dl / De) * ((De - Dl) / De)
-            pairs.append((e, l, "Earlier vs Later Treated", t_lo, l - 1, e, w_el))
-            pairs.append((l, e, "Later vs Earlier Treated", e, t_hi, l, w_le))
-    total = sum(x[-1] for x in pairs)
-    pdf = spark.createDataFrame([(*x[:6], x[6] / total) for x in pairs],
-                                "treated int, control int, type string, w_lo int, w_hi int, post_from int, weight double")
+    t_lo, t_hi = span["lo"], span["hi"]
+    # controls are keyed by their first period; the never-treated by one after the last
+    key = lambda g: F.coalesce(g, F.lit(t_hi + 1)).cast("int")
+    share = F.col("n_u") / F.lit(span["n"])
+    first = F.col("_g").cast("int")
+    treated = cohorts.where(first > t_lo).select(first.alias("treated"), share.alias("n_tr"), F.explode(F.sequence(F.lit(t_lo).cast("int"), F.lit(t_hi + 1).cast("int"))).alias("key"))
+    others = cohorts.select(key(F.col("_g")).alias("key"), first.alias("control"), share.alias("n_co"))
+    pairs = treated.join(others, "key").where("control is null or control <> treated")
+    # shares of treated periods: the pair's earlier cohort e and later one l; never-treated units count as l with none
+    never, always = F.col("control").isNull(), F.col("control") == t_lo
+    treated_share = lambda g: (F.lit(t_hi + 1) - g) / F.lit(t_hi - t_lo + 1)
+    D = treated_share(F.col("treated"))
+    e, l = treated_share(F.least("treated", "control")), treated_share(F.greatest("treated", "control"))
+    both = F.col("n_tr") + F.col("n_co")
+    split = F.col("n_tr") / both * (F.col("n_co") / both)
+    earlier = F.col("treated") < F.col("control")
+    raw = (F.when(never | always, both * both * split * D * (1 - D))
+           .when(earlier, (both * (1 - l)) * (both * (1 - l)) * split * ((e - l) / (1 - l)) * ((1 - e) / (1 - l)))
+           .otherwise((both * e) * (both * e) * split * (l / e) * ((e - l) / e)))
+    kind = (F.when(never, "Treated vs Untreated").when(always, "Later vs Always Treated").when(earlier, "Earlier vs Later Treated")
+            .otherwise("Later vs Earlier Treated"))
+    first_of = F.when(never | always | earlier, t_lo).otherwise(F.col("control"))
+    last_of = F.when(~never & earlier & ~always, F.col("control") - 1).otherwise(t_hi)
+    pairs = pairs.select("treated", "control", kind.alias("type"), first_of.alias("w_lo"), last_of.alias("w_hi"), F.col("treated").alias("post_from"), raw.alias("raw"))
+    total = pairs.agg(F.sum("raw")).first()[0]
+    pdf = pairs.withColumn("weight", F.col("raw") / F.lit(total))
     # 2x2 estimate: (post - pre) mean of the treated cohort minus that of the control over the
     # pair's window, from the cohorts' running sums at the window's ends and before the post period
     upto = cm.select(F.col("_g"), F.col(t).alias("_t"), F.sum("ybar").over(Window.partitionBy("_g").orderBy(t)).alias("s"))

@@ -303,6 +303,10 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
         n_clusters = by_cl.count()
 
     n, T = info["n"], info["T"]
+    # one Gram matrix of all models' scores; a model's meat is a block of it
+    names = [f"_s{m}_{i}" for m, (*_, kept) in enumerate(solved) for i in range(len(kept))]
+    place = {x: i for i, x in enumerate(names)}
+    scores = gram(by_cl, names) if by_cl is not None and names else None
     fits = []
     for m, ((y, xs), (yi, xi, beta, keep, inv, kept)) in enumerate(zip(specs, solved)):
         k, kk = len(xs), len(kept)
@@ -314,7 +318,8 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
             if vcov == "iid":
                 Vk = ssr / (n - K) * inv
             else:
-                meat = gram(by_cl, [f"_s{m}_{i}" for i in range(kk)])
+                at = [place[f"_s{m}_{i}"] for i in range(kk)]
+                meat = scores[np.ix_(at, at)]
                 Gc = n_clusters
                 c = (Gc / (Gc - 1)) * ((n - 1) / (n - K))
                 Vk = c * inv @ meat @ inv

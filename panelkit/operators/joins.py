@@ -53,12 +53,13 @@ def cohort_pairs(df: DataFrame, g: str) -> DataFrame:
     """Every ordered (treated cohort, control cohort) pair plus each cohort vs
     the never-treated, labelled like the decomposition's comparison types.
 
-    Pairs are made in Spark from the distinct cohorts: each one stands beside the
-    sorted list of all of them and of the missing cohort."""
-    cohorts = df.select(F.col(g).alias("treated")).distinct()
-    every = cohorts.agg(F.array_sort(F.collect_set("treated")).alias("a"), F.max(F.col("treated").isNull()).alias("never")).first()
-    others = F.array(*[F.lit(c) for c in every["a"]], *([F.lit(None)] if every["never"] else [])).cast("array<int>") if every["a"] else F.array().cast("array<int>")
-    pairs = cohorts.where("treated is not null").select("treated", F.explode(others).alias("control")).where("control is null or control <> treated")
+    Cohorts, of any number, meet by bucket: each treated one goes to all buckets, each
+    control (a null among them) to the one of its hash."""
+    buckets = 32
+    cohorts = df.select(F.col(g).cast("int").alias("c")).distinct()
+    treated = cohorts.where("c is not null").select(F.col("c").alias("treated"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("b"))
+    control = cohorts.select(F.col("c").alias("control"), F.pmod(F.xxhash64("c"), F.lit(buckets)).cast("int").alias("b"))
+    pairs = treated.join(control, "b").where("control is null or control <> treated")
     kind = (F.when(F.col("control").isNull(), "Treated vs Untreated").when(F.col("treated") < F.col("control"), "Earlier vs Later Treated")
             .otherwise("Later vs Earlier Treated"))
     return pairs.select(F.col("treated").cast("int"), "control", kind.alias("type"))

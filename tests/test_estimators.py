@@ -232,3 +232,25 @@ def test_ordered_pivots_of_many_columns():
     b, mask, inv = pivoted_solve(G, G @ np.ones(50))
     assert np.isnan(b[~mask]).all() and (~mask).sum() == 4
     assert np.allclose(X[:, :50][:, mask] @ b[mask], X[:, :50] @ np.ones(50))
+
+
+def test_decomposition_of_3000_cohorts(spark):
+    """Pairs are made in Spark: 2,999 cohorts and one never-treated unit, a constant effect of 2 in every pair."""
+    C = 3000
+    p = spark.range(C * (C + 2)).select((F.col("id") % C).cast("int").alias("unit"), (F.col("id") / C).cast("int").alias("t"))
+    p = p.withColumn("d", F.when(F.col("unit") < C - 1, (F.col("t") > F.col("unit")).cast("int")).otherwise(0))
+    p = p.withColumn("y", F.col("d") * 2.0 + F.col("unit") * 0.1 + F.col("t") * 0.3)
+    r = B.bacon(p, "y", "d", "unit", "t").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("estimate")).alias("b"),
+                                              F.min("estimate").alias("lo"), F.max("estimate").alias("hi")).first()
+    assert r["n"] == (C - 1) * (C - 2) + (C - 1)
+    assert r["w"] == pytest.approx(1.0, abs=1e-9) and r["b"] == pytest.approx(2.0, abs=1e-7)
+    assert r["lo"] == pytest.approx(2.0, abs=1e-6) and r["hi"] == pytest.approx(2.0, abs=1e-6)
+    assert B.bacon(p.limit(0), "y", "d", "unit", "t").count() == 0
+
+
+def test_cohort_pairs_of_many_cohorts(spark):
+    from panelkit.operators.joins import cohort_pairs
+    df = spark.range(700).select((F.col("id") % 300).cast("int").alias("g")).union(spark.sql("SELECT CAST(NULL AS INT)"))
+    got = {(r["treated"], r["control"]): r["type"] for r in cohort_pairs(df, "g").collect()}
+    assert len(got) == 300 * 299 + 300
+    assert got[3, None] == "Treated vs Untreated" and got[3, 5] == "Earlier vs Later Treated" and got[5, 3] == "Later vs Earlier Treated"

@@ -236,6 +236,12 @@ def _parted(a: Automaton, texts: pa.Array) -> Iterator[tuple[slice, list[tuple[i
         yield rows, parts, at, np.searchsorted(doc, np.arange(len(words.counts) + 1))
 
 
+def ids_of(text: str, vocabulary: str) -> list[int]:
+    """The ids of one text."""
+    parts = _parted(automaton(vocabulary), pa.array([text], pa.string()))
+    return [int(i) for _, units, at, _ in parts for k in at.tolist() for i in units[k][1].split(",")]
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (array of int) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,17 +15,20 @@ coordinate still empty go on with twice the ranks.  Two documents agree on a
 coordinate with their similarity as probability; ``BANDS`` bands of ``ROWS``
 coordinates miss a pair at 0.8 with probability 3e-5.
 
-Verification.  Equal weighted sets are one class from the start and are named by a
-hash of the set, which a text tells whatever its id.  Every band bucket links its members to its smallest
-one, so no pairs are made within a group; links are checked on whole element
-sets.  Where a bucket still holds several components, its members meet in blocks
+Verification.  Equal weighted sets are one class from the start and get a number; a
+text tells by two hashes which set is its own, whatever its id.  Every band bucket links its members to
+the set of its smallest document, so no pairs are made within a group; a leader's text
+meets those of its members in blocks of about ``WORDS`` words, each text sent once a link,
+and links are checked on whole element sets there.  Where a bucket still holds several components, its members meet in blocks
 (``BLOCK`` each), where every pair from different components is compared in the
 first bucket that it shares; a block gives a spanning forest, never its pairs.
 Pairs that agree on fewer than ``LEAST_AGREE`` coordinates aren't compared.
 
 Edge cases: a null or wordless text is in no class but its own; a row with a null
 id is returned with null class; rows that share an id share its class (their
-texts all link it); extra columns are ignored."""
+texts all link it); an empty table gives no rows; extra columns are ignored.
+``keep_first`` keeps all columns, one row of each (id, text), and a row with a null id
+only where no row with an id, and no other such row, is in its class."""
 
 from __future__ import annotations
 
@@ -46,6 +49,7 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 COORDS = BANDS * ROWS
 BLOCK = 500
+WORDS = 1 << 20  # elements of the members that meet a leader in one block
 LEAST_AGREE = 44  # of COORDS; a pair at 0.8 agrees on fewer with probability 2e-7
 DARTS = COORDS * math.log(COORDS) + 2 * COORDS
 
@@ -163,30 +167,70 @@ def _copies(e: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np
     return np.repeat(d, w), V.mix(np.repeat(e, w) ^ V.mix(nth.astype(V.U64), 80), 81)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, words in V.chunks(batch.column("text")):
-            e, w, d = _elements(words)
-            has = np.unique(d)
-            if not len(has):
-                continue
-            doc, value = _copies(e, w, d)
-            ends = np.append(np.searchsorted(doc, has), len(doc)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_names(e, w, np.searchsorted(d, has))[0],
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], ["id", "els"])
-
-
 def _similar(common, total):
     """Weighted Jaccard of 0.8 or more, in whole numbers: common / (total - common) >= 4 / 5."""
     return common * 9 >= total * 4
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose element sets are similar."""
-    first = pairs.join(sets.select(F.col("id").alias("v"), F.col("els").alias("b")), "v")
-    both = first.join(sets.select(F.col("id").alias("u"), F.col("els").alias("a")), "u")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(_similar(common, F.size("a") + F.size("b"))).select("u", "v")
+def _elements_of(texts: pa.Array, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element) of the texts whose set has the hashes ``k1``, ``k2``; texts of other sets are passed over."""
+    rows, values = [], []
+    for at, words in V.chunks(texts):
+        e, w, d = _elements(words)
+        has = np.unique(d)
+        if not len(has):
+            continue
+        one, two = (x.to_numpy() for x in _names(e, w, np.searchsorted(d, has)))
+        right = np.zeros(len(words.counts), bool)
+        right[has] = (one == k1[at][has]) & (two == k2[at][has])
+        doc, value = _copies(e[right[d]], w[right[d]], d[right[d]])
+        rows.append(doc + at.start), values.append(value)
+    return (np.concatenate(rows), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros(0, V.U64))
+
+
+def _against_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar (u, v) of rows (u, block, rep, k1, k2, text) that come sorted, each block's leaders (rep = u) first."""
+    held: list[pa.RecordBatch] = []  # the last block's leaders, which the next batch may go on with
+    for batch in batches:
+        both = pa.Table.from_batches([*held, batch]).combine_chunks()
+        if not both.num_rows:
+            continue
+        u, block, rep, k1, k2 = (both.column(c).to_numpy() for c in ("u", "block", "rep", "k1", "k2"))
+        row, value = _elements_of(both.column("text"), k1, k2)
+        size = np.bincount(row, minlength=len(u))
+        group = V.mix(u.view(V.U64) ^ V.mix(block.astype(V.U64), 90), 91)
+        leader = u == rep
+        key = V.mix(value ^ group[row], 92)
+        of_leader = leader[row]
+        common = np.bincount(row[~of_leader][np.isin(key[~of_leader], key[of_leader])], minlength=len(u))
+        lead = np.flatnonzero(leader & (size > 0))  # a leader's other texts (of its id) have no elements here
+        by = lead[np.argsort(group[lead], kind="stable")]
+        at = np.searchsorted(group[by], group) if len(by) else np.zeros(len(u), np.int64)
+        at = np.minimum(at, max(len(by) - 1, 0))
+        known = (group[by][at] == group) if len(by) else np.zeros(len(u), bool)
+        total = np.where(known, size[by][at], 0) if len(by) else np.zeros(len(u), np.int64)
+        new = np.arange(len(u)) >= sum(b.num_rows for b in held)
+        hit = np.flatnonzero(new & ~leader & known & (size > 0) & _similar(common, size + total))
+        yield pa.RecordBatch.from_arrays([pa.array(u[hit]), pa.array(rep[hit])], ["u", "v"])
+        last = np.flatnonzero(leader & (u == u[-1]) & (block == block[-1]))
+        held = both.take(pa.array(last)).to_batches()
+
+
+def _linked(pairs: DataFrame, same: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets that are similar.  A leader meets its members in blocks of about ``WORDS`` words."""
+    sized = pairs.join(same.select(F.col("rep").alias("v"), "total"), "v")
+    blocks = cut(sized.groupBy("u").agg(F.ceil(F.sum("total") / WORDS).cast("int").alias("n")))
+    members = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64(F.lit(11), "v"), F.col("n")).cast("int").alias("block"), F.col("v").alias("rep"))
+    leaders = blocks.select("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.col("u").alias("rep"))
+    rows = _with_texts(members.union(leaders), same, known)
+    rows = rows.repartition("u", "block").sortWithinPartitions("u", "block", F.col("rep") != F.col("u"))
+    return rows.mapInArrow(_against_leaders, "u long, v long")
+
+
+def _with_texts(rows: DataFrame, same: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with k1, k2 of their set ``rep`` and all texts of its smallest document, of which one is the set's."""
+    of = same.select("rep", "k1", "k2", F.col("first").alias("doc_id"))
+    return rows.join(of, "rep").join(known, "doc_id").drop("doc_id")
 
 
 def _to_compare(key, table):
@@ -214,12 +258,13 @@ def _to_compare(key, table):
 
 def _compare(key, table):
     """Spanning edges of the similar pairs from different components in a block pair."""
-    els = table.column("els").combine_chunks()
-    n, size = len(els), np.diff(els.offsets.to_numpy()).astype(np.int64)
-    row, value = np.repeat(np.arange(n), size), els.flatten().to_numpy()
+    n = table.num_rows
+    row, value = _elements_of(table.column("text"), table.column("k1").to_numpy(), table.column("k2").to_numpy())
+    size = np.bincount(row, minlength=n)
     _, value = np.unique(value, return_inverse=True)
     c, rep = table.column("c").to_numpy(), table.column("rep").to_numpy()
     ask = pairs_here(table.column("side").to_numpy(), key[1].as_py(), key[2].as_py()) & (c[:, None] != c[None, :])
+    ask &= (size > 0)[:, None] & (size > 0)[None, :]
     shared = np.flatnonzero(np.bincount(value) > 1)  # an element of one set alone is in no common part
     column = np.full(value.max() + 1 if len(value) else 0, -1)
     column[shared] = np.arange(len(shared))
@@ -239,23 +284,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (id, class_id) over the sets that are linked: the smallest document of all sets that links reach."""
     known = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).where("doc_id is not null")
     sketch = cut(known.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, total long, bands array<long>, marks binary"))
-    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("total", "bands", "marks"))).withColumn("rep", F.col("k1")))
-    member = sketch.select("doc_id", "k1", "k2").join(same.select("k1", "k2", "rep", "first"), ["k1", "k2"]).select("doc_id", "rep", "first")
-    several = sketch.groupBy("doc_id").agg(F.min("k1").alias("u"), F.max("k1").alias("v")).where("u < v").select("doc_id", "u")
-    several = sketch.select("doc_id", F.col("k1").alias("v")).join(several, "doc_id").where("u < v").select("u", "v").distinct()
-    buckets = same.select("rep", F.explode("bands").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
-    shared = cut(buckets.join(leaders, "bucket"))  # (bucket, rep, u): the buckets of two and more
-
-    def sets(ids: DataFrame) -> DataFrame:
-        """The element sets ``ids`` and perhaps others: all texts of the documents that carry those."""
-        of = same.select(F.col("rep").alias("id"), F.col("first").alias("doc_id")).join(ids.distinct(), "id").select("doc_id").distinct()
-        texts = known.join(of, "doc_id").select("text")
-        return texts.mapInArrow(_sets, "id long, els array<long>").dropDuplicates(["id"])
-
-    pairs = cut(shared.where("rep > u").select("u", F.col("rep").alias("v")).distinct())
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v"))
-    links = cut(_linked(pairs, sets(ends)).union(several))
+    # a number for each set, given once
+    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("total", "bands", "marks")))
+               .withColumn("rep", F.monotonically_increasing_id()))
+    member = cut(sketch.select("doc_id", "k1", "k2").distinct().join(same.select("k1", "k2", "rep", "first"), ["k1", "k2"]).select("doc_id", "rep", "first"))
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("doc_id", "u")
+    several = member.select("doc_id", F.col("rep").alias("v")).join(several, "doc_id").where("u < v").select("u", "v").distinct()
+    buckets = same.select("rep", "first", F.explode("bands").alias("bucket"))
+    least = F.min(F.struct("first", "rep"))["rep"]
+    leaders = buckets.groupBy("bucket").agg(least.alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
+    shared = cut(buckets.select("bucket", "rep").join(leaders, "bucket"))  # (bucket, rep, u): the buckets of two and more
+    pairs = cut(shared.where("rep <> u").select("u", F.col("rep").alias("v")).distinct())
+    links = cut(_linked(pairs, same, known).union(several))
     found = components(links)
 
     # buckets that still hold several components: all their pairs, in blocks
@@ -265,7 +305,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = left.join(mixed, "bucket").join(same.select("rep", "total", "bands", "marks"), "rep")
     left = block_pairs(left, ["bucket"], "rep", BLOCK).groupBy("bucket", "lo", "hi")
     left = cut(left.applyInArrow(_to_compare, "bucket long, lo int, hi int, side int, rep long, c long"))
-    more = (left.join(sets(left.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
+    more = (_with_texts(left, same, known)
             .groupBy("bucket", "lo", "hi").applyInArrow(_compare, "u long, v long"))
     tree = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
     found = components(tree.union(more))
@@ -284,6 +324,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) without those of a class with a smaller id."""
-    later = near_copies(docs).where("class_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == later["_later"], "left_anti")
+    """One row (all columns) of each class: that of the smallest id.
+
+    Rows that repeat an id and text whole stay once.  A null id counts as a number above all ids (2**62 and
+    more, from the text), so that its row gives way to rows with an id and to one other row with a null id."""
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_of()), 2)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), late).alias("id"), F.xxhash64(text_of()).alias("hash"))
+    later = (near_copies(rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")))
+             .where("class_id < doc_id").select(F.col("doc_id").alias("id")).distinct())
+    kept = rows.join(later, "id", "left_anti")
+    again = cut(rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash"))
+    if not again.isEmpty():
+        twice = kept.join(again, ["id", "hash"], "left_semi").withColumn("text", F.coalesce("row.text", F.lit(""))).dropDuplicates(["id", "text"]).drop("text")
+        kept = kept.join(again, ["id", "hash"], "left_anti").unionByName(twice)
+    return kept.select("row.*")

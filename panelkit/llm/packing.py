@@ -12,12 +12,16 @@ half empty and at most ``FAN`` - 1 merges can happen in a partition above; only
 Every round is written before the next one and dealt by a hash, so a lost executor
 costs the round's lost partitions and gives the same bins again.
 
+The encoder's regular expression gives up on about a million white-space characters
+in a row; a text with so many goes through the automaton of ``bpe``, which gives the same ids.
+
 Edge cases: a null or empty text is the closing 0 alone; null ids are packed like
 others; rows that share an id are packed each; an empty table gives no sequences."""
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.bpe import SPLIT
+from panelkit.llm.bpe import SPLIT, ids_of
 from panelkit.llm.common import cut, text_of
 
 LENGTH = 2048
@@ -36,6 +40,7 @@ ITEMS = 50_000  # pieces of a partition in the first round
 FAN = 8
 CARRY = 64
 NEARLY = 16  # a bin with at most so much room is emitted
+_GAP = re.compile(r"\s{100000}")
 _PART = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
 
@@ -46,14 +51,21 @@ def encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encodi
     return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=table, special_tokens=dict(special))
 
 
-def pieces(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+def token_ids(text: str, enc: tiktoken.Encoding, vocabulary: str) -> np.ndarray:
+    """The ids of a whole text, however much white space stands in a row."""
+    if not _GAP.search(text):
+        return enc.encode_to_numpy(text, allowed_special="all")
+    return np.array(ids_of(text, vocabulary), np.int64)
+
+
+def pieces(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], vocabulary: str, length: int = LENGTH) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row.  ``ranks`` and ``vocabulary`` are files of one vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks, special)
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                ids = np.append(enc.encode_to_numpy(text.as_py(), allowed_special="all"), 0).astype("<u4")
+                ids = np.append(token_ids(text.as_py(), enc, vocabulary), 0).astype("<u4")
                 cuts = [0, *range(len(ids) % length or length, len(ids), length), len(ids)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     row.append(i), piece.append(k), start.append(a), size.append(b - a)

@@ -54,7 +54,7 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    return packing.pack(packing.pieces(docs, public_tokenizers.path(RANKS), SPECIAL))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(RANKS), SPECIAL, public_tokenizers.path(VOCABULARY)))
 
 
 @query

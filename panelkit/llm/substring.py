@@ -24,7 +24,8 @@ gathered, and every shuffle may be recomputed on its own.
 
 Edge cases: null text counts as empty; a null id neither removes words nor loses
 any; rows that share an id are one document with several texts (none removes
-words of another); documents under ``WINDOW`` words lose nothing."""
+words of another); documents under ``WINDOW`` words lose nothing; an empty table
+gives no rows; extra columns are ignored (``digests``) or kept (``remove``)."""
 
 from __future__ import annotations
 
@@ -83,7 +84,7 @@ def _emit(keys: list[np.ndarray], doc: np.ndarray, names: list[str]) -> pa.Recor
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, got = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+        ids, got = batch.column("doc_id").fill_null(0).to_numpy(), []
         for at, words in V.chunks(batch.column("text")):
             a, c, doc, _ = _anchors(words, [words.hashes(0), words.hashes(1)])
             got.append((a, c, ids[at][doc]))
@@ -118,7 +119,8 @@ def _marked(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows around the open contexts of each document."""
     for batch in batches:
-        ids, got = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+        # a null id has no open context; filled, the others stay whole numbers
+        ids, got = batch.column("doc_id").fill_null(0).to_numpy(), []
         for rows, words in V.chunks(batch.column("text")):
             of, contexts = _lists(batch.column("open"), rows)
             if not len(of):

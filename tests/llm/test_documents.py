@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from llm import cases
 from panelkit.llm import lm, minhash, packing, quality, secrets, substring
-from panelkit.llm.queries import RANKS, SPECIAL
+from panelkit.llm.queries import RANKS, SPECIAL, VOCABULARY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,6 +70,16 @@ def test_substring_many_contexts(spark):
     assert sorted(map(key, substring.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())) == want
 
 
+def test_substring_ids_beyond_doubles_beside_a_null_id(spark):
+    """Ids above 2**53 in a batch with a null id keep their removals."""
+    import random
+    rng = random.Random(4)
+    passage = cases.prose(rng, 55, 10**6)
+    rows = [(2**60 + i, cases.prose(rng, 20, 10**6) + " " + passage + " " + cases.prose(rng, 20, 10**6)) for i in range(6)] + [(None, passage)]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {2**60: 0, None: 0} | {2**60 + i: 55 for i in range(1, 6)}
+
+
 def test_substring_remove_keeps_columns(spark):
     docs = cases.documents(spark)
     got = substring.remove(docs)
@@ -118,10 +128,47 @@ def test_minhash_classes(spark):
     assert want[8] == 6 and want[10] == 9
     kept = minhash.keep_first(cases.documents(spark))
     assert kept.columns == cases.documents(spark).columns
-    assert sorted(key(r) for r in kept.collect()) == sorted(key(r) for r in cases.rows() if r[0] is None or want[r[0]] == r[0])
+    # a row that repeats whole stays once; the row with a null id gives way to the equal text of document 6
+    assert sorted(key(r) for r in kept.collect()) == sorted({key(r) for r in cases.rows() if r[0] is not None and want[r[0]] == r[0]})
     assert minhash.near_copies(cases.empty(spark)).count() == 0
 
 
+def test_keep_first_of_repeats_and_null_ids(spark):
+    """One row of each class, whatever repeats: whole rows, null ids, near copies of either."""
+    import random
+    rng = random.Random(12)
+    t, u, v, x = (cases.prose(rng, 120, 10**6) for _ in range(4))
+    rows = [(1, t), (1, t), (2, u), (None, t), (None, t + " tail"), (None, v), (None, v), (None, v + " tail"), (7, v + " other"), (None, x), (None, x),
+            (None, None), (None, ""), (3, None), (3, None), (4, "")]
+    got = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert [r["text"] for r in got if r["doc_id"] == 1] == [t] and [r["text"] for r in got if r["doc_id"] == 2] == [u]
+    assert [r["text"] for r in got if r["doc_id"] == 7] == [v + " other"]
+    assert [r["text"] for r in got if r["doc_id"] is None and r["text"]] == [x]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got if not r["text"]) == [(False, 3), (False, 4), (True, 0)]
+
+
+def test_minhash_leader_with_many_blocks(spark, monkeypatch):
+    """A group whose members meet their leader in many small blocks, over several Arrow batches, loses no link."""
+    import random
+    rng = random.Random(21)
+    base = cases.prose(rng, 200, 10**6).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, cases.prose(rng, 150, 10**6)) for i in range(20)]
+    monkeypatch.setattr(minhash, "WORDS", 600)
+    want = classes(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = dict(minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want and set(got[i] for i in range(60)) == {0}
+
+
 def test_minhash_texts_of_one_id(spark):
     """Each of the texts that share an id has a near copy, one of them also through the equal text of another id."""
     import random
@@ -319,7 +366,7 @@ def test_best_fit_by_brute_force():
 def test_packing(spark, monkeypatch, items):
     monkeypatch.setattr(packing, "ITEMS", items)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = packing.pack(packing.pieces(cases.documents(spark), public_tokenizers.path(RANKS), SPECIAL)).collect()
+    got = packing.pack(packing.pieces(cases.documents(spark), public_tokenizers.path(RANKS), SPECIAL, public_tokenizers.path(VOCABULARY))).collect()
     places, pieces = defaultdict(list), []
     for r in got:
         places[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -339,4 +386,16 @@ def test_packing(spark, monkeypatch, items):
             at += length
         assert at <= 2048
     assert len(places) <= -(-total // 2048) + 2
-    assert packing.pack(packing.pieces(cases.empty(spark), public_tokenizers.path(RANKS), SPECIAL)).count() == 0
+    assert packing.pack(packing.pieces(cases.empty(spark), public_tokenizers.path(RANKS), SPECIAL, public_tokenizers.path(VOCABULARY))).count() == 0
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "\u2003", " \n"])
+def test_packing_takes_any_white_space(spark, gap):
+    """A million white-space characters in a row, for which the encoder's pattern has no room; ids equal the library's."""
+    text = "one" + gap * (1_100_000 // len(gap)) + "two  three"
+    ids = [*Tokenizer.from_file(public_tokenizers.path(VOCABULARY)).encode(text, add_special_tokens=False).ids, 0]
+    got = packing.pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), public_tokenizers.path(RANKS), SPECIAL, public_tokenizers.path(VOCABULARY)).collect()
+    assert sum(r["length"] for r in got) == len(ids)
+    for r in got:
+        piece = np.array(ids[r["start"]: r["start"] + r["length"]], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(piece.tobytes())

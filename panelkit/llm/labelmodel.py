@@ -2,7 +2,9 @@
 
 Every item has a hidden class (0 or 1) and a vote, yes or no, of each of a few voters.
 Within a class votes follow a log-linear model: a rate for each voter and, for pairs
-that agree more than their rates explain, a correlation weight.  All patterns of votes
+that agree more than the classes explain, a correlation weight.  Pairs are added one by
+one, the worst explained first, each time with a new fit: added all at once, they would
+take over what the classes explain.  All patterns of votes
 can be listed (``2**voters``), so that the model is fitted exactly, by expectation
 maximisation with Newton steps, from a count of each pattern; no true class is seen."""
 
@@ -14,7 +16,7 @@ import numpy as np
 
 MAX_VOTERS = 14
 ROUNDS = 60
-TIED = 0.1  # least correlation within a class for which a pair gets a weight of its own
+TIED, TIES = 0.02, 8  # a pair gets a weight of its own where the model misses their correlation by so much; so many pairs at most
 PULL = 1.0  # of the weights towards 0, in items; keeps rates of 0 and 1 finite
 
 
@@ -87,24 +89,30 @@ def _fit(votes: np.ndarray, counts: np.ndarray, pairs: list[tuple[int, int]], q:
     return w, prior, q
 
 
-def _tied(votes: np.ndarray, counts: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that are correlated within the classes, strongest first, one a voter at most on average."""
-    m, total = votes.shape[1], counts.sum()
-    cov, var = np.zeros((m, m)), np.zeros(m)
-    for share in (counts * (1 - q), counts * q):
-        if share.sum() > 0:
-            off = votes - share @ votes / share.sum()
-            cov += (off.T * share) @ off / total
-    var = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    found = [(abs(cov[a, b]) / (var[a] * var[b]), a, b) for a in range(m) for b in range(a + 1, m)]
-    return [(a, b) for r, a, b in sorted(found, reverse=True)[:m] if r >= TIED]
+def _worst_pair(votes: np.ndarray, counts: np.ndarray, pairs: list[tuple[int, int]], w: np.ndarray, prior: float) -> tuple[float, tuple[int, int]]:
+    """How much of the correlation of some pair the model misses at worst, and which pair that is."""
+    parts = np.exp(_log_parts(_design(votes, pairs), w))
+    model, seen = (1 - prior) * parts[0] + prior * parts[1], counts / counts.sum()
+    mean = seen @ votes
+    sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-4))  # a voter that hardly ever votes ties with nobody
+    miss = np.abs((votes.T * (seen - model)) @ votes) / np.outer(sd, sd)
+    miss[np.tril_indices(len(miss))] = 0
+    for p in pairs:
+        miss[p] = 0
+    a, b = np.unravel_index(int(miss.argmax()), miss.shape)
+    return float(miss[a, b]), (int(a), int(b))
 
 
 def fit(counts: np.ndarray, voters: int, guess: np.ndarray) -> LabelModel:
     """``counts``: items by pattern; ``guess``: a first chance of class 1 by pattern, which says which class is which."""
-    votes, counts = all_votes(voters), counts.astype(float)
-    _, _, q = _fit(votes, counts, [], guess)
-    pairs = _tied(votes, counts, q)
-    w, prior, q = _fit(votes, counts, pairs, q)
+    votes, counts, pairs = all_votes(voters), counts.astype(float), []
+    if not counts.any():
+        counts = np.ones(len(counts))
+    while True:
+        w, prior, q = _fit(votes, counts, pairs, guess)
+        miss, pair = _worst_pair(votes, counts, pairs, w, prior)
+        if miss < TIED or len(pairs) == TIES:
+            break
+        pairs = [*pairs, pair]
     parts = np.exp(_log_parts(_design(votes, pairs), w))
     return LabelModel(parts @ votes, pairs, w[2 * voters:], prior, q)

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import cut
 
 
+ROWS = 200_000  # links of a partition that is written
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex hands its larger neighbours to the smallest vertex it knows."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in the next step
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +32,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``edges`` (u, v: long) that isn't itself the smallest."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # a round's files follow the links there are, not the session's partitions: few links, few files
+    parts = -(-edges.count() // ROWS) or 1
     before = None
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)).coalesce(parts))
         mark = F.xxhash64("u", "v").cast("decimal(38,0)")
         now = edges.agg(F.count("*"), F.sum(mark)).first()
         if now == before or not now[0]:

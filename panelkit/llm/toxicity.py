@@ -130,18 +130,20 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[slice, V.Words, V.Words, np.n
         yield rows, whole, words, *_tokens(words)
 
 
-def _votes(whole: V.Words, words: V.Words, doc: np.ndarray, token: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Each document's pattern of votes as a whole number, bit j for voter j. ``entries``: best first."""
-    n = len(whole.counts)
-    out = _forms(whole, words) @ (1 << np.arange(LEXICONS, VOTERS))
+def _form_votes(whole: V.Words, words: V.Words) -> np.ndarray:
+    """The votes of the voters on form, as bits."""
+    return (_forms(whole, words) @ (1 << np.arange(LEXICONS, VOTERS))).astype(np.int32)
+
+
+def _lexicon_votes(doc: np.ndarray, token: np.ndarray, n: int, entries: np.ndarray) -> np.ndarray:
+    """The votes of the lexicons of ``entries`` (best first), as bits."""
+    yes = np.zeros((n, LEXICONS), bool)
     if len(entries) and len(token):
         by = np.argsort(entries)
         at = np.minimum(np.searchsorted(entries[by], token), len(entries) - 1)
         hit = entries[by][at] == token
-        yes = np.zeros((n, LEXICONS), bool)
         yes[doc[hit], by[at[hit]] % LEXICONS] = True
-        out = out + yes @ (1 << np.arange(LEXICONS))
-    return out.astype(np.int32)
+    return (yes @ (1 << np.arange(LEXICONS))).astype(np.int32)
 
 
 def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
@@ -149,15 +151,15 @@ def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """text, label, tokens of every row of ``docs`` (text, label)."""
+    """label, forms (votes on form), tokens of every row of ``docs`` (text, label)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, whole, _, doc, token in _each(batch):
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("label"), _lists(doc, token.view(np.int64), len(whole.counts))],
-                                                 ["text", "label", "tokens"])
+            for rows, whole, words, doc, token in _each(batch):
+                label = batch.column("label").slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([label, pa.array(_form_votes(whole, words)), _lists(doc, token.view(np.int64), len(whole.counts))],
+                                                 ["label", "forms", "tokens"])
 
-    return docs.select("text", "label").mapInArrow(run, "text string, label int, tokens array<long>")
+    return docs.select("text", "label").mapInArrow(run, "label int, forms int, tokens array<long>")
 
 
 def lexicon(sample: DataFrame) -> np.ndarray:
@@ -179,18 +181,15 @@ def lexicon(sample: DataFrame) -> np.ndarray:
     return np.array([r["token"] for r in got], np.int64).view(V.U64)
 
 
-def vote(docs: DataFrame, entries: np.ndarray, keep: str = "") -> DataFrame:
-    """``votes`` of every row of ``docs`` (text, and the column ``keep`` if named): a text's pattern of votes."""
+def vote(docs: DataFrame, entries: np.ndarray) -> DataFrame:
+    """``votes`` of every row of ``docs`` (text): the pattern of all voters' votes as a whole number, bit j for voter j."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, whole, words, doc, token in _each(batch):
-                cols = [pa.array(_votes(whole, words, doc, token, entries))]
-                if keep:
-                    cols.append(batch.column(keep).slice(rows.start, rows.stop - rows.start))
-                yield pa.RecordBatch.from_arrays(cols, ["votes", *([keep] if keep else [])])
+            for _, whole, words, doc, token in _each(batch):
+                votes = _form_votes(whole, words) + _lexicon_votes(doc, token, len(whole.counts), entries)
+                yield pa.RecordBatch.from_arrays([pa.array(votes)], ["votes"])
 
-    schema = "votes int" + (f", {keep} {dict(docs.dtypes)[keep]}" if keep else "")
-    return docs.select("text", *([keep] if keep else [])).mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, "votes int")
 
 
 def label_model(patterns: DataFrame) -> labelmodel.LabelModel:
@@ -210,13 +209,16 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((1 + np.sqrt(n)) / ALPHA + L2))
 
 
-def _learn(batches: Iterator[pa.RecordBatch], chance: np.ndarray, z: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One pass of a shard's rows (tokens, votes) from the state ``z``, ``n``; the shard's changes by bucket."""
+def _learn(batches: Iterator[pa.RecordBatch], entries: np.ndarray, chance: np.ndarray, z: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One pass of a shard's rows (tokens, forms) from the state ``z``, ``n``; the shard's changes by bucket."""
     z0, n0, z, n = z, n, z.copy(), n.copy()
     for batch in batches:
         tokens = batch.column("tokens")
         values, offset = tokens.values.to_numpy().view(V.U64), tokens.offsets.to_numpy()
-        for at, pattern in enumerate(batch.column("votes").to_numpy()):
+        size, low = np.diff(offset), offset[0]
+        doc = np.repeat(np.arange(len(size)), size)
+        votes = batch.column("forms").to_numpy() + _lexicon_votes(doc, values[low: offset[-1]], len(size), entries)
+        for at, pattern in enumerate(votes):
             j = np.append(np.unique(_buckets(values[offset[at]: offset[at + 1]])), 1 << BITS)  # the last one is the intercept
             w = _weights(z[j], n[j])
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - chance[pattern]
@@ -226,16 +228,15 @@ def _learn(batches: Iterator[pa.RecordBatch], chance: np.ndarray, z: np.ndarray,
     yield pa.RecordBatch.from_arrays([pa.array(j), pa.array((z - z0)[j]), pa.array((n - n0)[j])], ["bucket", "z", "n"])
 
 
-def classifier(sample: DataFrame, chance: np.ndarray) -> np.ndarray:
-    """Weights by bucket, the intercept last, fitted on the chances that the label model gives. ``sample``: tokens, votes.
+def classifier(sample: DataFrame, entries: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Weights by bucket, the intercept last, fitted on the chances that the label model gives. ``sample``: tokens, forms.
 
-    ``SHARDS`` tasks go through their rows from the same state; after each epoch their changes are averaged
-    bucket by bucket over those shards that met the bucket."""
-    rows = cut(sample.repartition(SHARDS, F.xxhash64("tokens")).sortWithinPartitions(F.xxhash64(F.lit(3), "tokens")))
+    The sample's partitions (``SHARDS``) go through their rows from the same state; after each epoch their changes
+    are averaged bucket by bucket over those shards that met the bucket."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(EPOCHS):
-        run = lambda it, z=z, n=n: _learn(it, chance, z, n)
-        state = rows.mapInArrow(run, "bucket long, z double, n double").groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+        run = lambda it, z=z, n=n: _learn(it, entries, chance, z, n)
+        state = sample.mapInArrow(run, "bucket long, z double, n double").groupBy("bucket").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
         bucket = state.column("bucket").to_numpy()
         z[bucket] += state.column("z").to_numpy()
         n[bucket] += state.column("n").to_numpy()
@@ -262,13 +263,14 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, score (0 to 1) of every row of ``docs``. ``labels``: doc_id, label (0/1)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    sample = cut(tokenised(_sample(docs, labels, sample_rows)))
+    mixed = _sample(docs, labels, sample_rows).repartition(SHARDS, F.xxhash64("text")).sortWithinPartitions(F.xxhash64(F.lit(3), "text"))
+    sample = cut(tokenised(mixed))
     entries = lexicon(sample.select("tokens", "label"))
     if not len(entries):
         share = sample.agg(F.avg("label")).first()[0] or 0.0
         return rows.select("doc_id", F.lit(float(share)).alias("score"))
     model = label_model(vote(rows, entries))
-    fitted = classifier(vote(sample, entries, "tokens"), model.posterior)
+    fitted = classifier(sample, entries, model.posterior)
     held = docs.sparkSession.sparkContext.broadcast(fitted)  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -263,7 +263,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, score (0 to 1) of every row of ``docs``. ``labels``: doc_id, label (0/1)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    mixed = _sample(docs, labels, sample_rows).repartition(SHARDS, F.xxhash64("text")).sortWithinPartitions(F.xxhash64(F.lit(3), "text"))
+    mixed = _sample(docs, labels, sample_rows).repartition(SHARDS).sortWithinPartitions(F.xxhash64(F.lit(3), "text"))
     sample = cut(tokenised(mixed))
     entries = lexicon(sample.select("tokens", "label"))
     if not len(entries):

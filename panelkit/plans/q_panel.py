@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.operators import panel as P
-from panelkit.operators.joins import attach_unit_attrs, cohort_pairs, join_outer, keep_units, long_diff
+from panelkit.operators.joins import attach_unit_attrs, cohort_pairs, join_outer, join_outer_skewed, keep_units, long_diff
 from panelkit.plans.registry import register, rnd, with_ctes
 from panelkit.sources.fixtures import SQL_P1, SQL_P2, SQL_P3, customer_year, supplier_quarter, user_day
 from panelkit.sources.io import read_table
@@ -393,6 +393,25 @@ def q_outer(spark, sf_dir):
     return join_outer(a, _lines(spark, sf_dir), ["unit", "t"]).select("unit", "t", "y_cnt", "y_val", "qty", "merge_code")
 
 
+@register("outer_hot_key", """
+WITH a AS (SELECT CASE WHEN l_linenumber <= 3 THEN 0 WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS k,
+                  l_orderkey AS ord, l_linenumber AS line, l_suppkey AS supp FROM lineitem),
+b AS (SELECT CASE WHEN s_suppkey <= 2 THEN 0 WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey END AS k, s_suppkey AS supp, s_nationkey AS nation
+      FROM supplier)
+SELECT coalesce(a.k, b.k) AS k, ord, line, coalesce(a.supp, b.supp) AS supp, nation,
+       CAST(CASE WHEN b.supp IS NULL THEN 1 WHEN a.supp IS NULL THEN 2 ELSE 3 END AS INTEGER) AS merge_code
+FROM a FULL OUTER JOIN b ON a.k = b.k""")
+def q_outer_hot_key(spark, sf_dir):
+    """J2 many-to-many with about half of all rows under one key, and null keys."""
+    line, supp = F.col("l_linenumber"), F.col("s_suppkey")
+    a = read_table(spark, sf_dir, "lineitem").select(
+        F.when(line <= 3, 0).when(line == 7, None).otherwise(F.col("l_suppkey")).alias("k"),
+        F.col("l_orderkey").alias("ord"), line.alias("line"), F.col("l_suppkey").alias("supp"))
+    b = read_table(spark, sf_dir, "supplier").select(
+        F.when(supp <= 2, 0).when(supp % 7 == 0, None).otherwise(supp).alias("k"), supp.alias("supp"), F.col("s_nationkey").alias("nation"))
+    return join_outer_skewed(a, b, ["k"], least=1000)
+
+
 @register("keep_units", with_ctes(SQL_P2) + """
 SELECT unit, t, y_cnt FROM p2 WHERE unit IN (SELECT unit FROM p2 WHERE y_cnt >= 3)""")
 def q_keep_units(spark, sf_dir):

@@ -63,7 +63,8 @@ apart AS (
   SELECT o.* FROM spans o WHERE kind < 3 OR (
     regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind < 3 AND b.d = o.d AND b.s < o.e AND o.s < b.e))),
-holders AS (SELECT h, count(DISTINCT src) <= 2 AND count(DISTINCT d) <= 20 AS live FROM apart GROUP BY h),
+held AS (SELECT h, src, count(DISTINCT d) AS n FROM apart GROUP BY h, src),
+holders AS (SELECT h, count(*) <= 2 OR 10 * max(n) >= 9 * sum(n) AS live FROM held GROUP BY h),
 judged AS (SELECT a.*, live FROM apart a JOIN holders USING (h) WHERE kind < 3 OR live),
 lists AS (
   SELECT d, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,

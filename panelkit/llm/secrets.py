@@ -5,17 +5,22 @@ Base kinds are found by pattern, leftmost and without overlap in each kind:
 or key name), ``access`` (AKIA keys of 20 or more) and ``hex`` (runs of 24 or
 more).  Every value, and every other run of 24 or more letters, digits, ``_`` or
 ``-`` that holds a digit and letters of either case, is a candidate: its hash is
-counted over the corpus by distinct owners.  Values of more than ``MAX_OWNERS``
-owners are widely copied examples; the others look live, in however many
-repositories of theirs they stand, so that neither the size of an owner nor that of
-the corpus changes a verdict.  Other runs that look live and touch no base span are
-added as spans of kind ``owned``.
-
-For documents the owner is ``source``.  Counting runs over (hash, owner), then hash,
-each combined before its shuffle, so a value in a third of all rows sends a row a task.
-
-Edge cases: null text counts as empty; null owners count as one owner; rows that
-share an id are judged each by its own text; texts without spans give empty lists
+counted over the corpus by distinct owners and, for each owner, by distinct
+repositories.  A value looks live if it has at most ``MAX_OWNERS`` owners, in however
+many repositories of theirs it stands, or if one owner has ``OWN_SHARE`` tenths or more
+of its repositories (a key that leaked out of its owner's into a few others'); other
+values are widely copied examples.  Both are counts of owners or shares, so neither the
+size of an owner nor that of the corpus changes a verdict.  Other runs that look live
+and touch no base span are added as spans of kind ``owned``.
+
+For documents the owner is ``source`` and a repository is a document of an owner.
+Distinct (hash, owner, repository) are dealt by all three, then counted by (hash, owner)
+and by hash, each combined before its shuffle, so that a value in a third of all rows
+sends a row a task to its counters.
+
+Edge cases: null text counts as empty; null owners count as one owner, null ids as one
+repository of their owner; rows that share an id are judged each by its own text; an empty
+table gives no rows; texts without spans give empty lists
 and the digest of the empty text."""
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import cut, text_of
 
 MAX_OWNERS = 2
+OWN_SHARE = 9  # tenths
 KINDS = ("assign", "access", "hex", "owned")  # in the order of the report
 _ASSIGN = r"""(?=[apstAPST])((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # A failing access or hex match holds no other one, so the least length may stand in the pattern; runs start where no
@@ -72,10 +78,11 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
 def judged(found: DataFrame) -> DataFrame:
     """(rid, spans): all spans of each row that has any, with ``live``; those of kind owned only where live."""
     spans = (found.where("size(base) + size(other) > 0")
-             .select("rid", "owner", F.explode(F.concat("base", "other")).alias("s"))
+             .select("rid", "doc_id", "owner", F.explode(F.concat("base", "other")).alias("s"))
              .withColumn("hash", F.sha2(F.col("s.value"), 256)))
-    holders = spans.groupBy("hash", "owner").agg(F.lit(1).alias("n")).groupBy("hash").agg(F.count("*").alias("owners"))
-    live = F.col("owners") <= MAX_OWNERS
+    held = spans.select("hash", "owner", "doc_id").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    holders = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.max("n").alias("most"))
+    live = (F.col("owners") <= MAX_OWNERS) | (F.col("most") * 10 >= F.col("repositories") * OWN_SHARE)
     span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), live.alias("live"))
     return (spans.join(holders, "hash").where((F.col("s.kind") < 3) | live)
             .groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("spans")))

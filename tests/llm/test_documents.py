@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 from llm import cases
 from panelkit.llm import lm, minhash, packing, quality, secrets, substring
+from panelkit.llm.oracles import ORACLE
 from panelkit.llm.queries import RANKS, SPECIAL, VOCABULARY
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,6 +306,24 @@ def test_secrets_of_a_large_owner(spark):
         assert r["text"] == ("own <owned> end <assign>" if r["doc_id"] < 100 else TRICKY[6])
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    """Nine tenths of a value's repositories in one owner's hands make it that owner's; the SQL says the same."""
+    own, near, copied = (f"x {c}bcdefghij0123456789KLMNOP end" for c in "OQW")
+    rows = [(i, own, "big") for i in range(25)]
+    rows += [(100 + i, near, "big" if i < 18 else f"s{i}") for i in range(20)]  # 18 of 20
+    rows += [(200 + i, copied, "big" if i < 17 else f"s{i}") for i in range(20)]  # 17 of 20
+    rows += [(100, near, "big")] * 30  # repeats are no repositories more
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {(r["doc_id"], r["n_owned"]) for r in secrets.digests(docs).collect()}
+    assert got == {(d, int(d < 200)) for d, _, _ in rows}
+    once = docs.distinct()
+    con = duckdb.connect()
+    con.register("documents", once.toPandas())
+    want = con.execute(ORACLE["op5_secret_scan"]).df()
+    mine = secrets.digests(once).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, want.values.tolist())) == sorted(map(tuple, mine.values.tolist()))
+
+
 # ---- language model
 
 def backoff(rows, order):

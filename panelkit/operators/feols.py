@@ -34,6 +34,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from panelkit.functions.dist import p_t
 from panelkit.operators.linalg import gram, pivoted_solve, rowmatrix_gram
+from panelkit.operators.periods import absorbed_periods
 
 AGG_CHUNK = 48  # value columns per aggregate (bounds generated code size)
 
@@ -134,15 +135,20 @@ def _nn(x: float):
 
 
 def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
-                   weight: str | None = None, extra: Sequence[str] = (), max_periods: int = 5000):
+                   weight: str | None = None, extra: Sequence[str] = (), max_periods: int = 5000,
+                   periods: str = "auto"):
     """Exact two-way (unit + period) weighted residualisation of ``cols``.
 
     Returns (demeaned DataFrame with _u, _w, extra columns and _x0.._xk,
     info dict).  Rows with any missing column or non-positive weight are
     dropped first (complete cases).  Several rows may share a (unit, period).
 
-    The period effects are solved as a T x T system on the driver; more than
-    ``max_periods`` periods are refused, and no more rows than that are collected."""
+    Up to ``max_periods`` periods their effects are solved as a T x T system on the
+    driver (``periods='direct'``), beyond by steps in Spark ('iterative', see
+    ``operators.periods``), with the same residuals; 'auto' counts first.  Never more
+    than ``max_periods + 1`` rows are collected; 'direct' refuses more periods."""
+    if periods not in ("auto", "direct", "iterative"):
+        raise ValueError(f"periods={periods!r}: auto, direct or iterative")
     spark = df.sparkSession
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     vn = [f"_v{i}" for i in range(len(cols))]
@@ -158,6 +164,9 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
         {f"_d{i}": F.col(v) - F.sum(F.col("_w") * F.col(v)).over(wu) / F.col("_wsum") for i, v in enumerate(vn)})
     unit_df = unit_df.persist(StorageLevel.MEMORY_AND_DISK)
 
+    if periods == "iterative":
+        return _by_steps(unit_df, nv, extra)
+
     # per-period sums grouped by the period itself (this also yields the period list);
     # a bounded number of value columns per aggregate keeps generated code small
     per: dict = {}
@@ -168,6 +177,8 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
                 for name, e in (("b", F.col(f"_d{i}")), ("wv", F.col(f"_v{i}")), ("wvv", F.col(f"_v{i}") * F.col(f"_v{i}")))]
         rows = unit_df.groupBy("_t").agg(*head, *sums).limit(max_periods + 1).collect()
         if len(rows) > max_periods:
+            if periods == "auto":
+                return _by_steps(unit_df, nv, extra)
             unit_df.unpersist()
             raise ValueError(f"more than max_periods={max_periods} periods; absorb the period effect in stages")
         for r in rows:
@@ -204,30 +215,42 @@ def absorb_two_way(df: DataFrame, cols: Sequence[str], unit: str, period: str,
     for j in range(nv):
         gschema = gschema.add(f"_g{j}", DoubleType())
     gtab = spark.createDataFrame([(p, *[float(x) for x in gamma[i]]) for i, p in enumerate(periods)], gschema)
-    # the broadcast join keeps the unit partitioning, so this window needs no exchange
-    dm = unit_df.join(F.broadcast(gtab), "_t").select("_u", "_w", *extra, *[
-        (F.col(f"_d{j}") - F.col(f"_g{j}") + F.sum(F.col("_w") * F.col(f"_g{j}")).over(wu) / F.col("_wsum"))
-        .alias(f"_x{j}") for j in range(nv)])
+    # the broadcast join keeps the unit partitioning, so its window needs no exchange
+    dm = _residuals(unit_df, F.broadcast(gtab), nv, extra)
     info = {"T": T, "n": n, "sum_w": sw, "raw": raw, "fe_rank_deficit": deficit, "_persisted": unit_df}
     return dm, info
 
 
+def _residuals(unit_df: DataFrame, effects: DataFrame, nv: int, extra: Sequence[str]) -> DataFrame:
+    wu = Window.partitionBy("_u")
+    return unit_df.join(effects, "_t").select("_u", "_w", *extra, *[
+        (F.col(f"_d{j}") - F.col(f"_g{j}") + F.sum(F.col("_w") * F.col(f"_g{j}")).over(wu) / F.col("_wsum"))
+        .alias(f"_x{j}") for j in range(nv)])
+
+
+def _by_steps(unit_df: DataFrame, nv: int, extra: Sequence[str]):
+    """The same from period effects found in Spark; their table is joined by its size, as Spark sees it."""
+    effects, info = absorbed_periods(unit_df, nv, AGG_CHUNK)
+    return _residuals(unit_df, effects, nv, extra), {**info, "_persisted": unit_df}
+
+
 def feols(df: DataFrame, y: str, xs: Sequence[str], unit: str, period: str,
           weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
-          ssc: str = "nested", df_t: str = "default") -> Fit:
+          ssc: str = "nested", df_t: str = "default", periods: str = "auto") -> Fit:
     """Y ~ xs | unit + period, weights, iid (R11) or cluster-robust (R12) vcov.
 
     cluster='unit' clusters on the unit key (scores then need no extra exchange).
     ssc='nested': K = k + T - 1 (unit effects nested in the cluster are not
     counted); ssc='full' (Stata ``reg`` with dummies): K = k + N + T - 1.
     df_t: 'default' uses G - 1 for cluster and n - K for iid; 'ref' uses n - k
-    (the reference's quirk in its 5-year p-value)."""
-    return feols_multi(df, [(y, list(xs))], unit, period, weight, cluster, vcov, ssc, df_t)[0]
+    (the reference's quirk in its 5-year p-value).
+    periods: how period effects are solved, see ``absorb_two_way``."""
+    return feols_multi(df, [(y, list(xs))], unit, period, weight, cluster, vcov, ssc, df_t, periods)[0]
 
 
 def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
                 weight: str | None = None, cluster: str | None = "unit", vcov: str = "cluster",
-                ssc: str = "nested", df_t: str = "default") -> list[Fit]:
+                ssc: str = "nested", df_t: str = "default", periods: str = "auto") -> list[Fit]:
     """Several models (outcomes x regressor sets), each on its own complete cases.
 
     Models whose columns are missing in the same rows share one absorption; a
@@ -235,7 +258,7 @@ def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit:
     specs = [(y, list(xs)) for y, xs in specs]
     if len(specs) == 1:  # one model, one sample
         with wide_plan_conf(df.sparkSession):
-            return _feols_multi(df, specs, unit, period, weight, cluster, vcov, ssc, df_t)
+            return _feols_multi(df, specs, unit, period, weight, cluster, vcov, ssc, df_t, periods)
     every = list(dict.fromkeys(c for y, xs in specs for c in [y, *xs]))
     gap = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
     missing = df.agg(*[F.max(gap(c).cast("int")).alias(f"m{i}") for i, c in enumerate(every)]).first()
@@ -246,12 +269,13 @@ def feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit:
     fits: dict[int, Fit] = {}
     with wide_plan_conf(df.sparkSession):
         for models in groups.values():
-            fits.update(zip(models, _feols_multi(df, [specs[m] for m in models], unit, period, weight, cluster, vcov, ssc, df_t)))
+            fits.update(zip(models, _feols_multi(df, [specs[m] for m in models], unit, period, weight, cluster, vcov, ssc, df_t, periods)))
     return [fits[m] for m in range(len(specs))]
 
 
 def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit: str, period: str,
-                 weight: str | None, cluster: str | None, vcov: str, ssc: str, df_t: str) -> list[Fit]:
+                 weight: str | None, cluster: str | None, vcov: str, ssc: str, df_t: str,
+                 periods: str = "auto") -> list[Fit]:
     """Models on one sample, the complete cases of all their columns, from ONE absorption.
 
     Two-way residualisation is column by column (Frisch-Waugh), so the union of
@@ -265,7 +289,7 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
     idx = {c: i for i, c in enumerate(cols)}
     cl = None if vcov == "iid" else (unit if cluster in (None, "unit") else cluster)
     extra = [] if cl in (None, unit) else [cl]
-    dm, info = absorb_two_way(df, cols, unit, period, weight, extra=extra)
+    dm, info = absorb_two_way(df, cols, unit, period, weight, extra=extra, periods=periods)
     dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
     G = gram(dm, [f"_x{i}" for i in range(len(cols))], F.col("_w"))
 
@@ -337,6 +361,8 @@ def _feols_multi(df: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], unit
                         fe_rank_deficit=info["fe_rank_deficit"]))
     for held in (info["_persisted"], unit_level, dm, *([by_cl] if by_cl is not None and by_cl is not unit_level else [])):
         held.unpersist()
+    if "_folder" in info:
+        info["_folder"].drop()
     return fits
 
 

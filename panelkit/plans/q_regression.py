@@ -15,6 +15,7 @@ from panelkit.operators.regression import Policy, event_study, onestep, stage1,
 from panelkit.plans.registry import register, rnd
 from panelkit.plans.sqlgen import fe_ols_sql, sweep_ctes, t_pvalues
 from panelkit.sources.fixtures import SQL_P1, supplier_quarter
+from panelkit.sources.io import read_table
 
 # P1 with R-form trend-break terms (offset 0)
 SQL_P1R = """
@@ -297,6 +298,31 @@ def q_twfe_models_gaps(spark, sf_dir):
     return _rounded(spark.createDataFrame(rows, "outcome string, term string, estimate double, se double, t_stat double, p_value double, n long"), *ESTIMATES)
 
 
+@register("twfe_models_steps", _GAP_CTES + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{y}' AS outcome, term, {_SQL_EST}, n FROM {t_pvalues(f'g_{y}_out')}" for y in ("y_qty", "y_gap")))
+def q_twfe_models_steps(spark, sf_dir):
+    """The same models with period effects found step by step in Spark."""
+    fits = feols_multi(_gap(spark, sf_dir), [(y, _XS) for y in ("y_qty", "y_gap")], "unit", "t", weight="w_cell", periods="iterative")
+    rows = [(y, *r, fit.n) for y, fit in zip(("y_qty", "y_gap"), fits) for r in fit.rows()]
+    return _rounded(spark.createDataFrame(rows, "outcome string, term string, estimate double, se double, t_stat double, p_value double, n long"), *ESTIMATES)
+
+
+MINUTE_TYPES = ("click", "purchase", "view")
+
+
+@register("twfe_minutes", None)
+def q_twfe_minutes(spark, sf_dir):
+    """Value on event types with user and minute effects; a period is a minute, tens of thousands of them.
+
+    No SQL: the sweep over all minute dummies is too slow; tested against dense dummies."""
+    events = read_table(spark, sf_dir, "events").select(
+        "user_id", F.date_trunc("minute", "ts").alias("minute"), "value",
+        *[(F.col("event_type") == x).cast("double").alias(x) for x in MINUTE_TYPES])
+    fit = feols(events, "value", list(MINUTE_TYPES), "user_id", "minute")
+    rows = [(*r, fit.n, fit.n_periods, fit.K) for r in fit.rows()]
+    return _rounded(spark.createDataFrame(rows, "term string, estimate double, se double, t_stat double, p_value double, n long, n_periods long, k long"), *ESTIMATES)
+
+
 @register("fit_stats_outcomes", _GAP_CTES + "\n" + "\nUNION ALL\n".join(
     f"""SELECT '{y}' AS outcome, n, CAST(kk AS BIGINT) AS K, round(1 - ssr / (swyy - swy * swy / sw), 6) + 0.0 AS r2,
   round(sqrt(ssr / sw * n / (n - kk - ng)), 6) + 0.0 AS rmse FROM g_{y}_fit, g_{y}_n, g_{y}_k""" for y in ("y_qty", "y_gap")))

@@ -47,6 +47,12 @@ def _file_system(spark: SparkSession, path: str):
     return of, of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever file system it lies; False if there was none."""
+    of, fs = _file_system(spark, path)
+    return fs.delete(of(path), True)
+
+
 def stage_versions(spark: SparkSession, name: str, root: str | None = None) -> list[str]:
     """Published versions of a stage, the current one first; empty without a stage."""
     path = stage_path(spark, name, root)
@@ -105,9 +111,7 @@ def save_stage(df: DataFrame, name: str, root: str | None = None,
 
 def drop_stage(spark: SparkSession, name: str, root: str | None = None) -> bool:
     """Delete a stage with all its versions; False if there was none."""
-    path = stage_path(spark, name, root)
-    of, fs = _file_system(spark, path)
-    return fs.delete(of(path), True)
+    return remove_folder(spark, stage_path(spark, name, root))
 
 
 def load_stage(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:

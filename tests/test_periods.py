@@ -19,7 +19,9 @@ def _left_folders(spark):
 
 def _same(a, b):
     assert a.omitted == b.omitted and (a.n, a.n_periods, a.K, a.fe_rank_deficit) == (b.n, b.n_periods, b.K, b.fe_rank_deficit)
-    assert np.allclose(a.beta, b.beta, atol=1e-9, equal_nan=True) and np.allclose(a.vcov, b.vcov, rtol=1e-7, equal_nan=True)
+    assert np.allclose(a.beta, b.beta, atol=1e-9, equal_nan=True)
+    # a variance may be exactly zero, where only rounding is left: it is held against the largest entry
+    assert np.allclose(a.vcov, b.vcov, rtol=1e-7, atol=1e-12 * np.nanmax(np.abs(b.vcov)), equal_nan=True)
     assert a.ssr == pytest.approx(b.ssr, rel=1e-9) and a.r2 == pytest.approx(b.r2, rel=1e-9)
 
 
@@ -79,8 +81,9 @@ def test_minutes(spark):
     events = events.select("*", *[(F.col("event_type") == x).cast("double").alias(x) for x in names])
     one, other = (feols(events, "value", names, "user_id", "minute", periods=p) for p in ("direct", "iterative"))
     _same(one, other)
-    for j, x in enumerate(names):
-        assert got[x]["estimate"] == pytest.approx(one.beta[j], abs=1e-6) and got[x]["n_periods"] == one.n_periods
+    for x, beta in ((r[0], r[1]) for r in one.rows()):  # null: omitted
+        assert got[x]["n_periods"] == one.n_periods
+        assert got[x]["estimate"] is beta is None or got[x]["estimate"] == pytest.approx(beta, abs=1e-6)
 
 
 def test_refusals_and_few_rows(spark):

@@ -22,7 +22,8 @@ meets those of its members in blocks of about ``WORDS`` words, each text sent on
 and links are checked on whole element sets there.  Where a bucket still holds several components, its members meet in blocks
 (``BLOCK`` each), where every pair from different components is compared in the
 first bucket that it shares; a block gives a spanning forest, never its pairs.
-Pairs that agree on fewer than ``LEAST_AGREE`` coordinates aren't compared.
+Only pairs that can't be similar are passed over: a set's elements are counted in ``CELLS``
+cells by hash, and two sets have no more in common than the sum of their cells' smaller counts.
 
 Edge cases: a null or wordless text is in no class but its own; a row with a null
 id is returned with null class; rows that share an id share its class (their
@@ -50,7 +51,9 @@ BANDS, ROWS = 20, 4
 COORDS = BANDS * ROWS
 BLOCK = 500
 WORDS = 1 << 20  # elements of the members that meet a leader in one block
-LEAST_AGREE = 44  # of COORDS; a pair at 0.8 agrees on fewer with probability 2e-7
+CELLS = 128
+FULL = 255  # a cell's count: so many or more
+PAIRS = 1 << 13  # pairs whose cells are held against each other at once: 1 MB a side
 DARTS = COORDS * math.log(COORDS) + 2 * COORDS
 
 
@@ -136,6 +139,18 @@ def _names(e: np.ndarray, w: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa
     return pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))
 
 
+def _cells(e: np.ndarray, w: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, CELLS) weight of each row's elements by cell, ``FULL`` at most."""
+    cell = (V.mix(e, 76) % V.U64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(row * CELLS + cell, w, minlength=n * CELLS), FULL).astype(np.uint8).reshape(n, CELLS)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a uint8 matrix."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(rows.tobytes())])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, words in V.chunks(batch.column("text")):
@@ -155,9 +170,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("doc_id").slice(at.start, at.stop - at.start).take(pa.array(has)),
                  *_names(e, w, ends), pa.array(total),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
-                 pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(np.arange(len(has) + 1, dtype=np.int32) * np.int32(COORDS)),
-                                                               pa.py_buffer((sig & V.U64(255)).astype(np.uint8).tobytes())])],
-                ["doc_id", "k1", "k2", "total", "bands", "marks"])
+                 _bytes(_cells(e, w, np.searchsorted(has, d), len(has)))],
+                ["doc_id", "k1", "k2", "total", "bands", "cells"])
 
 
 def _copies(e: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +247,15 @@ def _with_texts(rows: DataFrame, same: DataFrame, known: DataFrame) -> DataFrame
     return rows.join(of, "rep").join(known, "doc_id").drop("doc_id")
 
 
+def _may_be_similar(one: np.ndarray, other: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether cells leave room for 0.8; never false for a similar pair.  Where a cell is full on both sides, the common part isn't bounded."""
+    least = np.minimum(one, other)
+    return _similar(least.sum(axis=1, dtype=np.int64), total) | (least == FULL).any(axis=1)
+
+
 def _to_compare(key, table):
     """The rows of a block pair that belong to a pair to be compared here: from different components, of
-    sizes and signatures that allow 0.8, and in no common bucket of an earlier band."""
+    sizes and cells that allow 0.8, and in no common bucket of an earlier band."""
     lo, hi = key[1].as_py(), key[2].as_py()
     get = lambda c: table.column(c).to_numpy()
     c, total, side = get("c"), get("total"), get("side")
@@ -248,11 +268,11 @@ def _to_compare(key, table):
             if (bands[:, b] == key[0].as_py()).all():
                 break
             ask &= bands[:, b][:, None] != bands[:, b][None, :]
-        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(n, COORDS)
-        agree = np.zeros((n, n), np.int16)
-        for k in range(COORDS):
-            agree += marks[:, k][:, None] == marks[:, k][None, :]
-        ask &= agree >= LEAST_AGREE
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(n, CELLS)
+        i, j = np.nonzero(ask)
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at: at + PAIRS], j[at: at + PAIRS]
+            ask[a, b] = _may_be_similar(cells[a], cells[b], total[a] + total[b])
     return table.filter(pa.array(ask.any(axis=0) | ask.any(axis=1))).select(["bucket", "lo", "hi", "side", "rep", "c"])
 
 
@@ -283,9 +303,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep, first) of every text with words: its weighted set and the smallest document of that;
     (id, class_id) over the sets that are linked: the smallest document of all sets that links reach."""
     known = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).where("doc_id is not null")
-    sketch = cut(known.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, total long, bands array<long>, marks binary"))
+    sketch = cut(known.mapInArrow(_sketch, "doc_id long, k1 long, k2 long, total long, bands array<long>, cells binary"))
     # a number for each set, given once
-    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("total", "bands", "marks")))
+    same = cut(sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("total", "bands", "cells")))
                .withColumn("rep", F.monotonically_increasing_id()))
     member = cut(sketch.select("doc_id", "k1", "k2").distinct().join(same.select("k1", "k2", "rep", "first"), ["k1", "k2"]).select("doc_id", "rep", "first"))
     several = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("doc_id", "u")
@@ -302,7 +322,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = (shared.select("bucket", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
             .select("bucket", "rep", F.coalesce("component", "rep").alias("c")))
     mixed = left.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("bucket")
-    left = left.join(mixed, "bucket").join(same.select("rep", "total", "bands", "marks"), "rep")
+    left = left.join(mixed, "bucket").join(same.select("rep", "total", "bands", "cells"), "rep")
     left = block_pairs(left, ["bucket"], "rep", BLOCK).groupBy("bucket", "lo", "hi")
     left = cut(left.applyInArrow(_to_compare, "bucket long, lo int, hi int, side int, rep long, c long"))
     more = (_with_texts(left, same, known)

@@ -2,12 +2,15 @@
 
 Documents become token ids and a closing 0; one longer than a sequence is cut into
 full sequences, the remainder first.  Pieces are dealt into partitions of about
-``ITEMS``, and each is packed best-fit by decreasing length.  Bins that are nearly
-full, or that nothing left over anywhere could join, are emitted.  The others go
-up a tree as items, ``FAN`` partitions into one, and are packed again until one is
-left.  No two bins of a packed partition fit into one, so at most one of them is
-half empty and at most ``FAN`` - 1 merges can happen in a partition above; only the
-``CARRY`` emptiest go up, and no piece waits for more than the tree's height.
+``ITEMS``, and each is packed best-fit by decreasing length.  Bins that not even the
+emptiest bin left anywhere could join are emitted.  All others go up a tree as items,
+``FAN`` partitions into one, and are packed again until one is left.
+
+No bin that could still be joined is emitted, whatever their number.  It stays small:
+no two bins of a packed partition fit into one, so the partition of the emptiest bin has
+no other with room for it, and as pieces are dealt by a hash, the other partitions have
+few.  Should more go up than ``FAN`` partitions into one may hold, the next round has as
+many partitions as they fill, at least one less than before.
 
 Every round is written before the next one and dealt by a hash, so a lost executor
 costs the round's lost partitions and gives the same bins again.
@@ -38,8 +41,6 @@ from panelkit.llm.common import cut, text_of
 LENGTH = 2048
 ITEMS = 50_000  # pieces of a partition in the first round
 FAN = 8
-CARRY = 64
-NEARLY = 16  # a bin with at most so much room is emitted
 _GAP = re.compile(r"\s{100000}")
 _PART = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
@@ -101,8 +102,8 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return bin_of, offset, np.array(fill, np.int64)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], length: int, least: int, final: bool) -> Iterator[pa.RecordBatch]:
-    """Pack a partition's items (fill, key, parts) into bins (fill, key, parts, done)."""
+def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Pack a partition's items (fill, key, parts) into bins (fill, key, parts)."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
@@ -117,35 +118,29 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, least: int, final: boo
     flat = pa.StructArray.from_arrays([moved if f.name == "offset" else flat.field(f.name) for f in flat.type], fields=list(flat.type))
     order = np.argsort(bin_of[item], kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(bin_of[item], minlength=len(fill)))])
-    room = length - fill
-    done = (room <= NEARLY) | (room < least) | final
-    waiting = np.flatnonzero(~done)
-    done[waiting[np.argsort(-room[waiting], kind="stable")][CARRY:]] = True
     key = np.zeros(len(fill), np.int64)
     key[bin_of[::-1]] = got.column("key").to_numpy()[::-1]  # of its first item
-    yield pa.RecordBatch.from_arrays([pa.array(fill), pa.array(key), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(order))),
-                                      pa.array(done)], ["fill", "key", "parts", "done"])
+    yield pa.RecordBatch.from_arrays([pa.array(fill), pa.array(key), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(order)))],
+                                     ["fill", "key", "parts"])
 
 
 def pack(items: DataFrame, length: int = LENGTH) -> DataFrame:
     """``items`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     part = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
     level = cut(items.select(F.col("length").alias("fill"), F.monotonically_increasing_id().alias("key"), F.array(part).alias("parts")))
-    schema = f"fill long, key long, parts {_PART}, done boolean"
-    out = level.select("key", "parts").where("fill >= %d" % length)
+    schema = f"fill long, key long, parts {_PART}"
+    out = level.where("fill >= %d" % length)
     level = level.where("fill < %d" % length)
-    n = max(1, -(-level.count() // ITEMS))
-    while True:
-        least = level.agg(F.min("fill")).first()[0]
-        if least is None:
-            break
-        run = lambda it, least=least, last=n == 1: _pack(it, length, least, last)
-        dealt = level.select("fill", "key", "parts").withColumn("to", F.pmod(F.xxhash64(F.lit(n), "key"), F.lit(n)))
-        level = cut(dealt.repartition(n, "to").drop("to").mapInArrow(run, schema))
-        out = out.union(level.where("done").select("key", "parts"))
-        level = level.where("not done")
-        if n == 1:
-            break
-        n = -(-n // FAN)
+    waiting = level.count()
+    n = -(-waiting // ITEMS)
+    while waiting:
+        dealt = level.withColumn("to", F.pmod(F.xxhash64(F.lit(n), "key"), F.lit(n)))
+        level = cut(dealt.repartition(n, "to").drop("to").mapInArrow(lambda it: _pack(it, length), schema))
+        # a bin that the emptiest one may join has room for as much, which for itself means half a sequence
+        least = level.agg(F.min("fill")).first()[0] if n > 1 else length
+        joinable = F.lit(length) - F.col("fill") >= least
+        out, level = out.union(level.where(~joinable)), level.where(joinable)
+        waiting = level.count() if n > 1 else 0
+        n = max(-(-n // FAN), min(n - 1, -(-waiting // ITEMS)))
     return out.select(F.col("key").alias("sequence_id"), F.inline("parts")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

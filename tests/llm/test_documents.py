@@ -9,7 +9,10 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm import cases
@@ -203,6 +206,43 @@ def test_minhash_bucket_of_several_components(spark, monkeypatch):
     assert 1 < len(set(want.values())) < len(rows)
 
 
+def test_similar_pairs_of_a_bucket_are_compared_whatever_else_their_signatures_hold(monkeypatch):
+    """Two similar texts and one of other words meet in one bucket, and agree on the coordinates of its band alone."""
+    def one_band(element, weight, doc, n):
+        out = np.arange(n * minhash.COORDS, dtype=np.uint64).reshape(n, minhash.COORDS)
+        out[:, :minhash.ROWS] = 7
+        return out
+
+    monkeypatch.setattr(minhash, "signatures", one_band)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base), " ".join([*base[:70], "new", *base[71:]]), " ".join(f"v{i}" for i in range(150))]
+    batch, = minhash._sketch(iter([pa.record_batch({"doc_id": [1, 2, 3], "text": texts})]))
+    bands = batch.column("bands").to_pylist()
+    assert bands[0][0] == bands[1][0] == bands[2][0] and bands[0][1] != bands[1][1]
+    table = pa.Table.from_batches([batch])
+    for name, values in (("bucket", [bands[0][0]] * 3), ("lo", [0] * 3), ("hi", [0] * 3), ("side", [0] * 3), ("rep", [1, 2, 3]), ("c", [1, 2, 3])):
+        table = table.append_column(name, pa.array(values, pa.int64()))
+    got = minhash._to_compare((pa.scalar(bands[0][0]), pa.scalar(0), pa.scalar(0)), table)
+    assert got.column("rep").to_pylist() == [1, 2]
+
+
+def test_cells_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(8)
+    similar = ruled_out = 0
+    for k in range(400):
+        n = int(rng.choice([1, 5, 80, 400, 3000]))
+        e = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+        w = rng.integers(1, int(rng.choice([2, 4, 900])), 2 * n)  # the heaviest fill their cells
+        share = rng.choice([0, 0.5, 0.75, 0.88, 0.95, 1])
+        x, y = np.where(np.arange(2 * n) < n, w, 0), np.where(np.arange(2 * n) < n, w * (rng.random(2 * n) < share), w * (rng.random(2 * n) < 0.1))
+        cells = [minhash._cells(e[v > 0], v[v > 0].astype(float), np.zeros((v > 0).sum(), np.int64), 1) for v in (x, y)]
+        may = bool(minhash._may_be_similar(*cells, np.array([x.sum() + y.sum()]))[0])
+        truth = np.minimum(x, y).sum() * 5 >= np.maximum(x, y).sum() * 4
+        assert may or not truth
+        similar, ruled_out = similar + truth, ruled_out + (not may)
+    assert similar > 50 and ruled_out > 50
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
@@ -409,6 +449,32 @@ def test_packing(spark, monkeypatch, items):
     assert packing.pack(packing.pieces(cases.empty(spark), public_tokenizers.path(RANKS), SPECIAL, public_tokenizers.path(VOCABULARY))).count() == 0
 
 
+def test_packing_leaves_no_bin_behind_that_could_be_joined(spark, monkeypatch):
+    """All bins with room lie in one partition, and in each other one a single piece that fits into any of them."""
+    n, items = 150, 100
+    monkeypatch.setattr(packing, "ITEMS", items)
+    ids = spark.range(0, n * items, 1, 1)  # one partition: the rows' keys are 0, 1, 2...
+    at = (ids.withColumn("to", F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(n))).repartition(n, "to").select("id", F.spark_partition_id().alias("p")))
+    at = at.withColumn("nth", F.row_number().over(Window.partitionBy("p").orderBy("id"))).toPandas()
+    roomy = at.groupby("p").size().idxmax()
+    size = np.where(at["p"] == roomy, 1500, np.where(at["nth"] == 1, 500, 2047))
+    rows = spark.createDataFrame([(int(i), int(x)) for i, x in sorted(zip(at["id"], size))], "doc_id long, length long").coalesce(1)
+    got = packing.pack(rows.select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), "length", F.lit(0).cast("long").alias("ids_crc32"))).toPandas()
+    small = (size == 500).sum()
+    assert (size == 1500).sum() > small > 64 and sorted(got["doc_id"]) == list(range(n * items))
+    fill = got.groupby("sequence_id")["length"].sum()
+    assert fill.max() <= 2048 and len(fill) == n * items - small
+
+
+def test_packing_fills_the_least_room(spark, monkeypatch):
+    """A short piece finds the room of sequences that are nearly full, in whichever partition they lie."""
+    monkeypatch.setattr(packing, "ITEMS", 1)
+    for alone in range(8):
+        rows = [(i, 0, 0, 8 if i == alone else 2040, 0) for i in range(8)]
+        rows = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").coalesce(1)
+        assert packing.pack(rows).select("sequence_id").distinct().count() == 7
+
+
 @pytest.mark.parametrize("gap", [" ", "\n", "\t", "\u2003", " \n"])
 def test_packing_takes_any_white_space(spark, gap):
     """A million white-space characters in a row, for which the encoder's pattern has no room; ids equal the library's."""

@@ -121,7 +121,7 @@ def test_rows_that_share_unit_and_period(spark):
 def test_period_bound_is_an_argument(spark):
     from panelkit.operators.feols import absorb_two_way
     with pytest.raises(ValueError, match="max_periods"):
-        absorb_two_way(spark.createDataFrame(_panel()), ["y"], "unit", "t", max_periods=3)
+        absorb_two_way(spark.createDataFrame(_panel()), ["y"], "unit", "t", max_periods=3, periods="direct")
 
 
 @pytest.mark.parametrize("extra", [0, 30])

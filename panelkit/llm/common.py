@@ -52,7 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from those files."""
     ready(df.sparkSession)
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _plain_estimate(df.checkpoint(eager=True))
+
+
+def _plain_estimate(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df`` whose size is unknown to the planner where its estimate is more than a long holds.
+
+    Spark takes the estimate over from the plan before, and a join's is the product of its sides': in a loop of joins
+    the number has several times the digits each round, until it alone fills the driver.  Partitioning, order and
+    constraints stay; estimates that a long holds stay too."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes() < 1 << 63:
+        return df
+    session, option = df.sparkSession._jsparkSession, df.sparkSession.sparkContext._jvm.scala.Option
+    bare = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
+                     session, option.empty(), option.apply(plan.constraints()))
+    return DataFrame(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
 def text_of(name: str = "text") -> Column:

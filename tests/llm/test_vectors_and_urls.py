@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.llm import ann, graph, rpforest, urls
+from panelkit.llm import ann, common, graph, rpforest, urls
 
 SMALL = "/root/testdata/sf0.01"
 ODD = [None, [], [0.0] * 8, [1.0] * 7 + [math.nan], [1.0] * 7 + [math.inf], [1.0] * 7 + [None]]
@@ -66,6 +66,38 @@ def test_forest_by_brute_force(spark, monkeypatch):
     assert rpforest.near_copies(df.limit(0)).count() == 0
 
 
+def estimate(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def test_estimates_do_not_grow_with_the_levels(spark, monkeypatch):
+    """A join's size is estimated as the product of its sides; carried from cut to cut, it filled the driver with digits."""
+    seen = []
+
+    def cut(df):
+        seen.append(estimate(out := common.cut(df)))
+        return out
+
+    monkeypatch.setattr(rpforest, "LEAF", 16)
+    monkeypatch.setattr(rpforest, "cut", cut)
+    monkeypatch.setattr(graph, "cut", cut)
+    rows, df = vectors(spark)
+    assert rpforest.near_copies(df).count() == len(rows)
+    assert len(seen) > 15 and max(seen) < 1 << 63
+
+
+def test_cut_keeps_rows_and_partitions(spark):
+    df = spark.createDataFrame([(i, None if i % 5 else "x") for i in range(100)] + [(3, "twice"), (None, "y")], "id long, s string")
+    for n in range(3):
+        other = df.select("id", F.col("s").alias(f"s{n}")).distinct()
+        raw = df.join(other, "id", "left").repartition(5, "id").sortWithinPartitions("id")
+        df = common.cut(raw)
+        assert estimate(df) < 1 << 63 <= estimate(raw)
+        assert Counter(df.collect()) == Counter(raw.collect()) and df.schema == raw.schema and df.rdd.getNumPartitions() == 5
+    few = common.cut(spark.range(10))
+    assert estimate(few) == estimate(spark.range(10))  # what a long holds stays
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)] + [(260, 259), (3, 3), (7, 5), (5, 9)]
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect())

@@ -60,14 +60,15 @@ def _plain_estimate(df: DataFrame) -> DataFrame:
 
     Spark takes the estimate over from the plan before, and a join's is the product of its sides': in a loop of joins
     the number has several times the digits each round, until it alone fills the driver.  Partitioning, order and
-    constraints stay; estimates that a long holds stay too."""
+    constraints stay, as do estimates that a long holds."""
     plan = df._jdf.queryExecution().analyzed()
     if plan.stats().sizeInBytes() < 1 << 63:
         return df
-    session, option = df.sparkSession._jsparkSession, df.sparkSession.sparkContext._jvm.scala.Option
+    spark = df.sparkSession
+    session, jvm = spark._jsparkSession, spark.sparkContext._jvm
     bare = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(),
-                     session, option.empty(), option.apply(plan.constraints()))
-    return DataFrame(df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
+                     session, jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
 
 
 def text_of(name: str = "text") -> Column:
